@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstack.llm import exact_dedup, simhash
+from quillstack.llm import exact_dedup, mixing, pieces, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.query,
+        "op2_sentencepiece": pieces.query,
         "op3_simhash_near_dedup": simhash.query,
+        "op4_source_mixing": mixing.query,
+        "op5_warc": warc.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op5_warc": warc.SQL}
