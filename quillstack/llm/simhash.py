@@ -63,13 +63,14 @@ def fingerprints(docs: DataFrame, id_column: str, text_column: str, words: int)
 def _near(fps: DataFrame) -> DataFrame:
     """(a, b) for fingerprints within two bits, as stars around the values one bit away."""
     bits = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)]
-    hubs = fps.select("fp", F.explode(F.array(*bits)).alias("hub"))
+    hubs = fps.repartition("fp").select("fp", F.explode(F.array(*bits)).alias("hub"))
     met = hubs.groupBy("hub").agg(F.count("*").alias("n"), F.min("fp").alias("a")).where("n > 1").select("hub", "a")
     return hubs.join(met, "hub").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
 
 
 def _far(groups: DataFrame) -> DataFrame:
     """(a, b) groups that hold fingerprints within three bits, from `groups` (fp, comp)."""
+    groups = groups.repartition("fp")
     low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
     flips = [F.lit(m).cast("long") for m in [0] + [1 << i for i in range(32)]]
     tables = groups.select("fp", "comp", F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), v.alias("key")) for s, v in ((0, low), (1, high))])).alias("x")).select("x.*", "fp", "comp")
