@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -34,6 +35,38 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MEMO = 300_000
 #: The lattice gives a character without a piece the least score less this.
 UNKNOWN_PENALTY = 10.0
+NEVER = float("inf")
+
+
+class Memo(dict):
+    """Ids of segments. Two generations of at most MEMO entries: what is still asked for outlives the others.
+
+    A segment is first cut where two neighbours stand beside each other in no piece: no merge spans such
+    a place. The parts are remembered too.
+    """
+
+    def __init__(self, model: PieceModel):
+        self.merge, self.old, self.joined = model.merger(), {}, model.joined()
+
+    def cuts(self, segment: str) -> list[str]:
+        joined = self.joined
+        at = [i for i, pair in enumerate(zip(segment, segment[1:]), 1) if pair not in joined]
+        return [segment[a:b] for a, b in zip([0, *at], [*at, len(segment)])] if at else []
+
+    def __missing__(self, segment: str) -> tuple[int, ...]:
+        out = self.old.get(segment)
+        if out is None:
+            parts = self.cuts(segment)
+            out = tuple(chain.from_iterable(map(self.__getitem__, parts))) if parts else self.merge(segment)
+        if len(segment) <= 64:
+            if len(self) >= MEMO:
+                self.old = dict(self)
+                self.clear()
+            self[segment] = out
+        return out
+
+
+_memos: dict[str, Memo] = {}
 
 
 @dataclass(frozen=True)
@@ -77,13 +110,16 @@ class PieceModel:
         rank = {self.pieces[i]: -self.scores[i] for i in self.normal}.get
 
         def short(parts: list[str]) -> list[str]:
-            while len(parts) > 1:
-                found = [rank(a + b) for a, b in zip(parts, parts[1:])]
-                known = [x for x in found if x is not None]
-                if not known:
-                    break
-                at = found.index(min(known))
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            found = [rank(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+            while found and (best := min(found)) is not NEVER:
+                at = found.index(best)
+                whole = parts[at] + parts[at + 1]
+                parts[at : at + 2] = [whole]
+                del found[at]
+                if at:
+                    found[at - 1] = rank(parts[at - 1] + whole, NEVER)
+                if at < len(found):
+                    found[at] = rank(whole + parts[at + 1], NEVER)
             return parts
 
         def long(parts: list[str]) -> list[str]:
@@ -106,10 +142,17 @@ class PieceModel:
 
         def encode(segment: str) -> tuple[int, ...]:
             parts = (short if len(segment) <= 48 else long)(list(segment))
-            return tuple(chain.from_iterable((ids[p],) if p in ids else self.unseen(p) for p in parts))
+            try:
+                return tuple(map(ids.__getitem__, parts))
+            except KeyError:
+                return tuple(chain.from_iterable((ids[p],) if p in ids else self.unseen(p) for p in parts))
 
         return encode
 
+    def joined(self) -> set[tuple[str, str]]:
+        """Neighbours within a piece."""
+        return {pair for i in self.normal for pair in zip(self.pieces[i], self.pieces[i][1:])}
+
     def unseen(self, character: str) -> tuple[int, ...]:
         if self.byte_ids:
             return tuple(self.byte_ids[b] for b in character.encode("utf-8", "replace"))
@@ -134,29 +177,22 @@ class PieceModel:
 
 
 def _encode_merges(base: DataFrame, model: PieceModel) -> DataFrame:
-    shared = base.sparkSession.sparkContext.broadcast(model)
+    context = base.sparkSession.sparkContext
+    shared, key = context.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from quillstack.llm.pieces import Memo, _memos  # the module's own, so that a worker's tasks share them
+
         m: PieceModel = shared.value
-        merge, memo = m.merger(), {}
-
-        class Memo(dict):
-            def __missing__(self, segment: str) -> tuple[int, ...]:
-                if len(self) >= MEMO:
-                    self.clear()
-                out = tuple(chain.from_iterable(map(merge, re.findall(r"[^\n]+|\n", segment))))  # no piece holds a line's end
-                if len(segment) <= 64:
-                    self[segment] = out
-                return out
-
-        breaks_alone = not any("\n" in m.pieces[i] for i in m.normal)
-        memo = Memo() if breaks_alone else None
+        if key not in _memos:
+            _memos.clear()
+            _memos[key] = Memo(m)
+        memo = _memos[key]
         for b in batches:
             values, lengths, same = [], [], []
             for text in b.column(3).to_pylist():
                 text = text or ""
-                found = m.segments(text)
-                ids = list(chain.from_iterable(map(memo.__getitem__, found) if breaks_alone else map(merge, found)))
+                ids = list(chain.from_iterable(map(memo.__getitem__, m.segments(text))))
                 values.append(np.array(ids, np.int32))
                 lengths.append(len(ids))
                 same.append(m.decode(ids) == text)
