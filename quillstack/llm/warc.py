@@ -30,11 +30,13 @@ WARC_DATE = "2024-01-01T00:00:00Z"
 
 
 def train_dictionary(pages: DataFrame, text_column: str) -> bytes:
-    """A dictionary from a bounded sample: SAMPLE_ROWS rows of least hash, SAMPLE_BYTES characters each.
+    """A dictionary from a bounded sample by hash: about SAMPLE_ROWS rows, twice that at most, SAMPLE_BYTES characters each.
 
     The sample only sets the compression ratio. Empty where there is too little to learn from.
     """
-    rows = pages.where(F.col(text_column) != "").select(F.substring(text_column, 1, SAMPLE_BYTES).alias("t")).orderBy(F.xxhash64("t"), "t").limit(SAMPLE_ROWS).collect()
+    held = pages.where(F.col(text_column) != "").select(F.substring(text_column, 1, SAMPLE_BYTES).alias("t"))
+    every = held.count() // SAMPLE_ROWS + 1
+    rows = held.where(F.pmod(F.xxhash64("t"), F.lit(every)) == 0).limit(2 * SAMPLE_ROWS).collect()
     samples = [r.t.encode() for r in rows]
     if len(samples) < 8:
         return b""
