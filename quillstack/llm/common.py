@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,3 +99,34 @@ def bucket(id_column: str, n: int) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+class Memo(dict):
+    """Values of short strings by `make`. Two generations of at most `limit` entries, so what is asked for often stays."""
+
+    def __init__(self, make: Callable, limit: int):
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key: str):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+_memos: dict[str, Memo] = {}
+
+
+def worker_memo(key: str, make: Callable, limit: int) -> Memo:
+    """The memo that the tasks of one Python worker share for `key`; an earlier key's is dropped."""
+    from quillstack.llm.common import _memos  # the module's own, not the copy that was sent with a function
+
+    if key not in _memos:
+        _memos.clear()
+        _memos[key] = Memo(make, limit)
+    return _memos[key]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstack.llm import exact_dedup, mixing, pieces, simhash, warc
+from quillstack.llm import exact_dedup, langid, line_dedup, lm, mixing, outliers, pieces, quality, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,8 +16,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash_near_dedup": simhash.query,
         "op4_source_mixing": mixing.query,
         "op5_warc": warc.query,
+        "op6_language_id": langid.query,
+        "op7_line_dedup": line_dedup.query,
+        "op8_lm_scoring": lm.query,
+        "op9_quality_classifier": quality.query,
+        "op10_quality_rules": outliers.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.SQL, "op5_warc": warc.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op5_warc": warc.SQL, "op7_line_dedup": line_dedup.SQL}
