@@ -83,6 +83,22 @@ def keyed(df: DataFrame, *columns: Column) -> DataFrame:
     return cut(df.select(F.lit(0).cast("long").alias("_f"), F.monotonically_increasing_id().alias("_r"), *columns), "keyed")
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """`df`, written first unless it reads files only: rows then have the same key in every step that takes it."""
+    return df if _reads_files(df) and "_metadata" not in df.columns else cut(df, "rows")
+
+
+def rows_picked(df: DataFrame, picks: DataFrame) -> DataFrame:
+    """The rows of a stable `df` under the keys (_f, _r) of `picks`, as often as they are picked, with all their columns."""
+    return keyed(df, F.struct("*").alias("row")).join(picks.select("_f", "_r"), ["_f", "_r"]).select("row.*")
+
+
+def rows_left(df: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of a stable `df` but those under the keys of `gone`."""
+    keys = if_small(cut(gone.select("_f", "_r"), "gone"))
+    return keyed(df, F.struct("*").alias("row")).join(keys, ["_f", "_r"], "left_anti").select("row.*")
+
+
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`df`, a written table of narrow rows, marked for broadcast when it has few rows; else joins shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

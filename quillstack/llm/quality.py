@@ -144,6 +144,18 @@ def score(docs: DataFrame, model: QualityModel, id_column: str = "doc_id", text_
     return base.mapInArrow(run, "_f long, _r long, doc_id long, score double, predicted int")
 
 
+def keep_good(docs: DataFrame, model: QualityModel, text_column: str = "text") -> DataFrame:
+    """The rows of `docs` that are predicted to be of class 1, with all their columns."""
+    shared, key, at = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex, docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = worker_memo(key, shared.value.word, MEMO)
+        for b in batches:
+            yield b.filter(pa.array([shared.value.score(t, memo) >= THRESHOLD for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
