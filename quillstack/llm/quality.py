@@ -21,9 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import Memo, bucket, keyed, table, worker_memo
+from quillstack.llm.common import Memo, bucket, cut, if_small, keyed, table, worker_memo
 
-#: The bounds of training: labelled texts (evenly by hash), features a text adds to a step.
+#: The bounds of training: labelled texts (evenly by hash), features of a text (drawn from all of it).
 SAMPLE_TEXTS, SAMPLE_FEATURES = 4000, 3000
 ROWS, WIDTH, SHORTEST, LONGEST, EPOCHS, RATE, SEED = 1 << 16, 8, 3, 4, 6, 0.4, 13
 #: Rows of a pair of equal words: about as many as a word has. Words that a worker remembers.
@@ -76,21 +76,19 @@ def fit(texts: list[str], labels: list[int], rows: int = ROWS, width: int = WIDT
     vectors = (rng.random((rows, width)) - 0.5) / width
     layer, bias = np.zeros((2, width)), np.zeros(2)
     coded, known = [], {}
+    pairs = np.array(pair_rows(rows), np.int32).tobytes()
     for text in texts:
-        found = []
         words = text.split()
         for word in words:
             if word not in known:
-                known[word] = features(word, rows)
-            found += known[word]
-        found += pair_rows(rows) * sum(map(eq, words, words[1:]))
-        coded.append(np.array(found, np.int64))
+                known[word] = np.array(features(word, rows), np.int32).tobytes()
+        index = np.frombuffer(b"".join([*map(known.__getitem__, words), pairs * sum(map(eq, words, words[1:]))]), np.int32)
+        coded.append(index if len(index) <= SAMPLE_FEATURES else rng.choice(index, SAMPLE_FEATURES, replace=False))
+    del known
     steps, total = 0, epochs * len(texts)
     for _ in range(epochs):
         for i in rng.permutation(len(texts)):
             index = coded[i]
-            if len(index) > SAMPLE_FEATURES:
-                index = rng.choice(index, SAMPLE_FEATURES, replace=False)
             step = rate * (1 - steps / total)
             steps += 1
             mean = vectors[index].mean(axis=0) if len(index) else np.zeros(width)
@@ -118,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         return fit([], [])
     every = {y: max(1, n // (sample_texts // 2)) for y, n in sizes.items()}
     chosen = known.where(F.pmod(F.xxhash64("i"), F.when(F.col("y") == 1, every.get(1, 1)).otherwise(every.get(0, 1))) == 0)
-    rows = docs.select(F.col(id_column).cast("long").alias("i"), F.col(text_column).alias("t")).join(chosen, "i").select("i", "y", F.coalesce("t", F.lit("")).alias("t"))
+    rows = docs.select(F.col(id_column).cast("long").alias("i"), F.col(text_column).alias("t")).join(if_small(cut(chosen, "quality-labels")), "i").select("i", "y", F.coalesce("t", F.lit("")).alias("t"))
     got = sorted((r.i, r.y, r.t) for r in rows.limit(2 * sample_texts).collect())
     return fit([t for _, _, t in got], [y for _, y, _ in got])
 
