@@ -1,5 +1,5 @@
 """All queries of the archive and their SQL."""
 
-from quillstack.plans import reports
+from quillstack.plans import reports, texts
 
-ALL = {**reports.QUERIES}
+ALL = {**reports.QUERIES, **texts.QUERIES}

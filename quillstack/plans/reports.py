@@ -21,10 +21,10 @@ LOCAL = """WITH e AS (SELECT event_id, event_type, ts, (ts AT TIME ZONE 'UTC') A
 days AS (SELECT CAST(lt AS DATE) AS date, count(*) AS n FROM e GROUP BY 1),
 ends AS (SELECT min(date) AS lo, max(date) AS hi FROM days),
 spine AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date, lo FROM ends),
-daily AS (SELECT s.date, coalesce(n, 0) AS count, isodow(s.date) - 1 AS weekday, CAST(floor((s.date - s.lo) / 7) AS INTEGER) AS week_adj, weekofyear(s.date) AS week
+daily AS (SELECT s.date, coalesce(n, 0) AS count, CAST(isodow(s.date) - 1 AS INTEGER) AS weekday, CAST(floor((s.date - s.lo) / 7) AS INTEGER) AS week_adj, CAST(weekofyear(s.date) AS INTEGER) AS week
           FROM spine s LEFT JOIN days USING (date)),
 cells AS (SELECT weekday, week_adj, avg(count) AS v FROM daily GROUP BY 1, 2),
-grid AS (SELECT w AS week_adj, d AS weekday FROM (SELECT unnest(generate_series(0, (SELECT max(week_adj) FROM daily))) AS w), (SELECT unnest(generate_series(0, 6)) AS d)),
+grid AS (SELECT w AS week_adj, d AS weekday FROM (SELECT CAST(unnest(generate_series(0, (SELECT max(week_adj) FROM daily))) AS INTEGER) AS w), (SELECT CAST(unnest(generate_series(0, 6)) AS INTEGER) AS d)),
 pivot_ AS (SELECT g.weekday, g.week_adj, coalesce(v, 0) AS value FROM grid g LEFT JOIN cells c ON g.weekday = c.weekday AND g.week_adj = c.week_adj)
 """
 MONTHS = """WITH o AS (SELECT (o_orderdate AT TIME ZONE 'UTC') AT TIME ZONE 'America/Los_Angeles' AS lt FROM orders),
@@ -140,14 +140,14 @@ QUERIES = {
         SELECT conv_id, turn, unnest(s) AS line, generate_subscripts(s, 1) AS i FROM (SELECT conv_id, turn, string_split('<c>' || role || '</c> &amp;gt; ' || coalesce(text, ''), chr(10)) AS s FROM conversations)) WHERE trim(line) <> '' AND NOT contains(line, '-->') AND NOT regexp_matches(trim(line), '^(WEBVTT|Kind:|Language:)')),
       p AS (SELECT conv_id, turn, i, trim(replace(replace(replace(line, '&amp;', '&'), '&gt;', '>'), '&lt;', '<')) AS line FROM t),
       f AS (SELECT conv_id, line, min(turn * 100000 + i) AS lt FROM p WHERE line <> '' GROUP BY 1, 2)
-      SELECT c.conv_id, string_agg(line, chr(10) ORDER BY pl) AS transcript FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN f USING (conv_id) GROUP BY c.conv_id"""),
-    "daily_calendar": (lambda spark, sf: an.daily(events(spark, sf)), LOCAL + "SELECT date, count, weekday, week, week_adj FROM daily"),
+      SELECT c.conv_id, string_agg(line, chr(10) ORDER BY lt) AS transcript FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN f USING (conv_id) GROUP BY c.conv_id"""),
+    "daily_calendar": (lambda spark, sf: an.daily(events(spark, sf)).withColumn("date", F.col("date").cast("string")), LOCAL + "SELECT CAST(date AS VARCHAR) AS date, count, weekday, week, week_adj FROM daily"),
     "calendar_pivot": (lambda spark, sf: an.calendar_pivot(an.daily(events(spark, sf))), LOCAL + "SELECT weekday, week_adj, value FROM pivot_"),
     "calendar_levels": (lambda spark, sf: an.calendar_levels(an.calendar_pivot(an.daily(events(spark, sf)))), LOCAL + """, q AS (SELECT CAST(trunc(quantile_cont(value, 0.25)) AS INTEGER) AS q1, CAST(trunc(quantile_cont(value, 0.5)) AS INTEGER) AS q2, CAST(trunc(quantile_cont(value, 0.75)) AS INTEGER) AS q3 FROM pivot_ WHERE value > 0)
       SELECT weekday, week_adj, CASE WHEN value = 0 THEN 0 ELSE CAST(value >= 0.5 AS INTEGER) + CAST(value >= q1 AS INTEGER) + CAST(value >= q2 AS INTEGER) + CAST(value >= q3 AS INTEGER) END AS level FROM pivot_, q"""),
-    "by_hour": (lambda spark, sf: an.count_by(events(spark, sf), "hour"), LOCAL + "SELECT hour(lt) AS hour, count(*) AS count FROM e GROUP BY 1"),
-    "by_weekday": (lambda spark, sf: an.by_weekday(events(spark, sf)), LOCAL + "SELECT isodow(lt) - 1 AS weekday, dayname(lt) AS day_name, count(*) AS count FROM e GROUP BY 1, 2"),
-    "peak_hour_day": (lambda spark, sf: an.peaks(events(spark, sf)), LOCAL + """SELECT (SELECT hour(lt) FROM e GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS peak_hour,
+    "by_hour": (lambda spark, sf: an.count_by(events(spark, sf), "hour"), LOCAL + "SELECT CAST(hour(lt) AS INTEGER) AS hour, count(*) AS count FROM e GROUP BY 1"),
+    "by_weekday": (lambda spark, sf: an.by_weekday(events(spark, sf)), LOCAL + "SELECT CAST(isodow(lt) - 1 AS INTEGER) AS weekday, dayname(lt) AS day_name, count(*) AS count FROM e GROUP BY 1, 2"),
+    "peak_hour_day": (lambda spark, sf: an.peaks(events(spark, sf)), LOCAL + """SELECT (SELECT CAST(hour(lt) AS INTEGER) FROM e GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS peak_hour,
       (SELECT d FROM (SELECT dayname(lt) AS d, isodow(lt) AS i, count(*) AS n FROM e GROUP BY 1, 2) ORDER BY n DESC, i LIMIT 1) AS peak_day"""),
     "first_last": (lambda spark, sf: an.first_last(table(spark, sf, "events"), "ts", "event_id"), """SELECT (SELECT event_id FROM events WHERE ts IS NOT NULL ORDER BY ts, event_id LIMIT 1) AS first_id, (SELECT event_id FROM events WHERE ts IS NOT NULL ORDER BY ts DESC, event_id LIMIT 1) AS last_id,
       (SELECT CAST(floor(epoch(max(ts) - min(ts)) / 86400) AS BIGINT) FROM events) AS span_days"""),
@@ -156,7 +156,7 @@ QUERIES = {
       (SELECT year_month FROM m ORDER BY count DESC, year_month LIMIT 1) AS max_month, (SELECT year_month FROM m ORDER BY count, year_month LIMIT 1) AS min_month FROM m"""),
     "recent_trend": (lambda spark, sf: an.recent_trend(orders(spark, sf), F.lit("2001-07-31 17:00:00").cast("timestamp_ntz")), MONTHS + """, r AS (SELECT strftime(lt, '%Y-%m') AS ym, count(*) AS n FROM o WHERE lt >= TIMESTAMP '2001-07-31 17:00:00' - INTERVAL 180 DAY GROUP BY 1)
       SELECT count(*) AS months, CASE WHEN count(*) >= 2 THEN CASE WHEN arg_max(n, ym) > arg_min(n, ym) THEN 'increasing' ELSE 'decreasing' END END AS trend FROM r"""),
-    "by_quarter": (lambda spark, sf: an.count_by(orders(spark, sf), "quarter"), MONTHS + "SELECT quarter(lt) AS quarter, count(*) AS count FROM o GROUP BY 1"),
+    "by_quarter": (lambda spark, sf: an.count_by(orders(spark, sf), "quarter"), MONTHS + "SELECT CAST(quarter(lt) AS INTEGER) AS quarter, count(*) AS count FROM o GROUP BY 1"),
     "top_domains": (lambda spark, sf: an.top_domains(table(spark, sf, "pages"), 20), "SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS domain, count(*) AS count FROM pages GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"),
     "folder_counts": (lambda spark, sf: an.count_by(table(spark, sf, "events").where("event_type IS NOT NULL"), "event_type").withColumnRenamed("event_type", "folder"), "SELECT event_type AS folder, count(*) AS count FROM events WHERE event_type IS NOT NULL GROUP BY 1"),
     "title_terms": (lambda spark, sf: an.top_terms(archive(spark, sf)), ARTICLES + r""", t AS (SELECT unnest(regexp_extract_all(lower(title), '[\p{L}\p{N}_]+')) AS term FROM articles),
