@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,11 +139,24 @@ class Memo(dict):
 _memos: dict[str, Memo] = {}
 
 
-def worker_memo(key: str, make: Callable, limit: int) -> Memo:
+def worker_memo(key: str, build: Callable[[], Memo]) -> Memo:
     """The memo that the tasks of one Python worker share for `key`; an earlier key's is dropped."""
     from quillstack.llm.common import _memos  # the module's own, not the copy that was sent with a function
 
     if key not in _memos:
         _memos.clear()
-        _memos[key] = Memo(make, limit)
+        _memos[key] = build()
     return _memos[key]
+
+
+def drop_memos() -> None:
+    """Frees what earlier operators left in this worker."""
+    from quillstack.llm.common import _memos
+
+    _memos.clear()
+
+
+def texts_of(column: pa.Array) -> Iterator[str | None]:
+    """The values of a column, a few hundred at a time in Python."""
+    for at in range(0, len(column), 256):
+        yield from column.slice(at, 256).to_pylist()

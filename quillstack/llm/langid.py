@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import Memo, bucket, keyed, table, worker_memo
+from quillstack.llm.common import Memo, bucket, keyed, table, texts_of, worker_memo
 
 #: The bounds of the model: texts of a language that are read, words and n-grams kept, longest n-gram.
 SAMPLE_TEXTS, MAX_WORDS, MAX_GRAMS, LONGEST = 4000, 100_000, 200_000, 5
@@ -130,9 +130,9 @@ def identify(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", t
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = worker_memo(key, shared.value.unseen, MEMO)
+        memo = worker_memo(key, lambda: Memo(shared.value.unseen, MEMO))
         for b in batches:
-            found = [shared.value.predict(t, memo) for t in b.column(3).to_pylist()]
+            found = [shared.value.predict(t, memo) for t in texts_of(b.column(3))]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), b.column(2), pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())],
                 names=["_f", "_r", "doc_id", "lang_pred", "score"],

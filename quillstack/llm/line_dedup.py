@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import cut, if_small, keyed, table
+from quillstack.llm.common import cut, drop_memos, if_small, keyed, table, texts_of
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Keys of a shard, about; hashes that ask one copy of a shard, about; bits for each key on a level.
@@ -84,9 +84,10 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
     """_f, _r, doc_id, h1, h2, at: each distinct long key of a row of `docs` (_f, _r, doc_id, text) and its lines' places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_memos()
         for b in batches:
             rows, places, h1, h2, at = [], [], [], [], []
-            for i, text in enumerate(b.column(3).to_pylist()):
+            for i, text in enumerate(texts_of(b.column(3))):
                 found: dict[bytes, list[int]] = {}
                 for j, line in enumerate((text or "").split("\n")):
                     if len(line) >= min_chars:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import bucket, cut, forget, keyed, table, written
+from quillstack.llm.common import bucket, cut, drop_memos, forget, keyed, table, texts_of, written
 
 DISCOUNT, STRENGTH, BURN_IN, KEPT, SEED = 0.75, 1.0, 2, 2, 29
 #: Words that every worker holds for scoring; entries a counting task holds before it passes them on.
@@ -56,6 +56,7 @@ def tokens(text: str | None) -> tuple[list[bytes], np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    drop_memos()
     held: Counter = Counter()
 
     def out() -> pa.RecordBatch:
@@ -67,7 +68,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return made
 
     for b in batches:
-        for text in b.column(0).to_pylist():
+        for text in texts_of(b.column(0)):
             words, contexts = tokens(text)
             held.update(zip(contexts.tolist(), words))
             if len(held) >= FLUSH:
@@ -263,7 +264,7 @@ def score(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", text
         where, base_of, log_of = shared.value
         for b in batches:
             rows = []
-            for text in b.column(3).to_pylist():
+            for text in texts_of(b.column(3)):
                 words, k = tokens(text)
                 index = np.fromiter(map(where.get, words, repeat(-1)), np.int64, len(words))
                 known = index >= 0

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import keyed, table
+from quillstack.llm.common import Memo, keyed, table, texts_of, worker_memo
 
 MARK = "▁"
 SEGMENT = f"{MARK}*[^{MARK}]+|{MARK}+"
@@ -38,35 +38,23 @@ UNKNOWN_PENALTY = 10.0
 NEVER = float("inf")
 
 
-class Memo(dict):
-    """Ids of segments. Two generations of at most MEMO entries: what is still asked for outlives the others.
+class SegmentMemo(Memo):
+    """Ids of segments.
 
     A segment is first cut where two neighbours stand beside each other in no piece: no merge spans such
     a place. The parts are remembered too.
     """
 
     def __init__(self, model: PieceModel):
-        self.merge, self.old, self.joined = model.merger(), {}, model.joined()
+        super().__init__(self.whole, MEMO)
+        self.merge, self.joined = model.merger(), model.joined()
 
-    def cuts(self, segment: str) -> list[str]:
+    def whole(self, segment: str) -> tuple[int, ...]:
         joined = self.joined
         at = [i for i, pair in enumerate(zip(segment, segment[1:]), 1) if pair not in joined]
-        return [segment[a:b] for a, b in zip([0, *at], [*at, len(segment)])] if at else []
-
-    def __missing__(self, segment: str) -> tuple[int, ...]:
-        out = self.old.get(segment)
-        if out is None:
-            parts = self.cuts(segment)
-            out = tuple(chain.from_iterable(map(self.__getitem__, parts))) if parts else self.merge(segment)
-        if len(segment) <= 64:
-            if len(self) >= MEMO:
-                self.old = dict(self)
-                self.clear()
-            self[segment] = out
-        return out
-
-
-_memos: dict[str, Memo] = {}
+        if not at:
+            return self.merge(segment)
+        return tuple(chain.from_iterable(self[segment[a:b]] for a, b in zip([0, *at], [*at, len(segment)])))
 
 
 @dataclass(frozen=True)
@@ -181,16 +169,11 @@ def _encode_merges(base: DataFrame, model: PieceModel) -> DataFrame:
     shared, key = context.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from quillstack.llm.pieces import Memo, _memos  # the module's own, so that a worker's tasks share them
-
         m: PieceModel = shared.value
-        if key not in _memos:
-            _memos.clear()
-            _memos[key] = Memo(m)
-        memo = _memos[key]
+        memo = worker_memo(key, lambda: SegmentMemo(m))
         for b in batches:
             values, lengths, same = [], [], []
-            for text in b.column(3).to_pylist():
+            for text in texts_of(b.column(3)):
                 text = text or ""
                 ids = list(chain.from_iterable(map(memo.__getitem__, m.segments(text))))
                 values.append(np.array(ids, np.int32))

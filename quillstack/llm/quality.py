@@ -21,13 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import Memo, bucket, cut, if_small, keyed, table, worker_memo
+from quillstack.llm.common import Memo, bucket, cut, if_small, keyed, table, texts_of, worker_memo
 
 #: The bounds of training: labelled texts (evenly by hash), features of a text (drawn from all of it).
 SAMPLE_TEXTS, SAMPLE_FEATURES = 4000, 3000
 ROWS, WIDTH, SHORTEST, LONGEST, EPOCHS, RATE, SEED = 1 << 16, 8, 3, 4, 6, 0.4, 13
 #: Rows of a pair of equal words: about as many as a word has. Words that a worker remembers.
-PAIR, MEMO = 8, 300_000
+PAIR, MEMO = 8, 150_000
 THRESHOLD = 0.7
 
 
@@ -130,9 +130,9 @@ def score(docs: DataFrame, model: QualityModel, id_column: str = "doc_id", text_
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = worker_memo(key, shared.value.word, MEMO)
+        memo = worker_memo(key, lambda: Memo(shared.value.word, MEMO))
         for b in batches:
-            found = np.array([shared.value.score(t, memo) for t in b.column(3).to_pylist()], float)
+            found = np.array([shared.value.score(t, memo) for t in texts_of(b.column(3))], float)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), b.column(2), pa.array(found), pa.array((found >= THRESHOLD).astype(np.int32))],
                 names=["_f", "_r", "doc_id", "score", "predicted"],
@@ -147,9 +147,9 @@ def keep_good(docs: DataFrame, model: QualityModel, text_column: str = "text") -
     shared, key, at = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex, docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = worker_memo(key, shared.value.word, MEMO)
+        memo = worker_memo(key, lambda: Memo(shared.value.word, MEMO))
         for b in batches:
-            yield b.filter(pa.array([shared.value.score(t, memo) >= THRESHOLD for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([shared.value.score(t, memo) >= THRESHOLD for t in texts_of(b.column(at))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import cut, keyed, table
+from quillstack.llm.common import cut, drop_memos, keyed, table, texts_of
 from quillstack.llm.components import components
 
 SHINGLE_WORDS, MAX_BITS, SEED = 3, 3, 42
@@ -52,8 +52,9 @@ def fingerprints(docs: DataFrame, id_column: str, text_column: str, words: int)
     """_f, _r, doc_id, fp (the unsigned fingerprint's bits as a signed long), written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_memos()
         for b in batches:
-            fps = np.array([fingerprint(t, words) for t in b.column(3).to_pylist()], dtype=np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t, words) for t in texts_of(b.column(3))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(fps)], names=["_f", "_r", "doc_id", "fp"])
 
     base = keyed(docs, F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
