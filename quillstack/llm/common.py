@@ -16,6 +16,8 @@ WORD = rf"[^{SPACE}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A side of at most so many narrow rows (under 100 bytes each, so under 5 MB) may be broadcast.
 BROADCAST_ROWS = 50_000
+#: Rows of an Arrow batch at most.
+BATCH_ROWS = 1_000
 
 _local_dirs: dict[str, str] = {}
 
@@ -71,12 +73,21 @@ def _reads_files(df: DataFrame) -> bool:
     return node.nodeName() == "LogicalRelation" and "HadoopFsRelation" in node.relation().getClass().getName()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sends texts to Python workers 1,000 at a time at most, unless the session asks for fewer: batches of the
+    default 10,000 long texts would fill a worker's memory. Holds for the session, as plans run later."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def keyed(df: DataFrame, *columns: Column) -> DataFrame:
     """`columns` of `df` under a row key (_f, _r) that stays the same when the rows are read again.
 
     Rows of file tables are keyed by file and position, so nothing is copied. Anything else is
     numbered and written once.
     """
+    small_batches(df.sparkSession)
     if _reads_files(df) and "_metadata" not in df.columns:
         return df.select(
             F.xxhash64("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_r"), *columns

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import Memo, bucket, keyed, table, texts_of, worker_memo
+from quillstack.llm.common import Memo, bucket, keyed, small_batches, table, texts_of, worker_memo
 
 #: The bounds of the model: texts of a language that are read, words and n-grams kept, longest n-gram.
 SAMPLE_TEXTS, MAX_WORDS, MAX_GRAMS, LONGEST = 4000, 100_000, 200_000, 5
@@ -113,6 +113,7 @@ def train(docs: DataFrame, learn: Column, text_column: str = "text", lang_column
             flat = [(l, w, c) for l, x in got.items() for w, c in x.items()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*flat) if flat else ([], [], []), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["l", "w", "c"])
 
+    small_batches(docs.sparkSession)
     sample = rows.where(F.pmod(F.xxhash64("t"), F.element_at(every, F.col("l"))) == 0)
     found = sample.mapInArrow(count, "l string, w string, c long").groupBy("l", "w").agg(F.sum("c").alias("c"))
     counts: dict[str, Counter] = {l: Counter() for l in sizes}

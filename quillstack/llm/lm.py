@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import bucket, cut, drop_memos, forget, keyed, table, texts_of, written
+from quillstack.llm.common import bucket, cut, drop_memos, forget, keyed, small_batches, table, texts_of, written
 
 DISCOUNT, STRENGTH, BURN_IN, KEPT, SEED = 0.75, 1.0, 2, 2, 29
 #: Words that every worker holds for scoring; entries a counting task holds before it passes them on.
@@ -212,6 +212,7 @@ class LanguageModel:
 def train(texts: DataFrame, burn_in: int = BURN_IN, kept: int = KEPT) -> LanguageModel:
     """Learns from all of `texts` (text). An empty table gives a model that has met no word."""
     spark = texts.sparkSession
+    small_batches(spark)
     counted = texts.select("text").mapInArrow(_count, "w string, k int, c long").repartition("w").groupBy("w", "k").agg(F.sum("c").alias("c"))
     packed = counted.groupBy("w").agg(F.sum("c").alias("c"), F.array_sort(F.collect_list(F.struct("k", "c"))).alias("x"))
     ones = F.transform("x", lambda x: F.lit(1).cast("long"))

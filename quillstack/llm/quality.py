@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import Memo, bucket, cut, if_small, keyed, table, texts_of, worker_memo
+from quillstack.llm.common import Memo, bucket, cut, if_small, keyed, small_batches, table, texts_of, worker_memo
 
 #: The bounds of training: labelled texts (evenly by hash), features of a text (drawn from all of it).
 SAMPLE_TEXTS, SAMPLE_FEATURES = 4000, 3000
@@ -144,6 +144,7 @@ def score(docs: DataFrame, model: QualityModel, id_column: str = "doc_id", text_
 
 def keep_good(docs: DataFrame, model: QualityModel, text_column: str = "text") -> DataFrame:
     """The rows of `docs` that are predicted to be of class 1, with all their columns."""
+    small_batches(docs.sparkSession)
     shared, key, at = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex, docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
