@@ -32,7 +32,7 @@ MARK = "▁"
 SEGMENT = f"{MARK}*[^{MARK}]+|{MARK}+"
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segments that a worker remembers; at most so many short strings and id tuples.
-MEMO = 200_000
+MEMO = 450_000
 #: The lattice gives a character without a piece the least score less this.
 UNKNOWN_PENALTY = 10.0
 NEVER = float("inf")
