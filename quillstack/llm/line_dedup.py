@@ -157,9 +157,9 @@ def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
         .applyInPandas(_build, "shard int, bits binary, sizes array<int>, fingerprints binary, counts binary, tops binary"),
         "line-index",
     )
-    # One narrow row for each SHARD_KEYS keys: small enough to send around.
+    # One narrow row for each SHARD_KEYS keys.
     asked = lines.select(shard).groupBy("shard").agg(F.ceil(F.count("*") / ASKERS).cast("int").alias("copies"))
-    asked = F.broadcast(cut(asked, "line-copies"))
+    asked = if_small(cut(asked, "line-copies"))
     asks = lines.select("_f", "_r", "doc_id", "h1", "h2", "at", shard).join(asked, "shard").withColumn("copy", F.pmod(F.xxhash64("_f", "_r"), F.col("copies")).cast("int"))
     copies = index.join(asked, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
     found = (
