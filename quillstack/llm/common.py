@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -65,6 +66,18 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return written(df, label)[0]
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of `rows` narrow rows for what runs within."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _reads_files(df: DataFrame) -> bool:
     """Whether `df` is a file table under projections and filters only, so that a row comes from one place in a file."""
     node = df._jdf.queryExecution().analyzed()

@@ -26,11 +26,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import bucket, cut, drop_memos, forget, keyed, small_batches, table, texts_of, written
+from quillstack.llm.common import batches_of, bucket, cut, drop_memos, forget, keyed, small_batches, table, texts_of, written
 
 DISCOUNT, STRENGTH, BURN_IN, KEPT, SEED = 0.75, 1.0, 2, 2, 29
 #: Words that every worker holds for scoring; entries a counting task holds before it passes them on.
 FREQUENT, FLUSH = 200_000, 400_000
+#: Words seated together.
+SWEEP_ROWS = 20_000
 END = "\n"
 CLASSES = 32
 
@@ -227,7 +229,8 @@ def train(texts: DataFrame, burn_in: int = BURN_IN, kept: int = KEPT) -> Languag
     totals, sampled = _totals(state, words), []
     for number in range(burn_in + kept):
         after = _sweep(state, totals, number)
-        next_state, next_path = written(after, "lm-state")
+        with batches_of(spark, SWEEP_ROWS):
+            next_state, next_path = written(after, "lm-state")
         forget(spark, path)
         state, path, totals = next_state, next_path, _totals(next_state, words)
         if number >= burn_in:
