@@ -184,7 +184,15 @@ def size(text: str) -> int:
 
 
 def raw_text(node: Node) -> str:
-    return "".join(c if isinstance(c, str) else raw_text(c) for c in node.children)
+    out: list[str] = []
+    stack: list = [node]
+    while stack:
+        here = stack.pop()
+        if isinstance(here, str):
+            out.append(here)
+        else:
+            stack += reversed(here.children)
+    return "".join(out)
 
 
 def clean_title(title: str) -> str:
@@ -314,6 +322,12 @@ def paragraphs_by_score(root: Node) -> str:
     return text
 
 
+def body_text(root: Node) -> str | None:
+    """The body without boilerplate as one line, if it is over 50 bytes."""
+    text = " ".join(text_of(body_of(root), inside=False).split())
+    return text if size(text) > 50 else None
+
+
 def extract(html: str | None, url: str | None) -> tuple[str, str, str, float] | None:
     """Title, text, tier and score of a page; None without content."""
     if not html:
@@ -330,5 +344,5 @@ def extract(html: str | None, url: str | None) -> tuple[str, str, str, float] |
         text = paragraphs_by_score(root)
         if text:
             return title, text, "paragraphs", 0.0
-    text = " ".join(text_of(body_of(root), inside=False).split())
-    return (title, text, "body", 0.0) if size(text) > 50 else None
+    text = body_text(root)
+    return (title, text, "body", 0.0) if text else None

@@ -32,6 +32,17 @@ def trim_title(title: Column) -> Column:
     return F.trim(title)
 
 
+def link_share(html: Column) -> Column:
+    """Bytes of link text over bytes of all text of a page; zero for a page without text. Native, for well-formed links."""
+    def plain(x: Column) -> Column:
+        return collapse(F.regexp_replace(x, "<[^>]*>", " "))
+
+    body = F.regexp_replace(html, r"(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<title[^>]*>.*?</title>|<!--.*?-->", "")
+    links = F.transform(F.regexp_extract_all(body, F.lit(r"(?s)<a[ >].*?</a>"), 0), lambda a: F.octet_length(plain(a)))
+    total = F.octet_length(plain(body))
+    return F.when(total > 0, F.aggregate(links, F.lit(0), lambda x, y: x + y) / total).otherwise(F.lit(0.0))
+
+
 def clean_captions(vtt: Column) -> Column:
     """Spoken lines of a WebVTT text, each once; null if there are none."""
     def spoken(line: Column) -> Column:

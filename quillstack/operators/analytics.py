@@ -114,6 +114,12 @@ def top_terms(titles: DataFrame, n: int = 30) -> DataFrame:
     return top.withColumn("k", F.lit(1)).join(F.broadcast(most), "k").select("term", "count", F.floor(F.col("count") / F.col("most") * 30).cast("long").alias("bar"))
 
 
+def length_buckets(articles: DataFrame) -> DataFrame:
+    """short (to 500 words), medium (to 2,000) and long, each with its count."""
+    names = ("short", "medium", "long")
+    return length_stats(articles).select(F.inline(F.array(*[F.struct(F.lit(n).alias("bucket"), F.col(n).alias("count")) for n in names])))
+
+
 def length_stats(articles: DataFrame) -> DataFrame:
     n = F.col("word_count")
     return articles.where(n > 0).agg(

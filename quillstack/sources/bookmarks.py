@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,19 @@ def read_bookmarks(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in BOOKMARK.fieldNames()])
 
 
+def write_bookmarks(bookmarks: DataFrame, path: str) -> None:
+    """An export that `read_bookmarks` reads back as it was."""
+    bookmarks.select(*BOOKMARK.fieldNames()).write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that all executors share, deleted when the JVM ends."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
 def to_rows(bookmarks: DataFrame) -> DataFrame:
     """url, title, folder, timestamp (null if it is no number), tags of an export, numbered in its order."""
     stamp = F.when(F.col("Timestamp").rlike("^[+-]?[0-9]+$"), F.expr("try_cast(Timestamp AS bigint)"))

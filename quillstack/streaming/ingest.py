@@ -11,8 +11,11 @@ from quillstack.sources.bookmarks import to_rows
 
 
 def start(spark: SparkSession, folder: str, table_path: str, checkpoint: str, retry_failed: bool = False) -> StreamingQuery:
-    """Merges CSV exports dropped in `folder` into versions of the table under `table_path`; a batch seen twice changes nothing."""
-    exports = spark.readStream.schema(BOOKMARK).options(header=True, multiLine=True, escape='"').csv(folder)
+    """Merges CSV exports dropped in `folder` into versions of the table under `table_path`; a batch seen twice changes nothing.
+
+    A stream has one schema: exports whose header differs from it fail the query.
+    """
+    exports = spark.readStream.schema(BOOKMARK).options(header=True, multiLine=True, escape='"', mode="FAILFAST", enforceSchema=False).csv(folder)
 
     def merge(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
