@@ -19,8 +19,8 @@ from quillstack.llm.common import SPACE, cut, if_small, keyed, table
 SHARE, STEPS, MIN_ROWS = 0.75, 4, 60
 #: Statistics and the least standard deviation of each: what varies less is no evidence against a document.
 FLOORS = {"x_words": 0.4, "x_length": 0.05, "x_symbols": 0.06, "x_lines": 0.6, "x_repeats": 0.12, "x_upper": 0.06}
-# Quantiles of the chi-square distribution with 6 degrees of freedom at 0.5, 0.975 and 1 - 1e-7.
-MEDIAN, NEAR, FAR = 5.348, 14.449, 43.34
+# Quantiles of the chi-square distribution with 6 degrees of freedom at 0.5, 0.975 and 0.999.
+MEDIAN, NEAR, FAR = 5.348, 14.449, 22.458
 WINDOW = 5
 
 

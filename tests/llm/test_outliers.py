@@ -87,6 +87,21 @@ def test_against_brute_force(spark):
     assert all(r.kept for r in clean)
 
 
+def test_mild_junk_is_rejected(spark):
+    rng = random.Random(3)
+    words = [f"word{chr(97 + i % 26)}" * (1 + i % 2) for i in range(80)]
+    data = []
+    for i in range(300):
+        text = [rng.choice(words) for _ in range(rng.randrange(40, 300))]
+        if i % 30 == 7:  # every third word is a bar
+            text = [w for j, word in enumerate(text) for w in ([word, "|"] if j % 2 else [word])]
+        data.append((i, " ".join(text), "en", "big", 1))
+    got = {r.doc_id: r for r in m.quality_rules(frame(spark, data)).collect()}
+    barred = [r for i, r in got.items() if i % 30 == 7]
+    assert any(r.distance <= 43.34 for r in barred) and not any(r.kept for r in barred)
+    assert all(r.kept for i, r in got.items() if i % 30 != 7)
+
+
 def test_of_little(spark):
     assert m.quality_rules(frame(spark, [])).collect() == []
     assert [r.kept for r in m.quality_rules(frame(spark, [(1, None, None, None, 1)])).collect()] == [False]
