@@ -12,6 +12,11 @@ from quillstack.functions import html as H
 from quillstack.schema import MAX_BODY
 
 
+def _readable(html: str) -> Column:
+    """The markup, or null for pages that are empty or too large: these keep their row and give nulls."""
+    return F.when((F.col(html) != "") & (F.octet_length(html) <= MAX_BODY), F.col(html)).alias(html)
+
+
 def extract_pages(pages: DataFrame, id: str = "page_id") -> DataFrame:
     """id, url, title, text, tier, score of each page; nulls where nothing was found. One Arrow pass for the whole cascade."""
 
@@ -20,8 +25,7 @@ def extract_pages(pages: DataFrame, id: str = "page_id") -> DataFrame:
             found = [H.extract(h, u) or (None, None, None, None) for h, u in zip(b["html"], b["url"])]
             yield pd.concat([b[["id", "url"]].reset_index(drop=True), pd.DataFrame(found, columns=["title", "text", "tier", "score"])], axis=1)
 
-    fit = pages.where((F.col("html") != "") & (F.octet_length("html") <= MAX_BODY))
-    return fit.select(F.col(id).alias("id"), "url", "html").mapInPandas(run, "id long, url string, title string, text string, tier string, score double")
+    return pages.select(F.col(id).alias("id"), "url", _readable("html")).mapInPandas(run, "id long, url string, title string, text string, tier string, score double")
 
 
 def tier_texts(pages: DataFrame, id: str = "page_id") -> DataFrame:
@@ -29,14 +33,13 @@ def tier_texts(pages: DataFrame, id: str = "page_id") -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            roots = [H.parse(h) for h in b["html"]]
+            roots = [H.parse(h) if h else None for h in b["html"]]
             yield pd.DataFrame({
-                "id": b["id"], "structured": [H.json_ld(r) for r in roots], "paragraphs": [(H.paragraphs_by_score(r) or None) if u and "://" in u else None for r, u in zip(roots, b["url"])],
-                "body": [H.body_text(r) for r in roots],
+                "id": b["id"], "structured": [r and H.json_ld(r) for r in roots], "paragraphs": [(H.paragraphs_by_score(r) or None) if r and u and "://" in u else None for r, u in zip(roots, b["url"])],
+                "body": [r and H.body_text(r) for r in roots],
             })
 
-    fit = pages.where((F.col("html") != "") & (F.octet_length("html") <= MAX_BODY))
-    return fit.select(F.col(id).alias("id"), "url", "html").mapInPandas(run, "id long, structured string, paragraphs string, body string")
+    return pages.select(F.col(id).alias("id"), "url", _readable("html")).mapInPandas(run, "id long, structured string, paragraphs string, body string")
 
 
 def candidate_fold(candidates: Column) -> Column:

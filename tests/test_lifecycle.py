@@ -105,3 +105,16 @@ def test_single_tiers(spark):
 def test_deep_markup():
     deep = "<article><h1>" + "<b>" * 20000 + "end" + "</article>" + "<p>" + "words of it " * 20
     assert H.raw_text(H.parse(deep)).startswith("end")
+
+
+def test_pages_without_readable_markup_keep_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(extract, "MAX_BODY", 1000)
+    rows = [(1, "http://a/1", None), (2, "http://a/2", ""), (3, "http://a/3", BODY + " " * 1000), (4, "http://a/4", BODY), (5, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = {r.id: r for r in extract.extract_pages(pages).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5] and got[1].url == "http://a/1"
+    assert all(tuple(got[i])[2:] == (None,) * 4 for i in (1, 2, 3, 5)) and got[4].title == "Head" and got[4].text
+    tiers = {r.id: r for r in extract.tier_texts(pages).collect()}
+    assert sorted(tiers) == [1, 2, 3, 4, 5]
+    assert all(tuple(tiers[i])[1:] == (None,) * 3 for i in (1, 2, 3, 5)) and tiers[4].body
+    assert [r.text for r in extract.extract_pages(pages.where("page_id < 3")).collect()] == [None, None]
