@@ -17,6 +17,8 @@ WORD = rf"[^{SPACE}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A side of at most so many narrow rows (under 100 bytes each, so under 5 MB) may be broadcast.
 BROADCAST_ROWS = 50_000
+#: A key that more than one row in so many has counts as hot.
+HEAVY = 2_000
 #: Rows of an Arrow batch at most.
 BATCH_ROWS = 1_000
 
@@ -129,6 +131,21 @@ def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def joined(rows: DataFrame, side: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
+    """`rows` with the columns of a written `side` of narrow rows by `keys`, without a hot key; how: inner or left.
+
+    `n` is a column of `side`, left out of the result: how many of `rows` have the key. A small side is
+    broadcast. Of a larger one the keys of more than one row in HEAVY are broadcast (they are fewer than
+    HEAVY times the rows of `side` for a key), and the others shuffle.
+    """
+    if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(side.drop(n)), keys, how)
+    least = side.agg(F.sum(n)).first()[0] / HEAVY
+    heavy, light = F.broadcast(side.where(F.col(n) > least).drop(n)), side.where(F.coalesce(F.col(n), F.lit(0)) <= least).drop(n)
+    others = rows.join(F.broadcast(heavy.select(*keys).distinct()), keys, "left_anti")
+    return rows.join(heavy, keys).unionByName(others.join(light, keys, how))
+
+
 def lower_ascii(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 

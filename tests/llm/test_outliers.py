@@ -24,18 +24,66 @@ def brute_base(text):
     return n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(covered), n < 10 or 100 * len(covered) > 20 * n
 
 
-def brute_distances(group):
-    """The same estimate in numpy for one group's vectors."""
-    floors = np.diag(np.array(list(m.FLOORS.values())) ** 2)
-    rank = lambda x, p: np.sort(x)[max(0, int(np.ceil(p * len(x))) - 1)]
-    far = lambda mean, cov: np.einsum("ij,jk,ik->i", group - mean, np.linalg.inv(cov), group - mean)
-    mean = np.array([rank(x, 0.5) for x in group.T])
-    d = far(mean, np.diag([(1.4826 * rank(abs(x - y), 0.5)) ** 2 for x, y in zip(group.T, mean)]) + floors)
-    for _ in range(m.STEPS):
-        near = group[d <= rank(d, m.SHARE)]
-        d = far(near.mean(axis=0), np.cov(near.T, bias=True) + floors)
-    near = group[d / max(1.0, rank(d, 0.5) / m.MEDIAN) <= m.NEAR]
-    return far(near.mean(axis=0), np.cov(near.T, bias=True) + floors)
+FLOOR = np.array(list(m.FLOORS.values()))
+
+
+def far(x, mean, cov):
+    return np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+
+
+def moments(x):
+    return x.mean(axis=0), np.cov(x.T, bias=True).reshape(6, 6) + np.diag(FLOOR**2)
+
+
+def brute_estimate(x):
+    """Mean and covariance of one level's vectors in numpy: three starts, the least determinant, reweighting."""
+    rank = lambda v, p: np.sort(v)[max(0, int(np.ceil(p * len(v))) - 1)]
+    place = lambda d: np.floor(np.log2(d + 0.001) * m.BINS)
+
+    def step(mean, cov):
+        at = place(far(x, mean, cov))
+        return moments(x[at <= rank(at, m.SHARE)])
+
+    middle = np.array([rank(v, 0.5) for v in x.T])
+    s = np.sqrt(np.array([(1.4826 * rank(abs(v - y), 0.5)) ** 2 for v, y in zip(x.T, middle)]) + FLOOR**2)
+    z = (x - middle) / s
+    found = []
+    for form in (None, np.tanh(z), z / np.maximum(np.linalg.norm(z, axis=1), 1e-9)[:, None]):
+        cov = np.diag(s**2)
+        if form is not None:
+            c = form.T @ form
+            scale = np.sqrt(np.outer(np.diag(c), np.diag(c)))
+            off = np.divide(0.9 * c, scale, out=np.zeros_like(c), where=scale > 0) * np.outer(s, s)
+            cov = np.where(np.eye(6) > 0, cov, off)
+        now = (middle, cov)
+        for _ in range(m.STEPS):
+            now = step(*now)
+        found.append(now)
+    now = min(found, key=lambda e: np.linalg.det(e[1]))
+    for _ in range(m.MORE_STEPS):
+        now = step(*now)
+    d = far(x, *now)
+    limit = max(1.0, 2 ** ((rank(place(d), 0.5) + 1) / m.BINS) / m.MEDIAN) * m.NEAR
+    near = x[d <= limit]
+    return len(near), *moments(near)
+
+
+def drawn(own, above):
+    n, mean, cov = own
+    w, gap = n / (n + m.PRIOR), mean - above[1]
+    return n, w * mean + (1 - w) * above[1], w * cov + (1 - w) * above[2] + w * (1 - w) * np.outer(gap, gap)
+
+
+def brute_distances(x, langs, groups):
+    out = np.zeros(len(x))
+    top = brute_estimate(x)
+    for lang in set(langs):
+        of_lang = drawn(brute_estimate(x[[i for i, g in enumerate(langs) if g == lang]]), top)
+        for group in {g for g, other in zip(groups, langs) if other == lang}:
+            at = [i for i, g in enumerate(groups) if g == group]
+            _, mean, cov = drawn(brute_estimate(x[at]), of_lang)
+            out[at] = far(x[at], mean, cov)
+    return out
 
 
 def rows():
@@ -70,15 +118,7 @@ def test_against_brute_force(spark):
         return [np.log1p(n), np.log((chars + 150) / (n + 30)), np.sqrt(r.n_symbols / (chars + 50)), np.log1p(r.n_dup_lines), np.sqrt(r.n_repeat_words / (n + 20)), np.sqrt((upper[r.doc_id] + 2) / (chars + 50))]
 
     passed = [r for r in got if not r.base_failed]
-    every = brute_distances(np.array([vector(r) for r in passed]))
-    groups = {}
-    for i, r in enumerate(passed):
-        groups.setdefault(place[r.doc_id], []).append(i)
-    want = every.copy()
-    for at in groups.values():
-        if len(at) >= m.MIN_ROWS:
-            want[at] = brute_distances(np.array([vector(passed[i]) for i in at]))
-    assert sum(len(at) >= m.MIN_ROWS for at in groups.values()) == 2
+    want = brute_distances(np.array([vector(r) for r in passed]), [place[r.doc_id][0] for r in passed], [place[r.doc_id] for r in passed])
     np.testing.assert_allclose([r.distance for r in passed], want, rtol=1e-6)
     assert all(r.kept == (not r.base_failed and (r.distance or 0) <= m.FAR) for r in got)
     marked = [r for r in passed if "***" in text[r.doc_id]]
@@ -87,6 +127,21 @@ def test_against_brute_force(spark):
     assert all(r.kept for r in clean)
 
 
+def test_groups_of_every_size(spark):
+    """Groups of 1, 5, 60 and 20,000 rows against the plain estimate, without the texts."""
+    rng = np.random.default_rng(5)
+    sizes = {("en", "hot"): 20_000, ("en", "mid"): 60, ("en", "few"): 5, ("fr", "one"): 1, ("fr", "mid"): 61}
+    groups = [g for g, n in sizes.items() for _ in range(n)]
+    x = rng.normal([5, 1.6, 0.05, 0.2, 0.1, 0.2], [0.8, 0.1, 0.05, 0.3, 0.1, 0.05], (len(groups), 6)) + np.array([g[0] == "fr" for g in groups])[:, None] * 0.2
+    x[::17] += 2
+    data = [(i, 0, g[0], "/".join(g), *map(float, v)) for i, (g, v) in enumerate(zip(groups, x))]
+    vectors = m.cut(spark.createDataFrame(data, "_f long, _r long, lang string, group string, " + ", ".join(f"{n} double" for n in m.NAMES)), "test-vectors")
+    got = {r._f: r.d2 for r in m._robust_distances(vectors).collect()}
+    np.testing.assert_allclose([got[i] for i in range(len(x))], brute_distances(x, [g[0] for g in groups], groups), rtol=1e-6)
+    far_off = np.array([got[i] > m.FAR for i in range(len(x))])
+    assert far_off[::17].mean() > 0.99 and far_off.reshape(-1)[[i for i in range(len(x)) if i % 17]].mean() < 0.03
+
+
 def test_mild_junk_is_rejected(spark):
     rng = random.Random(3)
     words = [f"word{chr(97 + i % 26)}" * (1 + i % 2) for i in range(80)]
