@@ -2,7 +2,8 @@
 
 A known word adds its log frequency in each language. An unseen word is scored by its n-grams of the
 greatest length of which the model knows any, from five characters down to one, averaged. The model is
-counted from a bounded sample of labelled texts and goes to the workers whole; every text is scored.
+fitted on a bounded sample of labelled texts, of which it keeps every word and n-gram, and goes to the
+workers whole; every text is scored.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,18 +19,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import Memo, bucket, keyed, small_batches, table, texts_of, worker_memo
+from quillstack.llm.common import Memo, bucket, cut, keyed, table, texts_of, worker_memo
 
-#: The bounds of the model: texts of a language that are read, words and n-grams kept, longest n-gram.
-SAMPLE_TEXTS, MAX_WORDS, MAX_GRAMS, LONGEST = 4000, 100_000, 200_000, 5
+#: The sample's bounds: labelled texts over all languages (each has an equal share, by hash of the row; the share is
+#: at least SHARE texts) and the bytes of a text that may be in it. The longest n-gram.
+SAMPLE_TEXTS, SHARE, SAMPLE_BYTES, LONGEST = 8000, 50, 1 << 20, 5
 #: Unseen words that a worker remembers.
 MEMO = 200_000
+#: Runs of word characters but digits and the underscore: letters (category L), and numerals that are no digits.
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
 
 def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    """Runs of letters, in lower case."""
+    words = LETTERS.findall(text.lower()) if text else []
+    if not all(map(str.isalpha, words)):
+        words = [x for w in words for x in "".join(c if c.isalpha() else " " for c in w).split()]
+    return words
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -37,6 +44,16 @@ def grams_of(word: str, n: int) -> list[str]:
     return [framed[i : i + n] for i in range(len(framed) - n + 1)] if n > 1 else list(word)
 
 
+def count_grams(words: Iterable[tuple[str, int]]) -> Counter:
+    """Counts of all n-grams of words and their counts."""
+    got: Counter = Counter()
+    for word, c in words:
+        for n in range(1, LONGEST + 1):
+            for g in grams_of(word, n):
+                got[g] += c
+    return got
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     languages: tuple[str, ...]
@@ -46,33 +63,20 @@ class LanguageModel:
     gram_logs: np.ndarray
 
     @classmethod
-    def of_counts(cls, counts: dict[str, Counter], max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> LanguageModel:
-        """From the word counts of each language."""
+    def of_counts(cls, counts: dict[str, Counter], gram_counts: dict[str, Counter] | None = None) -> LanguageModel:
+        """From the word counts of each language, and the n-gram counts if they are at hand."""
         languages = tuple(sorted(counts))
-        total = sum(counts.values(), Counter())
-        kept = [w for w, c in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:max_words]]
-        gram_counts = {lang: Counter() for lang in languages}
-        for lang in languages:
-            got = gram_counts[lang]
-            for word, c in counts[lang].items():
-                for n in range(1, LONGEST + 1):
-                    for g in grams_of(word, n):
-                        got[g] += c
-        all_grams = sum(gram_counts.values(), Counter())
-        grams = [g for g, c in sorted(all_grams.items(), key=lambda x: (-x[1], x[0])) if len(g) > 0][:max_grams]
-        sums = {lang: {n: 1 for n in range(1, LONGEST + 1)} for lang in languages}
-        for lang in languages:
-            for g, c in gram_counts[lang].items():
-                sums[lang][len(g)] += c
-        word_logs = np.zeros((0, len(languages)))
-        if kept:
-            table_ = np.array([[counts[x][w] for x in languages] for w in kept], float)
-            word_logs = np.log((table_ + 0.1) / (np.array([sum(counts[x].values()) for x in languages]) + 0.1 * len(total)))
-        gram_logs = np.zeros((0, len(languages)))
-        if grams:
-            table_ = np.array([[gram_counts[x][g] for x in languages] for g in grams], float)
-            gram_logs = np.log((table_ + 0.1) / np.array([[sums[x][len(g)] for x in languages] for g in grams]))
-        return cls(languages, {w: i for i, w in enumerate(kept)}, word_logs, {g: i for i, g in enumerate(grams)}, gram_logs)
+        if gram_counts is None:
+            gram_counts = {lang: count_grams(counts[lang].items()) for lang in languages}
+        words, grams = sorted(set().union(*counts.values())), sorted(set().union(*gram_counts.values()))
+        lengths = np.fromiter(map(len, grams), np.int64, len(grams))
+        word_logs, gram_logs = np.zeros((len(words), len(languages))), np.zeros((len(grams), len(languages)))
+        for i, lang in enumerate(languages):
+            of_word = np.fromiter(map(counts[lang].__getitem__, words), float, len(words))
+            of_gram = np.fromiter(map(gram_counts[lang].__getitem__, grams), float, len(grams))
+            word_logs[:, i] = np.log((of_word + 0.1) / (of_word.sum() + 0.1 * len(words)))
+            gram_logs[:, i] = np.log((of_gram + 0.1) / (np.bincount(lengths, of_gram, LONGEST + 1) + 1)[lengths])
+        return cls(languages, {w: i for i, w in enumerate(words)}, word_logs, {g: i for i, g in enumerate(grams)}, gram_logs)
 
     def unseen(self, word: str) -> np.ndarray:
         for n in range(min(LONGEST, len(word) + 2), 0, -1):
@@ -97,29 +101,56 @@ class LanguageModel:
         return self.languages[best], float(odds[best] / odds.sum())
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of texts by language."""
+    for b in batches:
+        got: dict[str, Counter] = {}
+        for t, l in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            got.setdefault(l, Counter()).update(words_of(t))
+        yield _counts([(l, w, c) for l, x in got.items() for w, c in x.items()])
+
+
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """N-grams of counted words by language."""
+    for b in batches:
+        got: dict[str, list] = {}
+        for l, w, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            got.setdefault(l, []).append((w, c))
+        yield _counts([(l, g, c) for l, words in got.items() for g, c in count_grams(words).items()])
+
+
+def _counts(flat: list[tuple[str, str, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*flat) if flat else ([], [], []), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["l", "w", "c"])
+
+
+def _by_language(counted: DataFrame) -> dict[str, Counter]:
+    got: dict[str, Counter] = {}
+    held = counted.toArrow()
+    for l, w, c in zip(*(held.column(x).to_pylist() for x in ("l", "w", "c")), strict=True):
+        got.setdefault(l, Counter())[w] = c
+    return got
+
+
 def train(docs: DataFrame, learn: Column, text_column: str = "text", lang_column: str = "lang", sample_texts: int = SAMPLE_TEXTS) -> LanguageModel:
-    """Counts over rows where `learn` holds and the language is not null, about `sample_texts` of each by hash of the text."""
-    rows = docs.where(learn & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(text_column).alias("t"), F.col(lang_column).alias("l"))
-    sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}  # a row for each language
-    every = F.create_map(*[x for l, n in sizes.items() for x in (F.lit(l), F.lit(max(1, n // sample_texts)))]) if sizes else None
-    if every is None:
-        return LanguageModel.of_counts({})
+    """Fits the model on rows where `learn` holds and language and text are not null.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got: dict[str, Counter] = {}
-            for t, l in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                got.setdefault(l, Counter()).update(words_of(t))
-            flat = [(l, w, c) for l, x in got.items() for w, c in x.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*flat) if flat else ([], [], []), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["l", "w", "c"])
-
-    small_batches(docs.sparkSession)
-    sample = rows.where(F.pmod(F.xxhash64("t"), F.element_at(every, F.col("l"))) == 0)
-    found = sample.mapInArrow(count, "l string, w string, c long").groupBy("l", "w").agg(F.sum("c").alias("c"))
-    counts: dict[str, Counter] = {l: Counter() for l in sizes}
-    for r in found.orderBy(F.desc("c"), "w", "l").limit(2 * MAX_WORDS).collect():
-        counts[r.l][r.w] = r.c
-    return LanguageModel.of_counts(counts)
+    The sample has about `sample_texts` texts at most, of up to SAMPLE_BYTES bytes, an equal share for each
+    language, chosen by hash of the row, so that copies of a text are in it or not like other rows. Names
+    of languages are as they are written; their number is taken to be small (one row each is collected).
+    """
+    kept = learn & F.col(lang_column).isNotNull() & (F.octet_length(text_column) <= SAMPLE_BYTES)
+    rows = keyed(docs, F.when(kept, F.col(lang_column).cast("string")).alias("l"), F.when(kept, F.col(text_column)).alias("t")).where("l IS NOT NULL")
+    sizes = cut(rows.groupBy("l").agg(F.count("*").alias("n")), "languages")
+    languages = [r.l for r in sizes.collect()]
+    if not languages:
+        return LanguageModel.of_counts({})
+    share = max(SHARE, sample_texts // len(languages))
+    every = sizes.select("l", F.greatest(F.lit(1), F.floor(F.col("n") / share)).alias("every"))
+    sample = rows.join(F.broadcast(every), "l").where(F.pmod(F.xxhash64("_f", "_r"), F.col("every")) == 0)
+    counted = cut(sample.select("t", "l").mapInArrow(_count, "l string, w string, c long").groupBy("l", "w").agg(F.sum("c").alias("c")), "language-words")
+    grams = counted.mapInArrow(_count_grams, "l string, w string, c long").groupBy("l", "w").agg(F.sum("c").alias("c"))
+    words = {l: Counter() for l in languages} | _by_language(counted)
+    return LanguageModel.of_counts(words, {l: Counter() for l in languages} | _by_language(grams))
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

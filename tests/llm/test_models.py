@@ -1,5 +1,6 @@
 import math
 import random
+import unicodedata
 from collections import Counter
 from zlib import crc32
 
@@ -59,16 +60,109 @@ def test_quality_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got.values())
 
 
+def test_language_numerals_are_no_letters(spark):
+    model = langid.LanguageModel.of_counts({"a": Counter(word=3)})
+    memo = Memo(model.unseen, 9)
+    for text in ("½ ² 12", "① Ⅷ", "_ ٣ ③"):
+        assert model.predict(text, memo) == ("und", 0.0)
+    assert langid.words_of("Ça x²y 一二 ªº") == ["ça", "x", "y", "一二", "ªº"]
+    assert all(langid.words_of(c) == ([c.lower()] if unicodedata.category(c)[0] == "L" else []) for c in map(chr, range(0x3000)) if len(c.lower()) == 1)
+
+
+def test_language_training_against_plain_counts(spark):
+    """The model of a small table against counts by loops; null languages and texts teach nothing, ties go to the first name."""
+    rng = random.Random(6)
+    data = [(i, " ".join(rng.choice(["alpha", "beta", "gamma²", "été", "x"]) for _ in range(rng.randrange(9))), rng.choice(["en", "fr", None])) for i in range(80)]
+    data += [(90, None, "en"), (91, "onlyhere", "zz"), (None, "alpha", "fr"), (3, data[3][1], data[3][2])]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = langid.train(docs, lm.F.coalesce(lm.F.col("doc_id") % 5 != 0, lm.F.lit(False)))
+    words, grams = {}, {}
+    for i, t, lang in data:
+        if i is not None and i % 5 and lang and t is not None:
+            for w in words_by_category(t.lower()):
+                words.setdefault(lang, Counter())[w] += 1
+                for n in range(1, 6):
+                    for g in ((w if n == 1 else f"^{w}$")[k : k + n] for k in range(len(w) + (0 if n == 1 else 2) - n + 1)):
+                        grams.setdefault(lang, Counter())[g] += 1
+    every, parts = set().union(*words.values()), set().union(*grams.values())
+    assert model.languages == ("en", "fr", "zz") and set(model.words) == every and set(model.grams) == parts
+    for k, lang in enumerate(model.languages):
+        n = sum(words[lang].values())
+        for w, at in model.words.items():
+            assert model.word_logs[at, k] == pytest.approx(math.log((words[lang][w] + 0.1) / (n + 0.1 * len(every))))
+        for g, at in model.grams.items():
+            same = sum(c for x, c in grams[lang].items() if len(x) == len(g))
+            assert model.gram_logs[at, k] == pytest.approx(math.log((grams[lang][g] + 0.1) / (same + 1)))
+    tied = langid.LanguageModel.of_counts({"b": Counter(w=1), "a": Counter(w=1)})
+    assert tied.predict("w", Memo(tied.unseen, 9)) == ("a", 0.5)
+    many = langid.train(docs.withColumn("lang", lm.F.concat(lm.F.lit("l"), lm.F.col("doc_id"))), lm.F.lit(True))
+    assert len(many.languages) == 81  # without null ids and texts
+
+
+def words_by_category(text):
+    return "".join(c if unicodedata.category(c)[0] == "L" else " " for c in text).split()
+
+
 def test_quality_gradient_and_scores_agree():
     texts = ["good words here"] * 20 + ["bad** thing** bad**"] * 20 + ["same same same same"] * 20
     labels = [1] * 20 + [0] * 40
-    model = quality.fit(texts, labels, rows=4096, epochs=20)
+    model = quality.fit(texts, labels, epochs=20)
     memo = Memo(model.word, 100)
-    assert model.score("good words", memo) > 0.9 > 0.1 > model.score("bad** bad**", memo)
-    assert model.score("other other other", memo) < model.score("other one more", memo)
+    good, bad, empty = model.scores(["good words", "bad** bad**", None], memo)
+    assert good > 0.9 > 0.1 > bad and empty == pytest.approx(1 / (1 + math.exp(-model.bias)))
     words = "good other other".split()
-    rows = [r for w in words for r in quality.features(w, 4096)] + quality.pair_rows(4096)
-    assert model.score(" ".join(words), memo) == pytest.approx(1 / (1 + math.exp(-(model.bias + model.odds[rows].mean()))))
+    rows = [r for w in words for r in quality.features(w)] + [quality.ROWS + int(quality.pair_rows(np.array([quality.word_hash(x) for x in pair], np.uint32))[0]) for pair in zip(words, words[1:])]
+    assert model.scores([" ".join(words)], memo)[0] == pytest.approx(1 / (1 + math.exp(-(model.bias + model.odds[rows].mean()))))
+    long = model.scores(["good words " * 100_000], memo)[0]
+    assert long > 0.9
+
+
+def test_quality_training_against_plain_descent(monkeypatch):
+    """The same descent, feature by feature."""
+    monkeypatch.setattr(quality, "ROWS", 64)
+    monkeypatch.setattr(quality, "PAIR_ROWS", 128)
+    monkeypatch.setattr(quality.features, "__defaults__", (64,))
+    texts, labels, width, epochs, rate = ["a bc a", "bc d d", "", "d e a bc"], [1, 0, 1, 0], 3, 4, 0.3
+    model = quality.fit(texts, labels, width, epochs, rate, seed=2)
+    rng = np.random.default_rng(2)
+    vectors = (rng.random((192, width)) - 0.5) / width
+    layer, bias, steps = np.zeros((2, width)), np.zeros(2), 0
+    for _ in range(epochs):
+        for i in rng.permutation(4):
+            words = texts[i].split()
+            rows = [r for w in words for r in quality.features(w, 64)]
+            rows += [64 + int(quality.pair_rows(np.array([quality.word_hash(x) for x in p], np.uint32))[0]) for p in zip(words, words[1:])]
+            step, n = rate * (1 - steps / (epochs * 4)), len(rows)
+            steps += 1
+            mean = sum((vectors[r] for r in rows), np.zeros(width)) / max(1, n)
+            e = [math.exp(sum(layer[y][k] * mean[k] for k in range(width)) + bias[y]) for y in (0, 1)]
+            gap = [e[y] / sum(e) - (y == labels[i]) for y in (0, 1)]
+            back = [sum(gap[y] * layer[y][k] for y in (0, 1)) for k in range(width)]
+            for y in (0, 1):
+                layer[y] -= step * gap[y] * mean
+                bias[y] -= step * gap[y] * 0.1
+            for r in rows:
+                vectors[r] -= step * np.array(back) / n * min(n, 50)
+    np.testing.assert_allclose(model.odds, vectors @ (layer[1] - layer[0]), atol=1e-9)
+    assert model.bias == pytest.approx(bias[1] - bias[0])
+
+
+def test_quality_learns_from_the_rows_it_may(spark, monkeypatch):
+    """Null labels and ids, unlabelled and held-out ids teach nothing; an id with two labels gives both; the sample is bounded and the same each time."""
+    docs = frame(spark, [*((i, f"text {i}") for i in range(40)), (None, "none"), (7, "text 7"), (8, None), (9, "x" * (quality.SAMPLE_BYTES + 1))])
+    rows = [*((i, i % 2) for i in range(30)), (7, 0), (31, None), (None, 1), (32, 5)]
+    labels = spark.createDataFrame([(i, y, "x") for i, y in rows], "doc_id long, quality int, text string")
+    got = []
+    monkeypatch.setattr(quality, "fit", lambda texts, ys: got.append(list(zip(texts, ys))))
+    quality.train(docs, labels)
+    texts = [(i, t) for i, t in [*((i, f"text {i}") for i in range(40)), (7, "text 7"), (8, "")]]
+    want = sorted((t, y) for i, t in texts for j, y in rows if i == j and y in (0, 1) and crc32(str(i).encode()) % 4 != 2)
+    assert sorted(got[0]) == want
+    for _ in range(2):
+        quality.train(docs, labels, sample_texts=10)
+    assert got[1] == got[2] and len(got[1]) == 10 and sum(y for _, y in got[1]) == 5 and set(got[1]) <= set(want)
+    quality.train(docs, labels.where("quality = 1"))
+    assert {y for _, y in got[3]} == {1}
 
 
 def test_quality_of_odd_rows(spark):
