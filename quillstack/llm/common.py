@@ -17,6 +17,8 @@ WORD = rf"[^{SPACE}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A side of at most so many narrow rows (under 100 bytes each, so under 5 MB) may be broadcast.
 BROADCAST_ROWS = 50_000
+#: Bytes of the wide column of such a side, at most.
+BROADCAST_BYTES = 16 << 20
 #: A key that more than one row in so many has counts as hot.
 HEAVY = 2_000
 #: Rows of an Arrow batch at most.
@@ -69,20 +71,26 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 
 
 @contextlib.contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of `rows` narrow rows for what runs within."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def setting(spark: SparkSession, name: str, value: object) -> Iterator[None]:
+    """A setting of the session for what runs within."""
     before = spark.conf.get(name)
-    spark.conf.set(name, rows)
+    spark.conf.set(name, str(value))
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def batches_of(spark: SparkSession, rows: int) -> contextlib.AbstractContextManager[None]:
+    """Arrow batches of `rows` narrow rows for what runs within."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def _reads_files(df: DataFrame) -> bool:
     """Whether `df` is a file table under projections and filters only, so that a row comes from one place in a file."""
     node = df._jdf.queryExecution().analyzed()
+    if not node.deterministic():
+        return False
     while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
         node = node.children().head()
     return node.nodeName() == "LogicalRelation" and "HadoopFsRelation" in node.relation().getClass().getName()
@@ -126,24 +134,31 @@ def rows_left(df: DataFrame, gone: DataFrame) -> DataFrame:
     return keyed(df, F.struct("*").alias("row")).join(keys, ["_f", "_r"], "left_anti").select("row.*")
 
 
-def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df`, a written table of narrow rows, marked for broadcast when it has few rows; else joins shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def is_small(df: DataFrame, text: Column | None = None) -> bool:
+    """Whether a written table has few enough rows for a broadcast, and few enough bytes in its one wide column, if it has one."""
+    few = df.limit(BROADCAST_ROWS + 1)
+    n, wide = few.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.lit("") if text is None else text)), F.lit(0))).first()
+    return n <= BROADCAST_ROWS and wide <= BROADCAST_BYTES
+
+
+def if_small(df: DataFrame, text: Column | None = None) -> DataFrame:
+    """`df`, a written table, marked for broadcast when it is small; else joins shuffle."""
+    return F.broadcast(df) if is_small(df, text) else df
 
 
-def joined(rows: DataFrame, side: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
-    """`rows` with the columns of a written `side` of narrow rows by `keys`, without a hot key; how: inner or left.
+def joined(rows: DataFrame, side: DataFrame, keys: list[str], n: str, how: str = "inner", text: Column | None = None, heavy: int = HEAVY) -> DataFrame:
+    """`rows` with the columns of a written `side` by `keys`, without a hot key; how: inner or left.
 
     `n` is a column of `side`, left out of the result: how many of `rows` have the key. A small side is
-    broadcast. Of a larger one the keys of more than one row in HEAVY are broadcast (they are fewer than
-    HEAVY times the rows of `side` for a key), and the others shuffle.
+    broadcast. Of a larger one the keys of more than one row in `heavy` are broadcast (they are fewer than
+    `heavy`, times the rows that `side` has for a key), and the others shuffle.
     """
-    if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if is_small(side, text):
         return rows.join(F.broadcast(side.drop(n)), keys, how)
-    least = side.agg(F.sum(n)).first()[0] / HEAVY
-    heavy, light = F.broadcast(side.where(F.col(n) > least).drop(n)), side.where(F.coalesce(F.col(n), F.lit(0)) <= least).drop(n)
-    others = rows.join(F.broadcast(heavy.select(*keys).distinct()), keys, "left_anti")
-    return rows.join(heavy, keys).unionByName(others.join(light, keys, how))
+    least = side.agg(F.sum(n)).first()[0] / heavy
+    hot, others = F.broadcast(side.where(F.col(n) > least).drop(n)), side.where(F.coalesce(F.col(n), F.lit(0)) <= least).drop(n)
+    rest = rows.join(F.broadcast(hot.select(*keys).distinct()), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(others, keys, how))
 
 
 def lower_ascii(column: Column) -> Column:

@@ -1,22 +1,22 @@
-"""SentencePiece encoding and decoding.
+"""SentencePiece encoding and decoding over a relational lattice.
 
-Unigram models: the relational lattice. Segments are made distinct, their substrings of bounded length
-exploded and joined to the piece table, the edges grouped by segment, and the best path folded with
-`aggregate`, then the ids go back to the texts by a join.
+Texts are cut before runs of space marks (a piece never has a mark after another character), and the
+distinct segments are counted. Their substrings of bounded length are exploded and joined to the piece
+table, the edges grouped by segment, and a segment's pieces folded from its edges with `aggregate`: for
+unigram models the best path (Viterbi), for BPE models the merges, best rank first. BPE pieces have ranks,
+not probabilities, and the path of the best summed rank is another segmentation than their encoder's.
 
-BPE models give their pieces ranks, not probabilities, and their encoder applies merges by rank. The
-path of the best summed rank is another segmentation (README, "Methods that were changed"), so for them
-the merges are applied to each segment, in batches, with a bounded memo of segments already met.
+Ids go back to the texts where these are read: the most frequent segments are sent to all workers, and the
+others to the texts that have them, as one file in the shared folder for each block of rows. No text moves.
 
-A piece never has a space mark after another character, so texts are cut before runs of marks, and the
-segments are encoded apart.
+Decoding is the inverse, by batches.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
-import uuid
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -26,37 +26,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import Memo, keyed, table, texts_of, worker_memo
+from quillstack.llm.common import cut, drop_memos, keyed, new_path, setting, table, texts_of
 
 MARK = "▁"
 SEGMENT = f"{MARK}*[^{MARK}]+|{MARK}+"
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-#: Segments that a worker remembers; at most so many short strings and id tuples.
-MEMO = 450_000
+#: Segments that every worker holds; rows of a block; segments that a counting task holds before it passes them on.
+FREQUENT, BLOCK_BITS, FLUSH = 200_000, 13, 400_000
+#: Characters of a segment in the lattice of a BPE model (boundaries are bits of a long); longer ones are merged one by one.
+#: Segments of a lattice partition, about.
+LATTICE_CHARS, LATTICE_ROWS = 60, 20_000
 #: The lattice gives a character without a piece the least score less this.
 UNKNOWN_PENALTY = 10.0
 NEVER = float("inf")
 
 
-class SegmentMemo(Memo):
-    """Ids of segments.
-
-    A segment is first cut where two neighbours stand beside each other in no piece: no merge spans such
-    a place. The parts are remembered too.
-    """
-
-    def __init__(self, model: PieceModel):
-        super().__init__(self.whole, MEMO)
-        self.merge, self.joined = model.merger(), model.joined()
-
-    def whole(self, segment: str) -> tuple[int, ...]:
-        joined = self.joined
-        at = [i for i, pair in enumerate(zip(segment, segment[1:]), 1) if pair not in joined]
-        if not at:
-            return self.merge(segment)
-        return tuple(chain.from_iterable(self[segment[a:b]] for a, b in zip([0, *at], [*at, len(segment)])))
-
-
 @dataclass(frozen=True)
 class PieceModel:
     pieces: tuple[str, ...]
@@ -164,83 +148,231 @@ class PieceModel:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
-def _encode_merges(base: DataFrame, model: PieceModel) -> DataFrame:
-    context = base.sparkSession.sparkContext
-    shared, key = context.broadcast(model), uuid.uuid4().hex
+def _count_segments(base: DataFrame, model: PieceModel) -> DataFrame:
+    """block, segment, c: the segments of each block of rows of `base` (_f, _r, doc_id, text) and their counts, maybe in parts."""
+    shared = base.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: PieceModel = shared.value
-        memo = worker_memo(key, lambda: SegmentMemo(m))
+        drop_memos()
+        segments = shared.value.segments
+        held, block = Counter(), None
+
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([block] * len(held), pa.string()), pa.array(held, pa.string()), pa.array(held.values(), pa.int64())], names=["block", "segment", "c"])
+            held.clear()
+            return made
+
         for b in batches:
-            values, lengths, same = [], [], []
-            for text in texts_of(b.column(3)):
-                text = text or ""
-                ids = list(chain.from_iterable(map(memo.__getitem__, m.segments(text))))
-                values.append(np.array(ids, np.int32))
-                lengths.append(len(ids))
-                same.append(m.decode(ids) == text)
-            offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array(lengths, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.zeros(0, np.int32))), pa.array(same, pa.bool_())],
-                names=["_f", "_r", "doc_id", "n_pieces", "ids", "round_trip"],
-            )
+            for now, text in zip(_blocks(b), texts_of(b.column(3)), strict=True):
+                if held and (now != block or len(held) >= FLUSH):
+                    yield out()
+                block = now
+                held.update(segments(text or ""))
+        if held:
+            yield out()
 
-    return base.mapInArrow(run, "_f long, _r long, doc_id long, n_pieces long, ids array<int>, round_trip boolean")
+    return base.mapInArrow(run, "block string, segment string, c long")
+
+
+def _blocks(b: pa.RecordBatch) -> Iterator[str]:
+    """The block of each row of a batch that begins with _f and _r."""
+    for f, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        yield f"{f & 0xFFFFFFFFFFFFFFFF:016x}{r >> BLOCK_BITS:012x}"
+
+
+def _merged(segments: DataFrame, model: PieceModel) -> DataFrame:
+    """(segment, c, ids) of `segments` by merges one by one: those too long for the lattice, or with characters that have no piece."""
+    shared = segments.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merge = shared.value.merger()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(merge(x)) for x in b.column(0).to_pylist()], pa.list_(pa.int32()))], names=["segment", "c", "ids"])
+
+    return segments.select("segment", "c").mapInArrow(run, "segment string, c long, ids array<int>")
+
+
+def _with_room(segments: DataFrame, model: PieceModel, longest: int) -> DataFrame:
+    """`segments` (segment, c) with room: for each start, how far a piece can reach; null for segments too long for the lattice.
+
+    No piece spans a place whose neighbours stand beside each other in no piece.
+    """
+    shared = segments.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joined_ = shared.value.joined()
+        for b in batches:
+            rooms: list[list[int] | None] = []
+            for x in b.column(0).to_pylist():
+                if len(x) > LATTICE_CHARS:
+                    rooms.append(None)
+                    continue
+                room, reach = [1] * len(x), 1
+                for i in range(len(x) - 2, -1, -1):
+                    reach = min(longest, reach + 1) if (x[i], x[i + 1]) in joined_ else 1
+                    room[i] = reach
+                rooms.append(room)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rooms, pa.list_(pa.int8()))], names=["segment", "c", "room"])
+
+    return segments.mapInArrow(run, "segment string, c long, room array<tinyint>")
+
+
+def merge_paths(segments: DataFrame, model: PieceModel) -> DataFrame:
+    """(segment, c, ids) for distinct `segments` (segment, c): the merges of the best rank first, of equals the leftmost, written.
+
+    Boundaries between characters are bits of a long. A merge is an edge with one boundary inside, and takes
+    that away; when none is left, the edges without a boundary inside are the pieces.
+    """
+    spark = segments.sparkSession
+    pieces = spark.createDataFrame([(model.pieces[i], i, -float(model.scores[i])) for i in model.normal], "part string, id int, rank double")  # its size is the model's
+    longest = max(len(model.pieces[i]) for i in model.normal)
+    roomy = cut(_with_room(segments, model, longest), "piece-segments")
+    partitions = roomy.count() // LATTICE_ROWS + 1
+    starts = roomy.where("room IS NOT NULL").repartition(partitions, "segment").select("segment", "c", F.posexplode("room").alias("start", "room"))
+    parts = starts.selectExpr("segment", "c", "start", "explode(sequence(1, int(room))) AS n").selectExpr("segment", "c", "start", "n", "substring(segment, start + 1, n) AS part")
+    edges = parts.join(F.broadcast(pieces), "part").selectExpr(
+        "segment", "c",
+        """named_struct('rank', rank, 'start', start, 'n', n, 'id', id, 'ends', shiftleft(1L, start) | shiftleft(1L, start + n),
+          'inner', (shiftleft(1L, start + n) - 1L) & ~(shiftleft(1L, start + 1) - 1L)) AS edge""",
+    )
+    grouped = edges.groupBy("segment", "c").agg(F.collect_list("edge").alias("edges"))
+    merges = grouped.selectExpr("*", "length(segment) AS size", "array_sort(filter(edges, e -> e.n > 1)) AS merges")
+    bounds = merges.selectExpr("*", """
+        aggregate(if(size > 1 AND size(merges) > 0, sequence(2, size), array()), shiftleft(1L, size + 1) - 1L,
+          (b, i) -> b & ~coalesce(get(filter(merges, e -> (b & e.ends) = e.ends AND bit_count(b & e.inner) = 1), 0).inner, 0L)) AS bounds""")
+    chosen = bounds.selectExpr("segment", "c", "size", "array_sort(transform(filter(edges, e -> (bounds & e.ends) = e.ends AND (bounds & e.inner) = 0L), e -> named_struct('start', e.start, 'n', e.n, 'id', e.id))) AS chosen")
+    whole = chosen.selectExpr("segment", "c", "if(aggregate(chosen, 0, (a, e) -> a + e.n) = size, transform(chosen, e -> e.id), null) AS ids")
+    with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", 10 * LATTICE_ROWS):  # a partition's segments are few enough for a table
+        paths = cut(whole, "piece-paths")
+    # Segments without any edge have no row in the lattice.
+    others = roomy.join(paths.where("ids IS NOT NULL").select("segment"), "segment", "left_anti")
+    return cut(paths.where("ids IS NOT NULL").unionAll(_merged(others, model)), "piece-ids")
 
 
 def best_paths(segments: DataFrame, model: PieceModel) -> DataFrame:
-    """(segment, ids) for distinct `segments` (segment): the path of the largest summed score."""
+    """(segment, c, ids) for distinct `segments` (segment, c): the path of the largest summed score, written."""
     spark = segments.sparkSession
     rows = [(model.pieces[i], i, float(model.scores[i])) for i in model.normal]
     pieces = spark.createDataFrame(rows, "part string, id int, score double")  # its size is the model's
     longest, worst = max(len(r[0]) for r in rows), min(r[2] for r in rows) - UNKNOWN_PENALTY
-    starts = segments.select("segment", F.explode(F.sequence(F.lit(0), F.length("segment") - 1)).alias("start"))
+    held = cut(segments, "piece-segments")
+    partitions = held.count() // LATTICE_ROWS + 1
+    starts = held.repartition(partitions, "segment").select("segment", "c", F.explode(F.sequence(F.lit(0), F.length("segment") - 1)).alias("start"))
     lengths = F.sequence(F.lit(1), F.least(F.lit(longest), F.length("segment") - F.col("start")))
-    parts = starts.select("segment", "start", F.explode(lengths).alias("n")).select(
-        "segment", "start", "n", F.substring("segment", F.col("start") + 1, F.col("n")).alias("part")
+    parts = starts.select("segment", "c", "start", F.explode(lengths).alias("n")).select(
+        "segment", "c", "start", "n", F.substring("segment", F.col("start") + 1, F.col("n")).alias("part")
     )
     edges = parts.join(F.broadcast(pieces), "part", "left").where("id IS NOT NULL OR n = 1").select(
-        "segment", (F.col("start") + F.col("n")).alias("end"), "start", F.coalesce("id", F.lit(model.unknown)).alias("id"),
+        "segment", "c", (F.col("start") + F.col("n")).alias("end"), "start", F.coalesce("id", F.lit(model.unknown)).alias("id"),
         F.coalesce("score", F.lit(worst)).alias("score"),
     )
-    grouped = edges.groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("end", "start", "id", "score"))).alias("edges"))
+    grouped = edges.groupBy("segment", "c").agg(F.array_sort(F.collect_list(F.struct("end", "start", "id", "score"))).alias("edges"))
     # The state holds the best way to each position; of equal ways the one with the longest last piece.
     folded = grouped.withColumn("ways", F.expr("""
         aggregate(sequence(1, length(segment)), array(named_struct('score', 0D, 'back', 1, 'id', -1)),
           (ways, at) -> concat(ways, array(array_max(transform(filter(edges, e -> e.end = at),
             e -> named_struct('score', ways[e.start].score + e.score, 'back', -e.start, 'id', e.id))))))"""))
-    return folded.select("segment", F.expr("""
+    paths = folded.select("segment", "c", F.expr("""
         aggregate(sequence(1, length(segment)), named_struct('at', length(segment), 'ids', cast(array() as array<int>)),
           (s, i) -> if(s.at = 0, s, named_struct('at', -ways[s.at].back, 'ids', concat(array(ways[s.at].id), s.ids))),
           s -> s.ids)""").alias("ids"))
+    with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", 10 * LATTICE_ROWS):
+        return cut(paths, "piece-ids")
 
 
-def _encode_lattice(base: DataFrame, model: PieceModel) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    marked = F.concat(F.when(F.lit(model.prefix) & (text != ""), F.lit(MARK)).otherwise(F.lit("")), F.replace(text, F.lit(" "), F.lit(MARK)))
-    found = base.withColumn("marked", marked).select(
-        "_f", "_r", F.posexplode(F.regexp_extract_all("marked", F.lit(f"(?s){SEGMENT}"), 0)).alias("at", "segment")
-    )
-    paths = best_paths(found.select("segment").distinct(), model).select("segment", "ids")
-    coded = found.join(paths, "segment").groupBy("_f", "_r").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"])).alias("ids")
-    )
-    unknown = model.unknown
-    joined = base.select("_f", "_r", "doc_id", "text").join(coded, ["_f", "_r"], "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
-    # A run of unknown characters is one unknown piece.
-    joined = joined.withColumn("ids", F.filter("ids", lambda x, i: (x != unknown) | (i == 0) | (F.get("ids", i - 1) != unknown)))
-    return joined.select("_f", "_r", "doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", (~F.array_contains("ids", unknown)).alias("round_trip"))
+def _frequent(coded: DataFrame, most: int) -> tuple[dict[str, bytes], int]:
+    """Ids of at most `most` of the most frequent segments, and the least count of those."""
+    ladder = sorted({int(2 ** (i / 2)) for i in range(80)})
+    sizes = coded.agg(*[F.count_if(F.col("c") >= x) for x in ladder]).first()
+    least = next((x for x, n in zip(ladder, sizes, strict=True) if n <= most), ladder[-1] * 2)
+    got = coded.where(F.col("c") >= least).select("segment", "ids").toArrow()
+    return dict(_coded(got.column("segment"), got.column("ids"))), least
+
+
+def _coded(segments: pa.ChunkedArray, ids: pa.ChunkedArray) -> Iterator[tuple[str, bytes]]:
+    """Segments, and their ids as the bytes of 32-bit integers."""
+    for names, lists in zip(segments.chunks, ids.chunks, strict=True):
+        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32).tobytes()
+        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)) * 4
+        for name, a, b in zip(names.to_pylist(), [0, *ends[:-1].tolist()], ends.tolist()):
+            yield name, flat[a:b]
+
+
+class _Known(dict):
+    """Ids of the frequent segments, and behind them those of a block's others."""
+
+    others: dict[str, bytes] = {}
+
+    def __missing__(self, segment: str) -> bytes:
+        return self.others[segment]
+
+
+def _assembled(base: DataFrame, model: PieceModel, coded: DataFrame, counted: DataFrame) -> DataFrame:
+    """The result for `base`, from the ids of all segments and the segments of each block."""
+    spark = base.sparkSession
+    frequent, least = _frequent(coded, FREQUENT)
+    folder = new_path(spark, "piece-blocks")
+    rare = counted.join(coded.where(F.col("c") < least).select("segment", "ids"), "segment").select("block", "segment", "ids").distinct()
+    rare.repartition("block").write.partitionBy("block").parquet(folder)
+    shared = spark.sparkContext.broadcast((model, frequent))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        from pyarrow import parquet as pq
+
+        drop_memos()
+        store, root = fs.FileSystem.from_uri(folder)
+        model, frequent = shared.value
+        known, block = _Known(frequent), None
+        unigram = model.kind == "unigram"
+
+        def read(block: str) -> dict[str, bytes]:
+            place, found = f"{root}/block={block}", {}
+            if store.get_file_info(place).type != fs.FileType.NotFound:
+                for f in store.get_file_info(fs.FileSelector(place)):
+                    if f.path.endswith(".parquet"):
+                        with store.open_input_file(f.path) as held:
+                            got = pq.ParquetFile(held).read(columns=["segment", "ids"])
+                        found.update(_coded(got.column("segment"), got.column("ids")))
+            return found
+
+        for b in batches:
+            values, lengths, same = [], [], []
+            for now, text in zip(_blocks(b), texts_of(b.column(3)), strict=True):
+                if now != block:
+                    known.others = {}
+                    known.others, block = read(now), now
+                text = text or ""
+                flat = b"".join(map(known.__getitem__, model.segments(text)))
+                ids = np.frombuffer(flat, np.int32)
+                if unigram:  # a run of unknown characters is one unknown piece
+                    ids = ids[(ids != model.unknown) | (np.concatenate(([-1], ids[:-1])) != model.unknown)]
+                    flat = ids.tobytes()
+                values.append(flat)
+                lengths.append(len(ids))
+                same.append(model.decode(ids.tolist()) == text)
+            offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+            flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(values))])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), b.column(2), pa.array(lengths, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(same, pa.bool_())],
+                names=["_f", "_r", "doc_id", "n_pieces", "ids", "round_trip"],
+            )
+
+    return base.mapInArrow(run, "_f long, _r long, doc_id long, n_pieces long, ids array<int>, round_trip boolean")
 
 
 def encode(docs: DataFrame, model: PieceModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of `docs`: _f, _r (row key), doc_id, n_pieces, ids, round_trip.
 
-    round_trip: whether decoding gives the text back (a text that has space marks of its own, or unknown
-    characters, does not). Null and empty texts have no pieces. Repeated rows are encoded alike; other
-    columns are not read; an empty table gives no rows.
+    round_trip: whether decoding the ids gives the text back (a text that has space marks of its own, or
+    unknown characters, does not). Null and empty texts have no pieces. Repeated rows are encoded alike;
+    other columns are not read; an empty table gives no rows.
     """
     base = keyed(docs, F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return _encode_merges(base, model) if model.kind == "bpe" else _encode_lattice(base, model)
+    counted = cut(_count_segments(base, model), "piece-counts")
+    segments = counted.groupBy("segment").agg(F.sum("c").alias("c"))
+    coded = merge_paths(segments, model) if model.kind == "bpe" else best_paths(segments, model)
+    return _assembled(base, model, coded, counted)
 
 
 def decode(coded: DataFrame, model: PieceModel) -> DataFrame:

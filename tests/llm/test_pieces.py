@@ -60,7 +60,7 @@ def test_lattice_equals_the_library_and_all_segmentations(spark):
     score = {p.piece: p.score for p in proto.pieces if p.type == 1}
     ids = {p.piece: i for i, p in enumerate(proto.pieces)}
     words = ["▁abba", "ababab", "▁bbaab"]
-    paths = {r.segment: r.ids for r in best_paths(spark.createDataFrame([(w,) for w in words], "segment string"), model).collect()}
+    paths = {r.segment: r.ids for r in best_paths(spark.createDataFrame([(w, 1) for w in words], "segment string, c long"), model).collect()}
     for w in words:
         ways = []
         for cuts in itertools.product([0, 1], repeat=len(w) - 1):
