@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import forget, written
+from quillstack.llm.common import cut, forget, joined, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -13,17 +13,20 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def _star(edges: DataFrame, upper: bool) -> DataFrame:
-    """One star step. upper: all neighbours above a node go to its least neighbour; else those below do."""
+    """One star step. upper: all neighbours above a node go to its least neighbour; else those below do.
+
+    A node's least neighbour is found by partial aggregates and told to its edges without gathering them.
+    """
     if upper:
         around = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        joined = around.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b")
+        least = cut(around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), "star")
+        moved = joined(around.where("b > a"), least, ["a"], "n").select(F.col("m").alias("a"), "b")
     else:
-        around = edges.select(F.col("b").alias("n"), F.col("a").alias("v"))
-        least = around.groupBy("n").agg(F.min("v").alias("m"))
-        below = around.join(least, "n").select(F.col("m").alias("a"), F.col("v").alias("b"))
-        joined = below.unionAll(least.select(F.col("m").alias("a"), F.col("n").alias("b")))
-    return joined.where("a < b").distinct()
+        around = edges.select(F.col("b").alias("x"), F.col("a").alias("v"))
+        least = cut(around.groupBy("x").agg(F.min("v").alias("m"), F.count("*").alias("n")), "star")
+        below = joined(around, least, ["x"], "n").select(F.col("m").alias("a"), F.col("v").alias("b"))
+        moved = below.unionAll(least.select(F.col("m").alias("a"), F.col("x").alias("b")))
+    return moved.where("a < b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -11,39 +11,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import cut, if_small, keyed, table
+from quillstack.llm.common import BROADCAST_BYTES, HEAVY, cut, forget, joined, keyed, table, written
 
 FIRST_BYTES, GROWTH = 32, 8
 
 
 def _equal_groups(base: DataFrame) -> DataFrame:
-    """(_f, _r, _id, gid) of every row of `base` (_f, _r, _id, body) whose body another row has too."""
+    """(_f, _r, _id, gid) of every row of `base` (_f, _r, _id, body) whose body another row has too.
+
+    Counting is by partial sums, and the rows of a large group are not gathered: they learn of it from a
+    broadcast of the few large groups. What a level wrote is deleted when the next stands.
+    """
     spark = base.sparkSession
     digit = [F.octet_length("body").alias("len"), F.substring("body", 1, FIRST_BYTES).alias("digit")]
     me = F.struct("_f", "_r")
-    groups = cut(
-        base.select("_f", "_r", *digit).groupBy("len", "digit").agg(F.count("*").alias("n"), F.min(me).alias("gid"))
-        .where("n > 1").drop("n"),
-        "radix-groups",
+    groups, old = written(
+        base.select("_f", "_r", *digit).groupBy("len", "digit").agg(F.count("*").alias("n"), F.min(me).alias("gid")).where("n > 1"), "radix-groups",
     )
-    rows = base.select("*", *digit).join(if_small(groups), ["len", "digit"])
+    rows = joined(base.select("*", *digit), groups, ["len", "digit"], "n", text=F.col("digit"))
     rest = F.expr(f"substring(body, {FIRST_BYTES + 1})").alias("rest")
-    active, done, seen, width = cut(rows.select("_f", "_r", "_id", "gid", "len", rest), "radix-rows"), [], FIRST_BYTES, FIRST_BYTES * GROWTH
+    active, path = written(rows.select("_f", "_r", "_id", "gid", "len", rest), "radix-rows")
+    done, seen, width = [], FIRST_BYTES, FIRST_BYTES * GROWTH
     while True:
-        done.append(active.where(F.col("len") <= seen).select("_f", "_r", "_id", "gid"))
+        forget(spark, old)
+        done.append(cut(active.where(F.col("len") <= seen).select("_f", "_r", "_id", "gid"), "radix-equal"))
         deeper = active.where(F.col("len") > seen).withColumn("digit", F.substring("rest", 1, width))
         if deeper.limit(1).count() == 0:
             break
-        groups = cut(
-            deeper.groupBy("gid", "digit").agg(F.count("*").alias("n"), F.min(me).alias("next")).where("n > 1").drop("n"),
-            "radix-groups",
+        groups, old = written(
+            deeper.groupBy("gid", "digit").agg(F.count("*").alias("n"), F.min(me).alias("next")).where("n > 1"), "radix-groups",
         )
-        active = cut(
-            deeper.join(if_small(groups, 2_000), ["gid", "digit"])
-            .select("_f", "_r", "_id", F.col("next").alias("gid"), "len", F.expr(f"substring(rest, {width + 1})").alias("rest")),
-            "radix-rows",
+        # Digits are wide by now, so fewer groups count as large.
+        few = max(16, min(HEAVY, BROADCAST_BYTES // width))
+        next_rows = joined(deeper, groups, ["gid", "digit"], "n", text=F.col("digit"), heavy=few).select(
+            "_f", "_r", "_id", F.col("next").alias("gid"), "len", F.expr(f"substring(rest, {width + 1})").alias("rest")
         )
-        seen, width = seen + width, width * GROWTH
+        active, next_path = written(next_rows, "radix-rows")
+        forget(spark, path)
+        path, seen, width = next_path, seen + width, width * GROWTH
+    forget(spark, path)
     out = done[0]
     for more in done[1:]:
         out = out.unionAll(more)
@@ -59,10 +65,8 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """
     base = keyed(docs, F.col(id_column).alias("_id"), F.coalesce(F.col(text_column), F.lit("")).cast("binary").alias("body"))
     members = _equal_groups(base)
-    tops = (
-        members.groupBy("gid").agg(F.count("*").alias("group_size"), F.max(F.struct("_id", "_f", "_r")).alias("top"))
-    )
-    verdicts = members.join(tops, "gid").select(
+    tops = members.groupBy("gid").agg(F.count("*").alias("group_size"), F.max(F.struct("_id", "_f", "_r")).alias("top")).withColumn("n", F.col("group_size"))
+    verdicts = joined(members, cut(tops, "radix-tops"), ["gid"], "n").select(
         "_f", "_r", F.col("top._id").alias("keep_id"), "group_size",
         ((F.col("top._f") == F.col("_f")) & (F.col("top._r") == F.col("_r"))).alias("kept"),
     )
@@ -82,6 +86,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-       doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+       row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """

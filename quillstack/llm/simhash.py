@@ -7,7 +7,8 @@ of each segment, and complete distances are verified.
 
 Dense groups of near copies would give all their pairs that way. So fingerprints within two bits are
 joined first through the values one bit away from both (a value has at most 65 such neighbours, each
-fingerprint 65 such values), and the lookup is then asked only for links between different groups.
+fingerprint 65 such values), and the lookup is then asked only for links between different groups: what
+asks for a segment's value meets no fingerprint of its own group there, if that has most of them.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import cut, drop_memos, keyed, table, texts_of
+from quillstack.llm.common import cut, drop_memos, if_small, joined, keyed, table, texts_of
 from quillstack.llm.components import components
 
 SHINGLE_WORDS, MAX_BITS, SEED = 3, 3, 42
@@ -74,14 +75,19 @@ def _far(groups: DataFrame) -> DataFrame:
     groups = groups.repartition("fp")
     low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
     flips = [F.lit(m).cast("long") for m in [0] + [1 << i for i in range(32)]]
-    tables = groups.select("fp", "comp", F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), v.alias("key")) for s, v in ((0, low), (1, high))])).alias("x")).select("x.*", "fp", "comp")
+    segments = F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), v.alias("key")) for s, v in ((0, low), (1, high))])).alias("x")
+    tables = groups.select("fp", "comp", segments).select("x.*", "fp", "comp")
     asks = groups.select(
         F.col("fp").alias("fp2"), F.col("comp").alias("comp2"),
         F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), v.bitwiseXOR(m).alias("key")) for s, v in ((0, low), (1, high)) for m in flips])).alias("x"),
     ).select("x.*", "fp2", "comp2")
-    met = asks.join(tables, ["seg", "key"]).where(
-        (F.col("comp") < F.col("comp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= MAX_BITS)
-    )
+    # The group that has most of a value's fingerprints, and the rows of the other groups: few, as most values have one group.
+    sizes = tables.groupBy("seg", "key", "comp").agg(F.count("*").alias("n"))
+    tops = cut(sizes.groupBy("seg", "key").agg(F.max_by("comp", F.struct("n", "comp")).alias("top")), "simhash-tops")
+    rest = cut(tables.join(tops, ["seg", "key"]).where("comp <> top").drop("top"), "simhash-rest")
+    near = (F.col("comp") < F.col("comp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= MAX_BITS)
+    others = asks.join(tops, ["seg", "key"]).where("comp2 <> top").join(tables.withColumnRenamed("comp", "top"), ["seg", "key", "top"]).withColumnRenamed("top", "comp")
+    met = asks.join(if_small(rest), ["seg", "key"]).where(near).select("comp", "comp2").unionAll(others.where(near).select("comp", "comp2"))
     return met.select(F.col("comp").alias("a"), F.col("comp2").alias("b")).distinct()
 
 
@@ -94,15 +100,15 @@ def simhash_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     like any others. Other columns are not read. An empty table gives no rows.
     """
     fps = fingerprints(docs, id_column, text_column, words)
-    distinct = cut(fps.select("fp").distinct(), "simhash-distinct")
-    near = components(_near(distinct))
-    groups = cut(distinct.join(near.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("comp")), "simhash-near")
-    far = components(_far(groups)).select(F.col("node").alias("comp"), "root")
-    comps = cut(groups.join(far, "comp", "left").select("fp", F.coalesce("root", "comp").alias("comp")), "simhash-comps")
-    rows = cut(fps.join(comps, "fp"), "simhash-rows")
+    distinct = cut(fps.groupBy("fp").agg(F.count("*").alias("n")), "simhash-distinct")
+    near = components(_near(distinct.select("fp")))
+    groups = cut(distinct.join(near.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("comp"), "n"), "simhash-near")
+    far = components(_far(groups.select("fp", "comp"))).select(F.col("node").alias("comp"), "root")
+    comps = cut(groups.join(far, "comp", "left").select("fp", F.coalesce("root", "comp").alias("comp"), "n"), "simhash-comps")
+    rows = cut(joined(fps, comps, ["fp"], "n"), "simhash-rows")
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_f", "_r")
-    tops = rows.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min(key).alias("top"))
-    return rows.join(tops, "comp").select(
+    tops = cut(rows.groupBy("comp").agg(F.count("*").alias("n"), F.min("doc_id").alias("component_id"), F.min(key).alias("top")), "simhash-roots")
+    return joined(rows, tops, ["comp"], "n").select(
         "_f", "_r", "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
         ((F.col("top._f") == F.col("_f")) & (F.col("top._r") == F.col("_r"))).alias("kept"),
     )
