@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import WORD, cut, if_small, keyed, table
+from quillstack.llm.common import WORD, cut, joined, keyed, table
 
 #: Entropy to reach, as a fraction of the logarithm of the number of sources; passes over a source at most.
 ENTROPY, MAX_PASSES, SEED = 0.95, 2.0, 17
@@ -81,6 +81,8 @@ def mix(
         docs, F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"),
         F.coalesce(F.concat(F.lit("="), F.col(source_column).cast("string")), F.lit("")).alias("src"),
         F.coalesce(F.regexp_count(F.col(text_column), F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"),
+        # Copies of the table in files of the same order are mixed alike.
+        F.xxhash64(F.col(id_column), F.col(text_column), F.col(source_column)).alias("what"),
     )
     rows = cut(base, "mix-rows")
     totals = cut(rows.groupBy("src").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")).where("tokens > 0"), "mix-totals")
@@ -88,14 +90,14 @@ def mix(
     passes = F.floor(F.col("need") / F.col("tokens") + F.lit(1e-8))  # a whole number may be missed by rounding
     plan = cut(
         weighted.select(
-            "src", "weight", F.ceil(F.sqrt("rows")).alias("blocks"), passes.alias("passes"),
+            "src", "weight", "rows", F.ceil(F.sqrt("rows")).alias("blocks"), passes.alias("passes"),
             F.greatest(F.lit(0.0), F.col("need") - passes * F.col("tokens")).alias("rest"),
         ),
         "mix-plan",
     )
     # A source of n rows has about sqrt(n) blocks of sqrt(n) rows: no window below is larger than that.
-    mixed = rows.join(if_small(plan, 20_000), "src").withColumn("hash", F.xxhash64(F.lit(seed), "_f", "_r")).withColumn(
-        "block", F.pmod(F.xxhash64(F.lit(seed + 1), "_f", "_r"), F.col("blocks"))
+    mixed = joined(rows, plan, ["src"], "rows", text=F.col("src")).withColumn("hash", F.xxhash64(F.lit(seed), "what", "_r")).withColumn(
+        "block", F.pmod(F.xxhash64(F.lit(seed + 1), "what", "_r"), F.col("blocks"))
     )
     order = F.xxhash64(F.lit(seed + 2), "src", "block")
     running = W.partitionBy("src").orderBy("order", "block").rowsBetween(W.unboundedPreceding, 0)
