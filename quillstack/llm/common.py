@@ -19,8 +19,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 50_000
 #: Bytes of the wide column of such a side, at most.
 BROADCAST_BYTES = 16 << 20
-#: A key that more than one row in so many has counts as hot.
-HEAVY = 2_000
 #: Rows of an Arrow batch at most.
 BATCH_ROWS = 1_000
 
@@ -62,10 +60,15 @@ def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Cuts the lineage: writes `df` to the shared folder as Parquet; the table read back, and its path."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver's JVM collect, so that the shuffle files of finished steps are deleted."""
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     return written(df, label)[0]
 
@@ -146,21 +149,29 @@ def if_small(df: DataFrame, text: Column | None = None) -> DataFrame:
     return F.broadcast(df) if is_small(df, text) else df
 
 
-def joined(rows: DataFrame, side: DataFrame, keys: list[str], n: str, how: str = "inner", text: Column | None = None, heavy: int = HEAVY) -> DataFrame:
+def joined(rows: DataFrame, side: DataFrame, keys: list[str], n: str, how: str = "inner", text: Column | None = None, most: int = 2_000, keep: bool = False) -> DataFrame:
     """`rows` with the columns of a written `side` by `keys`, without a hot key; how: inner or left.
 
-    `n` is a column of `side`, left out of the result: how many of `rows` have the key. A small side is
-    broadcast. Of a larger one the keys of more than one row in `heavy` are broadcast (they are fewer than
-    `heavy`, times the rows that `side` has for a key), and the others shuffle.
+    `n` is a column of `side`: how many of `rows` have the key, or what rises with that; it is left out of the
+    result unless it is to be kept. A small side is broadcast. Of a larger one the keys with most rows are
+    broadcast, at most `most` of them, and the others shuffle.
     """
+    given = side if keep else side.drop(n)
     if is_small(side, text):
-        return rows.join(F.broadcast(side.drop(n)), keys, how)
-    least = side.agg(F.sum(n)).first()[0] / heavy
-    hot, others = F.broadcast(side.where(F.col(n) > least).drop(n)), side.where(F.coalesce(F.col(n), F.lit(0)) <= least).drop(n)
+        return rows.join(F.broadcast(given), keys, how)
+    least = ladder(side, n, most)
+    hot, others = F.broadcast(given.where(F.col(n) >= least)), given.where(F.coalesce(F.col(n), F.lit(0)) < least)
     rest = rows.join(F.broadcast(hot.select(*keys).distinct()), keys, "left_anti")
     return rows.join(hot, keys).unionByName(rest.join(others, keys, how))
 
 
+def ladder(df: DataFrame, column: str, most: int) -> int:
+    """The least step of a ladder from which on at most `most` rows have that much in `column`."""
+    steps = sorted({int(2 ** (i / 2)) for i in range(100)})
+    sizes = df.agg(*[F.count_if(F.col(column) >= x) for x in steps]).first()
+    return next((x for x, n in zip(steps, sizes, strict=True) if n <= most), steps[-1] * 2)
+
+
 def lower_ascii(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 

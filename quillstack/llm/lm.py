@@ -1,15 +1,16 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Every context restaurant holds the words that follow one class of word (by the last byte of the word
-before, or the text's start). All contexts share a parent restaurant, whose base is uniform over the
-vocabulary and one unseen word. A word's customers in a context that open a table send a customer to
-the parent. Seatings are sampled by Gibbs: in a sweep each word is seated anew in each restaurant, given
-all others, with a Metropolis test for the block. Predictive probabilities are averaged over the sweeps
-kept, and give the score.
-
-Counts cover all training text. Words are dealt out by hash, with the restaurants' totals as of the last
-sweep. For scoring, the most frequent words (a fixed number) go to all workers; the others of a text are
-looked up by a join.
+Every word that comes before another is a context with a restaurant of its own, which holds the words that
+follow it; so contexts grow with the input. All contexts share a parent restaurant, whose base is uniform
+over the vocabulary and one unseen word. A word's tables in the contexts are its customers in the parent.
+Seatings are sampled by Gibbs: in a sweep, all customers of a word in a context leave and sit down again
+given all others (`seating`), then those of the parent do. The one approximation is that the totals of other
+words, and the parent's probabilities, are those of the last sweep. Predictive probabilities are averaged over
+the sweeps kept, and give the score.
+
+Counts cover all training text. Words are numbers: the most frequent ones their rank, the others a 64-bit
+hash. A pair that was met once has one table always; only the others are sampled. For scoring, the most
+frequent words and pairs go to all workers; what a text has besides is looked up by joins, whose keys are too rare to be hot.
 """
 
 from __future__ import annotations
@@ -17,44 +18,31 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import batches_of, bucket, cut, drop_memos, forget, keyed, small_batches, table, texts_of, written
+from quillstack.llm.common import batches_of, bucket, cut, drop_memos, forget, keyed, ladder, release, small_batches, table, texts_of, written
+from quillstack.llm.seating import Seater
 
 DISCOUNT, STRENGTH, BURN_IN, KEPT, SEED = 0.75, 1.0, 2, 2, 29
-#: Words that every worker holds for scoring; entries a counting task holds before it passes them on.
-FREQUENT, FLUSH = 200_000, 400_000
-#: Words seated together.
-SWEEP_ROWS = 20_000
+#: Words that have numbers of their own and go to all workers, and pairs that do; entries a counting task holds before it passes them on.
+FREQUENT, FREQUENT_PAIRS, FLUSH = 400_000, 2_000_000, 400_000
+#: Tokens whose pairs a task counts together; pairs seated together.
+BLOCK_TOKENS, SWEEP_ROWS = 4_000_000, 200_000
 END = "\n"
-CLASSES = 32
+#: The number of the context at the start of a text. Words have numbers from 1, or negative ones.
+START = 0
+RARE = -(1 << 63)
 
 
-def _class_table() -> np.ndarray:
-    """0: start; 1 full stop; 2 comma; 3 digits; 4 to 29 letters; 30 beyond ASCII; 31 the rest."""
-    out = np.full(256, 31, np.int64)
-    out[128:] = 30
-    out[ord(".")], out[ord(",")] = 1, 2
-    out[ord("0") : ord("9") + 1] = 3
-    out[ord("a") : ord("z") + 1] = np.arange(4, 30)
-    return out
-
-
-CLASS_OF = _class_table()
-
-
-def tokens(text: str | None) -> tuple[list[bytes], np.ndarray]:
-    """The words of a text and the end, and each one's context."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    lasts = np.frombuffer(bytes(map(itemgetter(-1), words)), np.uint8)
-    return [*words, END.encode()], np.concatenate(([0], CLASS_OF[lasts]))
+def tokens(text: str | None) -> list[bytes]:
+    """The words of a text and the end."""
+    return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END.encode()]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,240 +50,329 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: Counter = Counter()
 
     def out() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays(
-            [pa.array([w.decode("utf-8", "replace") for _, w in held], pa.string()), pa.array([k for k, _ in held], pa.int32()), pa.array(held.values(), pa.int64())],
-            names=["w", "k", "c"],
-        )
+        made = pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in held], pa.string()), pa.array(held.values(), pa.int64())], names=["w", "c"])
         held.clear()
         return made
 
     for b in batches:
         for text in texts_of(b.column(0)):
-            words, contexts = tokens(text)
-            held.update(zip(contexts.tolist(), words))
+            held.update(tokens(text))
             if len(held) >= FLUSH:
                 yield out()
     yield out()
 
 
-def seat(customers: np.ndarray, share: np.ndarray, others: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Seats each word's customers in turn: its tables, and the logarithm of the seating's weight.
+def number(word: bytes) -> int:
+    """The number of a word that is not frequent."""
+    return xxhash.xxh64_intdigest(word, SEED) % (1 << 63) + RARE
+
+
+class Coder:
+    """Numbers of the words of texts, each word of a batch looked up once."""
+
+    def __init__(self, places: dict[bytes, int]):
+        self.places = places
+
+    def __call__(self, texts: Iterator[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of all tokens, those of the tokens before them, and tokens of each text."""
+        met: dict[bytes, int] = {}
+        codes, lengths = [], []
+        for text in texts:
+            words = tokens(text)
+            codes.append(np.fromiter((met.setdefault(w, len(met)) for w in words), np.int32, len(words)))
+            lengths.append(len(words))
+        if not codes:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        numbers = np.fromiter((self.places.get(w) or number(w) for w in met), np.int64, len(met))
+        w = numbers[np.concatenate(codes)]
+        u = np.concatenate(([START], w[:-1]))
+        ends = np.cumsum(lengths)
+        u[ends[:-1]] = START
+        return w, u, np.array(lengths)
+
+
+def _distinct(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs, and how often each is there. Those of numbered words are sorted as one integer."""
+    both = (u >= 0) & (w >= 0)
+    keys, often = np.unique((u[both] << 32) | w[both], return_counts=True)
+    u, w = u[~both], w[~both]
+    order = np.lexsort((w, u))
+    u, w = u[order], w[order]
+    first = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])))) if len(u) else np.zeros(0, np.int64)
+    rare = np.diff(np.concatenate((first, [len(u)])))
+    return np.concatenate((keys >> 32, u[first])), np.concatenate((keys & 0xFFFFFFFF, w[first])), np.concatenate((often, rare))
 
-    share: the parent's probability of the word; others: the restaurant's tables of other words. The
-    first customer opens a table. Customers of large groups sit down a sixteenth of the group at a time.
-    """
-    t, n = np.ones(len(customers), np.int64), np.ones(len(customers), np.int64)
-    weight = np.zeros(len(customers))
-    live = np.flatnonzero(customers > 1)
-    while len(live):
-        c, nl, tl = customers[live], n[live], t[live]
-        step = np.minimum(c - nl, np.maximum(1, nl // 16))
-        fresh = (STRENGTH + DISCOUNT * (others[live] + tl)) * share[live]
-        rate = fresh + nl - DISCOUNT * tl
-        weight[live] += step * np.log(rate)
-        t[live] += rng.binomial(step, fresh / rate)
-        n[live] += step
-        live = live[n[live] < c]
-    return t, weight
+
+def _pairs(texts: DataFrame, places: Broadcast) -> DataFrame:
+    """u, w, c: words, the words before them and how often, counted by blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_memos()
+        coder = Coder(places.value)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            found = _distinct(np.concatenate([u for u, _ in held]), np.concatenate([w for _, w in held]))
+            held.clear()
+            for at in range(0, len(found[0]), SWEEP_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + SWEEP_ROWS].astype(np.int64)) for x in found], names=["u", "w", "c"])
+
+        for b in batches:
+            w, u, _ = coder(texts_of(b.column(0)))
+            held.append((u, w))
+            if sum(len(x) for x, _ in held) >= BLOCK_TOKENS:
+                yield from out()
+        if held:
+            yield from out()
+
+    return texts.select("text").mapInArrow(run, "u long, w long, c long")
+
+
+def root_share(customers: np.ndarray, tables: np.ndarray, root_customers: float, root_tables: float, words: int) -> np.ndarray:
+    """The parent's probability of words with so many customers and tables there."""
+    base = (STRENGTH + DISCOUNT * root_tables) / (words + 1)
+    return (np.maximum(customers - DISCOUNT * tables, 0) + base) / (STRENGTH + root_customers)
 
 
 @dataclass(frozen=True)
-class Totals:
-    """Customers and tables of each context, tables of the parent, and the vocabulary's size."""
+class Root:
+    """Customers and tables of the parent restaurant, and the vocabulary's size."""
 
-    customers: np.ndarray
-    tables: np.ndarray
-    root_tables: int
+    customers: int
+    tables: int
     words: int
 
-    def root(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        """The parent's probability of words with so many customers and tables there."""
-        base = (STRENGTH + DISCOUNT * self.root_tables) / (self.words + 1)
-        return (np.maximum(customers - DISCOUNT * tables, 0) + base) / (STRENGTH + self.tables.sum())
+    def share(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        return root_share(customers, tables, self.customers, self.tables, self.words)
+
+    def share_sql(self) -> str:
+        """The same in SQL, of columns n and r."""
+        base = (STRENGTH + DISCOUNT * self.tables) / (self.words + 1)
+        return f"(greatest(n - {DISCOUNT}D * r, 0D) + {base!r}D) / {STRENGTH + self.customers!r}D"
 
     def unseen(self) -> float:
-        return float(self.root(np.zeros(1), np.zeros(1))[0])
+        return float(self.share(np.zeros(1), np.zeros(1))[0])
 
-    def backing(self) -> np.ndarray:
-        """What each context gives to its parent."""
-        return STRENGTH + DISCOUNT * self.tables
 
+def _generator(b: pa.RecordBatch, sweep: int) -> np.random.Generator:
+    """Random numbers that are the same when a task is run again over the same rows."""
+    first = [int(b.column(i)[0].as_py() or 0) % (1 << 63) for i in (0, 1)]
+    return np.random.default_rng([SEED, sweep, b.num_rows, *first])
 
-#: A word, its count, its customers and tables by context and the weights of those seatings, its tables in the
-#: parent; and for each sweep kept, the parent's probability and the tables by context.
-STATE = "w string, c long, ks array<int>, cs array<long>, ts array<long>, lw array<double>, t long, probs array<double>, kept array<array<long>>"
 
+def _looked_up(rows: DataFrame, contexts: DataFrame, words: DataFrame, how: str, sides: str = "ff rf fr rr") -> DataFrame:
+    """`rows` (u, w and more) with the columns of their contexts and words, frequent (f) or rare (r).
 
-def _flat(column: pa.Array, kind: type) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(kind)
+    Tables of the numbered ones are broadcast, FREQUENT rows at most. The others shuffle: none of them is
+    hot, or it would have a number. Each part of `rows` is read apart.
+    """
+    parts = []
+    for first, second in sides.split():
+        part = rows.where(("u >= 0" if first == "f" else "u < 0") + (" AND w >= 0" if second == "f" else " AND w < 0"))
+        for side, key, kind in ((contexts, "u", first), (words, "w", second)):
+            part = part.join(F.broadcast(side.where(f"{key} >= 0")) if kind == "f" else side.where(f"{key} < 0"), key, how)
+        parts.append(part)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
-def _offsets(column: pa.Array) -> np.ndarray:
-    return np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+def _reseat(pairs: DataFrame, contexts: DataFrame, words: DataFrame, root: Root, sweep: int) -> DataFrame:
+    """`pairs` (u, w, c, t, ts) with new tables, and the change of each."""
+    there = _looked_up(pairs, contexts.select("u", F.col("tables").alias("there")), words.select("w", "n", "r"), "inner")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seater = Seater(STRENGTH, DISCOUNT)
+        for b in batches:
+            if b.num_rows:
+                c, t, tables, n, r = (b.column(x).to_numpy(zero_copy_only=False) for x in (2, 3, 5, 6, 7))
+                left = n - t  # the word's customers in the parent, without those from here
+                share = root.share(left, np.minimum(r, left))
+                new = seater.draw(c, t, tables - t, share, _generator(b, sweep))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(new), b.column(4), pa.array(new - t)], names=["u", "w", "c", "t", "ts", "change"])
 
-def _list(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
+    return there.select("u", "w", "c", "t", "ts", "there", "n", "r").mapInArrow(run, "u long, w long, c long, t long, ts array<int>, change long")
 
 
-def _sweep(state: DataFrame, totals: Totals, number: int) -> DataFrame:
-    """Every word seated anew in its contexts, then in the parent."""
+def _reseat_root(words: DataFrame, root: Root, sweep: int) -> DataFrame:
+    """`words` (w, n, r, ps) with new tables in the parent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seater = Seater(STRENGTH, DISCOUNT)
         for b in batches:
-            if not b.num_rows:
-                continue
-            col = {name: b.column(i) for i, name in enumerate(b.schema.names)}
-            offsets = _offsets(col["ks"])
-            rng = np.random.default_rng([SEED, number, xxhash.xxh32_intdigest(col["w"][0].as_py())])
-            row = np.repeat(np.arange(b.num_rows), np.diff(offsets))
-            k, c, t, lw = _flat(col["ks"], np.int64), _flat(col["cs"], np.int64), _flat(col["ts"], np.int64), _flat(col["lw"], float)
-            root_t = col["t"].to_numpy(zero_copy_only=False).astype(np.int64)
-            share = totals.root(np.add.reduceat(t, offsets[:-1]), root_t)[row]
-            fresh, weight = seat(c, share, totals.tables[k] - t, rng)
-            won = (number == 0) | (np.log(rng.random(len(c))) < weight - lw)
-            t, lw = np.where(won, fresh, t), np.where(won, weight, lw)
-            # The parent's customers change with the tables below, so there the word is always seated anew.
-            root_t = seat(np.add.reduceat(t, offsets[:-1]), np.full(b.num_rows, 1 / (totals.words + 1)), totals.root_tables - root_t, rng)[0]
-            yield pa.RecordBatch.from_arrays(
-                [col["w"], col["c"], col["ks"], col["cs"], _list(t, offsets), _list(lw, offsets), pa.array(root_t), col["probs"], col["kept"]], names=b.schema.names
-            )
-
-    return state.mapInArrow(run, STATE)
-
+            if b.num_rows:
+                n, r = (b.column(x).to_numpy(zero_copy_only=False) for x in (1, 2))
+                r = np.minimum(r, n)
+                new = seater.draw(n, r, root.tables - r, np.full(len(n), 1 / (root.words + 1)), _generator(b, sweep))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(new), b.column(3)], names=["w", "n", "r", "ps"])
 
-def _totals(state: DataFrame, words: int) -> Totals:
-    customers, tables = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in state.select(F.inline(F.arrays_zip("ks", "cs", "ts"))).groupBy("ks").agg(F.sum("cs").alias("c"), F.sum("ts").alias("t")).collect():
-        customers[r.ks], tables[r.ks] = r.c, r.t
-    return Totals(customers, tables, state.agg(F.sum("t")).first()[0] or 0, words)
+    return words.select("w", "n", "r", "ps").mapInArrow(run, "w long, n long, r long, ps array<double>")
 
 
-def _kept(state: DataFrame, totals: Totals) -> DataFrame:
-    """The state with the parent's probabilities and the tables of this sweep noted."""
-    base = (STRENGTH + DISCOUNT * totals.root_tables) / (totals.words + 1)
-    customers = F.aggregate("ts", F.lit(0).cast("long"), lambda a, x: a + x)
-    prob = (F.greatest(F.lit(0.0), customers - DISCOUNT * F.col("t")) + F.lit(float(base))) / F.lit(float(STRENGTH + totals.tables.sum()))
-    return state.withColumns({"probs": F.concat("probs", F.array(prob)), "kept": F.concat("kept", F.array("ts"))})
+def _changed(side: DataFrame, changes: DataFrame, key: str, column: str) -> DataFrame:
+    """`side` with `column` moved by the sums of `changes`."""
+    moved = changes.groupBy(key).agg(F.sum("change").alias("change"))
+    return side.join(moved, key, "left").withColumn(column, F.col(column) + F.coalesce("change", F.lit(0))).drop("change")
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """words: the written state; totals: those of each sweep kept."""
+    """All are written tables: words (w, count, ps), contexts (u, size, backs), pairs (u, w, c, own).
 
+    ps: the parent's probability of the word by sweep kept; backs: what the context gives to the parent; own:
+    the pair's customers less the discount of its tables, averaged. places: the frequent words' numbers.
+    """
+
+    places: dict[bytes, int]
     words: DataFrame
-    totals: tuple[Totals, ...]
+    contexts: DataFrame
+    pairs: DataFrame
+    unseen: tuple[float, ...]
     train_tokens: int
     vocabulary: int
 
-    def backing(self) -> np.ndarray:
-        """By sweep and context: the part given to the parent, as a factor of its probability."""
-        return np.array([x.backing() / (STRENGTH + x.customers) for x in self.totals])
-
-    def unseen(self) -> np.ndarray:
-        """Probability of a word that training never met, by context."""
-        return (self.backing() * np.array([x.unseen() for x in self.totals])[:, None]).mean(axis=0)
+    def base(self, count: np.ndarray) -> np.ndarray:
+        return np.log10((count + 0.1) / (self.train_tokens + 0.1 * (self.vocabulary + 1)))
 
-    def probability(self, k: Column) -> Column:
-        """Averaged probability of the word of a row of `words` in context k; null words are unseen ones."""
-        at = F.array_position("ks", k).cast("int")
-        count = F.when(at > 0, F.get("cs", at - 1)).otherwise(0)
-        room = F.get(F.array(*map(F.lit, (STRENGTH + self.totals[0].customers).tolist())), k)
-        total = F.lit(0.0)
-        for i, row in enumerate(self.backing()):
-            tables = F.when(at > 0, F.get(F.get("kept", F.lit(i)), at - 1)).otherwise(0)
-            total += F.greatest(F.lit(0.0), count - DISCOUNT * tables) / room + F.get(F.array(*map(F.lit, row.tolist())), k) * F.get("probs", F.lit(i))
-        return F.when(F.col("ks").isNull(), F.get(F.array(*map(F.lit, self.unseen().tolist())), k)).otherwise(total / len(self.totals))
 
-    def base(self, count: Column) -> Column:
-        return F.log10((F.coalesce(count, F.lit(0)) + 0.1) / F.lit(self.train_tokens + 0.1 * (self.vocabulary + 1)))
-
-
-def train(texts: DataFrame, burn_in: int = BURN_IN, kept: int = KEPT) -> LanguageModel:
+def train(texts: DataFrame, burn_in: int = BURN_IN, kept: int = KEPT, frequent: int = FREQUENT) -> LanguageModel:
     """Learns from all of `texts` (text). An empty table gives a model that has met no word."""
     spark = texts.sparkSession
     small_batches(spark)
-    counted = texts.select("text").mapInArrow(_count, "w string, k int, c long").repartition("w").groupBy("w", "k").agg(F.sum("c").alias("c"))
-    packed = counted.groupBy("w").agg(F.sum("c").alias("c"), F.array_sort(F.collect_list(F.struct("k", "c"))).alias("x"))
-    ones = F.transform("x", lambda x: F.lit(1).cast("long"))
-    state, path = written(
-        packed.select(
-            "w", "c", F.col("x.k").alias("ks"), F.col("x.c").alias("cs"), ones.alias("ts"), F.transform("x", lambda x: F.lit(0.0)).alias("lw"),
-            F.lit(1).cast("long").alias("t"), F.array().cast("array<double>").alias("probs"), F.array().cast("array<array<long>>").alias("kept"),
-        ),
-        "lm-state",
+    vocabulary = cut(texts.select("text").mapInArrow(_count, "w string, c long").groupBy("w").agg(F.sum("c").alias("c")), "lm-vocabulary")
+    n_words, n_tokens = vocabulary.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
+    top = vocabulary.where(F.col("c") >= ladder(vocabulary, "c", frequent)).orderBy(F.desc("c"), "w").select("w").toArrow()
+    places = {w.encode(): i for i, w in enumerate(top.column("w").to_pylist(), 1)}
+    shared = spark.sparkContext.broadcast(places)
+    release(spark)
+    counted, counted_path = written(_pairs(texts, shared).groupBy("u", "w").agg(F.sum("c").alias("c")), "lm-pairs")
+    release(spark)
+    contexts, contexts_path = written(counted.groupBy("u").agg(F.sum("c").alias("size"), F.count("*").alias("tables")).withColumn("backs", F.array().cast("array<double>")), "lm-contexts")
+    words, words_path = written(
+        counted.groupBy("w").agg(F.sum("c").alias("count"), F.count("*").alias("n")).selectExpr("w", "n", "1L AS r", "cast(array() AS array<double>) AS ps", "count"), "lm-words"
     )
-    words, tokens_ = state.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    totals, sampled = _totals(state, words), []
-    for number in range(burn_in + kept):
-        after = _sweep(state, totals, number)
+    counts = cut(words.select("w", "count"), "lm-counts")
+    pairs, pairs_path = written(counted.where("c > 1").selectExpr("u", "w", "c", "1L AS t", "cast(array() AS array<int>) AS ts", "0L AS change"), "lm-state")
+    roots = []
+    for sweep in range(burn_in + kept):
+        root = Root(*words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("r"), F.lit(0))).first(), n_words)
         with batches_of(spark, SWEEP_ROWS):
-            next_state, next_path = written(after, "lm-state")
-        forget(spark, path)
-        state, path, totals = next_state, next_path, _totals(next_state, words)
-        if number >= burn_in:
-            sampled.append(totals)
-            state = _kept(state, totals)
-    if sampled:
-        state, next_path = written(state.drop("lw", "ts", "t"), "lm-words")
-        forget(spark, path)
-    return LanguageModel(state, tuple(sampled), tokens_, words)
-
-
-def _frequent(model: LanguageModel, most: int) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, float]:
-    """At most `most` of the most frequent words: their places, log10 base and model probabilities, and the least count."""
-    ladder = sorted({int(2 ** (i / 2)) for i in range(80)})
-    sizes = model.words.agg(*[F.count_if(F.col("c") >= x) for x in ladder]).first()
-    least = next((x for x, n in zip(ladder, sizes, strict=True) if n <= most), ladder[-1] * 2)
-    probs = F.array(*[F.log10(model.probability(F.lit(k))).cast("float") for k in range(CLASSES)])
-    got = model.words.where(F.col("c") >= least).select("w", model.base(F.col("c")).alias("b"), probs.alias("p")).toArrow()
-    places = {w.encode(): i for i, w in enumerate(got.column("w").to_pylist())}
-    logs = got.column("p").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, CLASSES) if len(places) else np.zeros((0, CLASSES), np.float32)
-    return places, got.column("b").to_numpy(), logs, least
-
-
-def score(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", text_column: str = "text", frequent: int = FREQUENT) -> DataFrame:
+            next_pairs, next_pairs_path = written(_reseat(pairs, contexts, words, root, sweep), "lm-state")
+            changes = next_pairs.where("change <> 0")
+            next_contexts, next_contexts_path = written(_changed(contexts, changes, "u", "tables"), "lm-contexts")
+            next_words, next_words_path = written(_reseat_root(_changed(words, changes, "w", "n"), root, sweep), "lm-words")
+        for path in (pairs_path, contexts_path, words_path):
+            forget(spark, path)
+        pairs, pairs_path, contexts, contexts_path, words, words_path = next_pairs, next_pairs_path, next_contexts, next_contexts_path, next_words, next_words_path
+        release(spark)
+        if sweep >= burn_in:
+            root = Root(*words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("r"), F.lit(0))).first(), n_words)
+            roots.append(root)
+            pairs = pairs.withColumn("ts", F.concat("ts", F.array(F.col("t").cast("int"))))
+            contexts = contexts.withColumn("backs", F.concat("backs", F.array(F.expr(f"{STRENGTH}D + {DISCOUNT}D * tables"))))
+            words = words.withColumn("ps", F.concat("ps", F.array(F.expr(root.share_sql()))))
+    own = F.expr(f"c - {DISCOUNT}D * aggregate(ts, 0D, (a, x) -> a + x) / {max(1, kept)}D")
+    once = counted.where("c = 1").select("u", "w", "c", F.lit(1 - DISCOUNT).alias("own"))
+    return LanguageModel(
+        places, cut(words.join(counts, "w").select("w", "count", "ps"), "lm-model-words"), cut(contexts.select("u", "size", "backs"), "lm-model-contexts"),
+        pairs.select("u", "w", "c", own.alias("own")).unionAll(once), tuple(r.unseen() for r in roots), n_tokens, n_words,
+    )
+
+
+def _averaged(own: np.ndarray, size: np.ndarray, backs: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Averaged probability of a word in its context: backs and shares by sweep in rows."""
+    return (own + (backs * shares).mean(axis=0)) / (STRENGTH + size)
+
+
+@dataclass(frozen=True)
+class Frequent:
+    """What all workers hold: by word number the base score, parent's probabilities, and size and backs as a context; of frequent pairs the own part."""
+
+    places: dict[bytes, int]
+    base: np.ndarray
+    shares: np.ndarray
+    size: np.ndarray
+    backs: np.ndarray
+    pairs: np.ndarray
+    own: np.ndarray
+
+    @classmethod
+    def of(cls, model: LanguageModel, most_pairs: int) -> Frequent:
+        n, sweeps = len(model.places) + 1, len(model.unseen)
+        words, contexts = (df.where(F.col(key) >= 0).toArrow() for df, key in ((model.words, "w"), (model.contexts, "u")))
+        count, shares, size, backs = np.zeros(n), np.zeros((sweeps, n)), np.zeros(n), np.full((sweeps, n), STRENGTH)
+        for got, key, one, many in ((words, "w", (count, "count"), (shares, "ps")), (contexts, "u", (size, "size"), (backs, "backs"))):
+            at = got.column(key).to_numpy()
+            one[0][at] = got.column(one[1]).to_numpy()
+            if len(at):
+                many[0][:, at] = got.column(many[1]).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, sweeps).T
+        both = model.pairs.where("u >= 0 AND w >= 0")
+        found = both.where(F.col("c") >= ladder(both, "c", most_pairs)).select((F.col("u") * n + F.col("w")).alias("k"), F.col("own").cast("double")).orderBy("k").toArrow()
+        return cls(model.places, model.base(count), shares, size, backs, found.column("k").to_numpy(), found.column("own").to_numpy())
+
+
+def score(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", text_column: str = "text", frequent_pairs: int = FREQUENT_PAIRS) -> DataFrame:
     """One row per row of `docs`: _f, _r (row key), doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
-    A null or empty text has one token, its end. Scores are log10 probabilities. Repeated rows are scored
-    alike; other columns are not read; an empty table gives no rows.
+    A null or empty text has one token, its end. Scores are log10 probabilities; a context that training
+    never met leaves all to the parent. Repeated rows are scored alike; other columns are not read; an empty
+    table gives no rows.
     """
     spark = docs.sparkSession
-    places, base_logs, logs, least = _frequent(model, frequent)
-    shared = spark.sparkContext.broadcast((places, base_logs, logs))
+    release(spark)
+    shared = spark.sparkContext.broadcast(Frequent.of(model, frequent_pairs))
+    names = ["_f", "_r", "doc_id", "n_tokens", "n_known", "base", "logs", "fu", "fw", "ru", "rw"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, base_of, log_of = shared.value
+        drop_memos()
+        held: Frequent = shared.value
+        coder, n = Coder(held.places), len(held.places) + 1
         for b in batches:
-            rows = []
-            for text in texts_of(b.column(3)):
-                words, k = tokens(text)
-                index = np.fromiter(map(where.get, words, repeat(-1)), np.int64, len(words))
-                known = index >= 0
-                i = index[known]
-                others = np.flatnonzero(~known).tolist()
-                rows.append((
-                    len(words), len(i), float(base_of[i].sum()), float(log_of[i, k[known]].sum(dtype=float)),
-                    [words[j].decode("utf-8", "replace") for j in others], k[others].tolist(),
-                ))
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int32()))
+            if not b.num_rows:
+                continue
+            w, u, lengths = coder(texts_of(b.column(3)))
+            text = np.repeat(np.arange(len(lengths)), lengths)
+            known = w > 0
+            both = known & (u >= 0)
+            key = np.where(both, u * n + w, -1)
+            at = np.minimum(np.searchsorted(held.pairs, key), max(0, len(held.pairs) - 1))
+            met = both & (held.pairs[at] == key) if len(held.pairs) else np.zeros(len(w), bool)
+            logs = np.zeros(len(w))
+            i, j = u[met], w[met]
+            logs[met] = np.log10(_averaged(held.own[at[met]], held.size[i], held.backs[:, i], held.shares[:, j]))
+            base = np.where(known, held.base[np.where(known, w, 0)], 0.0)
+            sums = [np.bincount(text, x, len(lengths)) for x in (known, base, logs)]
+            lists = []
+            for left, kind in ((both & ~met, np.int32), (~both, np.int64)):
+                offsets = np.concatenate(([0], np.cumsum(np.bincount(text[left], minlength=len(lengths))))).astype(np.int32)
+                lists += [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x[left].astype(kind))) for x in (u, w)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), *[pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 6, types, strict=True)]],
-                names=["_f", "_r", "doc_id", "n_tokens", "n_met", "base", "logs", "rw", "rk"],
+                [*[b.column(x) for x in range(3)], pa.array(lengths, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), *lists], names=names
             )
 
-    found = keyed(docs, F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(
-        run, "_f long, _r long, doc_id long, n_tokens long, n_met long, base double, logs double, rw array<string>, rk array<int>"
+    base = keyed(docs, F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    found = base.mapInArrow(
+        run, "_f long, _r long, doc_id long, n_tokens long, n_known long, base double, logs double, fu array<int>, fw array<int>, ru array<long>, rw array<long>"
     )
     held = cut(found.withColumn("n", F.monotonically_increasing_id()), "lm-texts")
-    rare = held.select("n", F.inline(F.arrays_zip("rw", "rk"))).toDF("n", "w", "k")
-    looked_up = rare.join(model.words.where(F.col("c") < least), "w", "left").select(
-        "n", F.col("c").isNotNull().cast("long").alias("met"), model.base(F.col("c")).alias("b"), F.log10(model.probability(F.col("k"))).alias("p")
-    )
-    sums = looked_up.groupBy("n").agg(F.sum("met").alias("met"), F.sum("b").alias("b"), F.sum("p").alias("p"))
+    tokens_ = [
+        held.select("n", F.inline(F.arrays_zip(f"{x}u", f"{x}w"))).toDF("n", "u", "w").select("n", F.col("u").cast("long").alias("u"), F.col("w").cast("long").alias("w")) for x in "fr"
+    ]
+    # Pairs beyond the frequent ones are not hot. Both sides of the join are cut down to the same part by _looked_up.
+    with_pairs = [x.join(model.pairs.select("u", "w", "own"), ["u", "w"], "left") for x in tokens_]
+    looked_up = _looked_up(with_pairs[0], model.contexts, model.words, "left", "ff").unionByName(_looked_up(with_pairs[1], model.contexts, model.words, "left", "rf fr rr"))
+    sweeps = max(1, len(model.unseen))
+    unseen = "array(" + ", ".join(f"{x!r}D" for x in model.unseen or (1.0,)) + ")"
+    back = f"aggregate(zip_with(coalesce(backs, array_repeat({STRENGTH}D, {sweeps})), coalesce(ps, {unseen}), (x, y) -> x * y), 0D, (a, x) -> a + x) / {sweeps}D"
+    sums = looked_up.select(
+        "n", F.expr("int(w < 0 AND count IS NOT NULL)").alias("known"),
+        F.expr(f"if(w < 0, log10((coalesce(count, 0L) + 0.1D) / {model.train_tokens + 0.1 * (model.vocabulary + 1)!r}D), 0D)").alias("b"),
+        F.expr(f"log10((coalesce(own, 0D) + {back}) / ({STRENGTH}D + coalesce(size, 0L)))").alias("p"),
+    ).groupBy("n").agg(F.sum("known").alias("known"), F.sum("b").alias("b"), F.sum("p").alias("p"))
     zero = F.lit(0.0)
-    return held.drop("rw", "rk").join(sums, "n", "left").select(
-        "_f", "_r", "doc_id", "n_tokens", (F.col("n_met") + F.coalesce("met", F.lit(0))).alias("n_known"), F.lit(model.train_tokens).cast("long").alias("train_tokens"),
+    return held.drop("fu", "fw", "ru", "rw").join(sums, "n", "left").select(
+        "_f", "_r", "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(model.train_tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("b", zero)).alias("base_score"), (F.col("logs") + F.coalesce("p", zero)).alias("score"),
     )
 

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import unicodedata
 from collections import Counter
 from zlib import crc32
@@ -7,7 +8,7 @@ from zlib import crc32
 import numpy as np
 import pytest
 
-from quillstack.llm import langid, lm, quality
+from quillstack.llm import langid, lm, quality, seating
 from quillstack.llm.common import Memo
 
 SF = "/root/testdata/sf0.01"
@@ -187,68 +188,189 @@ def corpus():
     return [*out, (None, "w1, new é"), (500, None), (501, ""), (501, ""), (502, "never met"), (503, "w1. " * 3000)]
 
 
-@pytest.mark.parametrize("frequent", [10_000, 20])
-def test_lm_against_its_own_seating(spark, frequent):
+def plain_tokens(text):
+    return [w.lower() if w.isascii() else "".join(c.lower() if c.isascii() else c for c in w) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")] + ["\n"]
+
+
+def plain_pairs(text):
+    words = plain_tokens(text)
+    return list(zip([None, *words[:-1]], words))
+
+
+@pytest.mark.parametrize(("frequent", "frequent_pairs"), [(10_000, 100_000), (20, 30), (0, 0)])
+def test_lm_against_its_own_seating(spark, frequent, frequent_pairs):
+    """Counts against plain ones, and scores against the formula over the model's tables, whatever goes to the workers."""
     data = corpus()
     learn = [(i, t) for i, t in data if i is not None and i % 3]
-    model = lm.train(frame(spark, learn))
-    state = {r.w: r for r in model.words.collect()}
+    model = lm.train(frame(spark, learn), frequent=frequent)
+    assert len(model.places) <= frequent
+    numbers = lambda w: lm.START if w is None else model.places.get(w.encode()) or lm.number(w.encode())
     counts, cells = Counter(), Counter()
     for _, t in learn:
-        found, k = lm.tokens(t)
-        counts.update(w.decode() for w in found)
-        cells.update(zip((w.decode() for w in found), k.tolist()))
-    assert {w: r.c for w, r in state.items()} == counts
-    assert {(w, k): c for w, r in state.items() for k, c in zip(r.ks, r.cs)} == cells
+        counts.update(plain_tokens(t))
+        cells.update(plain_pairs(t))
+    words = {r.w: r for r in model.words.collect()}
+    contexts = {r.u: r for r in model.contexts.collect()}
+    pairs = {(r.u, r.w): r for r in model.pairs.collect()}
+    assert {w: r["count"] for w, r in words.items()} == {numbers(w): c for w, c in counts.items()}
+    assert {k: r.c for k, r in pairs.items()} == {(numbers(u), numbers(w)): c for (u, w), c in cells.items()}
+    sizes = Counter()
+    for (u, _), c in cells.items():
+        sizes[numbers(u)] += c
+    assert {u: r["size"] for u, r in contexts.items()} == dict(sizes)
+    assert all(r.own == 0.25 if r.c == 1 else 0.25 <= r.own <= r.c - 0.75 for r in pairs.values())
     n, v = sum(counts.values()), len(counts)
 
-    def probability(w, k):
-        total = 0.0
-        for s, x in enumerate(model.totals):
-            root, own = x.unseen(), 0.0
-            if w in state:
-                r = state[w]
-                root = r.probs[s]
-                if k in r.ks:
-                    at = r.ks.index(k)
-                    assert 1 <= r.kept[s][at] <= r.cs[at]
-                    own = r.cs[at] - lm.DISCOUNT * r.kept[s][at]
-            total += (own + (lm.STRENGTH + lm.DISCOUNT * x.tables[k]) * root) / (lm.STRENGTH + x.customers[k])
-        return total / len(model.totals)
-
-    for k in range(lm.CLASSES):
-        assert sum(probability(w, k) for w in state) + probability(None, k) == pytest.approx(1)
-    got = lm.score(frame(spark, data), model, frequent=frequent).collect()
+    def probability(u, w):
+        u, w = numbers(u), numbers(w)
+        own = pairs[u, w].own if (u, w) in pairs else 0.0
+        shares = words[w].ps if w in words else model.unseen
+        size, backs = (contexts[u]["size"], contexts[u].backs) if u in contexts else (0, [lm.STRENGTH] * len(shares))
+        return (own + sum(x * y for x, y in zip(backs, shares)) / len(shares)) / (lm.STRENGTH + size)
+
+    for u in (None, "w1,", "w1. w1.".split()[0], "never"):
+        assert sum(probability(u, w) for w in counts) + probability(u, "unheard") == pytest.approx(1)
+    got = lm.score(frame(spark, data), model, frequent_pairs=frequent_pairs).collect()
     assert len(got) == len(data)
     want = []
     for i, t in data:
-        found, k = lm.tokens(t)
-        found = [w.decode() for w in found]
+        found = plain_tokens(t)
         base = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in found)
-        want.append((str(i), len(found), sum(w in counts for w in found), n, base, sum(math.log10(probability(w, c)) for w, c in zip(found, k.tolist()))))
+        want.append((str(i), len(found), sum(w in counts for w in found), n, base, sum(math.log10(probability(u, w)) for u, w in plain_pairs(t))))
     have = sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got)
-    for a, b in zip(have, sorted(want), strict=True):
-        assert a[:4] == b[:4] and a[4] == pytest.approx(b[4], rel=1e-6) and a[5] == pytest.approx(b[5], rel=1e-5)
-    held = [r for r in got if r.doc_id is not None and r.doc_id < 150 and r.doc_id % 3 == 0]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
-
-
-def test_seating_follows_the_restaurant():
-    rng = np.random.default_rng(1)
-    c = np.full(4000, 12)
-    got, _ = lm.seat(c, np.full(4000, 0.3), np.full(4000, 7), rng)
-    plain = []
-    for _ in range(4000):
-        t, n = 1, 1
-        while n < 12:
-            fresh = (lm.STRENGTH + lm.DISCOUNT * (7 + t)) * 0.3
-            t += rng.random() < fresh / (fresh + n - lm.DISCOUNT * t)
-            n += 1
-        plain.append(t)
-    assert got.mean() == pytest.approx(np.mean(plain), rel=0.03)
-    assert (lm.seat(np.ones(5, int), np.full(5, 0.1), np.zeros(5), rng)[0] == 1).all()
-    big, _ = lm.seat(np.array([5_000_000]), np.array([0.01]), np.array([1000]), rng)
-    assert 1 < big[0] < 5_000_000
+    for x, y in zip(have, sorted(want), strict=True):
+        assert x[:4] == y[:4] and x[4:] == pytest.approx(y[4:], rel=1e-9)
+
+
+class PlainRestaurants:
+    """The same model on one machine, customer by customer, with table sizes: [u][w] is a list of them; the parent is [...]."""
+
+    def __init__(self, texts, seed):
+        self.rng, self.tables, self.customers, self.served = random.Random(seed), {}, Counter(), Counter()
+        self.all = [pair for t in texts for pair in plain_pairs(t)]
+        self.words = len({w for _, w in self.all})
+        for u, w in self.all:
+            self.add(u, w)
+
+    def share(self, u, w):
+        if u == "":
+            return 1 / (self.words + 1)
+        return self.probability("", w)
+
+    def probability(self, u, w):
+        at = self.tables.get((u, w), [])
+        return (sum(at) - 0.75 * len(at) + (1 + 0.75 * self.served[u]) * self.share(u, w)) / (1 + self.customers[u])
+
+    def add(self, u, w):
+        at = self.tables.setdefault((u, w), [])
+        weights = [x - 0.75 for x in at] + [(1 + 0.75 * self.served[u]) * self.share(u, w)]
+        k = self.rng.choices(range(len(weights)), weights)[0]
+        self.customers[u] += 1
+        if k < len(at):
+            at[k] += 1
+        else:
+            at.append(1)
+            self.served[u] += 1
+            if u != "":
+                self.add("", w)
+
+    def remove(self, u, w):
+        at = self.tables[u, w]
+        k = self.rng.choices(range(len(at)), at)[0]
+        self.customers[u] -= 1
+        at[k] -= 1
+        if not at[k]:
+            at.pop(k)
+            self.served[u] -= 1
+            if u != "":
+                self.remove("", w)
+
+    def sweep(self):
+        for u, w in self.all:
+            self.remove(u, w)
+            self.add(u, w)
+
+
+def test_lm_agrees_with_a_plain_sampler(spark):
+    """Held-out log10 probability a token against customer-by-customer Gibbs on one machine; both beat the unigram base."""
+    data = [(i, t) for i, t in corpus() if i is not None and i < 150]
+    learn, held = [t for i, t in data if i % 4], [(i, t) for i, t in data if i % 4 == 0]
+    plain, logs = PlainRestaurants(learn, 5), []
+    pairs = [p for _, t in held for p in plain_pairs(t)]
+    for sweep in range(24):
+        plain.sweep()
+        if sweep >= 8:
+            logs.append([plain.probability(*p) for p in pairs])
+    want = float(np.log10(np.mean(logs, axis=0)).mean())
+    model = lm.train(frame(spark, list(enumerate(learn))), burn_in=4, kept=8)
+    got = lm.score(frame(spark, held), model).collect()
+    n = sum(r.n_tokens for r in got)
+    assert n == len(pairs) and sum(r.score for r in got) / n == pytest.approx(want, abs=0.01)
+    assert want > sum(r.base_score for r in got) / n + 0.05
+    served = sum(r.own for r in model.pairs.collect())
+    assert served == pytest.approx(sum(sum(t) - 0.75 * len(t) for (u, _), t in plain.tables.items() if u != ""), rel=0.03)
+
+
+def test_lm_tells_repeated_texts(spark):
+    """Texts that training met score above texts of the same words in another order, though their base scores are equal."""
+    rng = random.Random(8)
+    data = corpus()[:150]
+    mixed = []
+    for i, t in data:
+        words = t.split()
+        rng.shuffle(words)
+        mixed.append((1000 + i, " ".join(words)))
+    got = {r.doc_id: r for r in lm.score(frame(spark, [*data, *mixed]), lm.train(frame(spark, data))).collect()}
+    long = [i for i, t in data if len(t.split()) > 10]
+    assert all(got[i].base_score == pytest.approx(got[1000 + i].base_score) for i in long)
+    assert sum(got[i].score > got[1000 + i].score for i in long) / len(long) > 0.97
+
+
+def test_lm_base_columns_equal_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    ids = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", (lm.bucket("doc_id", 10) == 0).alias("held_out")).toPandas()
+    con.register("parts", ids)
+    want = con.execute(r"""
+        WITH t AS (SELECT doc_id, held_out, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), chr(10)) AS s FROM documents JOIN parts USING (doc_id)),
+        e AS (SELECT doc_id, held_out, unnest(s) AS w FROM t), k AS (SELECT w, count(*) AS c FROM e WHERE NOT held_out GROUP BY w), z AS (SELECT sum(c) AS n, count(*) AS v FROM k)
+        SELECT doc_id, any_value(held_out), count(*), count(c), any_value(n), sum(log10((coalesce(c, 0) + 0.1) / (n + 0.1 * (v + 1)))) FROM e LEFT JOIN k USING (w), z GROUP BY doc_id ORDER BY doc_id""").fetchall()
+    got = lm.query(spark, SF).orderBy("doc_id").collect()
+    assert len(got) == len(want)
+    for r, x in zip(got, want):
+        assert (r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) == x[:5] and r.base_score == pytest.approx(x[5], rel=1e-9)
+
+
+def test_seatings_are_counted():
+    d = 0.75
+    logs = seating.stirling_logs(d, 1200)
+    assert np.exp(logs[4, 1:5]) == pytest.approx([(1 - d) * (2 - d) * (3 - d), sum_two(d), 6 * (1 - d), 1.0])
+    for c in (257, 600, 1200):
+        t = np.arange(1, c + 1)
+        assert np.abs(seating.stirling_large(np.full(c, c), t, d) - logs[c, 1 : c + 1]).max() < 0.05
+    x = np.array([0.01, 0.5, 3.3, 40.0])
+    assert seating.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], abs=1e-8)
+
+
+def sum_two(d):
+    """Seatings of four customers at two tables: one and three, or two and two."""
+    return 4 * (1 - d) * (2 - d) + 3 * (1 - d) ** 2
+
+
+@pytest.mark.parametrize(("c", "others", "share"), [(2, 3, 0.2), (12, 7, 0.3), (40, 500, 0.05), (300, 40, 0.1), (900, 3000, 0.02)])
+def test_tables_follow_their_distribution(c, others, share):
+    seater, rng, n = seating.Seater(1.0, 0.75), np.random.default_rng(1), 3000
+    logs = seating.stirling_logs(0.75, c)[c, 1:] + np.cumsum(np.log(1 + 0.75 * (others + np.arange(c)))) + np.arange(1, c + 1) * math.log(share)
+    p = np.exp(logs - logs.max())
+    p /= p.sum()
+    mean, sd = float(p @ np.arange(1, c + 1)), float(np.sqrt(p @ np.arange(1, c + 1) ** 2 - (p @ np.arange(1, c + 1)) ** 2))
+    t = np.ones(n, np.int64)
+    for _ in range(1 if c <= seating.EXACT else 40):
+        t = seater.draw(np.full(n, c), t, np.full(n, others), np.full(n, share), rng)
+    assert t.mean() == pytest.approx(mean, abs=5 * sd / n**0.5 + 0.02 * sd) and t.std() == pytest.approx(sd, rel=0.1, abs=0.02)
+    assert seater.draw(np.array([], np.int64), np.array([], np.int64), np.array([]), np.array([]), rng).tolist() == []
 
 
 def test_lm_of_nothing(spark):
