@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 from quillstack.schema import PAYWALLED
 
+# Addresses of repositories and of their files.
 REPO = r"https?://(?:www\.)?github\.com/([^/]+)/([^/?#]+)/?(?:[?#].*)?$"
 BLOB = r"https?://(?:www\.)?github\.com/([^/]+)/([^/]+)/blob/([^/]+)/(.+)"
 
+#: The authority after a scheme; schemes of the web take any slashes before it.
+WEB = r"^(?i:https?|wss?|ftp):[/\\]*([^/\\?#]*)"
+OTHER = r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)"
+
 
 def article_id(url: Column) -> Column:
     return F.substring(F.sha2(url, 256), 1, 12)
@@ -28,13 +33,22 @@ def filename(url: Column, title: Column) -> Column:
 
 
 def host(url: Column) -> Column:
-    """Lower-case host without one leading www.; null for what is not a URL."""
-    return F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")
+    """Lower-case host without one leading www.; null for what is not a URL.
+
+    The authority is what stands before the path, whatever comes after; a host with a character that no
+    host has, or a port that is none, makes it no URL. International names stay as they are written.
+    """
+    bare = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
+    place = F.regexp_replace(F.when(bare.rlike(WEB), F.regexp_extract(bare, WEB, 1)).otherwise(F.regexp_extract(bare, OTHER, 1)), r"^.*@", "")
+    name = F.lower(F.regexp_extract(place, r"^(\[[0-9A-Fa-f:.]+\]|[^\x00-\x20:<>\[\]^|%]+)(?::([0-9]*))?$", 1))
+    port = F.coalesce(F.regexp_extract(place, r":([0-9]+)$", 1).try_cast("int"), F.lit(0))
+    return F.when((name != "") & (port < 65536), F.regexp_replace(name, r"^www\.", ""))
 
 
 def netloc(url: Column) -> Column:
     """User, host and port as they are written; empty without them."""
-    return F.coalesce(F.try_parse_url(url, F.lit("AUTHORITY")), F.lit(""))
+    bare = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), r"[\t\n\r]", "")
+    return F.coalesce(F.regexp_extract(bare, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)", 1), F.lit(""))
 
 
 def paywalled_domain(url: Column) -> Column:
@@ -92,4 +106,5 @@ def snapshot(final_url: Column, status: Column, availability: Column) -> Column:
 
 
 def with_provenance(text: Column, archive: Column, url: Column, snapshot_url: Column) -> Column:
+    # Fixed value: the note below archived texts.
     return F.concat(text, F.lit("\n\n---\nNote: This article was retrieved from "), archive, F.lit("\nOriginal URL: "), url, F.lit("\nArchive URL: "), snapshot_url, F.lit("\n"))

@@ -51,9 +51,11 @@ def candidate_fold(candidates: Column) -> Column:
 
 
 def resolve_attempts(attempts: Column) -> Column:
-    """The outcome of an array of struct<ok boolean, text string, error string> in order: the first success, else the last error."""
+    """The outcome of an array of struct<ok boolean, text string, error string> in order: the first success, else the last attempt's error.
+
+    A last attempt that found nothing has no error, whatever came before it.
+    """
     first = F.get(F.filter(attempts, lambda a: a["ok"]), F.lit(0))
-    errors = F.filter(attempts, lambda a: a["error"].isNotNull())
     return F.when(first.isNotNull(), F.struct(F.lit(True).alias("ok"), first["text"].alias("text"), F.lit(None).cast("string").alias("error"))).otherwise(
-        F.struct(F.lit(False).alias("ok"), F.lit(None).cast("string").alias("text"), F.get(errors, F.size(errors) - 1)["error"].alias("error"))
+        F.struct(F.lit(False).alias("ok"), F.lit(None).cast("string").alias("text"), F.get(attempts, F.size(attempts) - 1)["error"].alias("error"))
     )

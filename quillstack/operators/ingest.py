@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstack.functions.urls import filename, is_paywalled, paywalled_domain
 from quillstack.schema import ARCHIVED, FAILED, PENDING, SUCCESS
+from quillstack.sources.bookmarks import scratch
 
 
 def not_done(rows: DataFrame, articles: DataFrame, retry_failed: bool) -> DataFrame:
@@ -30,7 +32,6 @@ def upsert_pending(articles: DataFrame, rows: DataFrame) -> DataFrame:
     new = last_of_each(rows).select("url", *[F.col(c).alias(f"new_{c}") for c in given], "first")
     fresh = new.join(articles.select("url"), "url", "left_anti").select("url", "first")
     top = articles.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
-    # Numbered by the rank of what is new: sorted by range, counted by partition.
     ids = numbered(fresh, "first", top)
     kept = [c for c in articles.columns if c not in ("id", "url", "status", *given)]
     return articles.join(new, "url", "full_outer").join(ids, "url", "left").select(
@@ -41,14 +42,17 @@ def upsert_pending(articles: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: str, above: int) -> DataFrame:
-    """`df` (url and `order`) with `number`, counting from above + 1 in that order, without a single-task window."""
-    from pyspark.sql import Window as W
+    """`df` (url and `order`, whose values differ) with `number`, counting from above + 1 in that order, without a single-task window.
 
-    ranged = df.repartitionByRange(order).withColumn("part", F.spark_partition_id())
-    placed = ranged.withColumn("at", F.row_number().over(W.partitionBy("part").orderBy(order)))
-    sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
+    The ranges are written once: sizes and places then speak of the same partitions.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, "numbered")
+    df.select("url", order).repartitionByRange(order).withColumn("part", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.parquet(path)
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))  # a row for each partition
     before = sizes.withColumn("before", F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)))
-    return placed.join(before, "part").select("url", (F.lit(above) + F.col("at") + F.coalesce("before", F.lit(0))).alias("number"))
+    placed = ranged.withColumn("at", F.row_number().over(W.partitionBy("part").orderBy(order)))
+    return placed.join(F.broadcast(before), "part").select("url", (F.lit(above) + F.col("at") + F.coalesce("before", F.lit(0))).alias("number"))
 
 
 def final_title(extracted: Column, given: Column) -> Column:
@@ -105,5 +109,7 @@ def read_article(articles: DataFrame, id: int) -> DataFrame:
 
 
 def with_content(articles: DataFrame) -> DataFrame:
-    """An older table with content_preview gets it as content."""
-    return articles if "content" in articles.columns else articles.withColumn("content", F.col("content_preview"))
+    """An older table with content_preview gets it as content; one with neither gets nulls."""
+    if "content" in articles.columns:
+        return articles
+    return articles.withColumn("content", F.col("content_preview") if "content_preview" in articles.columns else F.lit(None).cast("string"))

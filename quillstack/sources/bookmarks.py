@@ -12,14 +12,14 @@ from quillstack.schema import ARCHIVED, BOOKMARK, FAILED, PENDING, SUCCESS
 
 
 def read_bookmarks(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV export, bound by header names. Empty fields are empty strings; a malformed row fails the load."""
+    """A CSV export, bound by header names, with the file of each row as `_file`. Empty fields are empty strings; a malformed row fails the load."""
     options = {"header": True, "multiLine": True, "escape": '"', "mode": "FAILFAST", "enforceSchema": False}
     header = spark.read.options(**options).csv(path).columns
     missing = [c for c in BOOKMARK.fieldNames() if c not in header]
     if missing:
         raise ValueError(f"{path}: columns {', '.join(missing)} are missing; expected {', '.join(BOOKMARK.fieldNames())}")
     raw = spark.read.options(**options).schema(", ".join(f"`{c}` string" for c in header)).csv(path)
-    return raw.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in BOOKMARK.fieldNames()])
+    return raw.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in BOOKMARK.fieldNames()], F.col("_metadata.file_path").alias("_file"))
 
 
 def write_bookmarks(bookmarks: DataFrame, path: str) -> None:
@@ -36,10 +36,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def to_rows(bookmarks: DataFrame) -> DataFrame:
-    """url, title, folder, timestamp (null if it is no number), tags of an export, numbered in its order."""
+    """url, title, folder, timestamp (null if it is no number), tags of an export, and ord: its order, by file and row.
+
+    Files of several lines a record are read whole by one task, so the numbers of a file's rows rise.
+    """
+    file = F.col("_file") if "_file" in bookmarks.columns else F.lit("")
     stamp = F.when(F.col("Timestamp").rlike("^[+-]?[0-9]+$"), F.expr("try_cast(Timestamp AS bigint)"))
     return bookmarks.select(
-        F.monotonically_increasing_id().alias("ord"), F.col("URL").alias("url"), F.col("Title").alias("title"), F.col("Folder").alias("folder"), stamp.alias("timestamp"), F.col("Tags").alias("tags")
+        F.struct(file.alias("file"), F.monotonically_increasing_id().alias("row")).alias("ord"), F.col("URL").alias("url"), F.col("Title").alias("title"), F.col("Folder").alias("folder"), stamp.alias("timestamp"), F.col("Tags").alias("tags")
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillstack.operators.ingest import not_done, upsert_pending
@@ -15,7 +16,7 @@ def start(spark: SparkSession, folder: str, table_path: str, checkpoint: str, re
 
     A stream has one schema: exports whose header differs from it fail the query.
     """
-    exports = spark.readStream.schema(BOOKMARK).options(header=True, multiLine=True, escape='"', mode="FAILFAST", enforceSchema=False).csv(folder)
+    exports = spark.readStream.schema(BOOKMARK).options(header=True, multiLine=True, escape='"', mode="FAILFAST", enforceSchema=False).csv(folder).select("*", F.col("_metadata.file_path").alias("_file"))
 
     def merge(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession

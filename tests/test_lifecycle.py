@@ -11,6 +11,7 @@ from quillstack.functions import urls
 from quillstack.operators import extract, ingest
 from quillstack.plans.registry import ALL
 from quillstack.schema import ARTICLE
+from quillstack.sources.bookmarks import read_bookmarks, to_rows
 from quillstack.streaming import ingest as stream
 
 HEAD = "URL,Title,Selection,Folder,Timestamp,Tags\n"
@@ -85,7 +86,7 @@ def test_other_sources(spark):
 
 def test_attempts(spark):
     tries = [
-        ([(False, None, None)] * 3, (False, None, None)), ([(False, None, "e"), (False, None, None)], (False, None, "e")),
+        ([(False, None, None)] * 3, (False, None, None)), ([(False, None, "e"), (False, None, None)], (False, None, None)), ([(False, None, None), (False, None, "e")], (False, None, "e")),
         ([(False, None, "e"), (False, None, "f")], (False, None, "f")), ([(False, None, "e"), (True, "t", None)], (True, "t", None)), ([], (False, None, None)),
     ]
     df = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(tries)], "i int, a array<struct<ok:boolean,text:string,error:string>>")
@@ -118,3 +119,50 @@ def test_pages_without_readable_markup_keep_their_rows(spark, monkeypatch):
     assert sorted(tiers) == [1, 2, 3, 4, 5]
     assert all(tuple(tiers[i])[1:] == (None,) * 3 for i in (1, 2, 3, 5)) and tiers[4].body
     assert [r.text for r in extract.extract_pages(pages.where("page_id < 3")).collect()] == [None, None]
+
+
+def test_new_rows_are_numbered_once(spark):
+    """Ids of many new rows, by many partitions: each once, in order of first appearance."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 200)
+    try:
+        for n in (200_000, 1_000_000):
+            one = spark.createDataFrame([(7, "u", "t", "f", 1, "x", "name.txt", "success", "old", "text", 1)], ARTICLE)
+            rows = spark.range(n).select(
+                F.col("id").alias("ord"), F.concat(F.lit("http://a/"), F.pmod(F.col("id") * 7919, F.lit(n))).alias("url"), F.lit("t").alias("title"),
+                F.lit("f").alias("folder"), F.col("id").alias("timestamp"), F.lit("").alias("tags"),
+            )
+            got = ingest.upsert_pending(one, rows.unionByName(rows.where("ord % 5 = 0").withColumn("ord", F.col("ord") + n))).where("url <> 'u'")
+            wrong = (F.col("id") != F.pmod("timestamp", F.lit(n)) + 8) | F.col("id").isNull()
+            r = got.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_if(wrong).alias("wrong")).first()
+            assert (r.n, r.ids, r.wrong) == (n, n, 0)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_last_duplicate_is_the_exports(spark, tmp_path):
+    """Files in the order of their names, though the larger one is read first."""
+    for name, title, more in (("1.csv", "first", 1), ("2.csv", "second", 3000), ("3.csv", "third", 10)):
+        (tmp_path / name).write_text(HEAD + f"http://a,{title},,,1,\n" + "".join(f"http://{name}/{i},x,,,1,\n" for i in range(more)))
+    rows = ingest.last_of_each(to_rows(read_bookmarks(spark, str(tmp_path))))
+    assert rows.where("url = 'http://a'").first().title == "third"
+
+
+def test_ordinary_urls(spark):
+    cases = [
+        ("https://www.nytimes.com/a|b", "nytimes.com", "www.nytimes.com"), ("https://www.wsj.com/a[1]", "wsj.com", "www.wsj.com"), ("https://a.com/x y", "a.com", "a.com"),
+        ("https://my_host.com/p", "my_host.com", "my_host.com"), ("HTTPS://u:p@WWW.FT.com:8080/x@y?z#w", "ft.com", "u:p@WWW.FT.com:8080"), ("https:/a.com\\b", "a.com", ""),
+        ("//x.com/y", None, "x.com"), ("mailto:a@b.c", None, ""), ("https://", None, ""), ("https://a b/c", None, "a b"), ("https://a:b/", None, "a:b"), ("https://a:99999/", None, "a:99999"),
+        ("  https://www.www.a.com?q ", "www.a.com", "www.www.a.com"), ("http://[::1]:80/", "[::1]", "[::1]:80"), ("nothing", None, ""), (None, None, ""),
+    ]
+    df = spark.createDataFrame([(i, u) for i, (u, _, _) in enumerate(cases)], "i int, u string").orderBy("i")
+    got = [(r.u, r.h, r.n) for r in df.select("u", urls.host(F.col("u")).alias("h"), urls.netloc(F.col("u")).alias("n")).collect()]
+    assert got == cases
+    assert df.where(urls.is_paywalled(F.col("u"))).count() == 3
+
+
+def test_older_tables_get_content(spark):
+    old = spark.createDataFrame([(1, "text")], "id long, content_preview string")
+    assert ingest.with_content(old).first().content == "text" and ingest.with_content(old.select("id")).first().content is None
+    new = old.withColumn("content", F.lit("new"))
+    assert ingest.with_content(new).first().content == "new"
