@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import BROADCAST_BYTES, HEAVY, cut, forget, joined, keyed, table, written
+from quillstack.llm.common import BROADCAST_BYTES, cut, forget, joined, keyed, table, written
 
 FIRST_BYTES, GROWTH = 32, 8
 
@@ -42,8 +42,8 @@ def _equal_groups(base: DataFrame) -> DataFrame:
             deeper.groupBy("gid", "digit").agg(F.count("*").alias("n"), F.min(me).alias("next")).where("n > 1"), "radix-groups",
         )
         # Digits are wide by now, so fewer groups count as large.
-        few = max(16, min(HEAVY, BROADCAST_BYTES // width))
-        next_rows = joined(deeper, groups, ["gid", "digit"], "n", text=F.col("digit"), heavy=few).select(
+        few = max(16, min(2_000, BROADCAST_BYTES // width))
+        next_rows = joined(deeper, groups, ["gid", "digit"], "n", text=F.col("digit"), most=few).select(
             "_f", "_r", "_id", F.col("next").alias("gid"), "len", F.expr(f"substring(rest, {width + 1})").alias("rest")
         )
         active, next_path = written(next_rows, "radix-rows")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import cut, drop_memos, if_small, joined, keyed, table, texts_of
+from quillstack.llm.common import cut, drop_memos, joined, keyed, release, setting, table, texts_of
 from quillstack.llm.components import components
 
 SHINGLE_WORDS, MAX_BITS, SEED = 3, 3, 42
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, id_column: str, text_column: str, words: int)
 def _near(fps: DataFrame) -> DataFrame:
     """(a, b) for fingerprints within two bits, as stars around the values one bit away."""
     bits = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)]
-    hubs = fps.repartition("fp").select("fp", F.explode(F.array(*bits)).alias("hub"))
+    hubs = fps.repartition("fp").select("fp", F.explode(F.array(*bits)).alias("hub")).repartition("hub")  # dealt once for both uses
     met = hubs.groupBy("hub").agg(F.count("*").alias("n"), F.min("fp").alias("a")).where("n > 1").select("hub", "a")
     return hubs.join(met, "hub").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
 
@@ -81,14 +81,16 @@ def _far(groups: DataFrame) -> DataFrame:
         F.col("fp").alias("fp2"), F.col("comp").alias("comp2"),
         F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), v.bitwiseXOR(m).alias("key")) for s, v in ((0, low), (1, high)) for m in flips])).alias("x"),
     ).select("x.*", "fp2", "comp2")
-    # The group that has most of a value's fingerprints, and the rows of the other groups: few, as most values have one group.
+    # The group that has most of a value's fingerprints: its members ask for the others' rows only.
     sizes = tables.groupBy("seg", "key", "comp").agg(F.count("*").alias("n"))
     tops = cut(sizes.groupBy("seg", "key").agg(F.max_by("comp", F.struct("n", "comp")).alias("top")), "simhash-tops")
-    rest = cut(tables.join(tops, ["seg", "key"]).where("comp <> top").drop("top"), "simhash-rest")
-    near = (F.col("comp") < F.col("comp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= MAX_BITS)
-    others = asks.join(tops, ["seg", "key"]).where("comp2 <> top").join(tables.withColumnRenamed("comp", "top"), ["seg", "key", "top"]).withColumnRenamed("top", "comp")
-    met = asks.join(if_small(rest), ["seg", "key"]).where(near).select("comp", "comp2").unionAll(others.where(near).select("comp", "comp2"))
-    return met.select(F.col("comp").alias("a"), F.col("comp2").alias("b")).distinct()
+    held = tables.join(tops, ["seg", "key"]).select("seg", "key", "fp", "comp", F.when(F.col("comp") == F.col("top"), 0).otherwise(1).alias("kind"))
+    kinds = F.when(F.col("comp2") == F.col("top"), F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
+    asked = asks.join(tops, ["seg", "key"]).select("seg", "key", "fp2", "comp2", F.explode(kinds).alias("kind"))
+    met = asked.join(held, ["seg", "key", "kind"]).where((F.col("comp") < F.col("comp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= MAX_BITS))
+    links = met.select(F.col("comp").alias("a"), F.col("comp2").alias("b")).distinct()
+    with setting(groups.sparkSession, "spark.sql.requireAllClusterKeysForCoPartition", "false"):  # dealt by value once for both joins
+        return cut(links, "simhash-links")
 
 
 def simhash_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
@@ -103,8 +105,10 @@ def simhash_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     distinct = cut(fps.groupBy("fp").agg(F.count("*").alias("n")), "simhash-distinct")
     near = components(_near(distinct.select("fp")))
     groups = cut(distinct.join(near.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("comp"), "n"), "simhash-near")
+    release(docs.sparkSession)
     far = components(_far(groups.select("fp", "comp"))).select(F.col("node").alias("comp"), "root")
     comps = cut(groups.join(far, "comp", "left").select("fp", F.coalesce("root", "comp").alias("comp"), "n"), "simhash-comps")
+    release(docs.sparkSession)
     rows = cut(joined(fps, comps, ["fp"], "n"), "simhash-rows")
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_f", "_r")
     tops = cut(rows.groupBy("comp").agg(F.count("*").alias("n"), F.min("doc_id").alias("component_id"), F.min(key).alias("top")), "simhash-roots")
