@@ -1,4 +1,4 @@
-"""Commands over a stored archive: ingest, stats, search, read, failed, analyze, extract."""
+"""Commands over a stored archive: ingest, stats, index, search, read, failed, analyze, extract, export."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillstack.functions.text import word_count
 from quillstack.operators import analytics, extract, ingest, search
 from quillstack.schema import ARTICLE
+from quillstack.sources import files
 from quillstack.sources.bookmarks import read_bookmarks, to_rows
 
 
@@ -24,11 +25,15 @@ def positive(value: str) -> int:
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="quillstack")
     commands = top.add_subparsers(dest="command", required=True)
-    for name in ("ingest", "stats", "failed", "search", "read", "analyze", "extract"):
+    for name in ("ingest", "stats", "failed", "index", "search", "read", "analyze", "extract", "export"):
         sub = commands.add_parser(name)
         sub.add_argument("--table", default="articles", help="Parquet table of articles, or of pages for extract")
     commands.choices["search"].add_argument("terms", nargs="+")
     commands.choices["search"].add_argument("--limit", type=int, default=10)
+    commands.choices["search"].add_argument("--index", help="index that the index command wrote; without it the articles are read through")
+    commands.choices["search"].add_argument("--plain", action="store_true", help="hits are not highlighted")
+    commands.choices["index"].add_argument("out")
+    commands.choices["export"].add_argument("folder", help="URI of a folder for one text file an article")
     commands.choices["read"].add_argument("id", type=int)
     commands.choices["extract"].add_argument("out")
     commands.choices["extract"].add_argument("--workers", type=positive, default=20, help="partitions")
@@ -103,11 +108,19 @@ def main(argv: list[str] | None = None) -> int:
         print(f"{found[0].title or 'Untitled'}\n{found[0].url}\n\n{found[0].content or ''}")
     elif args.command == "search":
         try:
-            found = search.search(rows, " ".join(args.terms), args.limit).withColumn("snippet", search.plain(F.col("snippet"))).collect()
+            index = search.Index.open(spark, args.index) if args.index else None
+            shown = search.plain if args.plain or not sys.stdout.isatty() else search.highlighted
+            found = search.search(rows, " ".join(args.terms), args.limit, index=index).withColumn("snippet", shown(F.col("snippet"))).collect()
         except search.QueryError as e:
             print(e, file=sys.stderr)
             return 1
         print("\n\n".join(f"[{r.id}] {r.title or 'Untitled'}\n{r.url}\n{r.snippet}" for r in found) or "No articles found")
+    elif args.command == "index":
+        index = search.Index.build(rows, args.out)
+        print(f"{index.n:,} articles")
+    elif args.command == "export":
+        r = files.write_texts(rows, args.folder).agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+        print(f"{r.n:,} files, {r.bytes:,} bytes")
     else:
         out = extract.extract_pages(rows.repartition(args.workers))
         out.write.parquet(args.out)

@@ -28,17 +28,18 @@ def enrich(df: DataFrame, ts: str) -> DataFrame:
 def daily(rows: DataFrame, since: Column | None = None, strict: bool = False) -> DataFrame:
     """Rows of each local date between the first and last, zero on empty ones.
 
-    strict: leaves out the last date when the last time of day is before the first one's, as stepping
-    from the first timestamp by whole days does.
+    Days are steps of a whole day from the first row. since: leaves out the days whose step is before it, and
+    counts weeks from the first that stays. strict: leaves out the last date when the last time of day is
+    before the first one's, as such steps do.
     """
-    if since is not None:
-        rows = rows.where(F.col("local_ts") >= since)
     counts = rows.groupBy("date").agg(F.count("*").alias("count"), F.min("local_ts").alias("lo"), F.max("local_ts").alias("hi"))
     ends = counts.agg(F.min("date").alias("first"), F.max("date").alias("last"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    last = F.col("last")
+    first, last = F.col("first"), F.col("last")
     if strict:
         last = F.when(F.date_format("hi", "HH:mm:ss.SSSSSS") < F.date_format("lo", "HH:mm:ss.SSSSSS"), F.date_sub("last", 1)).otherwise(last)
-    spine = ends.where("first IS NOT NULL").select("first", F.explode(F.sequence(F.col("first"), last)).alias("date"))
+    if since is not None:
+        first = F.date_add("first", F.greatest(F.lit(0), F.ceil(F.timestamp_diff("MICROSECOND", F.col("lo"), since) / 86_400_000_000)).cast("int"))
+    spine = ends.where("first IS NOT NULL").select(first.alias("first"), last.alias("last")).where("first <= last").select("first", F.explode(F.sequence("first", "last")).alias("date"))
     return spine.join(counts, "date", "left").select(
         "date", F.coalesce("count", F.lit(0)).cast("long").alias("count"), F.weekday("date").alias("weekday"), F.weekofyear("date").alias("week"),
         F.floor(F.date_diff("date", "first") / 7).cast("int").alias("week_adj"),
@@ -102,6 +103,22 @@ def first_last(rows: DataFrame, ts: str, id: str) -> DataFrame:
     return ends.select(F.col(f"lo.{id}").alias("first_id"), (-F.col("hi.neg")).alias("last_id"), F.floor(seconds / 86400).cast("long").alias("span_days"))
 
 
+def ends(rows: DataFrame, ts: str, id: str, *columns: str) -> DataFrame:
+    """The first and the last row with their columns, titles and addresses cut to 80 characters, and their local date; of equal times the least id."""
+    held = rows.where(F.col(ts).isNotNull()).withColumns({c: F.substring(c, 1, 80) for c in columns})
+    row = F.struct(id, ts, *columns)
+    both = held.agg(F.min_by(row, F.struct(F.col(ts), F.col(id))).alias("first"), F.max_by(row, F.struct(F.col(ts), (-F.col(id)).alias("neg"))).alias("last"))
+    each = both.select(F.inline(F.array(*[F.struct(F.lit(n).alias("which"), F.col(n).alias("row")) for n in ("first", "last")]))).where("row IS NOT NULL")
+    return each.select("which", "row.*").withColumn("date", F.to_date(local(F.col(ts)))).drop(ts)
+
+
+def hour_bars(rows: DataFrame, longest: int = 50) -> DataFrame:
+    """Rows of each hour that has any, and bars of at most `longest`."""
+    hours = count_by(rows, "hour")
+    most = hours.agg(F.max("count").alias("most")).withColumn("k", F.lit(1))
+    return hours.withColumn("k", F.lit(1)).join(F.broadcast(most), "k").select("hour", "count", F.floor(F.col("count") / F.col("most") * longest).cast("long").alias("bar"))
+
+
 def top_domains(pages: DataFrame, n: int) -> DataFrame:
     return count_by(pages.select(netloc(F.col("url")).alias("domain")), "domain").orderBy(F.desc("count"), "domain").limit(n)
 

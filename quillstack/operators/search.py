@@ -1,12 +1,17 @@
-"""Full-text search: the query language, ranked hits, snippets.
+"""Full-text search: the query language, a stored index, ranked hits, snippets.
 
 A query is parsed on the driver. Tokens that are part of one of its phrases are kept with the place where
 the phrase would start; a phrase is found where all its tokens agree on the start. So every query is one
-pass over the tokens and two aggregations by document, whatever its shape.
+pass over the asked terms' places and two aggregations by document, whatever its shape.
+
+The index holds the places sorted by term, so a query reads the row groups of its terms only; the words with
+their stems, so a stemmed query looks up the few words it asks for; and the articles' lengths. Articles
+without an index are searched by one pass over their tokens, of which only the asked ones are kept.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 import re
@@ -14,7 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -185,20 +190,80 @@ def stem_column(words: pd.Series) -> pd.Series:
     return words.map(stem)
 
 
-def postings(articles: DataFrame, stemmed: bool = False) -> DataFrame:
-    """id, col, pos, term of each token. Stems come from a join with the distinct words, so each is stemmed once."""
+def _length() -> Column:
+    """Tokens of both columns."""
+    return sum((F.size(tx.tokens(F.coalesce(F.col(c), F.lit("")))) for c in COLUMNS), F.lit(0))
+
+
+def postings(articles: DataFrame) -> DataFrame:
+    """id, col, pos, term of each token."""
     each = [articles.select("id", F.lit(c).alias("col"), F.posexplode(tx.tokens(F.coalesce(F.col(c), F.lit("")))).alias("pos", "term")) for c in COLUMNS]
-    all_ = each[0].unionAll(each[1])
+    return each[0].unionAll(each[1])
+
+
+@dataclass
+class Index:
+    """places: term, id, col, at (places in order), sorted by term; words: term, stem, df, cf; lengths: id, len; rows and their mean length."""
+
+    places: DataFrame
+    words: DataFrame
+    lengths: DataFrame
+    n: int
+    mean: float
+
+    @classmethod
+    def build(cls, articles: DataFrame, path: str) -> Index:
+        """Written under `path`. Tokens are dealt by ranges of term and article, so a frequent word fills many ranges."""
+        keys = ["term", "id", "col"]
+        places = postings(articles).repartitionByRange(*keys).groupBy(*keys).agg(F.sort_array(F.collect_list("pos")).alias("at")).sortWithinPartitions(*keys)
+        places.write.parquet(f"{path}/places")
+        spark = articles.sparkSession
+        held = spark.read.parquet(f"{path}/places")
+        # An article may have a word in both columns.
+        each = held.groupBy("term", "id").agg(F.sum(F.size("at")).alias("n")).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("cf"))
+        each.withColumn("stem", stem_column("term")).sort("stem", "term").write.parquet(f"{path}/words")
+        articles.select("id", _length().alias("len")).write.parquet(f"{path}/lengths")
+        return cls.open(spark, path)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Index:
+        lengths = spark.read.parquet(f"{path}/lengths")
+        r = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).first()
+        return cls(spark.read.parquet(f"{path}/places"), spark.read.parquet(f"{path}/words"), lengths, r.n, r.mean or 0.0)
+
+
+#: Words that a query's terms may stand for before they are joined instead of being listed.
+LISTED = 2_000
+
+
+def _asks(column: str, phrases: list[Phrase]) -> Column:
+    """Whether a column holds a term that some phrase asks for."""
+    whole = sorted({t for p in phrases for t in (p.terms[:-1] if p.prefix else p.terms)})
+    begun = sorted({p.terms[-1] for p in phrases if p.prefix and p.terms})
+    return functools.reduce(lambda x, y: x | y, [F.col(column).startswith(t) for t in begun], F.col(column).isin(whole) if whole else F.lit(False))
+
+
+def _asked(source: DataFrame | Index, phrases: list[Phrase], stemmed: bool) -> DataFrame:
+    """id, col, pos, term (its stem, if stemmed) of the tokens that the phrases ask for."""
+    stored = isinstance(source, Index)
+    tokens = source.places if stored else postings(source)
     if not stemmed:
-        return all_
-    stems = all_.select("term").distinct().withColumn("stem", stem_column("term"))
-    return all_.join(stems, "term").select("id", "col", "pos", F.col("stem").alias("term"))
+        found = tokens.where(_asks("term", phrases))
+    else:
+        words = source.words if stored else tokens.select("term").distinct().withColumn("stem", stem_column("term"))
+        listed = words.where(_asks("stem", phrases)).select("term", "stem").limit(LISTED + 1).collect()
+        if len(listed) <= LISTED:
+            few = tokens.sparkSession.createDataFrame([(r.term, r.stem) for r in listed], "term string, stem string")
+            found = tokens.where(F.col("term").isin([r.term for r in listed])).join(F.broadcast(few), "term")
+        else:
+            found = tokens.join(words.where(_asks("stem", phrases)).select("term", "stem"), "term")
+        found = found.drop("term").withColumnRenamed("stem", "term")
+    return found.select("id", "col", F.explode("at").alias("pos"), "term") if stored else found.select("id", "col", "pos", "term")
 
 
 def corpus(articles: DataFrame) -> tuple[int, float]:
     """Rows, and mean tokens over both columns."""
-    n = sum((F.size(tx.tokens(F.coalesce(F.col(c), F.lit("")))) for c in COLUMNS), F.lit(0))
-    r = articles.agg(F.count("*").alias("n"), F.avg(n).alias("mean")).first()
+    r = articles.agg(F.count("*").alias("n"), F.avg(_length()).alias("mean")).first()
     return r.n, r.mean or 0.0
 
 
@@ -219,8 +284,31 @@ def _starts(tokens: DataFrame, phrases: list[Phrase]) -> DataFrame:
     return whole.where((F.col("n") == F.get(lengths, F.col("p"))) & (~F.get(firsts, F.col("p")) | (F.col("start") == 0))).select("id", "p", "col", "start")
 
 
-def _within(x: Column, ends: int, room: int):
-    return lambda y: (y["col"] == x["col"]) & (y["start"] >= x["start"]) & (y["start"] + ends <= x["start"] + room)
+def _near_hits(tree: Node, numbers: Iterator[int], phrases: list[Phrase]) -> Iterator[Column]:
+    """For each phrase its places that count: under NEAR those in a group of places of all its phrases that stand close enough.
+
+    A group ends where one of its phrases starts last; each other phrase starts no later, and at most
+    `distance` tokens are between its end and that place.
+    """
+    if tree.op == "phrase":
+        yield F.get("at", F.lit(next(numbers)))
+        return
+    if tree.op != "near":
+        for part in tree.parts:
+            yield from _near_hits(part, numbers, phrases)
+        return
+    own = [next(numbers) for _ in tree.parts]
+    asked = [p for p in own if phrases[p].terms]
+    places = {p: F.get("at", F.lit(p)) for p in own}
+
+    def inside(last: Column, p: int):
+        return lambda y: (y["col"] == last["col"]) & (y["start"] <= last["start"]) & (y["start"] >= last["start"] - len(phrases[p].terms) - tree.distance)
+
+    whole = lambda last: functools.reduce(lambda x, y: x & y, [F.exists(places[p], inside(last, p)) for p in asked], F.lit(True))
+    ends = F.filter(F.flatten(F.array(*[places[p] for p in asked])), whole) if asked else None
+    closes = lambda p: lambda y: F.exists(ends, lambda last: inside(last, p)(y))
+    for p in own:
+        yield F.filter(places[p], closes(p)) if p in asked else places[p]
 
 
 def _masks(tree: Node, numbers: Iterator[int], phrases: list[Phrase], mask: Column) -> list[Column]:
@@ -251,21 +339,6 @@ def _truth(tree: Node, numbers: Iterator[int], phrases: list[Phrase]) -> Column
     if tree.op == "phrase":
         p = next(numbers)
         return F.get("f", F.lit(p)) > 0 if tree.phrase.terms else None
-    if tree.op == "near":
-        own = [next(numbers) for _ in tree.parts]
-        own = [p for p in own if phrases[p].terms]
-        if not own:
-            return None
-        # All within `distance` tokens: some start from which each phrase has one no later than that.
-        room = tree.distance + sum(len(phrases[p].terms) for p in own)
-        def close(x: Column) -> Column:
-            out = F.lit(True)
-            for q in own:
-                ends = len(phrases[q].terms)
-                out = out & F.exists(F.get("at", F.lit(q)), _within(x, ends, room))
-            return out
-
-        return F.exists(F.flatten(F.array(*[F.get("at", F.lit(p)) for p in own])), close)
     parts = [_truth(x, numbers, phrases) for x in tree.parts]
     if tree.op == "not":
         out = parts[0]
@@ -274,31 +347,38 @@ def _truth(tree: Node, numbers: Iterator[int], phrases: list[Phrase]) -> Column
         return out
     out = None
     for x in parts:
-        out = x if out is None else out if x is None else (out & x if tree.op == "and" else out | x)
+        out = x if out is None else out if x is None else (out | x if tree.op == "or" else out & x)
     return out
 
 
-def ranked(articles: DataFrame, query: str, stemmed: bool = True) -> DataFrame:
-    """id, rank and the phrases' places of each article that meets the query; a lower rank is better."""
+def ranked(source: DataFrame | Index, query: str, stemmed: bool = True) -> DataFrame:
+    """id, rank and the phrases' places of each article that meets the query; a lower rank is better.
+
+    source: an index, or articles. A phrase's weight hangs on all articles that have it, its frequency on the
+    places that count (under NEAR, the near ones).
+    """
     tree = Parser(query, stemmed).parse()
     phrases = phrases_of(tree)
-    n, mean = corpus(articles)
-    starts = _starts(postings(articles, stemmed), phrases)
+    n, mean = (source.n, source.mean) if isinstance(source, Index) else corpus(source)
+    starts = _starts(_asked(source, phrases, stemmed), phrases)
     by_phrase = starts.groupBy("id", "p").agg(F.collect_list(F.struct("col", "start")).alias("starts"))
     grouped = by_phrase.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("p", "starts"))).alias("m"))
     empty = F.array().cast("array<struct<col:string,start:int>>")
     at = F.array(*[F.coalesce(F.try_element_at("m", F.lit(p)), empty) for p in range(len(phrases))])
-    docs = grouped.withColumn("at", at).withColumn("f", F.transform("at", F.size))
-    sizes = docs.agg(*[F.count_if(F.get("f", F.lit(p)) > 0).alias(f"n{p}") for p in range(len(phrases))]).first()
+    held = grouped.select("id", at.alias("at"))
+    # A row for the whole corpus: in how many articles each phrase is.
+    sizes = starts.select("id", "p").distinct().groupBy("p").agg(F.count("*").alias("n"))
+    sizes = {r.p: r.n for r in sizes.collect()}
+    docs = held.withColumn("at", F.array(*_near_hits(tree, iter(range(len(phrases))), phrases))).withColumn("f", F.transform("at", F.size))
     truth = _truth(tree, iter(range(len(phrases))), phrases)
     masks = _masks(tree, iter(range(len(phrases))), phrases, F.lit(True))
     counted = F.array(*[F.when(m, F.get("f", F.lit(p))).otherwise(0) for p, m in enumerate(masks)])
     hits = docs.where(truth if truth is not None else F.lit(False)).select("id", "at", counted.alias("f"))
-    length = sum((F.size(tx.tokens(F.coalesce(F.col(c), F.lit("")))) for c in COLUMNS), F.lit(0))
-    joined = hits.join(articles.select("id", length.alias("len")), "id")
+    lengths = source.lengths if isinstance(source, Index) else source.select("id", _length().alias("len"))
+    joined = hits.join(lengths, "id")
     rank = F.lit(0.0)
     for p in range(len(phrases)):
-        idf = math.log((n - sizes[p] + 0.5) / (sizes[p] + 0.5))
+        idf = math.log((n - sizes.get(p, 0) + 0.5) / (sizes.get(p, 0) + 0.5))
         f = F.get("f", F.lit(p)).cast("double")
         rank += F.lit(idf if idf > 0 else 1e-6) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.lit(mean or 1.0)))
     return joined.select("id", (-rank).alias("rank"), "at")
@@ -351,10 +431,10 @@ def snippet(text: str, hits: list[tuple[int, int, int]], width: int = 30) -> str
     return "".join([*out, text[last:right], "..." if end < n else ""])
 
 
-def search(articles: DataFrame, query: str, limit: int = 10, stemmed: bool = True) -> DataFrame:
+def search(articles: DataFrame, query: str, limit: int = 10, stemmed: bool = True, index: Index | None = None) -> DataFrame:
     """The best `limit` articles: id, title, url, folder, word_count, snippet, rank. A null content has an empty snippet."""
     sizes = [len(p.terms) for p in phrases_of(Parser(query, stemmed).parse())]
-    top = ranked(articles, query, stemmed).orderBy("rank", "id").limit(limit)
+    top = ranked(index or articles, query, stemmed).orderBy("rank", "id").limit(limit)
     found = F.broadcast(top).join(articles.select("id", "title", "url", "folder", "word_count", "content"), "id")  # at most `limit` rows
 
     @F.pandas_udf(T.StringType())
@@ -367,5 +447,10 @@ def search(articles: DataFrame, query: str, limit: int = 10, stemmed: bool = Tru
     return found.select("id", "title", "url", "folder", "word_count", cut("content", F.to_json("at")).alias("snippet"), F.round("rank", 6).alias("rank")).orderBy("rank", "id")
 
 
+def highlighted(snippet_column: Column) -> Column:
+    """Hits in bold red on a terminal."""
+    return F.replace(F.replace(snippet_column, F.lit(">>>"), F.lit("\x1b[1;31m")), F.lit("<<<"), F.lit("\x1b[0m"))
+
+
 def plain(snippet_column: Column) -> Column:
     return F.replace(F.replace(snippet_column, F.lit(">>>"), F.lit("")), F.lit("<<<"), F.lit(""))

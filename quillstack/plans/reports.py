@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillstack.functions import text as tx
 from quillstack.functions import urls
 from quillstack.operators import analytics as an
-from quillstack.operators import ingest
+from quillstack.operators import cascade, ingest
 from quillstack.schema import PAYWALLED
 from quillstack.sources.bookmarks import archive, read_bookmarks, scratch, table, to_rows, write_bookmarks
 
@@ -32,9 +32,16 @@ MONTHS = """WITH o AS (SELECT (o_orderdate AT TIME ZONE 'UTC') AT TIME ZONE 'Ame
 m AS (SELECT strftime(lt, '%Y-%m') AS year_month, count(*) AS count FROM o GROUP BY 1)
 """
 
-URLS = r"""WITH u AS (SELECT page_id, url FROM pages UNION ALL SELECT * FROM (VALUES (-1, 'https://www.nytimes.com/2024/article'), (-2, 'https://youtu.be/x'),
-        (-3, 'https://github.com/a/b/blob/main/c/d.md'), (-4, 'https://gist.github.com/a'), (-5, 'https://medium.com/p'), (-6, 'https://user@BBC.com:8080/x'), (-7, 'https://github.com/a/b/')))
-      , n AS (SELECT *, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS netloc FROM u), h AS (SELECT *, regexp_replace(lower(regexp_replace(regexp_replace(netloc, '^.*@', ''), ':[0-9]+$', '')), '^www\.', '') AS host FROM n)
+#: Addresses of many kinds made of each page's number and a listed host: name, Spark SQL and DuckDB SQL of them (alike in both).
+KINDS = {
+    "plain": "url", "listed": "'https://www.' || host || '/' || page_id || '/a|b?c=[1]'", "user": "'HTTP://me:pw@' || upper(host) || ':8080/x y#z'", "below": "'https://news.' || host || '/' || page_id",
+    "video": "'https://youtu.be/v' || page_id", "file": "'https://github.com/o' || page_id || '/r/blob/main/d/f' || page_id || '.md?raw=1'", "repo": "'https://github.com/o' || page_id || '/r' || page_id || '/'",
+    "gist": "'https://gist.github.com/' || page_id", "blog": "'https://medium.com/@a/p' || page_id", "short": "'//' || host || '/p'", "none": "'mailto:a@' || host", "odd": "'https://my_host' || page_id || '.com'",
+}
+URLS = "WITH n AS (SELECT page_id, url, [" + ", ".join(f"'{h}'" for h in PAYWALLED) + f"][1 + page_id % {len(PAYWALLED)}] AS host FROM pages), u AS (" + " UNION ALL ".join(
+    f"SELECT page_id, '{kind}' AS kind, {sql} AS url FROM n" for kind, sql in KINDS.items()
+) + r"""), a AS (SELECT *, regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1) AS netloc FROM u),
+  h AS (SELECT *, CASE WHEN NOT regexp_matches(url, '^[A-Za-z]+://') THEN NULL ELSE regexp_replace(lower(regexp_replace(regexp_replace(netloc, '^.*@', ''), ':[0-9]+$', '')), '^www\.', '') END AS host FROM a)
 """
 
 
@@ -47,10 +54,10 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A second export: documents of three languages with other titles, some of them twice, and pages that are new."""
-    docs = archive(spark, sf_dir).where("tags <> 'en'")
+    """A second export: all documents twice with other titles, and pages that are new."""
+    docs = archive(spark, sf_dir)
     again = docs.select(F.col("id").alias("ord"), "url", F.concat(F.lit("Re: "), "title").alias("title"), F.lit("again").alias("folder"), "tags")
-    twice = docs.where("id % 3 = 0").select((F.col("id") + 10_000_000).alias("ord"), "url", F.concat(F.lit("Fw: "), "title").alias("title"), F.lit("twice").alias("folder"), "tags")
+    twice = docs.select((F.col("id") + 10_000_000).alias("ord"), "url", F.concat(F.lit("Fw: "), "title").alias("title"), F.lit("twice").alias("folder"), "tags")
     pages = table(spark, sf_dir, "pages").select((F.col("page_id") + 20_000_000).alias("ord"), "url", F.lit("").alias("title"), F.lit("new").alias("folder"), F.lit("").alias("tags"))
     return again.unionByName(twice).unionByName(pages)
 
@@ -82,20 +89,43 @@ def mark_outcomes(spark, sf):
 
 
 def some_urls(spark, sf):
-    """The pages' URLs and some of other kinds."""
-    pages = table(spark, sf, "pages").select("page_id", "url")
-    more = spark.createDataFrame([
-        (-1, "https://www.nytimes.com/2024/article"), (-2, "https://youtu.be/x"), (-3, "https://github.com/a/b/blob/main/c/d.md"), (-4, "https://gist.github.com/a"),
-        (-5, "https://medium.com/p"), (-6, "https://user@BBC.com:8080/x"), (-7, "https://github.com/a/b/"),
-    ], "page_id long, url string")
-    return pages.unionByName(more)
+    """Addresses of many kinds for each page."""
+    hosts = F.array(*map(F.lit, PAYWALLED))
+    pages = table(spark, sf, "pages").select("page_id", "url", F.get(hosts, (F.col("page_id") % len(PAYWALLED)).cast("int")).alias("host"))
+    return pages.select("page_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.expr(sql).alias("url")) for k, sql in KINDS.items()])).alias("x")).select("page_id", "x.*")
 
 
 def route(spark, sf):
     url = F.col("url")
     return some_urls(spark, sf).select(
-        "page_id", F.array_join(urls.route(url, True), ",").alias("route"), urls.paywalled_domain(url).alias("domain"), urls.netloc(url).alias("netloc"), urls.blob_source(url)["raw_url"].alias("raw_url"),
+        "page_id", "kind", F.array_join(urls.route(url, True), ",").alias("route"), urls.paywalled_domain(url).alias("domain"), urls.netloc(url).alias("netloc"),
+        urls.blob_source(url)["raw_url"].alias("raw_url"), urls.blob_source(url)["title"].alias("raw_title"),
+    )
+
+
+def given(spark, sf):
+    """What the sources gave for each document: errors, nothing or its text, by attempt."""
+    docs, k = archive(spark, sf), F.col("id") % 7
+    none = F.lit(None).cast("string")
+    fetched = docs.select("url", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("attempt"), "title", "content", k.alias("k")).select(
+        "url", "attempt", F.lit("page").alias("source"), "title",
+        F.when(((F.col("k") == 0) | ((F.col("k") == 1) & (F.col("attempt") == 1)) | ((F.col("k") == 6) & (F.col("attempt") == 2))), F.col("content")).alias("text"),
+        F.when((F.col("k") == 2) | ((F.col("k") == 3) & (F.col("attempt") == 0)) | ((F.col("k") == 4) & (F.col("attempt") == 2)), F.concat(F.lit("timed out "), F.col("attempt"))).otherwise(none).alias("error"),
     )
+    copies = docs.where("id % 7 IN (3, 4, 5)").select("url", F.lit(2).alias("attempt"), F.lit("Archive.ph").alias("archive"), F.concat(F.lit("https://archive.ph/"), "id").alias("snapshot_url"), F.lit("").alias("title"), F.when(k != 3, F.col("content")).alias("text"))
+    return fetched.unionByName(cascade.archived_copies(copies))
+
+
+def cascade_outcomes(spark, sf):
+    """All documents' outcomes from what their sources gave, written to the articles."""
+    docs = archive(spark, sf)
+    ends = cascade.outcomes(docs, given(spark, sf))
+    return ingest.apply_outcomes(docs, ends).select("id", "status", "title", "error_message", F.md5("content").alias("content_md5"), "word_count")
+
+
+def saved(spark, sf):
+    """Articles of the archive with the time of the event of their number."""
+    return archive(spark, sf).join(table(spark, sf, "events").select(F.col("event_id").alias("id"), "ts"), "id")
 
 
 def csv_roundtrip(spark, sf):
@@ -126,8 +156,8 @@ QUERIES = {
     "skip_filter": (skip(False), ARTICLES + "SELECT id, url FROM articles WHERE status NOT IN ('success', 'failed')"),
     "skip_filter_retry": (skip(True), ARTICLES + "SELECT id, url FROM articles WHERE status <> 'success'"),
     "upsert_pending": (upsert_pending, ARTICLES + """, rows_ AS (
-      SELECT id AS ord, url, 'Re: ' || title AS title, 'again' AS folder, tags FROM articles WHERE tags <> 'en'
-      UNION ALL SELECT id + 10000000, url, 'Fw: ' || title, 'twice', tags FROM articles WHERE tags <> 'en' AND id % 3 = 0
+      SELECT id AS ord, url, 'Re: ' || title AS title, 'again' AS folder, tags FROM articles
+      UNION ALL SELECT id + 10000000, url, 'Fw: ' || title, 'twice', tags FROM articles
       UNION ALL SELECT page_id + 20000000, url, '', 'new', '' FROM pages),
     latest AS (SELECT url, arg_max(title, ord) AS title, arg_max(folder, ord) AS folder, arg_max(tags, ord) AS tags, min(ord) AS first FROM rows_ GROUP BY url),
     fresh AS (SELECT url, row_number() OVER (ORDER BY first) + (SELECT max(id) FROM articles) AS id FROM latest WHERE url NOT IN (SELECT url FROM articles))
@@ -144,11 +174,29 @@ QUERIES = {
     "read_by_id": (lambda spark, sf: ingest.read_article(archive(spark, sf), 42), ARTICLES + "SELECT id, title, url, folder, word_count, content FROM articles WHERE id = 42"),
     "article_id_filename": (lambda spark, sf: table(spark, sf, "pages").select("page_id", urls.article_id(F.col("url")).alias("article_id"), urls.filename(F.col("url"), F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)).alias("filename")),
         r"""SELECT page_id, substr(sha256(url), 1, 12) AS article_id, substr(sha256(url), 1, 12) || '_' || coalesce(nullif(substr(regexp_replace(trim(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '[<>:"/\\|?*]', '', 'g')), '\s+', '_', 'g'), 1, 80), ''), 'untitled') || '.txt' AS filename FROM pages"""),
-    "url_route": (route, URLS + """SELECT page_id, concat_ws(',', CASE WHEN contains(url, 'youtube.com') OR contains(url, 'youtu.be') THEN 'video' END, CASE WHEN contains(url, 'github.com') AND NOT contains(url, 'gist.') THEN 'code' END,
-        CASE WHEN contains(url, 'medium.com') OR contains(url, 'towardsdatascience.com') THEN 'archive' END, CASE WHEN host IN ('nytimes.com', 'bbc.com') THEN 'reader' END, 'page', 'archive') AS route,
-        CASE WHEN host IN ('nytimes.com', 'bbc.com') THEN host END AS domain, netloc, CASE WHEN page_id = -3 THEN 'https://raw.githubusercontent.com/a/b/main/c/d.md' END AS raw_url FROM h"""),
-    "paywall_domain": (lambda spark, sf: some_urls(spark, sf).select("page_id", urls.host(F.col("url")).alias("host"), urls.is_paywalled(F.col("url")).alias("paywalled"), urls.paywalled_domain(F.col("url")).alias("domain")),
-        URLS + f"SELECT page_id, host, host IN {tuple(PAYWALLED)} AS paywalled, CASE WHEN host IN {tuple(PAYWALLED)} THEN host END AS domain FROM h"),
+    "url_route": (route, URLS + f"""SELECT page_id, kind, concat_ws(',', CASE WHEN contains(url, 'youtube.com') OR contains(url, 'youtu.be') THEN 'video' END, CASE WHEN contains(url, 'github.com') AND NOT contains(url, 'gist.') THEN 'code' END,
+        CASE WHEN contains(url, 'medium.com') OR contains(url, 'towardsdatascience.com') THEN 'archive' END, CASE WHEN host IN {tuple(PAYWALLED)} THEN 'reader' END, 'page', 'archive') AS route,
+        CASE WHEN host IN {tuple(PAYWALLED)} THEN host END AS domain, netloc, CASE WHEN contains(url, '/blob/') THEN replace(replace(url, 'https://github.com', 'https://raw.githubusercontent.com'), '/blob/', '/') END AS raw_url,
+        CASE WHEN contains(url, '/blob/') THEN split_part(url, '/', 4) || '/' || split_part(url, '/', 5) || ': ' || split_part(split_part(url, '?', 1), '/', 9) END AS raw_title FROM h"""),
+    "paywall_domain": (lambda spark, sf: some_urls(spark, sf).select("page_id", "kind", urls.host(F.col("url")).alias("host"), urls.is_paywalled(F.col("url")).alias("paywalled"), urls.paywalled_domain(F.col("url")).alias("domain")),
+        URLS + f"SELECT page_id, kind, host, coalesce(host IN {tuple(PAYWALLED)}, false) AS paywalled, CASE WHEN host IN {tuple(PAYWALLED)} THEN host END AS domain FROM h"),
+    "cascade_outcomes": (cascade_outcomes, ARTICLES + """, k AS (SELECT *, id % 7 AS k FROM articles), o AS (SELECT *,
+        k IN (0, 1, 6) AND content IS NOT NULL OR k = 5 AND content IS NOT NULL AS ok,
+        CASE WHEN k = 5 THEN content || chr(10) || chr(10) || '---' || chr(10) || 'Note: This article was retrieved from Archive.ph' || chr(10) || 'Original URL: ' || url || chr(10) || 'Archive URL: https://archive.ph/' || id || chr(10) ELSE content END AS new,
+        CASE WHEN k IN (2, 4) THEN 'timed out 2' ELSE 'Extraction returned no content' END AS why FROM k)
+      SELECT id, CASE WHEN NOT ok THEN 'failed' WHEN contains(new, 'Internet Archive Wayback Machine') OR contains(new, 'Archive.ph') THEN 'archived' ELSE 'success' END AS status,
+        CASE WHEN ok THEN coalesce(nullif(title, ''), 'Untitled') ELSE title END AS title,
+        CASE WHEN ok THEN CASE WHEN status = 'failed' THEN 'no content: ' || id END ELSE why END AS error_message, md5(CASE WHEN ok THEN new ELSE content END) AS content_md5,
+        CASE WHEN ok THEN CAST(len(regexp_extract_all(new, '\\S+')) AS BIGINT) ELSE word_count END AS word_count FROM o"""),
+    "first_last_articles": (lambda spark, sf: an.ends(saved(spark, sf), "ts", "id", "title", "url").withColumn("date", F.col("date").cast("string")), ARTICLES + """, s AS (SELECT id, substr(title, 1, 80) AS title, substr(url, 1, 80) AS url, ts, CAST(CAST((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/Los_Angeles' AS DATE) AS VARCHAR) AS date FROM articles JOIN events ON id = event_id WHERE ts IS NOT NULL)
+      SELECT 'first' AS which, id, title, url, date FROM (SELECT * FROM s ORDER BY ts, id LIMIT 1) UNION ALL SELECT 'last', id, title, url, date FROM (SELECT * FROM s ORDER BY ts DESC, id LIMIT 1)"""),
+    "hour_bars": (lambda spark, sf: an.hour_bars(events(spark, sf)), LOCAL + ", b AS (SELECT CAST(hour(lt) AS INTEGER) AS hour, count(*) AS count FROM e GROUP BY 1) SELECT hour, count, CAST(floor(count / (SELECT max(count) FROM b) * 50) AS BIGINT) AS bar FROM b"),
+    "calendar_365": (lambda spark, sf: an.daily(orders(spark, sf), F.lit("2001-07-31 09:30:00").cast("timestamp_ntz") - F.expr("INTERVAL 365 DAYS"), strict=True).withColumn("date", F.col("date").cast("string")),
+        """WITH o AS (SELECT (o_orderdate AT TIME ZONE 'UTC') AT TIME ZONE 'America/Los_Angeles' AS lt FROM orders), b AS (SELECT min(lt) AS lo, max(lt) AS hi FROM o),
+      steps AS (SELECT unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS step FROM b), kept AS (SELECT step, min(CAST(step AS DATE)) OVER () AS first FROM steps WHERE step >= TIMESTAMP '2001-07-31 09:30:00' - INTERVAL 365 DAY),
+      days AS (SELECT CAST(lt AS DATE) AS date, count(*) AS n FROM o GROUP BY 1)
+      SELECT CAST(CAST(step AS DATE) AS VARCHAR) AS date, coalesce(n, 0) AS count, CAST(isodow(step) - 1 AS INTEGER) AS weekday, CAST(weekofyear(step) AS INTEGER) AS week, CAST(floor((CAST(step AS DATE) - first) / 7) AS INTEGER) AS week_adj
+      FROM kept LEFT JOIN days ON date = CAST(step AS DATE)"""),
     "csv_roundtrip": (csv_roundtrip, ARTICLES + """SELECT url, title, folder, tags FROM articles"""),
     "length_buckets": (lambda spark, sf: an.length_buckets(archive(spark, sf)), ARTICLES + """SELECT b.bucket, count(a.id) AS count FROM (VALUES ('short'), ('medium'), ('long')) AS b(bucket)
       LEFT JOIN articles a ON a.word_count > 0 AND b.bucket = CASE WHEN a.word_count <= 500 THEN 'short' WHEN a.word_count <= 2000 THEN 'medium' ELSE 'long' END GROUP BY 1"""),

@@ -9,7 +9,7 @@ from quillstack.functions import text as tx
 from quillstack.operators import extract as ex
 from quillstack.operators import search as se
 from quillstack.plans.reports import ARTICLES
-from quillstack.sources.bookmarks import archive, table
+from quillstack.sources.bookmarks import archive, scratch, table
 
 UNESCAPED = "replace(replace(replace(replace(replace(replace({0}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
 #: Text of the article element: breaks for block elements, spaces for others, empty lines out.
@@ -27,11 +27,11 @@ stats AS (SELECT count(*) AS n, avg(len) AS mean FROM len_)
 """
 
 
-def ranked_sql(phrases: list[str], truth: str) -> str:
-    """phrases: SELECTs of id, one row for each hit."""
+def ranked_sql(phrases: list[str], truth: str, terms: list[str] | None = None) -> str:
+    """phrases: SELECTs of id, one row for each hit that counts; terms: those whose weights count all their hits."""
     ctes, joins, rank = "", "", []
     for i, p in enumerate(phrases):
-        ctes += f", p{i} AS (SELECT id, count(*) AS f FROM ({p}) GROUP BY id), i{i} AS (SELECT CASE WHEN ln((n - c + 0.5) / (c + 0.5)) > 0 THEN ln((n - c + 0.5) / (c + 0.5)) ELSE 1e-6 END AS idf FROM stats, (SELECT count(*) AS c FROM p{i}))"
+        ctes += f", p{i} AS (SELECT id, count(*) AS f FROM ({p}) GROUP BY id), i{i} AS (SELECT CASE WHEN ln((n - c + 0.5) / (c + 0.5)) > 0 THEN ln((n - c + 0.5) / (c + 0.5)) ELSE 1e-6 END AS idf FROM stats, (SELECT count(*) AS c FROM {f'p{i}' if terms is None else f"(SELECT DISTINCT id FROM tok WHERE term = '{terms[i]}')"}))"
         joins += f" LEFT JOIN p{i} ON l.id = p{i}.id"
         rank.append(f"coalesce((SELECT idf FROM i{i}) * p{i}.f * 2.2 / (p{i}.f + 1.2 * (0.25 + 0.75 * len / mean)), 0)")
     return TOKENS + ctes + f" SELECT l.id, round(-({' + '.join(rank)}), 6) AS rank FROM len_ l CROSS JOIN stats{joins} WHERE {truth}"
@@ -41,8 +41,21 @@ def one(term: str) -> str:
     return f"SELECT id FROM tok WHERE term = '{term}'"
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def indexed(spark: SparkSession, sf: str) -> se.Index:
+    """The stored index of the archive of `sf`, built by a session's first search of it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _indexes:
+        path = scratch(spark, "search-index")
+        se.Index.build(archive(spark, sf), path)
+        _indexes[key] = path
+    return se.Index.open(spark, _indexes[key])
+
+
 def hits(query: str):
-    return lambda spark, sf: se.ranked(archive(spark, sf), query, stemmed=False).select("id", F.round("rank", 6).alias("rank"))
+    return lambda spark, sf: se.ranked(indexed(spark, sf), query, stemmed=False).select("id", F.round("rank", 6).alias("rank"))
 
 
 def pages_extracted(spark: SparkSession, sf: str) -> DataFrame:
@@ -53,31 +66,44 @@ def page_scores(spark: SparkSession, sf: str) -> DataFrame:
     return pages_extracted(spark, sf).select(F.col("id").alias("page_id"), "tier", F.octet_length("text").cast("long").alias("bytes"), F.round("score", 6).alias("score"))
 
 
-def candidate_fold(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([
-        (1, [(1.0, 10, 0), (0.95, 30, 1)]), (2, [(0.95, 30, 0), (1.0, 10, 1)]), (3, []), (4, [(2.0, 50, 0), (1.9, 101, 1), (1.75, 300, 2)]), (5, [(1.0, 10, 0), (0.9, 100, 1)]),
-    ], "id int, candidates array<struct<score:double,nbytes:bigint,ord:int>>")
-    return rows.select("id", ex.candidate_fold(F.col("candidates"))["ord"].alias("chosen"))
+CLEAN = "trim(regexp_replace({0}, '[^A-Za-z0-9]+', ' '{1}))"
+LD = '<title>T</title><script type="application/ld+json">{"@graph":[{"x":1},{"articleBody":"'
+#: Markup made of each document's text: kind, what comes before and after it, and the tier that finds it. The last has links, for its density.
+SHAPES = [
+    ("ld", LD, '"}]}</script><p>no</p>', "structured"), ("main", "<body><nav>menu of links</nav><main><h1>Head</h1><p>", "<p>Second</main><footer>foot</footer>", "container"),
+    ("div", "<body><div><p>", "</p></div><nav>menu of links</nav></body>", "container"), ("bare", "<body>", "", "body"),
+]
 
 
-MARKUP = [
-    (1, "http://a/1", '<script type="application/ld+json">{"@graph":[{"articleBody":"' + "long body " * 12 + '"}]}</script><p>no</p>'),
-    (2, None, "<body><div><p>" + "Plain words, without a container. " * 4 + "</p></div></body>"),
-    (3, "http://a/3", "<body><main><h1>Head</h1><p>" + "In the main part &amp; more of it. " * 5 + "<p>Second</main><footer>foot</footer>"),
-    (4, "http://a/4", "<body></body>"), (5, "http://a/5", "<body><span>Between fifty and one hundred bytes of text in the body.</span></body>"),
-]
+def shaped(spark: SparkSession, sf: str, run, addresses: bool = False) -> DataFrame:
+    """doc_id and kind of each shape over each document with what `run` finds on its markup; with or without addresses."""
+    clean = F.expr(CLEAN.format("coalesce(text, '')", ""))
+    shapes = F.array(*[F.concat(F.lit(a), clean, F.lit(b)) for _, a, b, _ in SHAPES])
+    each = table(spark, sf, "documents").select("doc_id", F.posexplode(shapes).alias("k", "html"))
+    url = F.concat(F.lit("http://a/"), "doc_id") if addresses else F.lit(None).cast("string")
+    found = run(each.select((F.col("doc_id") * len(SHAPES) + F.col("k")).alias("page_id"), url.alias("url"), "html"))
+    kind = F.get(F.array(*[F.lit(k) for k, *_ in SHAPES]), F.pmod("id", F.lit(len(SHAPES))).cast("int"))
+    return found.withColumns({"doc_id": F.floor(F.col("id") / len(SHAPES)).cast("long"), "kind": kind})
 
 
 def tiers(spark: SparkSession, sf: str) -> DataFrame:
-    return ex.extract_pages(spark.createDataFrame(MARKUP, "page_id long, url string, html string")).select("id", "title", "tier", F.octet_length("text").cast("long").alias("bytes"))
+    return shaped(spark, sf, ex.extract_pages).select("doc_id", "kind", "title", "tier", F.md5("text").alias("text_md5"))
 
 
 def tier(name: str):
-    """What one tier alone finds on the pages and on the markup above, whose ids are negative here."""
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        more = spark.createDataFrame([(-i, u, h) for i, u, h in MARKUP], "page_id long, url string, html string")
-        return ex.tier_texts(table(spark, sf, "pages").select("page_id", "url", "html").unionByName(more)).select("id", F.col(name).alias("text"))
-    return run
+    """What one tier alone finds on the markup."""
+    return lambda spark, sf: shaped(spark, sf, ex.tier_texts, addresses=True).select("doc_id", "kind", F.col(name).alias("text"))
+
+
+def candidate_fold(spark: SparkSession, sf: str) -> DataFrame:
+    """The choice among the turns of each conversation, scored by their words, in order."""
+    turns = table(spark, sf, "conversations").select("conv_id", F.struct("turn", F.log(1.0 + tx.word_count(F.coalesce("text", F.lit("")))).alias("score"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("nbytes")).alias("x"))
+    held = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    given = F.transform("x", lambda t: F.struct(t["score"].alias("score"), t["nbytes"].alias("nbytes"), t["turn"].cast("int").alias("ord")))
+    return held.select("conv_id", ex.candidate_fold(given)["ord"].cast("long").alias("chosen"))
+
+
+SHAPED = "WITH c AS (SELECT doc_id, " + CLEAN.format("coalesce(text, '')", ", 'g'") + " AS t FROM documents)"
 
 
 QUERIES = {
@@ -93,13 +119,22 @@ QUERIES = {
       n AS (SELECT page_id, list_sum(list_transform(regexp_extract_all(body, '(?s)<a[ >].*?</a>'), lambda x: strlen(trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))))) AS links,
         strlen(trim(regexp_replace(regexp_replace(body, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS total FROM b)
       SELECT page_id, round(CASE WHEN total > 0 THEN coalesce(links, 0) / total ELSE 0 END, 6) AS density FROM n"""),
-    "jsonld_body": (tier("structured"), None),
+    "jsonld_body": (tier("structured"), SHAPED + " SELECT doc_id, kind, CASE WHEN kind = 'ld' AND t <> '' THEN t END AS text FROM c, (VALUES ('ld'), ('main'), ('div'), ('bare')) AS k(kind)"),
     "readability_tier": (tier("paragraphs"), None),
-    "baseline_tier": (tier("body"), None),
+    "baseline_tier": (tier("body"), SHAPED + """, b AS (SELECT doc_id, kind, trim(CASE kind WHEN 'ld' THEN 'no' WHEN 'main' THEN trim('Head ' || t) || ' Second' ELSE t END) AS text FROM c, (VALUES ('ld'), ('main'), ('div'), ('bare')) AS k(kind))
+      SELECT doc_id, kind, CASE WHEN strlen(text) > 50 THEN text END AS text FROM b"""),
     "tokens": (lambda spark, sf: se.postings(archive(spark, sf)).select("id", "col", F.col("pos").cast("long").alias("pos"), "term"), TOKENS + "SELECT id, col, CAST(pos AS BIGINT) AS pos, term FROM tok"),
     "vocab_topk": (lambda spark, sf: se.postings(archive(spark, sf)).groupBy("term").agg(F.count_distinct("id").alias("df")).orderBy(F.desc("df"), "term").limit(100), TOKENS + "SELECT term, count(DISTINCT id) AS df FROM tok GROUP BY term ORDER BY df DESC, term LIMIT 100"),
-    "candidate_fold": (candidate_fold, "SELECT CAST(id AS INTEGER) AS id, CAST(chosen AS INTEGER) AS chosen FROM (VALUES (1, 1), (2, 1), (3, NULL), (4, 2), (5, 0)) AS t(id, chosen)"),
-    "extraction_tiers": (tiers, None),
+    "candidate_fold": (candidate_fold, """WITH RECURSIVE t AS (SELECT conv_id, turn, ln(1.0 + len(regexp_extract_all(coalesce(text, ''), '\\S+'))) AS score, strlen(coalesce(text, '')) AS nbytes, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+      f AS (SELECT conv_id, i, turn AS chosen, score, nbytes FROM t WHERE i = 1
+        UNION ALL SELECT t.conv_id, t.i, CASE WHEN b THEN t.turn ELSE f.chosen END, CASE WHEN b THEN t.score ELSE f.score END, CASE WHEN b THEN t.nbytes ELSE f.nbytes END
+        FROM f JOIN t ON t.conv_id = f.conv_id AND t.i = f.i + 1, LATERAL (SELECT t.score > f.score OR (t.score > 0.9 * f.score AND t.nbytes > 2 * f.nbytes) AS b))
+      SELECT conv_id, chosen FROM f QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1"""),
+    "extraction_tiers": (tiers, SHAPED + """, b AS (SELECT doc_id, kind, t, trim(CASE kind WHEN 'ld' THEN 'no' WHEN 'main' THEN 'Head' || chr(10) || CASE WHEN t <> '' THEN t || chr(10) ELSE '' END || 'Second' ELSE t END) AS body FROM c, (VALUES ('ld'), ('main'), ('div'), ('bare')) AS k(kind)),
+      x AS (SELECT *, CASE WHEN kind = 'ld' AND strlen(t) > 100 THEN 'structured' WHEN kind = 'main' AND strlen(body) > 50 THEN 'container' WHEN kind <> 'main' AND strlen(body) > 100 THEN 'container'
+        WHEN strlen(replace(body, chr(10), ' ')) > 50 THEN 'body' END AS tier FROM b)
+      SELECT doc_id, kind, CASE WHEN tier IS NULL THEN NULL WHEN kind = 'ld' THEN 'T' WHEN kind = 'main' THEN 'Head' ELSE 'Untitled' END AS title, tier,
+        CASE tier WHEN 'structured' THEN md5(t) WHEN 'container' THEN md5(body) WHEN 'body' THEN md5(replace(body, chr(10), ' ')) END AS text_md5 FROM x"""),
     "term_df": (lambda spark, sf: se.postings(archive(spark, sf)).groupBy("term").agg(F.count_distinct("id").alias("df"), F.count("*").alias("cf")), TOKENS + "SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM tok GROUP BY term"),
     "doc_len": (lambda spark, sf: archive(spark, sf).select("id", (F.size(tx.tokens(F.col("title"))) + F.size(tx.tokens(F.coalesce("content", F.lit(""))))).cast("long").alias("len")), TOKENS + "SELECT id, len FROM len_"),
     "search_and": (hits("ing tion"), ranked_sql([one("ing"), one("tion")], "p0.f > 0 AND p1.f > 0")),
@@ -107,6 +142,11 @@ QUERIES = {
     "search_not": (hits("ing NOT tion"), ranked_sql([one("ing"), one("tion")], "p0.f > 0 AND coalesce(p1.f, 0) = 0")),
     "search_phrase": (hits('"of the"'), ranked_sql(["SELECT a.id FROM tok a JOIN tok b ON a.id = b.id AND a.col = b.col AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the'"], "p0.f > 0")),
     "search_prefix": (hits("title:ere*"), ranked_sql(["SELECT id FROM tok WHERE term LIKE 'ere%' AND col = 'title'"], "p0.f > 0")),
-    "search_porter": (lambda spark, sf: se.search(archive(spark, sf), "heres OR inging", 10), None),
-    "search_snippet": (lambda spark, sf: se.search(archive(spark, sf), '"of the" tion', 10).select("id", "snippet"), None),
+    "search_porter": (lambda spark, sf: se.search(archive(spark, sf), "heres OR inging", 10, index=indexed(spark, sf)), None),
+    "search_snippet": (lambda spark, sf: se.search(archive(spark, sf), '"of the" tion', 10, index=indexed(spark, sf)).select("id", "snippet"), None),
+    "search_top10": (lambda spark, sf: se.search(archive(spark, sf), "ing OR tion", 10, stemmed=False, index=indexed(spark, sf)).select("id", "title", "url", "folder", "word_count", "rank"), ranked_sql([one("ing"), one("tion")], "p0.f > 0 OR p1.f > 0").replace(
+        " SELECT l.id, round(", ", r AS (SELECT l.id, round(") + " ORDER BY 2, 1 LIMIT 10) SELECT id, title, url, folder, word_count, rank FROM r JOIN articles USING (id)"),
+    "search_near": (hits("NEAR(of the, 3)"), ranked_sql([
+        *[f"SELECT {x}.id FROM tok {x} WHERE {x}.term = '{w}' AND EXISTS (SELECT 1 FROM tok {y} WHERE {y}.id = {x}.id AND {y}.col = {x}.col AND {y}.term = '{v}' AND abs({y}.pos - {x}.pos) <= 4)" for x, y, w, v in (("a", "b", "of", "the"), ("b", "a", "the", "of"))],
+    ], "p0.f > 0 AND p1.f > 0", ["of", "the"])),
 }

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from quillstack import cli
 from quillstack.functions import html as H
 from quillstack.functions import urls
-from quillstack.operators import extract, ingest
-from quillstack.plans.registry import ALL
+from quillstack.operators import cascade, extract, ingest, search
 from quillstack.schema import ARTICLE
+from quillstack.sources import files
 from quillstack.sources.bookmarks import read_bookmarks, to_rows
 from quillstack.streaming import ingest as stream
 
@@ -37,7 +37,11 @@ def test_ingest_command(spark, tmp_path, capsys):
     assert cli.main(["stats", "--table", first]) == 0 and cli.main(["analyze", "--table", first]) == 0
     assert cli.main(["read", "1", "--table", first]) == 0 and cli.main(["read", "9", "--table", first]) == 1
     assert cli.main(["search", "words", "NOT", "zzz", "--table", first]) == 0 and cli.main(["search", "don't", "--table", first]) == 1
+    assert cli.main(["index", str(tmp_path / "index"), "--table", first]) == 0
+    assert cli.main(["search", "words", "--table", first, "--index", str(tmp_path / "index")]) == 0
+    assert cli.main(["export", f"file://{tmp_path}/texts", "--table", first]) == 0 and (tmp_path / "texts" / one.filename).read_text() == one.content
     out = capsys.readouterr()
+    assert out.out.count("a/1\n") >= 2 and "3 articles" in out.out and "1 files" in out.out
     assert "Success    1 (33.3%)" in out.out and "a/1" in out.out and "syntax error" in out.err
 
 
@@ -95,12 +99,45 @@ def test_attempts(spark):
 
 
 def test_single_tiers(spark):
-    sf = "/root/testdata/sf0.001"
-    found = {n: {r.id: r.text for r in ALL[n][0](spark, sf).collect()} for n in ("jsonld_body", "readability_tier", "baseline_tier")}
-    assert found["jsonld_body"][-1].startswith("long body") and sum(t is not None for t in found["jsonld_body"].values()) == 1
-    assert found["readability_tier"][-2] is None and found["readability_tier"][-3].startswith("In the main part")  # the first has no URL
-    assert found["baseline_tier"][-3].startswith("Head In the main part & more") and "foot" not in found["baseline_tier"][-3] and found["baseline_tier"][-4] is None
-    assert all(t for i, t in found["baseline_tier"].items() if i >= 0)
+    markup = [
+        (-1, "http://a/1", '<script type="application/ld+json">{"@graph":[{"articleBody":"' + "long body " * 12 + '"}]}</script><p>no</p>'),
+        (-2, None, "<body><div><p>" + "Plain words, without a container. " * 4 + "</p></div></body>"),
+        (-3, "http://a/3", "<body><main><h1>Head</h1><p>" + "In the main part &amp; more of it. " * 5 + "<p>Second</main><footer>foot</footer>"),
+        (-4, "http://a/4", "<body></body>"), (-5, "http://a/5", "<body><span>Between fifty and one hundred bytes of text in the body.</span></body>"),
+    ]
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html").unionByName(spark.createDataFrame(markup, "page_id long, url string, html string"))
+    rows = extract.tier_texts(pages).collect()
+    found = {n: {r.id: r[n] for r in rows} for n in ("structured", "paragraphs", "body")}
+    assert found["structured"][-1].startswith("long body") and sum(t is not None for t in found["structured"].values()) == 1
+    assert found["paragraphs"][-2] is None and found["paragraphs"][-3].startswith("In the main part")  # the first has no URL
+    assert found["body"][-3].startswith("Head In the main part & more") and "foot" not in found["body"][-3] and found["body"][-4] is None
+    assert all(t for i, t in found["body"].items() if i >= 0)
+
+
+def test_cascade(spark):
+    """Routes, attempts and the archive in one flow: a text ends all, an error ends its attempt, the archive comes on the last one."""
+    articles = spark.createDataFrame([(u,) for u in ("http://a", "https://medium.com/b", "https://youtu.be/c", "http://d", "https://www.wsj.com/e", "http://f", "http://f")], "url string")
+    given = spark.createDataFrame([
+        ("http://a", 1, "page", "T", "text a", None), ("http://a", 0, "page", None, None, "timed out"), ("http://a", 1, "archive", "X", "not asked", None),
+        ("https://medium.com/b", 0, "archive", "B", "from the archive", None), ("https://medium.com/b", 0, "page", "P", "not asked", None),
+        ("https://youtu.be/c", 0, "video", None, None, "no captions"), ("https://youtu.be/c", 0, "page", "C", "not reached", None), ("https://youtu.be/c", 1, "page", "C", "second try", None),
+        ("http://d", 2, "archive", "D", "late copy", None), ("http://f", 2, "page", None, None, "refused"), ("http://f", 2, "archive", "F", "not reached", None),
+    ], "url string, attempt int, source string, title string, text string, error string")
+    got = {r.url: (r.ok, r.new_title, r.new_content, r.new_words, r.error) for r in cascade.outcomes(articles, given).collect()}
+    assert got == {
+        "http://a": (True, "T", "text a", 2, None), "https://medium.com/b": (True, "B", "from the archive", 3, None), "https://youtu.be/c": (True, "C", "second try", 2, None),
+        "http://d": (True, "D", "late copy", 2, None), "https://www.wsj.com/e": (False, None, None, None, None), "http://f": (False, None, None, None, "refused"),
+    }
+
+
+def test_texts_are_files(spark, tmp_path):
+    rows = [("a_T.txt", "Héllo\nthere"), ("b.txt", ""), (None, "x"), ("c.txt", None), ("d.txt", "long " * 100_000)]
+    articles = spark.createDataFrame(rows, "filename string, content string")
+    got = {r.filename: r.bytes for r in files.write_texts(articles, f"file://{tmp_path}/texts").collect()}
+    assert got == {"a_T.txt": 12, "b.txt": 0, "d.txt": 500_000}
+    assert (tmp_path / "texts" / "a_T.txt").read_bytes() == "Héllo\nthere".encode()
+    back = {r.filename: r.content for r in files.read_texts(spark, f"file://{tmp_path}/texts").collect()}
+    assert back["a_T.txt"] == "Héllo\nthere" and len(back["d.txt"]) == 500_000
 
 
 def test_deep_markup():
@@ -108,6 +145,11 @@ def test_deep_markup():
     assert H.raw_text(H.parse(deep)).startswith("end")
 
 
+def test_highlights(spark):
+    row = spark.createDataFrame([("...a >>>hit<<< b",)], "s string")
+    assert row.select(search.highlighted(F.col("s")), search.plain(F.col("s"))).first()[:] == ("...a \x1b[1;31mhit\x1b[0m b", "...a hit b")
+
+
 def test_pages_without_readable_markup_keep_their_rows(spark, monkeypatch):
     monkeypatch.setattr(extract, "MAX_BODY", 1000)
     rows = [(1, "http://a/1", None), (2, "http://a/2", ""), (3, "http://a/3", BODY + " " * 1000), (4, "http://a/4", BODY), (5, None, None)]
