@@ -114,7 +114,7 @@ QUERIES = {
       k AS (SELECT *, len(regexp_extract_all(part, '<p[ >]')) AS p, len(regexp_extract_all(part, '<h[1-3][ >]')) AS h, len(regexp_extract_all(part, '<li[ >]')) AS li FROM n)
       SELECT page_id, 'container' AS tier, bytes, round(ln(bytes) * CASE WHEN p > 3 THEN 1 + 0.2 * ln(p) ELSE 1 END * CASE WHEN h BETWEEN 1 AND 9 THEN 1.1 ELSE 1 END
         * CASE WHEN p > 0 AND li > 5 * p THEN 0.5 ELSE 1 END * CASE WHEN bytes < 3 * words THEN 0.5 ELSE 1 END, 6) AS score FROM k"""),
-    "page_link_density": (lambda spark, sf: table(spark, sf, "pages").select("page_id", F.round(tx.link_share(F.col("html")), 6).alias("density")),
+    "page_link_share": (lambda spark, sf: table(spark, sf, "pages").select("page_id", F.round(tx.link_share(F.col("html")), 6).alias("density")),
         r"""WITH b AS (SELECT page_id, regexp_replace(html, '<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<title[^>]*>.*?</title>|<!--.*?-->', '', 'gs') AS body FROM pages),
       n AS (SELECT page_id, list_sum(list_transform(regexp_extract_all(body, '(?s)<a[ >].*?</a>'), lambda x: strlen(trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))))) AS links,
         strlen(trim(regexp_replace(regexp_replace(body, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS total FROM b)

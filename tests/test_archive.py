@@ -73,6 +73,15 @@ def test_html():
     assert H.score("word " * 20, 0.0, 4, 1, 0) > H.score("word " * 20, 0.2, 4, 1, 0) > H.score("word " * 20, 0.6, 4, 1, 0)
 
 
+def test_link_density():
+    """Bytes of links over those of the text at the edges at which a score falls."""
+    for links, share, factor in ((10, 0.1, 1.0), (11, 0.11, 0.8), (30, 0.3, 0.8), (31, 0.31, 0.5), (50, 0.5, 0.5), (51, 0.51, 0.1)):
+        node = next(n for n in H.parse(f"<article>{'x' * (100 - links)}<a href='#'>{'y' * links}</a></article>").walk() if n.tag == "article")
+        text = H.text_of(node)
+        density = H.link_density(node, text.replace(" ", ""))
+        assert density == pytest.approx(share) and H.score(text, density, 0, 0, 0) == pytest.approx(H.score(text, 0.0, 0, 0, 0) * factor)
+
+
 @pytest.fixture(scope="module")
 def library(spark):
     rng = random.Random(8)
