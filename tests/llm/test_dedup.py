@@ -92,3 +92,28 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(a, b) for a, b in zip(ids, ids[1:])] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {**{i: 0 for i in ids}, 100: 100, 101: 100}
+
+
+def test_texts_of_a_megabyte(spark):
+    """Equal and nearly equal texts of over a million characters, beside a hot group of empty ones."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(5000)]
+    long = " ".join(rng.choice(words) for _ in range(200_000))
+    data = [(1, long, "p"), (2, long + " end", "p"), (3, long, "p"), (4, long[:-2], "p"), *((10 + i, "", "p") for i in range(300))]
+    assert len(long) > 1_000_000
+    exact = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup(frame(spark, data)).collect()}
+    assert exact[1] == (3, 2, False) and exact[3] == (3, 2, True) and exact[2] == (2, 1, True) and exact[4] == (4, 1, True) and exact[10] == (309, 300, False)
+    near = {r.doc_id: (r.component_id, r.kept) for r in simhash_dedup(frame(spark, data)).collect()}
+    assert {near[i][0] for i in (1, 2, 3, 4)} == {1} and near[309] == (10, False) and near[10] == (10, True)
+
+
+def test_hot_groups_beyond_a_broadcast(spark, monkeypatch):
+    """The same rows whether a side is broadcast whole or its keys with most rows alone."""
+    from quillstack.llm import common
+
+    rng = random.Random(5)
+    data = [(i, rng.choice(["hot text of a group", "other", None, f"own {i}", f"pair {i // 2}"]), "p") for i in range(400)]
+    want_exact, want_near = (sorted(map(str, f(frame(spark, data)).drop("_f", "_r").collect())) for f in (exact_dedup, simhash_dedup))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 3)
+    assert sorted(map(str, exact_dedup(frame(spark, data)).drop("_f", "_r").collect())) == want_exact
+    assert sorted(map(str, simhash_dedup(frame(spark, data)).drop("_f", "_r").collect())) == want_near

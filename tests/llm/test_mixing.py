@@ -71,3 +71,13 @@ def test_mix_of_little(spark):
     assert mix(frame(spark, [(1, None, "a", ""), (2, "", None, "")])).collect() == []
     one = mix(frame(spark, [(1, "a b c", "a", "")])).collect()
     assert [(r.doc_id, r["pass"], r.weight) for r in one] == [(1, 0, 1.0)]
+
+
+def test_a_copied_table_mixes_alike(spark, tmp_path):
+    """The permutation hangs on the rows, not on where they are stored; a text of a million words is one row like any other."""
+    data = [*rows(), (6000, "w " * 1_000_000, "big", "")]
+    first, second = str(tmp_path / "a"), str(tmp_path / "elsewhere" / "b")
+    frame(spark, data).coalesce(1).write.parquet(first)
+    spark.read.parquet(first).coalesce(1).write.parquet(second)
+    got = [sorted((str(r.doc_id), r.n_tokens, r["pass"], r.block) for r in mix(spark.read.parquet(p), max_passes=3.0).collect()) for p in (first, second)]
+    assert got[0] == got[1] and any(x[1] == 1_000_000 for x in got[0])

@@ -127,6 +127,24 @@ def test_against_brute_force(spark):
     assert all(r.kept for r in clean)
 
 
+def test_base_columns_equal_sql(spark):
+    import duckdb
+
+    con, sf = duckdb.connect(), "/root/testdata/sf0.01"
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.execute(r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS s FROM documents),
+        w AS (SELECT doc_id, unnest(s) AS word, generate_subscripts(s, 1) AS i FROM d),
+        v AS (SELECT doc_id, i, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS five, count(*) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS n FROM w),
+        r AS (SELECT doc_id, i FROM v WHERE n = 5 QUALIFY count(*) OVER (PARTITION BY doc_id, five) > 1),
+        c AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 4)) AS j FROM r) GROUP BY doc_id),
+        l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id)
+        SELECT doc_id, len(s), len(array_to_string(s, '')), len(regexp_replace(t, '[^#*$%&|<>]', '', 'g')), coalesce(l.n, 0), coalesce(c.n, 0), len(s) < 10 OR 100 * coalesce(c.n, 0) > 20 * len(s)
+        FROM d LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id) ORDER BY doc_id""").fetchall()
+    got = m.query(spark, sf).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got] == want
+
+
 def test_groups_of_every_size(spark):
     """Groups of 1, 5, 60 and 20,000 rows against the plain estimate, without the texts."""
     rng = np.random.default_rng(5)

@@ -31,6 +31,21 @@ def test_merges_equal_the_library(spark):
     assert encode(docs.limit(0), model).collect() == []
 
 
+def test_long_texts_equal_the_library(spark, monkeypatch):
+    """Over a million characters, with runs that no piece boundary cuts; and few frequent segments, so that most come from the blocks' files."""
+    sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=MODEL_PATH)
+    from quillstack.llm import pieces
+
+    monkeypatch.setattr(pieces, "FREQUENT", 5)
+    monkeypatch.setattr(pieces, "BLOCK_BITS", 1)
+    rng = random.Random(9)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(1, 14))) for _ in range(4000)]
+    texts = [" ".join(rng.choice(words) for _ in range(170_000)), "the" * 60_000, *(" ".join(rng.choice(words) for _ in range(20)) for _ in range(30))]
+    assert len(texts[0]) > 1_000_000
+    got = {r.doc_id: r for r in encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PieceModel.load(MODEL_PATH)).collect()}
+    assert all(got[i].ids == sp.encode(t) and got[i].round_trip for i, t in enumerate(texts))
+
+
 def unigram(pieces):
     pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
     proto = pb.ModelProto()
@@ -57,6 +72,8 @@ def test_lattice_equals_the_library_and_all_segmentations(spark):
         assert got[i].ids == sp.encode(t), t
         if "é" not in t and "d" not in t and "c" not in t:
             assert model.decode(got[i].ids) == t
+    marked = encode(spark.createDataFrame([(1, "a▁b"), (2, "a b")], "doc_id long, text string"), model)
+    assert {r.doc_id: r.round_trip for r in marked.collect()} == {1: False, 2: True}
     score = {p.piece: p.score for p in proto.pieces if p.type == 1}
     ids = {p.piece: i for i, p in enumerate(proto.pieces)}
     words = ["▁abba", "ababab", "▁bbaab"]
