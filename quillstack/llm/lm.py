@@ -196,7 +196,7 @@ def _reseat(pairs: DataFrame, contexts: DataFrame, words: DataFrame, root: Root,
 
 
 def _reseat_root(words: DataFrame, root: Root, sweep: int) -> DataFrame:
-    """`words` (w, n, r, ps) with new tables in the parent."""
+    """`words` (w, n, r, ps, count) with new tables in the parent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seater = Seater(STRENGTH, DISCOUNT)
@@ -205,9 +205,9 @@ def _reseat_root(words: DataFrame, root: Root, sweep: int) -> DataFrame:
                 n, r = (b.column(x).to_numpy(zero_copy_only=False) for x in (1, 2))
                 r = np.minimum(r, n)
                 new = seater.draw(n, r, root.tables - r, np.full(len(n), 1 / (root.words + 1)), _generator(b, sweep))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(new), b.column(3)], names=["w", "n", "r", "ps"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(new), b.column(3), b.column(4)], names=["w", "n", "r", "ps", "count"])
 
-    return words.select("w", "n", "r", "ps").mapInArrow(run, "w long, n long, r long, ps array<double>")
+    return words.select("w", "n", "r", "ps", "count").mapInArrow(run, "w long, n long, r long, ps array<double>, count long")
 
 
 def _changed(side: DataFrame, changes: DataFrame, key: str, column: str) -> DataFrame:
@@ -248,34 +248,44 @@ def train(texts: DataFrame, burn_in: int = BURN_IN, kept: int = KEPT, frequent:
     release(spark)
     counted, counted_path = written(_pairs(texts, shared).groupBy("u", "w").agg(F.sum("c").alias("c")), "lm-pairs")
     release(spark)
-    contexts, contexts_path = written(counted.groupBy("u").agg(F.sum("c").alias("size"), F.count("*").alias("tables")).withColumn("backs", F.array().cast("array<double>")), "lm-contexts")
-    words, words_path = written(
-        counted.groupBy("w").agg(F.sum("c").alias("count"), F.count("*").alias("n")).selectExpr("w", "n", "1L AS r", "cast(array() AS array<double>) AS ps", "count"), "lm-words"
-    )
-    counts = cut(words.select("w", "count"), "lm-counts")
+    # Contexts whose pairs were all met once, and words with a single customer in the parent, stay as they are.
+    several = F.count_if(F.col("c") > 1).alias("several")
+    every_context = cut(counted.groupBy("u").agg(F.sum("c").alias("size"), F.count("*").alias("tables"), several), "lm-every-context")
+    every_word = cut(counted.groupBy("w").agg(F.sum("c").alias("count"), F.count("*").alias("n"), several), "lm-every-word")
+    release(spark)
+    still_contexts, still_words = every_context.where("several = 0"), every_word.where("several = 0 AND n = 1")
+    contexts, contexts_path = written(every_context.where("several > 0").select("u", "size", "tables", F.array().cast("array<double>").alias("backs")), "lm-contexts")
+    words, words_path = written(every_word.where("several > 0 OR n > 1").selectExpr("w", "n", "1L AS r", "cast(array() AS array<double>) AS ps", "count"), "lm-words")
     pairs, pairs_path = written(counted.where("c > 1").selectExpr("u", "w", "c", "1L AS t", "cast(array() AS array<int>) AS ts", "0L AS change"), "lm-state")
-    roots = []
+    still, roots = still_words.count(), []
+
+    def root() -> Root:
+        n, r = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("r"), F.lit(0))).first()
+        return Root(n + still, r + still, n_words)
+
     for sweep in range(burn_in + kept):
-        root = Root(*words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("r"), F.lit(0))).first(), n_words)
+        now = root()
         with batches_of(spark, SWEEP_ROWS):
-            next_pairs, next_pairs_path = written(_reseat(pairs, contexts, words, root, sweep), "lm-state")
+            next_pairs, next_pairs_path = written(_reseat(pairs, contexts, words, now, sweep), "lm-state")
             changes = next_pairs.where("change <> 0")
             next_contexts, next_contexts_path = written(_changed(contexts, changes, "u", "tables"), "lm-contexts")
-            next_words, next_words_path = written(_reseat_root(_changed(words, changes, "w", "n"), root, sweep), "lm-words")
+            next_words, next_words_path = written(_reseat_root(_changed(words, changes, "w", "n"), now, sweep), "lm-words")
         for path in (pairs_path, contexts_path, words_path):
             forget(spark, path)
         pairs, pairs_path, contexts, contexts_path, words, words_path = next_pairs, next_pairs_path, next_contexts, next_contexts_path, next_words, next_words_path
         release(spark)
         if sweep >= burn_in:
-            root = Root(*words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("r"), F.lit(0))).first(), n_words)
-            roots.append(root)
+            roots.append(root())
             pairs = pairs.withColumn("ts", F.concat("ts", F.array(F.col("t").cast("int"))))
             contexts = contexts.withColumn("backs", F.concat("backs", F.array(F.expr(f"{STRENGTH}D + {DISCOUNT}D * tables"))))
-            words = words.withColumn("ps", F.concat("ps", F.array(F.expr(root.share_sql()))))
+            words = words.withColumn("ps", F.concat("ps", F.array(F.expr(roots[-1].share_sql()))))
     own = F.expr(f"c - {DISCOUNT}D * aggregate(ts, 0D, (a, x) -> a + x) / {max(1, kept)}D")
     once = counted.where("c = 1").select("u", "w", "c", F.lit(1 - DISCOUNT).alias("own"))
+    alone = "array(" + ", ".join(f"{float(r.share(np.ones(1), np.ones(1))[0])!r}D" for r in roots) + ")"
     return LanguageModel(
-        places, cut(words.join(counts, "w").select("w", "count", "ps"), "lm-model-words"), cut(contexts.select("u", "size", "backs"), "lm-model-contexts"),
+        places,
+        words.select("w", "count", "ps").unionAll(still_words.selectExpr("w", "count", f"cast({alone} AS array<double>) AS ps")),
+        contexts.select("u", "size", "backs").unionAll(still_contexts.selectExpr("u", "size", f"array_repeat({STRENGTH}D + {DISCOUNT}D * tables, {len(roots)}) AS backs")),
         pairs.select("u", "w", "c", own.alias("own")).unionAll(once), tuple(r.unseen() for r in roots), n_tokens, n_words,
     )
 
