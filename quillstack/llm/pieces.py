@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -23,16 +24,17 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import cut, drop_memos, keyed, new_path, setting, table, texts_of
+from quillstack.llm.common import cut, drop_memos, forget, keyed, ladder, new_path, release, setting, table, texts_of, written
 
 MARK = "▁"
 SEGMENT = f"{MARK}*[^{MARK}]+|{MARK}+"
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segments that every worker holds; rows of a block; segments that a counting task holds before it passes them on.
-FREQUENT, BLOCK_BITS, FLUSH = 200_000, 13, 400_000
+FREQUENT, BLOCK_BITS, FLUSH = 400_000, 13, 1_000_000
 #: Characters of a segment in the lattice of a BPE model (boundaries are bits of a long); longer ones are merged one by one.
 #: Segments of a lattice partition, about.
 LATTICE_CHARS, LATTICE_ROWS = 60, 20_000
@@ -158,7 +160,7 @@ def _count_segments(base: DataFrame, model: PieceModel) -> DataFrame:
         held, block = Counter(), None
 
         def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array([block] * len(held), pa.string()), pa.array(held, pa.string()), pa.array(held.values(), pa.int64())], names=["block", "segment", "c"])
+            made = pa.RecordBatch.from_arrays([pa.array(np.full(len(held), block, np.int64)), pa.array(held, pa.string()), pa.array(held.values(), pa.int64())], names=["block", "segment", "c"])
             held.clear()
             return made
 
@@ -171,13 +173,13 @@ def _count_segments(base: DataFrame, model: PieceModel) -> DataFrame:
         if held:
             yield out()
 
-    return base.mapInArrow(run, "block string, segment string, c long")
+    return base.mapInArrow(run, "block long, segment string, c long")
 
 
-def _blocks(b: pa.RecordBatch) -> Iterator[str]:
-    """The block of each row of a batch that begins with _f and _r."""
+def _blocks(b: pa.RecordBatch) -> Iterator[int]:
+    """The block of each row of a batch that begins with _f and _r: a hash of the file and the higher bits of the place."""
     for f, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-        yield f"{f & 0xFFFFFFFFFFFFFFFF:016x}{r >> BLOCK_BITS:012x}"
+        yield xxhash.xxh64_intdigest(struct.pack("<qq", f, r >> BLOCK_BITS)) >> 1
 
 
 def _merged(segments: DataFrame, model: PieceModel) -> DataFrame:
@@ -226,11 +228,12 @@ def merge_paths(segments: DataFrame, model: PieceModel) -> DataFrame:
     spark = segments.sparkSession
     pieces = spark.createDataFrame([(model.pieces[i], i, -float(model.scores[i])) for i in model.normal], "part string, id int, rank double")  # its size is the model's
     longest = max(len(model.pieces[i]) for i in model.normal)
-    roomy = cut(_with_room(segments, model, longest), "piece-segments")
+    roomy, roomy_path = written(_with_room(segments, model, longest), "piece-segments")
+    release(spark)
     partitions = roomy.count() // LATTICE_ROWS + 1
     starts = roomy.where("room IS NOT NULL").repartition(partitions, "segment").select("segment", "c", F.posexplode("room").alias("start", "room"))
     parts = starts.selectExpr("segment", "c", "start", "explode(sequence(1, int(room))) AS n").selectExpr("segment", "c", "start", "n", "substring(segment, start + 1, n) AS part")
-    edges = parts.join(F.broadcast(pieces), "part").selectExpr(
+    edges = parts.join(F.broadcast(pieces), "part", "left").where("id IS NOT NULL OR n = 1").selectExpr(
         "segment", "c",
         """named_struct('rank', rank, 'start', start, 'n', n, 'id', id, 'ends', shiftleft(1L, start) | shiftleft(1L, start + n),
           'inner', (shiftleft(1L, start + n) - 1L) & ~(shiftleft(1L, start + 1) - 1L)) AS edge""",
@@ -239,14 +242,18 @@ def merge_paths(segments: DataFrame, model: PieceModel) -> DataFrame:
     merges = grouped.selectExpr("*", "length(segment) AS size", "array_sort(filter(edges, e -> e.n > 1)) AS merges")
     bounds = merges.selectExpr("*", """
         aggregate(if(size > 1 AND size(merges) > 0, sequence(2, size), array()), shiftleft(1L, size + 1) - 1L,
-          (b, i) -> b & ~coalesce(get(filter(merges, e -> (b & e.ends) = e.ends AND bit_count(b & e.inner) = 1), 0).inner, 0L)) AS bounds""")
-    chosen = bounds.selectExpr("segment", "c", "size", "array_sort(transform(filter(edges, e -> (bounds & e.ends) = e.ends AND (bounds & e.inner) = 0L), e -> named_struct('start', e.start, 'n', e.n, 'id', e.id))) AS chosen")
-    whole = chosen.selectExpr("segment", "c", "if(aggregate(chosen, 0, (a, e) -> a + e.n) = size, transform(chosen, e -> e.id), null) AS ids")
+          (b, i) -> b & ~aggregate(merges, 0L, (m, e) -> if(m = 0L AND (b & e.ends) = e.ends AND bit_count(b & e.inner) = 1, e.inner, m))) AS bounds""")
+    chosen = bounds.selectExpr("segment", "c", "array_sort(transform(filter(edges, e -> (bounds & e.ends) = e.ends AND (bounds & e.inner) = 0L), e -> named_struct('start', e.start, 'id', e.id))) AS chosen")
+    whole = chosen.selectExpr("segment", "c", "transform(chosen, e -> e.id) AS ids")
     with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", 10 * LATTICE_ROWS):  # a partition's segments are few enough for a table
         paths = cut(whole, "piece-paths")
-    # Segments without any edge have no row in the lattice.
-    others = roomy.join(paths.where("ids IS NOT NULL").select("segment"), "segment", "left_anti")
-    return cut(paths.where("ids IS NOT NULL").unionAll(_merged(others, model)), "piece-ids")
+    # A character without a piece has a null among the ids. Such segments are few, and the others are not written again.
+    known = F.forall("ids", lambda x: x.isNotNull())
+    others = paths.where(~known).select("segment", "c").unionAll(roomy.where("room IS NULL").select("segment", "c"))
+    merged = cut(_merged(others, model), "piece-ids")
+    forget(spark, roomy_path)
+    release(spark)
+    return paths.where(known).unionAll(merged)
 
 
 def best_paths(segments: DataFrame, model: PieceModel) -> DataFrame:
@@ -280,13 +287,22 @@ def best_paths(segments: DataFrame, model: PieceModel) -> DataFrame:
         return cut(paths, "piece-ids")
 
 
-def _frequent(coded: DataFrame, most: int) -> tuple[dict[str, bytes], int]:
+class _Frequent:
+    """Ids of the frequent segments; sent as a table, of which each worker makes its own dictionary once."""
+
+    def __init__(self, held: pa.Table):
+        self.held = held
+
+    def ids(self) -> _Known:
+        if not hasattr(self, "known"):
+            self.known = _Known(_coded(self.held.column("segment"), self.held.column("ids")))
+        return self.known
+
+
+def _frequent(coded: DataFrame, most: int) -> tuple[_Frequent, int]:
     """Ids of at most `most` of the most frequent segments, and the least count of those."""
-    ladder = sorted({int(2 ** (i / 2)) for i in range(80)})
-    sizes = coded.agg(*[F.count_if(F.col("c") >= x) for x in ladder]).first()
-    least = next((x for x, n in zip(ladder, sizes, strict=True) if n <= most), ladder[-1] * 2)
-    got = coded.where(F.col("c") >= least).select("segment", "ids").toArrow()
-    return dict(_coded(got.column("segment"), got.column("ids"))), least
+    least = ladder(coded, "c", most)
+    return _Frequent(coded.where(F.col("c") >= least).select("segment", "ids").toArrow()), least
 
 
 def _coded(segments: pa.ChunkedArray, ids: pa.ChunkedArray) -> Iterator[tuple[str, bytes]]:
@@ -307,13 +323,17 @@ class _Known(dict):
         return self.others[segment]
 
 
-def _assembled(base: DataFrame, model: PieceModel, coded: DataFrame, counted: DataFrame) -> DataFrame:
-    """The result for `base`, from the ids of all segments and the segments of each block."""
+def _assembled(base: DataFrame, model: PieceModel, coded: DataFrame, counted: DataFrame, counted_path: str) -> DataFrame:
+    """The result for `base`, from the ids of all segments and the segments of each block, which are not read again."""
     spark = base.sparkSession
     frequent, least = _frequent(coded, FREQUENT)
     folder = new_path(spark, "piece-blocks")
-    rare = counted.join(coded.where(F.col("c") < least).select("segment", "ids"), "segment").select("block", "segment", "ids").distinct()
-    rare.repartition("block").write.partitionBy("block").parquet(folder)
+    # Each is dealt once, by segment; then by block.
+    often = F.broadcast(coded.where(F.col("c") >= least).select("segment"))  # FREQUENT rows at most
+    rare = counted.select("block", "segment").join(often, "segment", "left_anti").join(coded.where(F.col("c") < least).select("segment", "ids"), "segment").select("block", "segment", "ids")
+    rare.repartition("block").write.option("compression", "zstd").partitionBy("block").parquet(folder)
+    forget(spark, counted_path)
+    release(spark)
     shared = spark.sparkContext.broadcast((model, frequent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,10 +343,10 @@ def _assembled(base: DataFrame, model: PieceModel, coded: DataFrame, counted: Da
         drop_memos()
         store, root = fs.FileSystem.from_uri(folder)
         model, frequent = shared.value
-        known, block = _Known(frequent), None
+        known, block = frequent.ids(), None
         unigram = model.kind == "unigram"
 
-        def read(block: str) -> dict[str, bytes]:
+        def read(block: int) -> dict[str, bytes]:
             place, found = f"{root}/block={block}", {}
             if store.get_file_info(place).type != fs.FileType.NotFound:
                 for f in store.get_file_info(fs.FileSelector(place)):
@@ -357,6 +377,7 @@ def _assembled(base: DataFrame, model: PieceModel, coded: DataFrame, counted: Da
                 [b.column(0), b.column(1), b.column(2), pa.array(lengths, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(same, pa.bool_())],
                 names=["_f", "_r", "doc_id", "n_pieces", "ids", "round_trip"],
             )
+        known.others = {}
 
     return base.mapInArrow(run, "_f long, _r long, doc_id long, n_pieces long, ids array<int>, round_trip boolean")
 
@@ -369,10 +390,12 @@ def encode(docs: DataFrame, model: PieceModel, id_column: str = "doc_id", text_c
     other columns are not read; an empty table gives no rows.
     """
     base = keyed(docs, F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    counted = cut(_count_segments(base, model), "piece-counts")
+    counted, counted_path = written(_count_segments(base, model), "piece-counts")
+    release(base.sparkSession)
     segments = counted.groupBy("segment").agg(F.sum("c").alias("c"))
     coded = merge_paths(segments, model) if model.kind == "bpe" else best_paths(segments, model)
-    return _assembled(base, model, coded, counted)
+    release(base.sparkSession)
+    return _assembled(base, model, coded, counted, counted_path)
 
 
 def decode(coded: DataFrame, model: PieceModel) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import Memo, bucket, cut, if_small, keyed, small_batches, table, texts_of, worker_memo
+from quillstack.llm.common import Memo, bucket, cut, if_small, keyed, small_batches, spread, table, texts_of, worker_memo
 
 #: The bounds of training: labelled texts (half for each class, by hash of the row), and the bytes of a text that may be one.
 SAMPLE_TEXTS, SAMPLE_BYTES = 4000, 1 << 18
@@ -96,12 +96,14 @@ def fit(texts: list[str], labels: list[int], width: int = WIDTH, epochs: int = E
         own = np.frombuffer(b"".join(known[w][0] for w in words), np.int32)
         pairs = ROWS + pair_rows(np.array([known[w][1] for w in words], np.uint32)).astype(np.int32)
         rows, counts = np.unique(np.concatenate([own, pairs]), return_counts=True)
-        coded.append((rows, counts / max(1, counts.sum()), min(int(counts.sum()), 50)))
+        # In narrow types, as all texts' features are held at once.
+        coded.append((rows, counts.astype(np.min_scalar_type(int(counts.max(initial=0)))), int(counts.sum())))
     del known
     steps, total = 0, epochs * len(texts)
     for _ in range(epochs):
         for i in rng.permutation(len(texts)):
-            rows, share, push = coded[i]
+            rows, counts, n = coded[i]
+            share, push = counts / max(1, n), min(n, 50)
             step = rate * (1 - steps / total)
             steps += 1
             mean = share @ vectors[rows]
@@ -149,7 +151,7 @@ def score(docs: DataFrame, model: QualityModel, id_column: str = "doc_id", text_
             )
 
     base = keyed(docs, F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return base.mapInArrow(run, "_f long, _r long, doc_id long, score double, predicted int")
+    return spread(base, docs).mapInArrow(run, "_f long, _r long, doc_id long, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: QualityModel, text_column: str = "text") -> DataFrame:
@@ -166,7 +168,7 @@ def keep_good(docs: DataFrame, model: QualityModel, text_column: str = "text") -
         for b in batches:
             yield b.filter(pa.array(shared.value.scores(texts_of(b.column(at)), memo) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs, docs).mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
