@@ -107,6 +107,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_ROWS)
 
 
+def spread(df: DataFrame, source: DataFrame) -> DataFrame:
+    """`df`, a projection of a file table `source`, dealt over all cores if its files make fewer tasks than there are.
+
+    Tables of a real size make more, and are left where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if _reads_files(source) and source._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def keyed(df: DataFrame, *columns: Column) -> DataFrame:
     """`columns` of `df` under a row key (_f, _r) that stays the same when the rows are read again.
 

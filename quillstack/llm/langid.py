@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import Memo, bucket, cut, keyed, table, texts_of, worker_memo
+from quillstack.llm.common import Memo, bucket, cut, keyed, spread, table, texts_of, worker_memo
 
 #: The sample's bounds: labelled texts over all languages (each has an equal share, by hash of the row; the share is
 #: at least SHARE texts) and the bytes of a text that may be in it. The longest n-gram.
@@ -147,7 +147,7 @@ def train(docs: DataFrame, learn: Column, text_column: str = "text", lang_column
     share = max(SHARE, sample_texts // len(languages))
     every = sizes.select("l", F.greatest(F.lit(1), F.floor(F.col("n") / share)).alias("every"))
     sample = rows.join(F.broadcast(every), "l").where(F.pmod(F.xxhash64("_f", "_r"), F.col("every")) == 0)
-    counted = cut(sample.select("t", "l").mapInArrow(_count, "l string, w string, c long").groupBy("l", "w").agg(F.sum("c").alias("c")), "language-words")
+    counted = cut(spread(sample.select("t", "l"), docs).mapInArrow(_count, "l string, w string, c long").groupBy("l", "w").agg(F.sum("c").alias("c")), "language-words")
     grams = counted.mapInArrow(_count_grams, "l string, w string, c long").groupBy("l", "w").agg(F.sum("c").alias("c"))
     words = {l: Counter() for l in languages} | _by_language(counted)
     return LanguageModel.of_counts(words, {l: Counter() for l in languages} | _by_language(grams))
@@ -171,7 +171,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", t
             )
 
     base = keyed(docs, F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return base.mapInArrow(run, "_f long, _r long, doc_id long, lang_pred string, score double")
+    return spread(base, docs).mapInArrow(run, "_f long, _r long, doc_id long, lang_pred string, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

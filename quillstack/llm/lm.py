@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import batches_of, bucket, cut, drop_memos, forget, keyed, ladder, release, small_batches, table, texts_of, written
+from quillstack.llm.common import batches_of, bucket, cut, drop_memos, forget, keyed, ladder, release, small_batches, spread, table, texts_of, written
 from quillstack.llm.seating import Seater
 
 DISCOUNT, STRENGTH, BURN_IN, KEPT, SEED = 0.75, 1.0, 2, 2, 29
@@ -125,7 +125,7 @@ def _pairs(texts: DataFrame, places: Broadcast) -> DataFrame:
         if held:
             yield from out()
 
-    return texts.select("text").mapInArrow(run, "u long, w long, c long")
+    return spread(texts.select("text"), texts).mapInArrow(run, "u long, w long, c long")
 
 
 def root_share(customers: np.ndarray, tables: np.ndarray, root_customers: float, root_tables: float, words: int) -> np.ndarray:
@@ -240,7 +240,7 @@ def train(texts: DataFrame, burn_in: int = BURN_IN, kept: int = KEPT, frequent:
     """Learns from all of `texts` (text). An empty table gives a model that has met no word."""
     spark = texts.sparkSession
     small_batches(spark)
-    vocabulary = cut(texts.select("text").mapInArrow(_count, "w string, c long").groupBy("w").agg(F.sum("c").alias("c")), "lm-vocabulary")
+    vocabulary = cut(spread(texts.select("text"), texts).mapInArrow(_count, "w string, c long").groupBy("w").agg(F.sum("c").alias("c")), "lm-vocabulary")
     n_words, n_tokens = vocabulary.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     top = vocabulary.where(F.col("c") >= ladder(vocabulary, "c", frequent)).orderBy(F.desc("c"), "w").select("w").toArrow()
     places = {w.encode(): i for i, w in enumerate(top.column("w").to_pylist(), 1)}
@@ -362,7 +362,7 @@ def score(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", text
             )
 
     base = keyed(docs, F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    found = base.mapInArrow(
+    found = spread(base, docs).mapInArrow(
         run, "_f long, _r long, doc_id long, n_tokens long, n_known long, base double, logs double, fu array<int>, fw array<int>, ru array<long>, rw array<long>"
     )
     held = cut(found.withColumn("n", F.monotonically_increasing_id()), "lm-texts")

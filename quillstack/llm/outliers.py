@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import SPACE, cut, joined, keyed, table
+from quillstack.llm.common import SPACE, cut, joined, keyed, spread, table
 
 #: Share of a group that a concentration step keeps; steps from each start and from the best; bins of a doubling of
 #: the squared distance (a share is kept to the end of a bin); rows that weigh as much as the estimate above a group's.
@@ -34,7 +34,7 @@ def statistics(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     text = F.coalesce(F.col(text_column), F.lit(""))
     base = keyed(docs, F.col(id_column).alias("doc_id"), F.col(lang_column).cast("string").alias("lang"), F.col(source_column).cast("string").alias("source"), text.alias("text"))
     trimmed = F.btrim("text", F.lit(" \t\n\x0b\f\r"))
-    split = base.withColumn("words", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE}]+")))
+    split = spread(base, docs).withColumn("words", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE}]+")))
     hashed = split.withColumns({
         "n": F.size("words").cast("long"),
         "hashes": F.expr(f"if(size(words) <= {WINDOW}, cast(array() as array<bigint>), transform(sequence(1, size(words) - {WINDOW - 1}), i -> xxhash64(slice(words, i, {WINDOW}))))"),

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import cut, drop_memos, joined, keyed, release, setting, table, texts_of
+from quillstack.llm.common import cut, drop_memos, joined, keyed, release, setting, spread, table, texts_of
 from quillstack.llm.components import components
 
 SHINGLE_WORDS, MAX_BITS, SEED = 3, 3, 42
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, id_column: str, text_column: str, words: int)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(fps)], names=["_f", "_r", "doc_id", "fp"])
 
     base = keyed(docs, F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return cut(base.mapInArrow(run, "_f long, _r long, doc_id long, fp long"), "simhash-fps")
+    return cut(spread(base, docs).mapInArrow(run, "_f long, _r long, doc_id long, fp long"), "simhash-fps")
 
 
 def _near(fps: DataFrame) -> DataFrame:
