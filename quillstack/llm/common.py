@@ -212,11 +212,11 @@ class Memo(dict):
         return value
 
 
-_memos: dict[str, Memo] = {}
+_memos: dict[str, dict] = {}
 
 
-def worker_memo(key: str, build: Callable[[], Memo]) -> Memo:
-    """The memo that the tasks of one Python worker share for `key`; an earlier key's is dropped."""
+def worker_memo(key: str, build: Callable[[], dict]) -> dict:
+    """The memo or table that the tasks of one Python worker share for `key`; an earlier key's is dropped."""
     from quillstack.llm.common import _memos  # the module's own, not the copy that was sent with a function
 
     if key not in _memos:

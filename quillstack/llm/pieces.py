@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Texts are cut before runs of space marks (a piece never has a mark after another character), and the
-distinct segments are counted. Their substrings of bounded length are exploded and joined to the piece
+Texts are cut before runs of space marks (a piece never has a mark after another character) and around
+characters that no piece has, and the distinct segments are counted. Their substrings of bounded length are exploded and joined to the piece
 table, the edges grouped by segment, and a segment's pieces folded from its edges with `aggregate`: for
 unigram models the best path (Viterbi), for BPE models the merges, best rank first. BPE pieces have ranks,
 not probabilities, and the path of the best summed rank is another segmentation than their encoder's.
@@ -17,9 +17,11 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -28,13 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import cut, drop_memos, forget, keyed, ladder, new_path, release, setting, table, texts_of, written
+from quillstack.llm.common import cut, drop_memos, forget, keyed, ladder, new_path, release, setting, table, texts_of, worker_memo, written
 
 MARK = "▁"
-SEGMENT = f"{MARK}*[^{MARK}]+|{MARK}+"
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segments that every worker holds; rows of a block; segments that a counting task holds before it passes them on.
-FREQUENT, BLOCK_BITS, FLUSH = 400_000, 13, 1_000_000
+FREQUENT, BLOCK_BITS, FLUSH = 200_000, 13, 1_000_000
 #: Characters of a segment in the lattice of a BPE model (boundaries are bits of a long); longer ones are merged one by one.
 #: Segments of a lattice partition, about.
 LATTICE_CHARS, LATTICE_ROWS = 60, 20_000
@@ -132,8 +133,14 @@ class PieceModel:
             return tuple(self.byte_ids[b] for b in character.encode("utf-8", "replace"))
         return (self.unknown,)
 
+    @cached_property
+    def segment(self) -> re.Pattern[str]:
+        """Runs of characters that pieces have, with the marks before them; other runs of marks; each other character."""
+        known = "".join(map(re.escape, sorted(set(chain.from_iterable(self.pieces[i] for i in self.normal)) - {MARK})))
+        return re.compile((f"{MARK}*[{known}]+|" if known else "") + f"{MARK}+|[^{MARK}]", re.DOTALL)
+
     def segments(self, text: str) -> list[str]:
-        return re.findall(SEGMENT, self.marked(text), re.DOTALL)
+        return self.segment.findall(self.marked(text))
 
     def marked(self, text: str) -> str:
         return MARK * (self.prefix and bool(text)) + text.replace(" ", MARK)
@@ -287,22 +294,10 @@ def best_paths(segments: DataFrame, model: PieceModel) -> DataFrame:
         return cut(paths, "piece-ids")
 
 
-class _Frequent:
-    """Ids of the frequent segments; sent as a table, of which each worker makes its own dictionary once."""
-
-    def __init__(self, held: pa.Table):
-        self.held = held
-
-    def ids(self) -> _Known:
-        if not hasattr(self, "known"):
-            self.known = _Known(_coded(self.held.column("segment"), self.held.column("ids")))
-        return self.known
-
-
-def _frequent(coded: DataFrame, most: int) -> tuple[_Frequent, int]:
-    """Ids of at most `most` of the most frequent segments, and the least count of those."""
+def _frequent(coded: DataFrame, most: int) -> tuple[pa.Table, int]:
+    """Segment and ids of at most `most` of the most frequent segments, and the least count of those."""
     least = ladder(coded, "c", most)
-    return _Frequent(coded.where(F.col("c") >= least).select("segment", "ids").toArrow()), least
+    return coded.where(F.col("c") >= least).select("segment", "ids").toArrow(), least
 
 
 def _coded(segments: pa.ChunkedArray, ids: pa.ChunkedArray) -> Iterator[tuple[str, bytes]]:
@@ -334,16 +329,15 @@ def _assembled(base: DataFrame, model: PieceModel, coded: DataFrame, counted: Da
     rare.repartition("block").write.option("compression", "zstd").partitionBy("block").parquet(folder)
     forget(spark, counted_path)
     release(spark)
-    shared = spark.sparkContext.broadcast((model, frequent))
+    shared, key = spark.sparkContext.broadcast((model, frequent)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
         from pyarrow import parquet as pq
 
-        drop_memos()
         store, root = fs.FileSystem.from_uri(folder)
         model, frequent = shared.value
-        known, block = frequent.ids(), None
+        known, block = worker_memo(key, lambda: _Known(_coded(frequent.column("segment"), frequent.column("ids")))), None
         unigram = model.kind == "unigram"
 
         def read(block: int) -> dict[str, bytes]:

@@ -25,8 +25,8 @@ from quillstack.llm.common import Memo, bucket, cut, if_small, keyed, small_batc
 SAMPLE_TEXTS, SAMPLE_BYTES = 4000, 1 << 18
 #: Rows of words and n-grams, and after them those of bigrams; lengths of n-grams.
 ROWS, PAIR_ROWS, WIDTH, SHORTEST, LONGEST, EPOCHS, RATE, SEED = 1 << 16, 1 << 18, 8, 3, 4, 6, 0.4, 13
-#: Words that a worker remembers.
-MEMO = 150_000
+#: Words that a worker remembers, and training.
+MEMO, FIT_MEMO = 150_000, 15_000
 THRESHOLD = 0.7
 MIX = np.uint32(0x9E3779B1)
 
@@ -87,14 +87,11 @@ def fit(texts: list[str], labels: list[int], width: int = WIDTH, epochs: int = E
     rng = np.random.default_rng(seed)
     vectors = (rng.random((ROWS + PAIR_ROWS, width)) - 0.5) / width
     layer, bias = np.zeros((2, width)), np.zeros(2)
-    coded, known = [], {}
+    coded, known = [], Memo(lambda word: (np.array(features(word), np.int32).tobytes(), word_hash(word)), FIT_MEMO)
     for text in texts:
-        words = text.split()
-        for word in words:
-            if word not in known:
-                known[word] = (np.array(features(word), np.int32).tobytes(), word_hash(word))
-        own = np.frombuffer(b"".join(known[w][0] for w in words), np.int32)
-        pairs = ROWS + pair_rows(np.array([known[w][1] for w in words], np.uint32)).astype(np.int32)
+        words = list(map(known.__getitem__, text.split()))
+        own = np.frombuffer(b"".join(rows for rows, _ in words), np.int32)
+        pairs = ROWS + pair_rows(np.array([h for _, h in words], np.uint32)).astype(np.int32)
         rows, counts = np.unique(np.concatenate([own, pairs]), return_counts=True)
         # In narrow types, as all texts' features are held at once.
         coded.append((rows, counts.astype(np.min_scalar_type(int(counts.max(initial=0)))), int(counts.sum())))
