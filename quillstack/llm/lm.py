@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ DISCOUNT, STRENGTH, BURN_IN, KEPT, SEED = 0.75, 1.0, 2, 2, 29
 FREQUENT, FREQUENT_PAIRS, FLUSH = 400_000, 2_000_000, 400_000
 #: Tokens whose pairs a task counts together; pairs seated together.
 BLOCK_TOKENS, SWEEP_ROWS = 4_000_000, 200_000
+#: Parts of all pairs that scoring joins one after another, so that the shuffles of one are deleted before the next.
+SLICES = 4
 END = "\n"
 #: The number of the context at the start of a text. Words have numbers from 1, or negative ones.
 START = 0
@@ -91,16 +94,32 @@ class Coder:
         return w, u, np.array(lengths)
 
 
-def _distinct(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs, and how often each is there. Those of numbered words are sorted as one integer."""
-    both = (u >= 0) & (w >= 0)
-    keys, often = np.unique((u[both] << 32) | w[both], return_counts=True)
-    u, w = u[~both], w[~both]
+def _starts(moved: np.ndarray, size: int) -> np.ndarray:
+    """Where runs of equal values begin among `size` sorted ones, and the end; moved: whether each but the first differs from the one before."""
+    return np.concatenate(([0], np.flatnonzero(moved) + 1, [size])) if size else np.zeros(1, np.int64)
+
+
+def _distinct(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Distinct pairs (u, w), and how often each is there, SWEEP_ROWS at a time.
+
+    Pairs of numbered words are held as one integer each, the others as two columns. The list is emptied, and
+    nothing is copied whole but once.
+    """
+    keys, u, w = (np.concatenate(x) for x in zip(*held))
+    held.clear()
+    keys.sort()
+    at = _starts(keys[1:] != keys[:-1], len(keys))
+    for i in range(0, len(at) - 1, SWEEP_ROWS):
+        runs = at[i : i + SWEEP_ROWS + 1]
+        found = keys[runs[:-1]]
+        yield found >> 32, found & 0xFFFFFFFF, np.diff(runs)
+    del keys
     order = np.lexsort((w, u))
     u, w = u[order], w[order]
-    first = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])))) if len(u) else np.zeros(0, np.int64)
-    rare = np.diff(np.concatenate((first, [len(u)])))
-    return np.concatenate((keys >> 32, u[first])), np.concatenate((keys & 0xFFFFFFFF, w[first])), np.concatenate((often, rare))
+    at = _starts((u[1:] != u[:-1]) | (w[1:] != w[:-1]), len(u))
+    for i in range(0, len(at) - 1, SWEEP_ROWS):
+        runs = at[i : i + SWEEP_ROWS + 1]
+        yield u[runs[:-1]], w[runs[:-1]], np.diff(runs)
 
 
 def _pairs(texts: DataFrame, places: Broadcast) -> DataFrame:
@@ -109,19 +128,21 @@ def _pairs(texts: DataFrame, places: Broadcast) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_memos()
         coder = Coder(places.value)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        many = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            found = _distinct(np.concatenate([u for u, _ in held]), np.concatenate([w for _, w in held]))
-            held.clear()
-            for at in range(0, len(found[0]), SWEEP_ROWS):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + SWEEP_ROWS].astype(np.int64)) for x in found], names=["u", "w", "c"])
+            for found in _distinct(held):
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64, copy=False)) for x in found], names=["u", "w", "c"])
 
         for b in batches:
             w, u, _ = coder(texts_of(b.column(0)))
-            held.append((u, w))
-            if sum(len(x) for x, _ in held) >= BLOCK_TOKENS:
+            both = (u >= 0) & (w >= 0)
+            held.append(((u[both] << 32) | w[both], u[~both], w[~both]))
+            many += len(w)
+            if many >= BLOCK_TOKENS:
                 yield from out()
+                many = 0
         if held:
             yield from out()
 
@@ -160,27 +181,24 @@ def _generator(b: pa.RecordBatch, sweep: int) -> np.random.Generator:
     return np.random.default_rng([SEED, sweep, b.num_rows, *first])
 
 
-def _looked_up(rows: DataFrame, contexts: DataFrame, words: DataFrame, how: str, sides: str = "ff rf fr rr") -> DataFrame:
-    """`rows` (u, w and more) with the columns of their contexts and words, frequent (f) or rare (r).
+def _looked_up(rows: DataFrame, contexts: DataFrame, words: DataFrame) -> DataFrame:
+    """`rows` (u, w and more) with the columns of their contexts and words, frequent (f) or rare (r); rows without them are left out.
 
     Tables of the numbered ones are broadcast, FREQUENT rows at most. The others shuffle: none of them is
     hot, or it would have a number. Each part of `rows` is read apart.
     """
     parts = []
-    for first, second in sides.split():
+    for first, second in ("ff", "rf", "fr", "rr"):
         part = rows.where(("u >= 0" if first == "f" else "u < 0") + (" AND w >= 0" if second == "f" else " AND w < 0"))
         for side, key, kind in ((contexts, "u", first), (words, "w", second)):
-            part = part.join(F.broadcast(side.where(f"{key} >= 0")) if kind == "f" else side.where(f"{key} < 0"), key, how)
+            part = part.join(F.broadcast(side.where(f"{key} >= 0")) if kind == "f" else side.where(f"{key} < 0"), key)
         parts.append(part)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _reseat(pairs: DataFrame, contexts: DataFrame, words: DataFrame, root: Root, sweep: int) -> DataFrame:
     """`pairs` (u, w, c, t, ts) with new tables, and the change of each."""
-    there = _looked_up(pairs, contexts.select("u", F.col("tables").alias("there")), words.select("w", "n", "r"), "inner")
+    there = _looked_up(pairs, contexts.select("u", F.col("tables").alias("there")), words.select("w", "n", "r"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seater = Seater(STRENGTH, DISCOUNT)
@@ -279,7 +297,8 @@ def train(texts: DataFrame, burn_in: int = BURN_IN, kept: int = KEPT, frequent:
             pairs = pairs.withColumn("ts", F.concat("ts", F.array(F.col("t").cast("int"))))
             contexts = contexts.withColumn("backs", F.concat("backs", F.array(F.expr(f"{STRENGTH}D + {DISCOUNT}D * tables"))))
             words = words.withColumn("ps", F.concat("ps", F.array(F.expr(roots[-1].share_sql()))))
-    own = F.expr(f"c - {DISCOUNT}D * aggregate(ts, 0D, (a, x) -> a + x) / {max(1, kept)}D")
+    seated = " + ".join(["0D", *(f"ts[{i}]" for i in range(kept))])
+    own = F.expr(f"c - {DISCOUNT}D * ({seated}) / {max(1, kept)}D")
     once = counted.where("c = 1").select("u", "w", "c", F.lit(1 - DISCOUNT).alias("own"))
     alone = "array(" + ", ".join(f"{float(r.share(np.ones(1), np.ones(1))[0])!r}D" for r in roots) + ")"
     return LanguageModel(
@@ -369,17 +388,53 @@ def score(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", text
     tokens_ = [
         held.select("n", F.inline(F.arrays_zip(f"{x}u", f"{x}w"))).toDF("n", "u", "w").select("n", F.col("u").cast("long").alias("u"), F.col("w").cast("long").alias("w")) for x in "fr"
     ]
-    # Pairs beyond the frequent ones are not hot. Both sides of the join are cut down to the same part by _looked_up.
-    with_pairs = [x.join(model.pairs.select("u", "w", "own"), ["u", "w"], "left") for x in tokens_]
-    looked_up = _looked_up(with_pairs[0], model.contexts, model.words, "left", "ff").unionByName(_looked_up(with_pairs[1], model.contexts, model.words, "left", "rf fr rr"))
-    sweeps = max(1, len(model.unseen))
-    unseen = "array(" + ", ".join(f"{x!r}D" for x in model.unseen or (1.0,)) + ")"
-    back = f"aggregate(zip_with(coalesce(backs, array_repeat({STRENGTH}D, {sweeps})), coalesce(ps, {unseen}), (x, y) -> x * y), 0D, (a, x) -> a + x) / {sweeps}D"
-    sums = looked_up.select(
-        "n", F.expr("int(w < 0 AND count IS NOT NULL)").alias("known"),
-        F.expr(f"if(w < 0, log10((coalesce(count, 0L) + 0.1D) / {model.train_tokens + 0.1 * (model.vocabulary + 1)!r}D), 0D)").alias("b"),
-        F.expr(f"log10((coalesce(own, 0D) + {back}) / ({STRENGTH}D + coalesce(size, 0L)))").alias("p"),
-    ).groupBy("n").agg(F.sum("known").alias("known"), F.sum("b").alias("b"), F.sum("p").alias("p"))
+    unseen = model.unseen or (1.0,)
+    sweeps, total = len(unseen), model.train_tokens + 0.1 * (model.vocabulary + 1)
+
+    def sums_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Frequent = shared.value
+        for b in batches:
+            n, u, w = (b.column(i).to_numpy() for i in range(3))
+            own, size, *backs = (b.column(i).fill_null(x).to_numpy() for i, x in enumerate((0.0, 0, *[STRENGTH] * sweeps), 3))
+            shares = [b.column(i).fill_null(x).to_numpy() for i, x in enumerate(unseen, 6 + sweeps)]
+            in_u, in_w = u >= 0, w >= 0
+            i, j = np.where(in_u, u, 0), np.where(in_w, w, 0)
+            p = np.log10(_averaged(own, np.where(in_u, held.size[i], size), np.where(in_u, held.backs[:, i], backs), np.where(in_w, held.shares[:, j], shares)))
+            count = b.column(5 + sweeps)
+            known = ~in_w & count.is_valid().to_numpy(zero_copy_only=False)
+            base = np.where(in_w, 0.0, np.log10((count.fill_null(0).to_numpy() + 0.1) / total))
+            yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(known.astype(np.int64)), pa.array(base), pa.array(p)], names=["n", "known", "b", "p"])
+
+    # What rare contexts and words have. The frequent ones are with the workers already and are not sent as tables again.
+    contexts = model.contexts.where("u < 0").select("u", "size", *[F.get("backs", F.lit(i)).alias(f"back{i}") for i in range(sweeps)])
+    words = model.words.where("w < 0").select("w", "count", *[F.get("ps", F.lit(i)).alias(f"share{i}") for i in range(sweeps)])
+    nothing = [F.lit(None).cast(x).alias(y) for x, y in [("long", "size"), *[("double", f"back{i}") for i in range(sweeps)], ("long", "count"), *[("double", f"share{i}") for i in range(sweeps)]]]
+    names_, kinds = ["n", "u", "w", "own", *contexts.columns[1:], *words.columns[1:]], ("u >= 0 AND w >= 0", "u < 0 AND w >= 0", "u >= 0 AND w < 0", "u < 0 AND w < 0")
+
+    def looked_up(part: int, kind: str) -> DataFrame:
+        """The tokens whose pairs are in a part and of a kind, with what their pairs, rare contexts and rare words have.
+
+        Pairs beyond the frequent ones are not hot, nor are rare words. Both sides of a join are cut down to the same rows.
+        """
+        here = (F.pmod(F.xxhash64("u", "w"), F.lit(SLICES)) == part) & F.expr(kind)
+        out = tokens_[kind != kinds[0]].where(here).join(model.pairs.where(here).select("u", "w", F.col("own").cast("double").alias("own")), ["u", "w"], "left")
+        if "u < 0" in kind:
+            out = out.join(contexts, "u", "left")
+        if "w < 0" in kind:
+            out = out.join(words, "w", "left")
+        return out.select("*", *[x for x, y in zip(nothing, names_[4:]) if y not in out.columns]).select(*names_)
+
+    def summed(part: int) -> DataFrame:
+        """n, known, b, p: sums over the tokens of each text whose pairs are in a part, written."""
+        rows = reduce(DataFrame.unionAll, [looked_up(part, kind) for kind in kinds])
+        with batches_of(spark, SWEEP_ROWS):
+            return cut(rows.mapInArrow(sums_of, "n long, known long, b double, p double").groupBy("n").agg(*[F.sum(x).alias(x) for x in ("known", "b", "p")]), "lm-sums")
+
+    parts = []
+    for part in range(SLICES):
+        parts.append(summed(part))
+        release(spark)
+    sums = reduce(DataFrame.unionAll, parts).groupBy("n").agg(*[F.sum(x).alias(x) for x in ("known", "b", "p")])
     zero = F.lit(0.0)
     return held.drop("fu", "fw", "ru", "rw").join(sums, "n", "left").select(
         "_f", "_r", "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(model.train_tokens).cast("long").alias("train_tokens"),

@@ -326,6 +326,20 @@ def test_lm_tells_repeated_texts(spark):
     assert sum(got[i].score > got[1000 + i].score for i in long) / len(long) > 0.97
 
 
+def test_lm_joins_pairs_in_parts(spark, monkeypatch):
+    """No step of scoring holds the shuffles of all pairs: the result reads finished sums only, and the number of parts does not move it."""
+    data = corpus()
+    model = lm.train(frame(spark, data[::2]), frequent=20)
+    got = {}
+    for slices in (1, 4):
+        monkeypatch.setattr(lm, "SLICES", slices, raising=False)
+        scored = lm.score(frame(spark, data), model, frequent_pairs=30)
+        assert not any(x in path for path in scored.inputFiles() for x in ("lm-pairs", "lm-state", "lm-words", "lm-contexts"))
+        got[slices] = sorted((str(r.doc_id), r.n_tokens, r.n_known, r.base_score, r.score) for r in scored.collect())
+    for x, y in zip(got[1], got[4], strict=True):
+        assert x[:3] == y[:3] and x[3:] == pytest.approx(y[3:], rel=1e-9)
+
+
 def test_lm_base_columns_equal_sql(spark):
     import duckdb
 
