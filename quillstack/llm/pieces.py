@@ -36,6 +36,8 @@ MARK = "▁"
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segments that every worker holds; rows of a block; segments that a counting task holds before it passes them on.
 FREQUENT, BLOCK_BITS, FLUSH = 200_000, 13, 1_000_000
+#: Parts of the other segments that go to the blocks one after another.
+SLICES = 4
 #: Characters of a segment in the lattice of a BPE model (boundaries are bits of a long); longer ones are merged one by one.
 #: Segments of a lattice partition, about.
 LATTICE_CHARS, LATTICE_ROWS = 60, 20_000
@@ -142,20 +144,38 @@ class PieceModel:
     def segments(self, text: str) -> list[str]:
         return self.segment.findall(self.marked(text))
 
+    @cached_property
+    def cuts_lines(self) -> bool:
+        """Whether a line feed is a segment of its own."""
+        return not any("\n" in self.pieces[i] for i in self.normal)
+
+    def fragments(self, text: str) -> list[str]:
+        """Parts of a text whose segments, one after another, are the text's: mostly segments already, some may be empty.
+
+        Where marks stand alone, a segment never passes the next one, so that texts are cut without a look at each character.
+        """
+        if "  " in text or MARK in text or "\0" in text or self.prefix and text[:1] == " ":
+            return self.segments(text)
+        marked = MARK * (self.prefix and bool(text)) + text.replace(" ", "\0" + MARK)
+        return (marked.replace("\n", "\0\n\0") if self.cuts_lines else marked).split("\0")
+
     def marked(self, text: str) -> str:
         return MARK * (self.prefix and bool(text)) + text.replace(" ", MARK)
 
-    def decode(self, ids: Iterator[int]) -> str:
-        pieces, first = self.pieces, (self.byte_ids or (0,))[0]
-        as_bytes = frozenset(self.byte_ids)
-        ids = list(ids)
-        if as_bytes.isdisjoint(ids):
-            text = "".join(map(pieces.__getitem__, ids))
-        else:
-            text = b"".join(bytes((i - first,)) if i in as_bytes else pieces[i].encode() for i in ids).decode("utf-8", "replace")
-        text = text.replace(MARK, " ")
+    @cached_property
+    def spellings(self) -> tuple[bytes, ...]:
+        """The bytes of each piece."""
+        as_bytes = {x: bytes((i,)) for i, x in enumerate(self.byte_ids)}
+        return tuple(as_bytes.get(i) or x.encode() for i, x in enumerate(self.pieces))
+
+    def spoken(self, spelled: bytes) -> str:
+        """The text of the bytes of pieces."""
+        text = spelled.decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if self.prefix and text[:1] == " " else text
 
+    def decode(self, ids: Iterator[int]) -> str:
+        return self.spoken(b"".join(map(self.spellings.__getitem__, ids)))
+
 
 def _count_segments(base: DataFrame, model: PieceModel) -> DataFrame:
     """block, segment, c: the segments of each block of rows of `base` (_f, _r, doc_id, text) and their counts, maybe in parts."""
@@ -163,10 +183,14 @@ def _count_segments(base: DataFrame, model: PieceModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_memos()
-        segments = shared.value.segments
+        fragments, segment = shared.value.fragments, shared.value.segment
         held, block = Counter(), None
 
         def out() -> pa.RecordBatch:
+            for x in [x for x in held if not segment.fullmatch(x)]:
+                c = held.pop(x)
+                for part in segment.findall(x):
+                    held[part] += c
             made = pa.RecordBatch.from_arrays([pa.array(np.full(len(held), block, np.int64)), pa.array(held, pa.string()), pa.array(held.values(), pa.int64())], names=["block", "segment", "c"])
             held.clear()
             return made
@@ -176,7 +200,7 @@ def _count_segments(base: DataFrame, model: PieceModel) -> DataFrame:
                 if held and (now != block or len(held) >= FLUSH):
                     yield out()
                 block = now
-                held.update(segments(text or ""))
+                held.update(fragments(text or ""))
         if held:
             yield out()
 
@@ -202,18 +226,20 @@ def _merged(segments: DataFrame, model: PieceModel) -> DataFrame:
 
 
 def _with_room(segments: DataFrame, model: PieceModel, longest: int) -> DataFrame:
-    """`segments` (segment, c) with room: for each start, how far a piece can reach; null for segments too long for the lattice.
+    """`segments` (segment, c) with room: for each start, how far a piece can reach; null for segments that are
+    too long for the lattice or have a character that is no piece.
 
     No piece spans a place whose neighbours stand beside each other in no piece.
     """
     shared = segments.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        joined_ = shared.value.joined()
+        model = shared.value
+        joined_, alone = model.joined(), frozenset(model.pieces[i] for i in model.normal if len(model.pieces[i]) == 1)
         for b in batches:
             rooms: list[list[int] | None] = []
             for x in b.column(0).to_pylist():
-                if len(x) > LATTICE_CHARS:
+                if len(x) > LATTICE_CHARS or not alone.issuperset(x):
                     rooms.append(None)
                     continue
                 room, reach = [1] * len(x), 1
@@ -230,37 +256,47 @@ def merge_paths(segments: DataFrame, model: PieceModel) -> DataFrame:
     """(segment, c, ids) for distinct `segments` (segment, c): the merges of the best rank first, of equals the leftmost, written.
 
     Boundaries between characters are bits of a long. A merge is an edge with one boundary inside, and takes
-    that away; when none is left, the edges without a boundary inside are the pieces.
+    that away; when none is left, the edges without a boundary inside are the pieces. An edge is one long:
+    rank (by place), start, length and id, so that sorted edges are in the order of merges. Arrays hold
+    longs only, as every fold is a step of its own whose rows are copied.
     """
     spark = segments.sparkSession
-    pieces = spark.createDataFrame([(model.pieces[i], i, -float(model.scores[i])) for i in model.normal], "part string, id int, rank double")  # its size is the model's
+    ranks = {x: i for i, x in enumerate(sorted({-model.scores[i] for i in model.normal}))}
+    rows = [(model.pieces[i], ranks[-model.scores[i]] << 37 | i) for i in model.normal]
+    if len(model.pieces) > 1 << 25:
+        raise ValueError("a model has 2 ** 25 pieces at most")
+    pieces = spark.createDataFrame(rows, "part string, code long")  # its size is the model's
     longest = max(len(model.pieces[i]) for i in model.normal)
     roomy, roomy_path = written(_with_room(segments, model, longest), "piece-segments")
     release(spark)
     partitions = roomy.count() // LATTICE_ROWS + 1
     starts = roomy.where("room IS NOT NULL").repartition(partitions, "segment").select("segment", "c", F.posexplode("room").alias("start", "room"))
     parts = starts.selectExpr("segment", "c", "start", "explode(sequence(1, int(room))) AS n").selectExpr("segment", "c", "start", "n", "substring(segment, start + 1, n) AS part")
-    edges = parts.join(F.broadcast(pieces), "part", "left").where("id IS NOT NULL OR n = 1").selectExpr(
-        "segment", "c",
-        """named_struct('rank', rank, 'start', start, 'n', n, 'id', id, 'ends', shiftleft(1L, start) | shiftleft(1L, start + n),
-          'inner', (shiftleft(1L, start + n) - 1L) & ~(shiftleft(1L, start + 1) - 1L)) AS edge""",
-    )
+    # n is 1 at least: a plain inner join would cut each substring twice, to see that none is null.
+    edges = parts.join(F.broadcast(pieces), "part", "left").where("code IS NOT NULL OR n < 1").selectExpr("segment", "c", "code | shiftleft(bigint(start), 31) | shiftleft(bigint(n), 25) AS edge")
     grouped = edges.groupBy("segment", "c").agg(F.collect_list("edge").alias("edges"))
-    merges = grouped.selectExpr("*", "length(segment) AS size", "array_sort(filter(edges, e -> e.n > 1)) AS merges")
-    bounds = merges.selectExpr("*", """
+    # A merge is the bits from its first boundary to its last.
+    merges = grouped.selectExpr("*", "length(segment) AS size", """
+        transform(sort_array(filter(edges, e -> (e & 2113929216L) > 33554432L)), e -> shiftleft(shiftleft(2L, int(shiftright(e, 25) & 63L)) - 1L, int(shiftright(e, 31) & 63L))) AS merges""")
+    # The sign says that no merge is left.
+    bounds = merges.selectExpr("segment", "c", "edges", """
         aggregate(if(size > 1 AND size(merges) > 0, sequence(2, size), array()), shiftleft(1L, size + 1) - 1L,
-          (b, i) -> b & ~aggregate(merges, 0L, (m, e) -> if(m = 0L AND (b & e.ends) = e.ends AND bit_count(b & e.inner) = 1, e.inner, m))) AS bounds""")
-    chosen = bounds.selectExpr("segment", "c", "array_sort(transform(filter(edges, e -> (bounds & e.ends) = e.ends AND (bounds & e.inner) = 0L), e -> named_struct('start', e.start, 'id', e.id))) AS chosen")
-    whole = chosen.selectExpr("segment", "c", "transform(chosen, e -> e.id) AS ids")
+          (b, i) -> if(b < 0L, b, aggregate(merges, 0L,
+            (m, e) -> if(m = 0L AND bit_count(b & e) = 3 AND (b & e & ~shiftleft(e, 1)) <> 0L AND (b & e & ~shiftright(e, 1)) <> 0L, e, m),
+            m -> if(m = 0L, b | shiftleft(1L, 63), b & ~(m & shiftleft(m, 1) & shiftright(m, 1))))),
+          b -> b & 9223372036854775807L) AS bounds""")
+    # Bounds are named twice, or the optimiser would put their fold into the filter, once for each edge.
+    chosen = bounds.selectExpr("segment", "c", """
+        sort_array(transform(filter(edges, e -> (shiftright(bounds, int(shiftright(e, 31) & 63L)) & 1L) = 1L
+            AND (shiftright(bounds, int(shiftright(e, 31) & 63L) + 1) & (shiftleft(1L, int(shiftright(e, 25) & 63L)) - 1L)) = shiftleft(1L, int(shiftright(e, 25) & 63L) - 1)),
+          e -> (shiftright(e, 31) & 63L) * 33554432L + (e & 33554431L))) AS chosen""")
+    whole = chosen.selectExpr("segment", "c", "transform(chosen, x -> int(x & 33554431L)) AS ids")
     with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", 10 * LATTICE_ROWS):  # a partition's segments are few enough for a table
         paths = cut(whole, "piece-paths")
-    # A character without a piece has a null among the ids. Such segments are few, and the others are not written again.
-    known = F.forall("ids", lambda x: x.isNotNull())
-    others = paths.where(~known).select("segment", "c").unionAll(roomy.where("room IS NULL").select("segment", "c"))
-    merged = cut(_merged(others, model), "piece-ids")
+    merged = cut(_merged(roomy.where("room IS NULL"), model), "piece-ids")
     forget(spark, roomy_path)
     release(spark)
-    return paths.where(known).unionAll(merged)
+    return paths.unionAll(merged)
 
 
 def best_paths(segments: DataFrame, model: PieceModel) -> DataFrame:
@@ -309,13 +345,32 @@ def _coded(segments: pa.ChunkedArray, ids: pa.ChunkedArray) -> Iterator[tuple[st
             yield name, flat[a:b]
 
 
+def _spelled(pieces: pa.LargeBinaryArray, offsets: np.ndarray) -> Iterator[bytes]:
+    """The bytes of the pieces of each text; they lie one after another in the array's buffer."""
+    if not len(pieces):
+        yield from [b""] * (len(offsets) - 1)
+        return
+    _, places, data = pieces.buffers()
+    at = np.frombuffer(places, np.int64)[pieces.offset + offsets].tolist()
+    held = memoryview(data) if data else b""
+    for a, b in zip(at, at[1:]):
+        yield bytes(held[a:b])
+
+
 class _Known(dict):
-    """Ids of the frequent segments, and behind them those of a block's others."""
+    """Ids of the frequent segments, and behind them those of a block's others; of a fragment those of its segments."""
 
     others: dict[str, bytes] = {}
+    findall: Callable[[str], list[str]]
 
-    def __missing__(self, segment: str) -> bytes:
-        return self.others[segment]
+    def __missing__(self, fragment: str) -> bytes:
+        found = self.others.get(fragment)
+        if found is None:
+            parts = self.findall(fragment)
+            if parts == [fragment]:
+                raise KeyError(fragment)
+            found = b"".join(map(self.__getitem__, parts))
+        return found
 
 
 def _assembled(base: DataFrame, model: PieceModel, coded: DataFrame, counted: DataFrame, counted_path: str) -> DataFrame:
@@ -323,10 +378,14 @@ def _assembled(base: DataFrame, model: PieceModel, coded: DataFrame, counted: Da
     spark = base.sparkSession
     frequent, least = _frequent(coded, FREQUENT)
     folder = new_path(spark, "piece-blocks")
-    # Each is dealt once, by segment; then by block.
-    often = F.broadcast(coded.where(F.col("c") >= least).select("segment"))  # FREQUENT rows at most
-    rare = counted.select("block", "segment").join(often, "segment", "left_anti").join(coded.where(F.col("c") < least).select("segment", "ids"), "segment").select("block", "segment", "ids")
-    rare.repartition("block").write.option("compression", "zstd").partitionBy("block").parquet(folder)
+    # Each is dealt once, by segment; then by block. A part of the segments after another, so that the shuffles of one are deleted before the next.
+    for part in range(SLICES):
+        here = F.pmod(F.xxhash64("segment"), F.lit(SLICES)) == part
+        often = F.broadcast(coded.where(here & (F.col("c") >= least)).select("segment"))  # FREQUENT rows at most
+        others = coded.where(here & (F.col("c") < least)).select("segment", "ids")
+        rare = counted.where(here).select("block", "segment").join(often, "segment", "left_anti").join(others, "segment").select("block", "segment", "ids")
+        rare.repartition("block").write.mode("append").option("compression", "zstd").partitionBy("block").parquet(folder)
+        release(spark)
     forget(spark, counted_path)
     release(spark)
     shared, key = spark.sparkContext.broadcast((model, frequent)), uuid.uuid4().hex
@@ -338,7 +397,9 @@ def _assembled(base: DataFrame, model: PieceModel, coded: DataFrame, counted: Da
         store, root = fs.FileSystem.from_uri(folder)
         model, frequent = shared.value
         known, block = worker_memo(key, lambda: _Known(_coded(frequent.column("segment"), frequent.column("ids")))), None
+        known.findall = model.segment.findall
         unigram = model.kind == "unigram"
+        spelled = pa.array(model.spellings, pa.large_binary())
 
         def read(block: int) -> dict[str, bytes]:
             place, found = f"{root}/block={block}", {}
@@ -351,22 +412,24 @@ def _assembled(base: DataFrame, model: PieceModel, coded: DataFrame, counted: Da
             return found
 
         for b in batches:
-            values, lengths, same = [], [], []
+            values, lengths, texts = [], [], []
             for now, text in zip(_blocks(b), texts_of(b.column(3)), strict=True):
                 if now != block:
                     known.others = {}
                     known.others, block = read(now), now
                 text = text or ""
-                flat = b"".join(map(known.__getitem__, model.segments(text)))
-                ids = np.frombuffer(flat, np.int32)
+                flat = b"".join(map(known.__getitem__, model.fragments(text)))
                 if unigram:  # a run of unknown characters is one unknown piece
+                    ids = np.frombuffer(flat, np.int32)
                     ids = ids[(ids != model.unknown) | (np.concatenate(([-1], ids[:-1])) != model.unknown)]
                     flat = ids.tobytes()
                 values.append(flat)
-                lengths.append(len(ids))
-                same.append(model.decode(ids.tolist()) == text)
+                lengths.append(len(flat) // 4)
+                texts.append(text)
             offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
             flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(values))])
+            # What the ids spell, text by text.
+            same = [model.spoken(x) == text for x, text in zip(_spelled(spelled.take(flat), offsets), texts, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), b.column(2), pa.array(lengths, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(same, pa.bool_())],
                 names=["_f", "_r", "doc_id", "n_pieces", "ids", "round_trip"],

@@ -46,6 +46,32 @@ def test_long_texts_equal_the_library(spark, monkeypatch):
     assert all(got[i].ids == sp.encode(t) and got[i].round_trip for i, t in enumerate(texts))
 
 
+def test_fragments_have_the_segments_of_the_text():
+    """Texts are cut at marks and line feeds without the pattern; what is no segment yet is cut by it, to the same segments."""
+    model, rng = PieceModel.load(MODEL_PATH), random.Random(4)
+    texts = TEXTS + ["".join(rng.choice("ab cd,\n" if i % 2 else "abc  \n\r\0é▁日🙂.x") for _ in range(rng.randrange(14))) for i in range(4000)]
+    for text in texts:
+        cut = [[x] if model.segment.fullmatch(x) else model.segment.findall(x) for x in model.fragments(text)]
+        assert list(itertools.chain.from_iterable(cut)) == model.segments(text)
+
+
+def test_rare_segments_go_to_the_blocks_in_parts(spark, monkeypatch):
+    """Each part is written before the next, so that no step holds the shuffles of all segments; every one arrives."""
+    from quillstack.llm import pieces
+
+    monkeypatch.setattr(pieces, "FREQUENT", 5)
+    monkeypatch.setattr(pieces, "SLICES", 3, raising=False)
+    done = []
+    monkeypatch.setattr(pieces, "release", lambda spark: done.append(1))
+    model = PieceModel.load(MODEL_PATH)
+    texts = [f"word{i} of\nw{i * 7}x, é{i}" for i in range(50)]
+    got = encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    assert len(done) == 5 + pieces.SLICES and len(got) == 50
+    for r in got:
+        merge = model.merger()
+        assert r.ids == list(itertools.chain.from_iterable(map(merge, model.segments(texts[r.doc_id])))) and r.round_trip
+
+
 def unigram(pieces):
     pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
     proto = pb.ModelProto()
