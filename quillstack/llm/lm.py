@@ -181,30 +181,56 @@ def _generator(b: pa.RecordBatch, sweep: int) -> np.random.Generator:
     return np.random.default_rng([SEED, sweep, b.num_rows, *first])
 
 
+@dataclass(frozen=True)
+class Numbered:
+    """What the workers hold in a sweep: by number the tables of the context, and the word's customers and tables in the parent."""
+
+    tables: np.ndarray
+    customers: np.ndarray
+    roots: np.ndarray
+
+    @classmethod
+    def of(cls, contexts: DataFrame, words: DataFrame, size: int) -> Numbered:
+        """Of written tables, whose numbers are below `size`."""
+        found = cls(*(np.zeros(size, np.int64) for _ in range(3)))
+        for df, key, columns in ((contexts, "u", {"tables": found.tables}), (words, "w", {"n": found.customers, "r": found.roots})):
+            got = df.where(F.col(key) >= 0).select(key, *columns).toArrow()
+            for name, values in columns.items():
+                values[got.column(key).to_numpy()] = got.column(name).to_numpy()
+        return found
+
+
 def _looked_up(rows: DataFrame, contexts: DataFrame, words: DataFrame) -> DataFrame:
-    """`rows` (u, w and more) with the columns of their contexts and words, frequent (f) or rare (r); rows without them are left out.
+    """`rows` (u, w and more) with the columns of their rare contexts and words; those of numbered ones are null, as the workers hold them (`Numbered`).
 
-    Tables of the numbered ones are broadcast, FREQUENT rows at most. The others shuffle: none of them is
-    hot, or it would have a number. Each part of `rows` is read apart.
+    Nothing is broadcast: hash tables of numbered ones, built anew by the driver for every sweep, took its memory.
+    The others shuffle: none of them is hot, or it would have a number. Each part of `rows` is read apart.
     """
     parts = []
-    for first, second in ("ff", "rf", "fr", "rr"):
-        part = rows.where(("u >= 0" if first == "f" else "u < 0") + (" AND w >= 0" if second == "f" else " AND w < 0"))
-        for side, key, kind in ((contexts, "u", first), (words, "w", second)):
-            part = part.join(F.broadcast(side.where(f"{key} >= 0")) if kind == "f" else side.where(f"{key} < 0"), key)
-        parts.append(part)
+    for first in ("u >= 0", "u < 0"):
+        for second in ("w >= 0", "w < 0"):
+            part = rows.where(f"{first} AND {second}")
+            for side, key, kind in ((contexts, "u", first), (words, "w", second)):
+                rare = "<" in kind
+                part = part.join(side.where(f"{key} < 0"), key) if rare else part.select("*", *[F.lit(None).cast("long").alias(x) for x in side.columns if x != key])
+            parts.append(part)
     return reduce(DataFrame.unionByName, parts)
 
 
-def _reseat(pairs: DataFrame, contexts: DataFrame, words: DataFrame, root: Root, sweep: int) -> DataFrame:
+def _reseat(pairs: DataFrame, contexts: DataFrame, words: DataFrame, numbered: Broadcast, root: Root, sweep: int) -> DataFrame:
     """`pairs` (u, w, c, t, ts) with new tables, and the change of each."""
     there = _looked_up(pairs, contexts.select("u", F.col("tables").alias("there")), words.select("w", "n", "r"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seater = Seater(STRENGTH, DISCOUNT)
+        held: Numbered = numbered.value
         for b in batches:
             if b.num_rows:
-                c, t, tables, n, r = (b.column(x).to_numpy(zero_copy_only=False) for x in (2, 3, 5, 6, 7))
+                u, w, c, t = (b.column(x).to_numpy(zero_copy_only=False) for x in range(4))
+                tables, n, r = (
+                    np.where(key >= 0, own[np.maximum(key, 0)], b.column(x).fill_null(0).to_numpy(zero_copy_only=False))
+                    for key, own, x in ((u, held.tables, 5), (w, held.customers, 6), (w, held.roots, 7))
+                )
                 left = n - t  # the word's customers in the parent, without those from here
                 share = root.share(left, np.minimum(r, left))
                 new = seater.draw(c, t, tables - t, share, _generator(b, sweep))
@@ -265,6 +291,7 @@ def train(texts: DataFrame, burn_in: int = BURN_IN, kept: int = KEPT, frequent:
     shared = spark.sparkContext.broadcast(places)
     release(spark)
     counted, counted_path = written(_pairs(texts, shared).groupBy("u", "w").agg(F.sum("c").alias("c")), "lm-pairs")
+    shared.destroy()
     release(spark)
     # Contexts whose pairs were all met once, and words with a single customer in the parent, stay as they are.
     several = F.count_if(F.col("c") > 1).alias("several")
@@ -284,7 +311,9 @@ def train(texts: DataFrame, burn_in: int = BURN_IN, kept: int = KEPT, frequent:
     for sweep in range(burn_in + kept):
         now = root()
         with batches_of(spark, SWEEP_ROWS):
-            next_pairs, next_pairs_path = written(_reseat(pairs, contexts, words, now, sweep), "lm-state")
+            numbered = spark.sparkContext.broadcast(Numbered.of(contexts, words, len(places) + 1))
+            next_pairs, next_pairs_path = written(_reseat(pairs, contexts, words, numbered, now, sweep), "lm-state")
+            numbered.destroy()
             changes = next_pairs.where("change <> 0")
             next_contexts, next_contexts_path = written(_changed(contexts, changes, "u", "tables"), "lm-contexts")
             next_words, next_words_path = written(_reseat_root(_changed(words, changes, "w", "n"), now, sweep), "lm-words")
@@ -434,6 +463,7 @@ def score(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", text
     for part in range(SLICES):
         parts.append(summed(part))
         release(spark)
+    shared.destroy()
     sums = reduce(DataFrame.unionAll, parts).groupBy("n").agg(*[F.sum(x).alias(x) for x in ("known", "b", "p")])
     zero = F.lit(0.0)
     return held.drop("fu", "fw", "ru", "rw").join(sums, "n", "left").select(

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from quillstack.llm import langid, lm, quality, seating
-from quillstack.llm.common import Memo
+from quillstack.llm.common import Memo, setting
 
 SF = "/root/testdata/sf0.01"
 
@@ -340,6 +340,29 @@ def test_lm_joins_pairs_in_parts(spark, monkeypatch):
         assert x[:3] == y[:3] and x[3:] == pytest.approx(y[3:], rel=1e-9)
 
 
+def test_lm_sweeps_broadcast_no_tables(spark, monkeypatch):
+    """Sweeps have the driver build no hash table of the numbered words, and still find what every context and word has."""
+    sweeps, reseat = [], lm._reseat
+
+    def spied(pairs, contexts, words, *rest):
+        out = reseat(pairs, contexts, words, *rest)
+        tables, customers = ({r[0]: r[1:] for r in x.collect()} for x in (contexts.select("u", "tables"), words.select("w", "n", "r")))
+        rows = lm._looked_up(pairs, contexts.select("u", lm.F.col("tables").alias("there")), words.select("w", "n", "r")).collect()
+        sweeps.append((out._jdf.queryExecution().executedPlan().toString(), sorted((r.u, r.w) for r in pairs.collect()), rows, tables, customers, getattr(rest[0], "value", None)))
+        return out
+
+    monkeypatch.setattr(lm, "_reseat", spied)
+    with lm.batches_of(spark, 1000), setting(spark, "spark.sql.autoBroadcastJoinThreshold", -1):
+        lm.train(frame(spark, corpus()), burn_in=1, kept=1, frequent=20)
+    assert len(sweeps) == 2 and not any("Broadcast" in plan for plan, *_ in sweeps)
+    for _, pairs, rows, tables, customers, held in sweeps:
+        assert sorted((r.u, r.w) for r in rows) == pairs
+        assert {(r.u >= 0, r.w >= 0) for r in rows} == {(x, y) for x in (True, False) for y in (True, False)}
+        for r in rows:
+            assert (held.tables[r.u] if r.u >= 0 else r.there) == tables[r.u][0]
+            assert ((held.customers[r.w], held.roots[r.w]) if r.w >= 0 else (r.n, r.r)) == customers[r.w]
+
+
 def test_lm_base_columns_equal_sql(spark):
     import duckdb
 
