@@ -27,7 +27,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstack.llm.common import cut, drop_memos, forget, keyed, ladder, new_path, release, setting, table, texts_of, worker_memo, written
@@ -126,6 +126,21 @@ class PieceModel:
 
         return encode
 
+    @cached_property
+    def late(self) -> frozenset[str]:
+        """Pieces that, alone, do not come about by merges of better ranks than their own before the last."""
+        rank, found = {self.pieces[i]: -self.scores[i] for i in self.normal}, set()
+        for piece, own in rank.items():
+            parts = list(piece)
+            while len(parts) > 1:
+                ranks = [rank.get(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+                at = min(range(len(ranks)), key=ranks.__getitem__)
+                if ranks[at] >= own and len(parts) > 2:
+                    found.add(piece)
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return frozenset(found)
+
     def joined(self) -> set[tuple[str, str]]:
         """Neighbours within a piece."""
         return {pair for i in self.normal for pair in zip(self.pieces[i], self.pieces[i][1:])}
@@ -252,45 +267,55 @@ def _with_room(segments: DataFrame, model: PieceModel, longest: int) -> DataFram
     return segments.mapInArrow(run, "segment string, c long, room array<tinyint>")
 
 
+def _digest(part: Column) -> Column:
+    return F.xxhash64(part)
+
+
 def merge_paths(segments: DataFrame, model: PieceModel) -> DataFrame:
     """(segment, c, ids) for distinct `segments` (segment, c): the merges of the best rank first, of equals the leftmost, written.
 
-    Boundaries between characters are bits of a long. A merge is an edge with one boundary inside, and takes
-    that away; when none is left, the edges without a boundary inside are the pieces. An edge is one long:
-    rank (by place), start, length and id, so that sorted edges are in the order of merges. Arrays hold
-    longs only, as every fold is a step of its own whose rows are copied.
+    Boundaries between characters are bits of a long. A merge is an edge with both ends present, and takes the
+    boundary inside away; when none is left, the edges without a boundary inside are the pieces. What happens
+    between two boundaries that stay does not hang on what is beyond them, so a piece comes about as it does alone.
+    If all its parts have better ranks then, they are merged when its turn comes: one pass over the sorted edges
+    does. Segments with a late piece have the best edge looked for after every merge.
+
+    An edge is one long: rank (by place), start, length, whether the piece is late, and id, so that sorted edges are
+    in the order of merges. Arrays hold longs only, as every fold is a step of its own whose rows are copied.
+    Substrings meet pieces by a digest, a long, and are then compared.
     """
     spark = segments.sparkSession
     ranks = {x: i for i, x in enumerate(sorted({-model.scores[i] for i in model.normal}))}
-    rows = [(model.pieces[i], ranks[-model.scores[i]] << 37 | i) for i in model.normal]
-    if len(model.pieces) > 1 << 25:
-        raise ValueError("a model has 2 ** 25 pieces at most")
-    pieces = spark.createDataFrame(rows, "part string, code long")  # its size is the model's
+    rows = [(model.pieces[i], ranks[-model.scores[i]] << 37 | (model.pieces[i] in model.late) << 24 | i) for i in model.normal]
+    if len(model.pieces) > 1 << 24:
+        raise ValueError("a model has 2 ** 24 pieces at most")
+    pieces = spark.createDataFrame(rows, "piece string, code long").select(_digest(F.col("piece")).alias("key"), "piece", "code")  # its size is the model's
     longest = max(len(model.pieces[i]) for i in model.normal)
     roomy, roomy_path = written(_with_room(segments, model, longest), "piece-segments")
     release(spark)
     partitions = roomy.count() // LATTICE_ROWS + 1
     starts = roomy.where("room IS NOT NULL").repartition(partitions, "segment").select("segment", "c", F.posexplode("room").alias("start", "room"))
-    parts = starts.selectExpr("segment", "c", "start", "explode(sequence(1, int(room))) AS n").selectExpr("segment", "c", "start", "n", "substring(segment, start + 1, n) AS part")
-    # n is 1 at least: a plain inner join would cut each substring twice, to see that none is null.
-    edges = parts.join(F.broadcast(pieces), "part", "left").where("code IS NOT NULL OR n < 1").selectExpr("segment", "c", "code | shiftleft(bigint(start), 31) | shiftleft(bigint(n), 25) AS edge")
+    parts = starts.selectExpr("segment", "c", "start", "explode(sequence(1, int(room))) AS n").selectExpr("segment", "c", "start", "n", "substring(segment, start + 1, n) AS part").withColumn("key", _digest(F.col("part")))
+    # n is 1 at least: a plain inner join would cut each substring twice, to see that none is null, and would be by the strings.
+    edges = parts.join(F.broadcast(pieces), "key", "left").where("piece = part OR n < 1").selectExpr("segment", "c", "code | shiftleft(bigint(start), 31) | shiftleft(bigint(n), 25) AS edge")
     grouped = edges.groupBy("segment", "c").agg(F.collect_list("edge").alias("edges"))
-    # A merge is the bits from its first boundary to its last.
-    merges = grouped.selectExpr("*", "length(segment) AS size", """
-        transform(sort_array(filter(edges, e -> (e & 2113929216L) > 33554432L)), e -> shiftleft(shiftleft(2L, int(shiftright(e, 25) & 63L)) - 1L, int(shiftright(e, 31) & 63L))) AS merges""")
-    # The sign says that no merge is left.
+    merges = grouped.selectExpr("*", "length(segment) AS size", "exists(edges, e -> (e & 16777216L) <> 0L) AS late", "sort_array(filter(edges, e -> (e & 2113929216L) > 33554432L)) AS merges")
+    # In one pass a merge is the bits of its two ends; else those from its first boundary to its last, and the sign says that no merge is left.
     bounds = merges.selectExpr("segment", "c", "edges", """
-        aggregate(if(size > 1 AND size(merges) > 0, sequence(2, size), array()), shiftleft(1L, size + 1) - 1L,
-          (b, i) -> if(b < 0L, b, aggregate(merges, 0L,
-            (m, e) -> if(m = 0L AND bit_count(b & e) = 3 AND (b & e & ~shiftleft(e, 1)) <> 0L AND (b & e & ~shiftright(e, 1)) <> 0L, e, m),
-            m -> if(m = 0L, b | shiftleft(1L, 63), b & ~(m & shiftleft(m, 1) & shiftright(m, 1))))),
-          b -> b & 9223372036854775807L) AS bounds""")
+        if(late,
+          aggregate(if(size > 1 AND size(merges) > 0, sequence(2, size), array()), shiftleft(1L, size + 1) - 1L,
+            (b, i) -> if(b < 0L, b, aggregate(transform(merges, e -> shiftleft(shiftleft(2L, int(shiftright(e, 25) & 63L)) - 1L, int(shiftright(e, 31) & 63L))), 0L,
+              (m, e) -> if(m = 0L AND bit_count(b & e) = 3 AND (b & e & ~shiftleft(e, 1)) <> 0L AND (b & e & ~shiftright(e, 1)) <> 0L, e, m),
+              m -> if(m = 0L, b | shiftleft(1L, 63), b & ~(m & shiftleft(m, 1) & shiftright(m, 1))))),
+            b -> b & 9223372036854775807L),
+          aggregate(transform(merges, e -> shiftleft(shiftleft(1L, int(shiftright(e, 25) & 63L)) + 1L, int(shiftright(e, 31) & 63L))), shiftleft(1L, size + 1) - 1L,
+            (b, m) -> if((b & m) = m, b & ~(m - 3L * (m & -m)), b))) AS bounds""")
     # Bounds are named twice, or the optimiser would put their fold into the filter, once for each edge.
     chosen = bounds.selectExpr("segment", "c", """
         sort_array(transform(filter(edges, e -> (shiftright(bounds, int(shiftright(e, 31) & 63L)) & 1L) = 1L
             AND (shiftright(bounds, int(shiftright(e, 31) & 63L) + 1) & (shiftleft(1L, int(shiftright(e, 25) & 63L)) - 1L)) = shiftleft(1L, int(shiftright(e, 25) & 63L) - 1)),
-          e -> (shiftright(e, 31) & 63L) * 33554432L + (e & 33554431L))) AS chosen""")
-    whole = chosen.selectExpr("segment", "c", "transform(chosen, x -> int(x & 33554431L)) AS ids")
+          e -> (shiftright(e, 31) & 63L) * 33554432L + (e & 16777215L))) AS chosen""")
+    whole = chosen.selectExpr("segment", "c", "transform(chosen, x -> int(x & 16777215L)) AS ids")
     with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", 10 * LATTICE_ROWS):  # a partition's segments are few enough for a table
         paths = cut(whole, "piece-paths")
     merged = cut(_merged(roomy.where("room IS NULL"), model), "piece-ids")
@@ -358,19 +383,15 @@ def _spelled(pieces: pa.LargeBinaryArray, offsets: np.ndarray) -> Iterator[bytes
 
 
 class _Known(dict):
-    """Ids of the frequent segments, and behind them those of a block's others; of a fragment those of its segments."""
+    """Ids of the frequent segments and of a block's others; of a fragment those of its segments."""
 
-    others: dict[str, bytes] = {}
     findall: Callable[[str], list[str]]
 
     def __missing__(self, fragment: str) -> bytes:
-        found = self.others.get(fragment)
-        if found is None:
-            parts = self.findall(fragment)
-            if parts == [fragment]:
-                raise KeyError(fragment)
-            found = b"".join(map(self.__getitem__, parts))
-        return found
+        parts = self.findall(fragment)
+        if parts == [fragment]:
+            raise KeyError(fragment)
+        return b"".join(map(self.__getitem__, parts))
 
 
 def _assembled(base: DataFrame, model: PieceModel, coded: DataFrame, counted: DataFrame, counted_path: str) -> DataFrame:
@@ -378,12 +399,14 @@ def _assembled(base: DataFrame, model: PieceModel, coded: DataFrame, counted: Da
     spark = base.sparkSession
     frequent, least = _frequent(coded, FREQUENT)
     folder = new_path(spark, "piece-blocks")
+    partitions = coded.count() // (SLICES * LATTICE_ROWS) + 1  # a partition's segments are few enough for a table
     # Each is dealt once, by segment; then by block. A part of the segments after another, so that the shuffles of one are deleted before the next.
     for part in range(SLICES):
         here = F.pmod(F.xxhash64("segment"), F.lit(SLICES)) == part
         often = F.broadcast(coded.where(here & (F.col("c") >= least)).select("segment"))  # FREQUENT rows at most
-        others = coded.where(here & (F.col("c") < least)).select("segment", "ids")
-        rare = counted.where(here).select("block", "segment").join(often, "segment", "left_anti").join(others, "segment").select("block", "segment", "ids")
+        others = coded.where(here & (F.col("c") < least)).select("segment", "ids").repartition(partitions, "segment").hint("shuffle_hash")
+        asked = counted.where(here).select("block", "segment").join(often, "segment", "left_anti").repartition(partitions, "segment")
+        rare = asked.join(others, "segment").select("block", "segment", "ids")
         rare.repartition("block").write.mode("append").option("compression", "zstd").partitionBy("block").parquet(folder)
         release(spark)
     forget(spark, counted_path)
@@ -396,13 +419,13 @@ def _assembled(base: DataFrame, model: PieceModel, coded: DataFrame, counted: Da
 
         store, root = fs.FileSystem.from_uri(folder)
         model, frequent = shared.value
-        known, block = worker_memo(key, lambda: _Known(_coded(frequent.column("segment"), frequent.column("ids")))), None
-        known.findall = model.segment.findall
+        often, known, block = worker_memo(key, lambda: dict(_coded(frequent.column("segment"), frequent.column("ids")))), _Known(), None
         unigram = model.kind == "unigram"
         spelled = pa.array(model.spellings, pa.large_binary())
 
-        def read(block: int) -> dict[str, bytes]:
-            place, found = f"{root}/block={block}", {}
+        def read(block: int) -> _Known:
+            place, found = f"{root}/block={block}", _Known(often)
+            found.findall = model.segment.findall
             if store.get_file_info(place).type != fs.FileType.NotFound:
                 for f in store.get_file_info(fs.FileSelector(place)):
                     if f.path.endswith(".parquet"):
@@ -415,8 +438,8 @@ def _assembled(base: DataFrame, model: PieceModel, coded: DataFrame, counted: Da
             values, lengths, texts = [], [], []
             for now, text in zip(_blocks(b), texts_of(b.column(3)), strict=True):
                 if now != block:
-                    known.others = {}
-                    known.others, block = read(now), now
+                    known.clear()
+                    known, block = read(now), now
                 text = text or ""
                 flat = b"".join(map(known.__getitem__, model.fragments(text)))
                 if unigram:  # a run of unknown characters is one unknown piece
@@ -434,7 +457,7 @@ def _assembled(base: DataFrame, model: PieceModel, coded: DataFrame, counted: Da
                 [b.column(0), b.column(1), b.column(2), pa.array(lengths, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(same, pa.bool_())],
                 names=["_f", "_r", "doc_id", "n_pieces", "ids", "round_trip"],
             )
-        known.others = {}
+        known.clear()
 
     return base.mapInArrow(run, "_f long, _r long, doc_id long, n_pieces long, ids array<int>, round_trip boolean")
 

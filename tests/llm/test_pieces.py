@@ -114,6 +114,50 @@ def test_lattice_equals_the_library_and_all_segmentations(spark):
         assert paths[w] == max(ways)[1]
 
 
+def merges_model(rng):
+    """A BPE model of random pieces: some tie, some come about late or never."""
+    parts = {"".join(rng.choice("aab") for _ in range(rng.randrange(2, 6))) for _ in range(14)}
+    proto = unigram([(x, -float(rng.randrange(20))) for x in sorted(parts)] + [(x, -99.0) for x in "ab▁"])
+    proto.trainer_spec.model_type = 2
+    return proto
+
+
+def test_one_pass_and_late_pieces_equal_the_library(spark):
+    """Segments without late pieces take one pass over their merges; those with one are looked at again after each merge."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    from quillstack.llm import pieces
+
+    given = PieceModel.load(MODEL_PATH)
+    assert given.late and all(set(x) == {"▁"} for x in given.late)
+    words = ["".join(x) for n in range(1, 8) for x in itertools.product("ab", repeat=n)]
+    late, plain = 0, 0
+    for seed in range(4):
+        proto = merges_model(random.Random(seed))
+        model, sp = PieceModel.of(proto), sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+        merge = model.merger()
+        with_late = [any(x in w for x in model.late) for w in words]
+        late, plain = late + sum(with_late), plain + len(words) - sum(with_late)
+        found = {r.segment: r.ids for r in pieces.merge_paths(spark.createDataFrame([("▁" + w, 1) for w in words], "segment string, c long"), model).collect()}
+        assert len(found) == len(words)
+        for w in words:
+            assert found["▁" + w] == list(merge("▁" + w)) == sp.encode(w), (seed, w)
+    assert late > 50 and plain > 50
+
+
+def test_substrings_meet_pieces_by_longs_and_are_compared(spark, monkeypatch):
+    """The lattice's join is by a digest, not by strings; digests that are equal confuse no pieces."""
+    from quillstack.llm import pieces
+
+    model, words, plans = PieceModel.load(MODEL_PATH), ["▁the", "▁lattice", "of", "▁words,"], []
+    real, rows = pieces.cut, spark.createDataFrame([(w, 1) for w in words], "segment string, c long")
+    monkeypatch.setattr(pieces, "cut", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, label))
+    merge = model.merger()
+    for digest in (pieces._digest, lambda part: (pieces.F.length(part) % 2).cast("long")):
+        monkeypatch.setattr(pieces, "_digest", digest)
+        assert {r.segment: r.ids for r in pieces.merge_paths(rows, model).collect()} == {w: list(merge(w)) for w in words}
+    assert "BroadcastHashJoin [key#" in plans[0] and "BroadcastHashJoin [part#" not in plans[0]
+
+
 def test_other_models_are_refused():
     proto = unigram([("a", -1.0)])
     proto.trainer_spec.model_type = 3
