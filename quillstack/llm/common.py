@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,12 +62,32 @@ def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
+    trim(spark)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def trim(spark: SparkSession) -> None:
+    """Gives the system back what the driver has freed beside its heap.
+
+    The C library keeps it for each thread, so that it grows with every step. A JVM that has no command for this keeps it.
+    """
+    pa.default_memory_pool().release_unused()
+    jvm, new_array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    of, lang = jvm.java.lang.Class.forName, jvm.java.lang
+    # The server's own class is not open to py4j, so the method is taken from the interface.
+    kinds, given = new_array(lang.Class, 4), new_array(lang.Object, 4)
+    for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[i] = of(kind)
+    given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    given[2], given[3] = new_array(lang.Object, 0), new_array(lang.String, 0)
+    with contextlib.suppress(Py4JJavaError):
+        of("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+
+
 def release(spark: SparkSession) -> None:
-    """Has the driver's JVM collect, so that the shuffle files of finished steps are deleted."""
+    """Has the driver's JVM collect, so that the shuffle files of finished steps are deleted, and gives freed memory back."""
     spark.sparkContext._jvm.java.lang.System.gc()
+    trim(spark)
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
