@@ -8,7 +8,7 @@ from zlib import crc32
 import numpy as np
 import pytest
 
-from quillstack.llm import langid, lm, quality, seating
+from quillstack.llm import common, langid, lm, quality, seating
 from quillstack.llm.common import Memo, setting
 
 SF = "/root/testdata/sf0.01"
@@ -340,6 +340,18 @@ def test_lm_joins_pairs_in_parts(spark, monkeypatch):
         assert x[:3] == y[:3] and x[3:] == pytest.approx(y[3:], rel=1e-9)
 
 
+def test_lm_gives_memory_back_after_sweeps_and_parts(spark, monkeypatch):
+    """The driver's freed memory, which grew with every step, goes back after each of them."""
+    times = []
+    monkeypatch.setattr(common, "trim", times.append)
+    data = corpus()
+    model = lm.train(frame(spark, data[::2]), frequent=20)
+    trained = len(times)
+    assert trained > lm.BURN_IN + lm.KEPT
+    lm.score(frame(spark, data), model, frequent_pairs=30)
+    assert len(times) - trained > lm.SLICES
+
+
 def test_lm_sweeps_broadcast_no_tables(spark, monkeypatch):
     """Sweeps have the driver build no hash table of the numbered words, and still find what every context and word has."""
     sweeps, reseat = [], lm._reseat
