@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -284,31 +284,35 @@ def _starts(tokens: DataFrame, phrases: list[Phrase]) -> DataFrame:
     return whole.where((F.col("n") == F.get(lengths, F.col("p"))) & (~F.get(firsts, F.col("p")) | (F.col("start") == 0))).select("id", "p", "col", "start")
 
 
-def _near_hits(tree: Node, numbers: Iterator[int], phrases: list[Phrase]) -> Iterator[Column]:
-    """For each phrase its places that count: under NEAR those in a group of places of all its phrases that stand close enough.
-
-    A group ends where one of its phrases starts last; each other phrase starts no later, and at most
-    `distance` tokens are between its end and that place.
-    """
-    if tree.op == "phrase":
-        yield F.get("at", F.lit(next(numbers)))
-        return
-    if tree.op != "near":
+def _nears(tree: Node, numbers: Iterator[int]) -> Iterator[tuple[Node, list[int]]]:
+    """The NEAR nodes of a tree with the numbers of their phrases."""
+    if tree.op == "near":
+        yield tree, [next(numbers) for _ in tree.parts]
+    elif tree.op == "phrase":
+        next(numbers)
+    else:
         for part in tree.parts:
-            yield from _near_hits(part, numbers, phrases)
-        return
-    own = [next(numbers) for _ in tree.parts]
-    asked = [p for p in own if phrases[p].terms]
-    places = {p: F.get("at", F.lit(p)) for p in own}
+            yield from _nears(part, numbers)
+
 
-    def inside(last: Column, p: int):
-        return lambda y: (y["col"] == last["col"]) & (y["start"] <= last["start"]) & (y["start"] >= last["start"] - len(phrases[p].terms) - tree.distance)
+def _near_starts(starts: DataFrame, tree: Node, phrases: list[Phrase]) -> DataFrame:
+    """The starts that count: under NEAR those in a group of places of all its phrases that stand close enough.
 
-    whole = lambda last: functools.reduce(lambda x, y: x & y, [F.exists(places[p], inside(last, p)) for p in asked], F.lit(True))
-    ends = F.filter(F.flatten(F.array(*[places[p] for p in asked])), whole) if asked else None
-    closes = lambda p: lambda y: F.exists(ends, lambda last: inside(last, p)(y))
-    for p in own:
-        yield F.filter(places[p], closes(p)) if p in asked else places[p]
+    A group ends where one of its phrases starts last; each other phrase starts no later, and at most
+    `distance` tokens are between its end and that place. So a place is an end if the last start of each phrase
+    up to it is close, and a place counts if the next end is: two runs over a column's places in order.
+    """
+    for near, own in _nears(tree, iter(range(len(phrases)))):
+        asked = [p for p in own if phrases[p].terms]
+        if not asked:
+            continue
+        column, mine = Window.partitionBy("id", "col"), F.col("p").isin(asked)
+        reach = F.get(F.array(*[F.lit(len(p.terms) + near.distance) for p in phrases]), F.col("p"))
+        up, down = (column.orderBy(x).rangeBetween(Window.unboundedPreceding, Window.currentRow) for x in (F.asc("start"), F.desc("start")))
+        close = [F.max(F.when(F.col("p") == p, F.col("start"))).over(up) >= F.col("start") - len(phrases[p].terms) - near.distance for p in asked]
+        ends = starts.withColumn("end", F.when(functools.reduce(lambda x, y: x & y, close, mine), F.col("start")))
+        starts = ends.withColumn("end", F.min("end").over(down)).where(~mine | (F.col("end") <= F.col("start") + reach)).drop("end")
+    return starts
 
 
 def _masks(tree: Node, numbers: Iterator[int], phrases: list[Phrase], mask: Column) -> list[Column]:
@@ -361,7 +365,7 @@ def ranked(source: DataFrame | Index, query: str, stemmed: bool = True) -> DataF
     phrases = phrases_of(tree)
     n, mean = (source.n, source.mean) if isinstance(source, Index) else corpus(source)
     starts = _starts(_asked(source, phrases, stemmed), phrases)
-    by_phrase = starts.groupBy("id", "p").agg(F.collect_list(F.struct("col", "start")).alias("starts"))
+    by_phrase = _near_starts(starts, tree, phrases).groupBy("id", "p").agg(F.collect_list(F.struct("col", "start")).alias("starts"))
     grouped = by_phrase.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("p", "starts"))).alias("m"))
     empty = F.array().cast("array<struct<col:string,start:int>>")
     at = F.array(*[F.coalesce(F.try_element_at("m", F.lit(p)), empty) for p in range(len(phrases))])
@@ -369,7 +373,7 @@ def ranked(source: DataFrame | Index, query: str, stemmed: bool = True) -> DataF
     # A row for the whole corpus: in how many articles each phrase is.
     sizes = starts.select("id", "p").distinct().groupBy("p").agg(F.count("*").alias("n"))
     sizes = {r.p: r.n for r in sizes.collect()}
-    docs = held.withColumn("at", F.array(*_near_hits(tree, iter(range(len(phrases))), phrases))).withColumn("f", F.transform("at", F.size))
+    docs = held.withColumn("f", F.transform("at", F.size))
     truth = _truth(tree, iter(range(len(phrases))), phrases)
     masks = _masks(tree, iter(range(len(phrases))), phrases, F.lit(True))
     counted = F.array(*[F.when(m, F.get("f", F.lit(p))).otherwise(0) for p, m in enumerate(masks)])

@@ -1,5 +1,6 @@
 import random
 import sqlite3
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,6 +125,20 @@ def test_search_equals_the_library(library, index, query):
     assert stored == got
 
 
+def test_near_over_thousands_of_places_of_one_article(spark):
+    content = "of the " * 3000 + "x " * 40 + "the " * 2000
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE VIRTUAL TABLE plain USING fts5(title, content)")
+    db.executemany("INSERT INTO plain(rowid, title, content) VALUES (?, ?, ?)", rows := [(1, "a", content), (2, "of the", "x"), (3, "of", "the"), *[(i, "b", "c") for i in range(4, 12)]])
+    want = {i: round(r, 6) for i, r in db.execute("SELECT rowid, rank FROM plain WHERE plain MATCH 'NEAR(of the, 3)'")}
+    stop = threading.Timer(120, spark.sparkContext.cancelAllJobs)
+    stop.start()
+    got = se.ranked(spark.createDataFrame(rows, "id long, title string, content string"), "NEAR(of the, 3)", stemmed=False).select("id", "rank", F.transform("at", F.size).alias("n")).collect()
+    stop.cancel()
+    assert {r.id: round(r["rank"], 6) for r in got} == pytest.approx(want, abs=2e-6) and set(want) == {1, 2}
+    assert {r.id: r.n for r in got} == {1: [3000, 3000], 2: [1, 1]}
+
+
 @pytest.mark.parametrize("query", ["running sky", '"the of"', "rel* OR ties"])
 def test_snippets_equal_the_library(library, query):
     db, frame = library
