@@ -4,9 +4,10 @@ A query is parsed on the driver. Tokens that are part of one of its phrases are
 the phrase would start; a phrase is found where all its tokens agree on the start. So every query is one
 pass over the asked terms' places and two aggregations by document, whatever its shape.
 
-The index holds the places sorted by term, so a query reads the row groups of its terms only; the words with
-their stems, so a stemmed query looks up the few words it asks for; and the articles' lengths. Articles
-without an index are searched by one pass over their tokens, of which only the asked ones are kept.
+The index holds the places in segments, each of some articles and sorted by term, so a query reads the pages
+of its terms only; the words with their stems, so a stemmed query looks up the few words it asks for; and the articles' lengths. Articles
+without an index are searched by one pass over their tokens, of which only the asked ones are kept: for a single
+search that is far less work than an index.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import types as T
 
 from quillstack.functions import text as tx
 from quillstack.functions.porter import stem
+from quillstack.sources.bookmarks import scratch
 
 COLUMNS = ("title", "content")
 K1, B = 1.2, 0.75
@@ -197,13 +199,17 @@ def _length() -> Column:
 
 def postings(articles: DataFrame) -> DataFrame:
     """id, col, pos, term of each token."""
-    each = [articles.select("id", F.lit(c).alias("col"), F.posexplode(tx.tokens(F.coalesce(F.col(c), F.lit("")))).alias("pos", "term")) for c in COLUMNS]
-    return each[0].unionAll(each[1])
+    each = F.array(*[F.struct(F.lit(c).alias("col"), tx.tokens(F.coalesce(F.col(c), F.lit(""))).alias("t")) for c in COLUMNS])
+    return articles.select("id", F.inline(each)).select("id", "col", F.posexplode("t").alias("pos", "term"))
+
+
+#: Bytes of text in a segment of the index, whose tokens a task sorts.
+SEGMENT = 32_000_000
 
 
 @dataclass
 class Index:
-    """places: term, id, col, at (places in order), sorted by term; words: term, stem, df, cf; lengths: id, len; rows and their mean length."""
+    """places: term, id, col, pos, sorted by term in each segment; words: term, stem, df, cf; lengths: id, len; rows and their mean length."""
 
     places: DataFrame
     words: DataFrame
@@ -213,18 +219,42 @@ class Index:
 
     @classmethod
     def build(cls, articles: DataFrame, path: str) -> Index:
-        """Written under `path`. Tokens are dealt by ranges of term and article, so a frequent word fills many ranges."""
-        keys = ["term", "id", "col"]
-        places = postings(articles).repartitionByRange(*keys).groupBy(*keys).agg(F.sort_array(F.collect_list("pos")).alias("at")).sortWithinPartitions(*keys)
-        places.write.parquet(f"{path}/places")
+        """Written under `path`. Articles are dealt to segments by id; a segment's tokens are sorted where they are found, so no token moves."""
         spark = articles.sparkSession
-        held = spark.read.parquet(f"{path}/places")
+        texts = articles.select("id", *COLUMNS)
+        weight = texts.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in COLUMNS), F.lit(0)).cast("long"))).first()[0] or 0
+        segments = max(math.ceil(weight / SEGMENT), min(spark.sparkContext.defaultParallelism, math.ceil(weight / 1e6)), 1)
+        dealt = texts.repartition(segments, "id")
+        postings(dealt).select("term", "id", "col", "pos").sortWithinPartitions("term", "id").write.parquet(f"{path}/places")
         # An article may have a word in both columns.
-        each = held.groupBy("term", "id").agg(F.sum(F.size("at")).alias("n")).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("cf"))
-        each.withColumn("stem", stem_column("term")).sort("stem", "term").write.parquet(f"{path}/words")
+        own = F.array_distinct(F.flatten(F.array(*[tx.tokens(F.coalesce(F.col(c), F.lit(""))) for c in COLUMNS])))
+        df = texts.select(F.explode(own).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        cf = spark.read.parquet(f"{path}/places").groupBy("term").agg(F.count("*").alias("cf"))
+        df.join(cf, "term").select("term", stem_column("term").alias("stem"), "df", "cf").sort("stem", "term").write.parquet(f"{path}/words")
         articles.select("id", _length().alias("len")).write.parquet(f"{path}/lengths")
         return cls.open(spark, path)
 
+    @classmethod
+    def scan(cls, articles: DataFrame, phrases: list[Phrase], stemmed: bool) -> Index:
+        """What an index of all tokens has for `phrases`, by one pass over the articles: their lengths and the tokens that may be asked for.
+
+        The first two letters of a stem are its words', but for an i that was a y: tokens that begin otherwise cannot be asked for.
+        """
+        spark, path = articles.sparkSession, scratch(articles.sparkSession, "search-scan")
+        begins = {t[:2] for p in phrases for t in p.terms}
+        begins = sorted(begins | {t.replace("i", "y") for t in begins if t[1:] == "i"}) if stemmed else []
+        asked = functools.reduce(lambda x, y: x | y, [F.col("term").startswith(t) for t in begins], F.lit(False)) if stemmed else _asks("term", phrases)
+        cut = articles.select("id", *[tx.tokens(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in COLUMNS])
+        size = sum((F.size(c) for c in COLUMNS), F.lit(0))
+        # The first row of each article has its length.
+        each = cut.select("id", F.inline(F.array(*[F.struct(F.lit(c).alias("col"), (F.lit(None).cast("int") if i else size).alias("len"), F.col(c).alias("t")) for i, c in enumerate(COLUMNS)])))
+        rows = each.select("id", "col", "len", F.posexplode_outer("t").alias("pos", "term")).withColumn("len", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("len")))
+        rows.withColumn("hit", F.coalesce(asked, F.lit(False))).where("hit OR len IS NOT NULL").write.parquet(path)
+        held = spark.read.parquet(path)
+        places, lengths = held.where("hit").select("term", "id", "col", "pos"), held.where("len IS NOT NULL").select("id", "len")
+        r = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).first()
+        return cls(places, places.select("term").distinct().withColumn("stem", stem_column("term")), lengths, r.n, r.mean or 0.0)
+
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Index:
         lengths = spark.read.parquet(f"{path}/lengths")
@@ -236,21 +266,20 @@ class Index:
 LISTED = 2_000
 
 
-def _asks(column: str, phrases: list[Phrase]) -> Column:
+def _asks(column: str | Column, phrases: list[Phrase]) -> Column:
     """Whether a column holds a term that some phrase asks for."""
+    column = F.col(column) if isinstance(column, str) else column
     whole = sorted({t for p in phrases for t in (p.terms[:-1] if p.prefix else p.terms)})
     begun = sorted({p.terms[-1] for p in phrases if p.prefix and p.terms})
-    return functools.reduce(lambda x, y: x | y, [F.col(column).startswith(t) for t in begun], F.col(column).isin(whole) if whole else F.lit(False))
+    return functools.reduce(lambda x, y: x | y, [column.startswith(t) for t in begun], column.isin(whole) if whole else F.lit(False))
 
 
-def _asked(source: DataFrame | Index, phrases: list[Phrase], stemmed: bool) -> DataFrame:
+def _asked(index: Index, phrases: list[Phrase], stemmed: bool) -> DataFrame:
     """id, col, pos, term (its stem, if stemmed) of the tokens that the phrases ask for."""
-    stored = isinstance(source, Index)
-    tokens = source.places if stored else postings(source)
+    tokens, words = index.places, index.words
     if not stemmed:
         found = tokens.where(_asks("term", phrases))
     else:
-        words = source.words if stored else tokens.select("term").distinct().withColumn("stem", stem_column("term"))
         listed = words.where(_asks("stem", phrases)).select("term", "stem").limit(LISTED + 1).collect()
         if len(listed) <= LISTED:
             few = tokens.sparkSession.createDataFrame([(r.term, r.stem) for r in listed], "term string, stem string")
@@ -258,13 +287,7 @@ def _asked(source: DataFrame | Index, phrases: list[Phrase], stemmed: bool) -> D
         else:
             found = tokens.join(words.where(_asks("stem", phrases)).select("term", "stem"), "term")
         found = found.drop("term").withColumnRenamed("stem", "term")
-    return found.select("id", "col", F.explode("at").alias("pos"), "term") if stored else found.select("id", "col", "pos", "term")
-
-
-def corpus(articles: DataFrame) -> tuple[int, float]:
-    """Rows, and mean tokens over both columns."""
-    r = articles.agg(F.count("*").alias("n"), F.avg(_length()).alias("mean")).first()
-    return r.n, r.mean or 0.0
+    return found.select("id", "col", "pos", "term")
 
 
 def _starts(tokens: DataFrame, phrases: list[Phrase]) -> DataFrame:
@@ -358,13 +381,14 @@ def _truth(tree: Node, numbers: Iterator[int], phrases: list[Phrase]) -> Column
 def ranked(source: DataFrame | Index, query: str, stemmed: bool = True) -> DataFrame:
     """id, rank and the phrases' places of each article that meets the query; a lower rank is better.
 
-    source: an index, or articles. A phrase's weight hangs on all articles that have it, its frequency on the
+    source: an index, or articles, which are read once. A phrase's weight hangs on all articles that have it, its frequency on the
     places that count (under NEAR, the near ones).
     """
     tree = Parser(query, stemmed).parse()
     phrases = phrases_of(tree)
-    n, mean = (source.n, source.mean) if isinstance(source, Index) else corpus(source)
-    starts = _starts(_asked(source, phrases, stemmed), phrases)
+    index = source if isinstance(source, Index) else Index.scan(source, phrases, stemmed)
+    n, mean = index.n, index.mean
+    starts = _starts(_asked(index, phrases, stemmed), phrases)
     by_phrase = _near_starts(starts, tree, phrases).groupBy("id", "p").agg(F.collect_list(F.struct("col", "start")).alias("starts"))
     grouped = by_phrase.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("p", "starts"))).alias("m"))
     empty = F.array().cast("array<struct<col:string,start:int>>")
@@ -378,8 +402,7 @@ def ranked(source: DataFrame | Index, query: str, stemmed: bool = True) -> DataF
     masks = _masks(tree, iter(range(len(phrases))), phrases, F.lit(True))
     counted = F.array(*[F.when(m, F.get("f", F.lit(p))).otherwise(0) for p, m in enumerate(masks)])
     hits = docs.where(truth if truth is not None else F.lit(False)).select("id", "at", counted.alias("f"))
-    lengths = source.lengths if isinstance(source, Index) else source.select("id", _length().alias("len"))
-    joined = hits.join(lengths, "id")
+    joined = hits.join(index.lengths, "id")
     rank = F.lit(0.0)
     for p in range(len(phrases)):
         idf = math.log((n - sizes.get(p, 0) + 0.5) / (sizes.get(p, 0) + 0.5))

@@ -125,6 +125,25 @@ def test_search_equals_the_library(library, index, query):
     assert stored == got
 
 
+def test_a_single_search_reads_the_articles_once(spark, library):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    frame = library[1]
+    counted = frame.mapInPandas(count, frame.schema)
+    assert se.ranked(counted, "running OR tie*").count() == se.ranked(frame, "running OR tie*").count() > 0
+    assert read.value == frame.count()
+
+
+def test_words_of_a_stem_whose_i_was_a_y(spark):
+    frame = spark.createDataFrame([(1, "a", "ays"), (2, "a", "aid"), (3, None, None)], "id long, title string, content string")
+    assert [r.id for r in se.ranked(frame, "ays").select("id").collect()] == [1]
+
+
 def test_near_over_thousands_of_places_of_one_article(spark):
     content = "of the " * 3000 + "x " * 40 + "the " * 2000
     db = sqlite3.connect(":memory:")
