@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstack.functions import html as H
+from quillstack.llm.common import small_batches, texts_of
 from quillstack.schema import MAX_BODY
 
 
@@ -20,26 +21,38 @@ def _readable(html: str) -> Column:
 def extract_pages(pages: DataFrame, id: str = "page_id") -> DataFrame:
     """id, url, title, text, tier, score of each page; nulls where nothing was found. One Arrow pass for the whole cascade."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [H.extract(h, u) or (None, None, None, None) for h, u in zip(b["html"], b["url"])]
-            yield pd.concat([b[["id", "url"]].reset_index(drop=True), pd.DataFrame(found, columns=["title", "text", "tier", "score"])], axis=1)
+            found = [H.extract(h, u) or (None, None, None, None) for h, u in zip(texts_of(b.column(2)), texts_of(b.column(1)))]
+            title, text, tier, score = zip(*found) if found else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(x, pa.string()) for x in (title, text, tier)], pa.array(score, pa.float64())], ["id", "url", "title", "text", "tier", "score"])
 
-    return pages.select(F.col(id).alias("id"), "url", _readable("html")).mapInPandas(run, "id long, url string, title string, text string, tier string, score double")
+    small_batches(pages.sparkSession)
+    return pages.select(F.col(id).cast("long").alias("id"), "url", _readable("html")).mapInArrow(run, "id long, url string, title string, text string, tier string, score double")
 
 
-def tier_texts(pages: DataFrame, id: str = "page_id") -> DataFrame:
-    """id and what each of three tiers alone finds on a page: structured data, paragraphs by score, the whole body; null for nothing."""
+#: What a tier alone finds on a parsed page with an address or none; nothing is None.
+TIERS = {
+    "structured": lambda root, url: H.json_ld(root),
+    "paragraphs": lambda root, url: (H.paragraphs_by_score(root) or None) if url and "://" in url else None,
+    "body": lambda root, url: H.body_text(root),
+}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            roots = [H.parse(h) if h else None for h in b["html"]]
-            yield pd.DataFrame({
-                "id": b["id"], "structured": [r and H.json_ld(r) for r in roots], "paragraphs": [(H.paragraphs_by_score(r) or None) if r and u and "://" in u else None for r, u in zip(roots, b["url"])],
-                "body": [r and H.body_text(r) for r in roots],
-            })
 
-    return pages.select(F.col(id).alias("id"), "url", _readable("html")).mapInPandas(run, "id long, structured string, paragraphs string, body string")
+def tier_texts(pages: DataFrame, id: str = "page_id", tiers: Sequence[str] = tuple(TIERS)) -> DataFrame:
+    """id and what each of `tiers` alone finds on a page: structured data, paragraphs by score, the whole body; null for nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [[] for _ in tiers]
+            for h, u in zip(texts_of(b.column(2)), texts_of(b.column(1))):
+                root = H.parse(h) if h else None
+                for name, out in zip(tiers, found):
+                    out.append(root and TIERS[name](root, u))
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, pa.string()) for x in found]], ["id", *tiers])
+
+    small_batches(pages.sparkSession)
+    return pages.select(F.col(id).cast("long").alias("id"), "url", _readable("html")).mapInArrow(run, ", ".join(["id long", *[f"{t} string" for t in tiers]]))
 
 
 def candidate_fold(candidates: Column) -> Column:

@@ -9,6 +9,7 @@ from quillstack.functions import html as H
 from quillstack.functions import text as tx
 from quillstack.functions import urls
 from quillstack.functions.porter import stem
+from quillstack.operators import extract as ex
 from quillstack.operators import ingest
 from quillstack.operators import search as se
 from quillstack.plans.registry import ALL
@@ -125,6 +126,15 @@ def test_search_equals_the_library(library, index, query):
     assert stored == got
 
 
+def test_a_tier_is_sought_alone(spark):
+    pages = spark.createDataFrame([(1, "http://a/", "<body><p>" + "words, of a page " * 9), (2, None, None), (3, "http://a/", "")], "page_id long, url string, html string")
+    every = {r.id: r for r in ex.tier_texts(pages).collect()}
+    for tier in ("structured", "paragraphs", "body"):
+        alone = ex.tier_texts(pages, tiers=[tier])
+        assert alone.columns == ["id", tier] and {r.id: r[tier] for r in alone.collect()} == {i: r[tier] for i, r in every.items()}
+    assert every[1].body and every[1].paragraphs and every[2].body is None
+
+
 def test_a_single_search_reads_the_articles_once(spark, library):
     read = spark.sparkContext.accumulator(0)
 
