@@ -23,6 +23,9 @@ BROADCAST_BYTES = 16 << 20
 #: Rows of an Arrow batch at most.
 BATCH_ROWS = 1_000
 
+#: Spark's own setting for shuffle files to go when an execution ends.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _local_dirs: dict[str, str] = {}
 
 
@@ -58,10 +61,14 @@ def forget(spark: SparkSession, path: str) -> None:
 
 
 def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Cuts the lineage: writes `df` to the shared folder as Parquet; the table read back, and its path."""
+    """Cuts the lineage: writes `df` to the shared folder as Parquet; the table read back, and its path.
+
+    Its shuffle files are deleted when it is written: a collection alone leaves the last ones until the next job.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    with setting(spark, SHUFFLES_GO, True):
+        df.write.option("compression", "zstd").parquet(path)
     trim(spark)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -98,7 +105,7 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 def setting(spark: SparkSession, name: str, value: object) -> Iterator[None]:
     """A setting of the session for what runs within."""
     before = spark.conf.get(name)
-    spark.conf.set(name, str(value))
+    spark.conf.set(name, str(value).lower() if isinstance(value, bool) else str(value))
     try:
         yield
     finally:

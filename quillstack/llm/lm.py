@@ -9,60 +9,50 @@ words, and the parent's probabilities, are those of the last sweep. Predictive p
 the sweeps kept, and give the score.
 
 Counts cover all training text. Words are numbers: the most frequent ones their rank, the others a 64-bit
-hash. A pair that was met once has one table always; only the others are sampled. For scoring, the most
-frequent words and pairs go to all workers; what a text has besides is looked up by joins, whose keys are too rare to be hot.
+hash. A pair that was met once has one table always; only the others are sampled.
+
+Texts are cut into words once: blocks of them are files in the shared folder, with numbers for words. What blocks
+send to each other goes as arrays by shards of a hash, a row for each block and shard, and not as a row for each pair:
+counts of pairs in training; in scoring each distinct pair and rare word of a block, once, and what the model has of it.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+import gc
+import uuid
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import batches_of, bucket, cut, drop_memos, forget, keyed, ladder, release, small_batches, spread, table, texts_of, written
+from quillstack.llm.common import batches_of, bucket, cut, drop_memos, forget, keyed, ladder, new_path, release, spread, table, texts_of, written
 from quillstack.llm.seating import Seater
 
 DISCOUNT, STRENGTH, BURN_IN, KEPT, SEED = 0.75, 1.0, 2, 2, 29
-#: Words that have numbers of their own and go to all workers, and pairs that do; entries a counting task holds before it passes them on.
-FREQUENT, FREQUENT_PAIRS, FLUSH = 400_000, 2_000_000, 400_000
-#: Tokens whose pairs a task counts together; pairs seated together.
-BLOCK_TOKENS, SWEEP_ROWS = 4_000_000, 200_000
-#: Parts of all pairs that scoring joins one after another, so that the shuffles of one are deleted before the next.
-SLICES = 4
-END = "\n"
+#: Words that have numbers of their own, of which all workers hold what the model has.
+FREQUENT = 400_000
+#: Tokens of a block, and of a shard, about; pairs seated together; rows of the model that a task holds before it deals them.
+BLOCK_TOKENS, SHARD_TOKENS, SWEEP_ROWS, DEALT_ROWS = 2_500_000, 4_000_000, 200_000, 1_000_000
+#: Parts of all blocks that are scored one after another, so that the shuffles of one are deleted before the next.
+SLICES = 3
+END = b"\n"
 #: The number of the context at the start of a text. Words have numbers from 1, or negative ones.
 START = 0
 RARE = -(1 << 63)
+DEALT = "shard int, kind int, block int, a binary, b binary, c binary"
 
 
-def tokens(text: str | None) -> list[bytes]:
+def tokens(text: bytes | None) -> list[bytes]:
     """The words of a text and the end."""
-    return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END.encode()]
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    drop_memos()
-    held: Counter = Counter()
-
-    def out() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in held], pa.string()), pa.array(held.values(), pa.int64())], names=["w", "c"])
-        held.clear()
-        return made
-
-    for b in batches:
-        for text in texts_of(b.column(0)):
-            held.update(tokens(text))
-            if len(held) >= FLUSH:
-                yield out()
-    yield out()
+    return [*(text or b"").lower().split(), END]
 
 
 def number(word: bytes) -> int:
@@ -70,83 +60,248 @@ def number(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, SEED) % (1 << 63) + RARE
 
 
-class Coder:
-    """Numbers of the words of texts, each word of a batch looked up once."""
+def digest(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A hash of pairs of numbers. It deals and sorts them, and does not decide whether two are equal."""
+    x = u.astype(np.int64, copy=False).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    x += w.astype(np.int64, copy=False).view(np.uint64)
+    for _ in range(2):
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+    return x
 
-    def __init__(self, places: dict[bytes, int]):
-        self.places = places
 
-    def __call__(self, texts: Iterator[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Numbers of all tokens, those of the tokens before them, and tokens of each text."""
-        met: dict[bytes, int] = {}
-        codes, lengths = [], []
-        for text in texts:
-            words = tokens(text)
-            codes.append(np.fromiter((met.setdefault(w, len(met)) for w in words), np.int32, len(words)))
-            lengths.append(len(words))
-        if not codes:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        numbers = np.fromiter((self.places.get(w) or number(w) for w in met), np.int64, len(met))
-        w = numbers[np.concatenate(codes)]
-        u = np.concatenate(([START], w[:-1]))
-        ends = np.cumsum(lengths)
-        u[ends[:-1]] = START
-        return w, u, np.array(lengths)
+def _halves(x: np.ndarray) -> bytes:
+    """Integers as their low halves and then their high ones, which are mostly alike and pack well."""
+    return np.ascontiguousarray(x, np.int64).view(np.int32).reshape(-1, 2).T.tobytes()
 
 
-def _starts(moved: np.ndarray, size: int) -> np.ndarray:
-    """Where runs of equal values begin among `size` sorted ones, and the end; moved: whether each but the first differs from the one before."""
-    return np.concatenate(([0], np.flatnonzero(moved) + 1, [size])) if size else np.zeros(1, np.int64)
+def _packed(codes: np.ndarray) -> np.ndarray:
+    """The low halves of 32-bit codes, and then the high ones."""
+    return codes.view(np.uint16).reshape(-1, 2).T.ravel()
+
 
+def _whole(*sent: bytes) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x, np.int32).reshape(2, -1).T.copy().view(np.int64).ravel() for x in sent]])
 
-def _distinct(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Distinct pairs (u, w), and how often each is there, SWEEP_ROWS at a time.
 
-    Pairs of numbered words are held as one integer each, the others as two columns. The list is emptied, and
-    nothing is copied whole but once.
+@dataclass(frozen=True)
+class Coded:
+    """Texts as blocks of numbers: files in a folder that all executors share.
+
+    A block has words and their hashes; codes: the place of each token among the words; for each text its row key,
+    doc_id, its tokens, and whether training takes it.
     """
-    keys, u, w = (np.concatenate(x) for x in zip(*held))
-    held.clear()
-    keys.sort()
-    at = _starts(keys[1:] != keys[:-1], len(keys))
-    for i in range(0, len(at) - 1, SWEEP_ROWS):
-        runs = at[i : i + SWEEP_ROWS + 1]
-        found = keys[runs[:-1]]
-        yield found >> 32, found & 0xFFFFFFFF, np.diff(runs)
-    del keys
-    order = np.lexsort((w, u))
-    u, w = u[order], w[order]
-    at = _starts((u[1:] != u[:-1]) | (w[1:] != w[:-1]), len(u))
-    for i in range(0, len(at) - 1, SWEEP_ROWS):
-        runs = at[i : i + SWEEP_ROWS + 1]
-        yield u[runs[:-1]], w[runs[:-1]], np.diff(runs)
-
-
-def _pairs(texts: DataFrame, places: Broadcast) -> DataFrame:
-    """u, w, c: words, the words before them and how often, counted by blocks."""
+
+    folder: str
+    names: tuple[str, ...]
+    tokens: int
+
+    def each(self, spark: SparkSession, run: Callable[[int, dict[str, pa.Array]], Iterator[pa.RecordBatch]], schema: str, first: int = 0, step: int = 1) -> DataFrame:
+        """What `run` makes of each block, or of those from the first by steps; a task for each."""
+        names, folder = spark.sparkContext.broadcast(self.names), self.folder
+
+        def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            drop_memos()
+            for b in batches:
+                for i in b.column(0).to_pylist():
+                    yield from run(i, read_block(folder, names.value[i]))
+
+        return spark.range(first, max(first, len(self.names)), step, max(1, len(range(first, len(self.names), step)))).mapInArrow(over, schema)
+
+    def shards(self) -> int:
+        return self.tokens // SHARD_TOKENS + 1
+
+
+def read_block(folder: str, name: str) -> dict[str, pa.Array]:
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(folder)
+    with store.open_input_file(f"{root}/{name}") as f, pa.ipc.open_file(f) as held:
+        row = held.get_batch(0)
+        got = {name: row.column(i).flatten() for i, name in enumerate(row.schema.names)}
+        got["codes"] = pa.array(got["codes"].to_numpy().reshape(2, -1).T.copy().view(np.int32).ravel())
+        return got
+
+
+def code(docs: DataFrame, doc_id: Column, text: Column, learn: Column) -> Coded:
+    """The texts of `docs`. Rows have keys that stay the same when they are read again."""
+    spark, folder = docs.sparkSession, new_path(docs.sparkSession, "lm-blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
         drop_memos()
-        coder = Coder(places.value)
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        place: defaultdict[bytes, int] = defaultdict(count().__next__)
+        codes: list[np.ndarray] = []
+        keys: list[list] = [[], [], [], []]
+
+        def out(many: int) -> pa.RecordBatch:
+            words = list(place)
+            held = {
+                "words": pa.array(words, pa.binary()), "hashes": pa.array(np.fromiter(map(number, words), np.int64, len(words))), "codes": pa.array(_packed(np.concatenate(codes))),
+                "lengths": pa.array([len(x) for x in codes], pa.int64()), **{n: pa.array(x, k) for n, x, k in zip(("f", "r", "doc_id", "learn"), keys, (*[pa.int64()] * 3, pa.bool_()))},
+            }
+            row = pa.RecordBatch.from_arrays([pa.LargeListArray.from_arrays(pa.array([0, len(x)], pa.int64()), x) for x in held.values()], names=list(held))
+            name = f"{uuid.uuid4().hex}.arrow"
+            with store.open_output_stream(f"{root}/{name}") as f, pa.ipc.new_file(f, row.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as file:
+                file.write_batch(row)
+            place.clear()
+            place.default_factory = count().__next__
+            codes.clear()
+            for x in keys:
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([many], pa.int64())], names=["name", "tokens"])
+
         many = 0
+        for b in batches:
+            for *key, text_ in zip(*(b.column(i).to_pylist() for i in range(4)), texts_of(b.column(4).cast(pa.binary())), strict=True):
+                words = tokens(text_)
+                codes.append(np.fromiter(map(place.__getitem__, words), np.int32, len(words)))
+                for x, value in zip(keys, key):
+                    x.append(value)
+                many += len(words)
+                if many >= BLOCK_TOKENS:
+                    yield out(many)
+                    many = 0
+        if codes:
+            yield out(many)
 
-        def out() -> Iterator[pa.RecordBatch]:
-            for found in _distinct(held):
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64, copy=False)) for x in found], names=["u", "w", "c"])
+    base = keyed(docs, doc_id.cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), text.cast("string").alias("text"))
+    found = sorted((r.name, r.tokens) for r in spread(base, docs).mapInArrow(run, "name string, tokens long").collect())
+    return Coded(folder, tuple(x for x, _ in found), sum(n for _, n in found))
+
+
+def _parts(shards: np.ndarray, size: int) -> Iterator[tuple[int, slice]]:
+    """Each shard that sorted `shards` have, and where."""
+    at = np.searchsorted(shards, np.arange(size + 1))
+    for i in np.flatnonzero(at[1:] > at[:-1]).tolist():
+        yield i, slice(int(at[i]), int(at[i + 1]))
+
+
+def _shard(h: np.ndarray, size: int) -> np.ndarray:
+    """The shard of hashes, which rises with them."""
+    return ((h >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
+
+
+def _sent(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["shard", "kind", "block", "a", "b", "c"])
 
+
+def _starts(moved: np.ndarray, size: int) -> np.ndarray:
+    """Where runs of equal values begin among `size` sorted ones; moved: whether each but the first differs from the one before."""
+    return np.concatenate(([0], np.flatnonzero(moved) + 1)) if size else np.zeros(0, np.int64)
+
+
+def _summed(u: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs and the sums of their counts."""
+    h = digest(u, w)
+    order = np.argsort(h)
+    h, x, y = h[order], u[order], w[order]
+    moved = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    if (moved & (h[1:] == h[:-1])).any():  # pairs of the same hash may lie mixed
+        order = np.lexsort((w, u))
+        x, y = u[order], w[order]
+        moved = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    at = _starts(moved, len(x))
+    x, y, c = x[at], y[at], np.add.reduceat(c[order], at) if len(at) else c
+    order = np.argsort(x)  # they pack better so
+    return x[order], y[order], c[order]
+
+
+@dataclass(frozen=True)
+class Numbers:
+    """Numbers of the frequent words by their hashes, which are sorted."""
+
+    hashes: np.ndarray
+    numbers: np.ndarray
+
+    @classmethod
+    def of(cls, places: dict[bytes, int]) -> Numbers:
+        hashes, numbers = (np.fromiter(x, np.int64, len(places)) for x in (map(number, places), places.values()))
+        order = np.argsort(hashes)
+        return cls(hashes[order], numbers[order])
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        """The numbers of words by their hashes, and at the end that of the start of a text."""
+        out = np.append(hashes, START)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            met = np.flatnonzero(self.hashes[at] == hashes)
+            out[met] = self.numbers[at[met]]
+        return out
+
+
+def _before(codes: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
+    """The code before each token; `start` for the first ones of texts."""
+    out = np.concatenate(([start], codes[:-1]))
+    out[(np.cumsum(lengths) - lengths)] = start
+    return out
+
+
+def _vocabulary(coded: Coded, spark: SparkSession) -> DataFrame:
+    """w, c: the words of training texts."""
+    shards = coded.shards()
+
+    def deal(i: int, block: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
+        lengths, learn = block["lengths"].to_numpy(), block["learn"].to_numpy(zero_copy_only=False)
+        counts = np.bincount(block["codes"].to_numpy()[np.repeat(learn, lengths)], minlength=len(block["words"]))
+        hashes = block["hashes"].to_numpy()
+        h = digest(hashes, np.zeros(len(hashes), np.int64))
+        order = np.argsort(h)
+        order = order[counts[order] > 0]
+        for shard, at in _parts(_shard(h[order], shards), shards):
+            words = block["words"].take(pa.array(order[at]))
+            ends = np.diff(np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1])
+            yield _sent([(shard, 0, i, b"".join(words.to_pylist()), ends.astype(np.int64).tobytes(), counts[order[at]].tobytes())])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = []
         for b in batches:
-            w, u, _ = coder(texts_of(b.column(0)))
-            both = (u >= 0) & (w >= 0)
-            held.append(((u[both] << 32) | w[both], u[~both], w[~both]))
-            many += len(w)
-            if many >= BLOCK_TOKENS:
-                yield from out()
-                many = 0
-        if held:
-            yield from out()
+            for spelled, lengths, counts in zip(*(b.column(i).to_pylist() for i in (3, 4, 5))):
+                offsets = np.concatenate(([0], np.cumsum(np.frombuffer(lengths, np.int64)))).astype(np.int32)
+                words = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(spelled)])
+                found.append(pa.table({"w": words, "c": np.frombuffer(counts, np.int64)}))
+        if found:
+            got = pa.concat_tables(found).group_by("w").aggregate([("c", "sum")]).combine_chunks()
+            yield from pa.table({"w": got.column("w"), "c": got.column("c_sum")}).to_batches(SWEEP_ROWS)
+
+    return coded.each(spark, deal, DEALT).repartitionById(shards, "shard").mapInArrow(add, "w binary, c long")
+
+
+def _pairs(coded: Coded, numbers: Broadcast, spark: SparkSession) -> DataFrame:
+    """u, w, c: words of training texts, the words before them and how often."""
+    shards = coded.shards()
+
+    def deal(i: int, block: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
+        lengths, codes, n = block["lengths"].to_numpy(), block["codes"].to_numpy(), len(block["words"]) + 1
+        own = numbers.value(block["hashes"].to_numpy())
+        learn = np.repeat(block["learn"].to_numpy(zero_copy_only=False), lengths)
+        keys = (_before(codes, lengths, n - 1).astype(np.int64) * n + codes)[learn]
+        keys.sort()
+        at = _starts(keys[1:] != keys[:-1], len(keys))
+        c = np.diff(np.append(at, len(keys)))
+        u, w = np.divmod(keys[at], n)
+        u, w = own[u], own[w]
+        h = digest(u, w)
+        order = np.argsort(h)
+        u, w, c = u[order], w[order], c[order]
+        for shard, x in _parts(_shard(h[order], shards), shards):
+            yield _sent([(shard, 0, i, _halves(u[x]), _halves(w[x]), _halves(c[x]))])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: list[list[bytes]] = [[], [], []]
+        for b in batches:
+            for x, i in zip(sent, (3, 4, 5)):
+                x.extend(b.column(i).to_pylist())
+        found = _summed(*[_whole(*sent.pop(0)) for _ in range(3)])
+        for i in range(0, len(found[0]), SWEEP_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + SWEEP_ROWS]) for x in found], names=["u", "w", "c"])
 
-    return spread(texts.select("text"), texts).mapInArrow(run, "u long, w long, c long")
+    return coded.each(spark, deal, DEALT).repartitionById(shards, "shard").mapInArrow(add, "u long, w long, c long")
 
 
 def root_share(customers: np.ndarray, tables: np.ndarray, root_customers: float, root_tables: float, words: int) -> np.ndarray:
@@ -276,21 +431,25 @@ class LanguageModel:
     train_tokens: int
     vocabulary: int
 
-    def base(self, count: np.ndarray) -> np.ndarray:
-        return np.log10((count + 0.1) / (self.train_tokens + 0.1 * (self.vocabulary + 1)))
-
 
 def train(texts: DataFrame, burn_in: int = BURN_IN, kept: int = KEPT, frequent: int = FREQUENT) -> LanguageModel:
     """Learns from all of `texts` (text). An empty table gives a model that has met no word."""
-    spark = texts.sparkSession
-    small_batches(spark)
-    vocabulary = cut(spread(texts.select("text"), texts).mapInArrow(_count, "w string, c long").groupBy("w").agg(F.sum("c").alias("c")), "lm-vocabulary")
+    coded = code(texts, F.lit(None), F.col("text"), F.lit(True))
+    model = learned(texts.sparkSession, coded, burn_in, kept, frequent)
+    forget(texts.sparkSession, coded.folder)
+    return model
+
+
+def learned(spark: SparkSession, coded: Coded, burn_in: int = BURN_IN, kept: int = KEPT, frequent: int = FREQUENT) -> LanguageModel:
+    """The model of the training texts among those coded."""
+    vocabulary, vocabulary_path = written(_vocabulary(coded, spark), "lm-vocabulary")
     n_words, n_tokens = vocabulary.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     top = vocabulary.where(F.col("c") >= ladder(vocabulary, "c", frequent)).orderBy(F.desc("c"), "w").select("w").toArrow()
-    places = {w.encode(): i for i, w in enumerate(top.column("w").to_pylist(), 1)}
-    shared = spark.sparkContext.broadcast(places)
+    places = {w: i for i, w in enumerate(top.column("w").to_pylist(), 1)}
+    shared = spark.sparkContext.broadcast(Numbers.of(places))
+    forget(spark, vocabulary_path)
     release(spark)
-    counted, counted_path = written(_pairs(texts, shared).groupBy("u", "w").agg(F.sum("c").alias("c")), "lm-pairs")
+    counted, counted_path = written(_pairs(coded, shared, spark), "lm-pairs")
     shared.destroy()
     release(spark)
     # Contexts whose pairs were all met once, and words with a single customer in the parent, stay as they are.
@@ -345,135 +504,227 @@ def _averaged(own: np.ndarray, size: np.ndarray, backs: np.ndarray, shares: np.n
 
 @dataclass(frozen=True)
 class Frequent:
-    """What all workers hold: by word number the base score, parent's probabilities, and size and backs as a context; of frequent pairs the own part."""
+    """What all workers hold: the numbers of frequent words, and by number count, parent's probabilities, and size and backs as a context."""
 
-    places: dict[bytes, int]
-    base: np.ndarray
-    shares: np.ndarray
-    size: np.ndarray
-    backs: np.ndarray
-    pairs: np.ndarray
-    own: np.ndarray
+    numbers: Numbers
+    values: np.ndarray
 
     @classmethod
-    def of(cls, model: LanguageModel, most_pairs: int) -> Frequent:
-        n, sweeps = len(model.places) + 1, len(model.unseen)
+    def of(cls, model: LanguageModel) -> Frequent:
+        sweeps = len(model.unseen)
+        values = _blank(model.unseen, len(model.places) + 1)
         words, contexts = (df.where(F.col(key) >= 0).toArrow() for df, key in ((model.words, "w"), (model.contexts, "u")))
-        count, shares, size, backs = np.zeros(n), np.zeros((sweeps, n)), np.zeros(n), np.full((sweeps, n), STRENGTH)
-        for got, key, one, many in ((words, "w", (count, "count"), (shares, "ps")), (contexts, "u", (size, "size"), (backs, "backs"))):
+        for got, key, one, many, row in ((words, "w", "count", "ps", 0), (contexts, "u", "size", "backs", 1 + sweeps)):
             at = got.column(key).to_numpy()
-            one[0][at] = got.column(one[1]).to_numpy()
             if len(at):
-                many[0][:, at] = got.column(many[1]).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, sweeps).T
-        both = model.pairs.where("u >= 0 AND w >= 0")
-        found = both.where(F.col("c") >= ladder(both, "c", most_pairs)).select((F.col("u") * n + F.col("w")).alias("k"), F.col("own").cast("double")).orderBy("k").toArrow()
-        return cls(model.places, model.base(count), shares, size, backs, found.column("k").to_numpy(), found.column("own").to_numpy())
+                values[row, at] = got.column(one).to_numpy()
+                values[row + 1 : row + 1 + sweeps, at] = _lists(got.column(many).combine_chunks(), sweeps)
+        return cls(Numbers.of(model.places), values)
+
+
+def _blank(unseen: tuple[float, ...], size: int) -> np.ndarray:
+    """By rows what words have that training never met: count, the parent's probabilities by sweep, size and backs as a context."""
+    return np.repeat(np.array([0.0, *unseen, 0.0, *[STRENGTH] * len(unseen)])[:, None], size, axis=1)
+
+
+def _lists(column: pa.Array, sweeps: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, sweeps).T
+
 
+class _Side:
+    """Rows of the model by pairs of numbers."""
 
-def score(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", text_column: str = "text", frequent_pairs: int = FREQUENT_PAIRS) -> DataFrame:
+    def __init__(self, u: np.ndarray, w: np.ndarray, values: np.ndarray):
+        """values: by row of the array, those of each pair."""
+        h = digest(u, w)
+        order = np.argsort(h)
+        self.h, self.u, self.w, self.values = h[order], u[order], w[order], values[:, order]
+        at = _starts(self.h[1:] != self.h[:-1], len(h))
+        self.same = int(np.diff(np.append(at, len(h))).max(initial=0))
+
+    def find(self, u: np.ndarray, w: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """`out` with the values of the pairs that are there."""
+        h = digest(u, w)
+        first = np.searchsorted(self.h, h)
+        for i in range(self.same):  # one, but for pairs of the same hash
+            at = np.minimum(first + i, len(self.h) - 1)
+            met = np.flatnonzero((self.u[at] == u) & (self.w[at] == w))
+            out[:, met] = self.values[:, at[met]]
+        return out
+
+
+def _dealt(rows: DataFrame, kind: int, shards: int) -> DataFrame:
+    """`rows` (u, w, a number and maybe a list of numbers) as arrays by shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            u, w, values = (np.concatenate(x, axis=-1) for x in zip(*held))
+            held.clear()
+            order, h = _in_order(u, w)
+            for shard, at in _parts(_shard(h, shards), shards):
+                x = order[at]
+                yield _sent([(shard, kind, 0, _halves(u[x]), _halves(w[x]), values[:, x].tobytes())])
+
+        for b in batches:
+            if b.num_rows:
+                u, w = (b.column(i).to_numpy() for i in (0, 1))
+                values = [b.column(2).to_numpy().astype(float)]
+                if b.num_columns > 3:
+                    values.extend(_lists(b.column(3), len(b.column(3).flatten()) // b.num_rows))
+                held.append((u, w, np.array(values)))
+                if sum(len(x[0]) for x in held) >= DEALT_ROWS:
+                    yield from out()
+        if held:
+            yield from out()
+
+    return rows.mapInArrow(run, DEALT)
+
+
+PAIR, WORD, CONTEXT, ASKED_PAIRS, ASKED_WORDS = range(5)
+SCORED = "_f long, _r long, doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _in_order(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which pairs are dealt, and their hashes in it."""
+    h = digest(u, w)
+    order = np.argsort(h)
+    if (h[order[1:]] == h[order[:-1]]).any():  # distinct pairs of the same hash: the same order on every machine
+        order = np.lexsort((w, u, h))
+    return order, h[order]
+
+
+def score(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", text_column: str = "text", frequent_pairs: int = 0) -> DataFrame:
     """One row per row of `docs`: _f, _r (row key), doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     A null or empty text has one token, its end. Scores are log10 probabilities; a context that training
     never met leaves all to the parent. Repeated rows are scored alike; other columns are not read; an empty
-    table gives no rows.
+    table gives no rows. `frequent_pairs` does nothing: blocks ask for a pair once, so none needs to go to all workers.
     """
-    spark = docs.sparkSession
-    release(spark)
-    shared = spark.sparkContext.broadcast(Frequent.of(model, frequent_pairs))
-    names = ["_f", "_r", "doc_id", "n_tokens", "n_known", "base", "logs", "fu", "fw", "ru", "rw"]
+    coded = code(docs, F.col(id_column), F.col(text_column), F.lit(False))
+    out = scored(docs.sparkSession, coded, model)
+    forget(docs.sparkSession, coded.folder)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def scored(spark: SparkSession, coded: Coded, model: LanguageModel) -> DataFrame:
+    """`score` for texts that are coded, written."""
+    release(spark)
+    shared = spark.sparkContext.broadcast(Frequent.of(model))
+    unseen, sweeps, train_tokens, slices = model.unseen, len(model.unseen), model.train_tokens, SLICES
+    total = train_tokens + 0.1 * (model.vocabulary + 1)
+    shards = max(coded.tokens, train_tokens) // SHARD_TOKENS + 1
+
+    def met(block: dict[str, pa.Array]) -> tuple[np.ndarray, ...]:
+        """Tokens in the order of their pairs, how many have each pair, places of its words in the block, and numbers of the block's words."""
+        lengths, codes, n = block["lengths"].to_numpy(), block["codes"].to_numpy(), len(block["words"]) + 1
+        keys = _before(codes, lengths, n - 1).astype(np.int64) * n + codes
+        order = np.argsort(keys)
+        keys = keys[order]
+        at = _starts(keys[1:] != keys[:-1], len(keys))
+        return order, np.diff(np.append(at, len(keys))), *np.divmod(keys[at], n), shared.value.numbers(block["hashes"].to_numpy())
+
+    def asked(i: int, block: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
+        _, _, u, w, own = met(block)
+        rare = own[own < 0]
+        for kind, first, second in ((ASKED_PAIRS, own[u], own[w]), (ASKED_WORDS, rare, np.zeros(len(rare), np.int64))):
+            order, h = _in_order(first, second)
+            for shard, at in _parts(_shard(h, shards), shards):
+                x = order[at]
+                yield _sent([(shard, kind, i, _halves(first[x]), _halves(second[x]) if kind == ASKED_PAIRS else b"", b"")])
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_memos()
-        held: Frequent = shared.value
-        coder, n = Coder(held.places), len(held.places) + 1
+        held: list[list[list[bytes]]] = [[[], [], []] for _ in range(3)]
+        requests = []
         for b in batches:
-            if not b.num_rows:
-                continue
-            w, u, lengths = coder(texts_of(b.column(3)))
-            text = np.repeat(np.arange(len(lengths)), lengths)
-            known = w > 0
-            both = known & (u >= 0)
-            key = np.where(both, u * n + w, -1)
-            at = np.minimum(np.searchsorted(held.pairs, key), max(0, len(held.pairs) - 1))
-            met = both & (held.pairs[at] == key) if len(held.pairs) else np.zeros(len(w), bool)
-            logs = np.zeros(len(w))
-            i, j = u[met], w[met]
-            logs[met] = np.log10(_averaged(held.own[at[met]], held.size[i], held.backs[:, i], held.shares[:, j]))
-            base = np.where(known, held.base[np.where(known, w, 0)], 0.0)
-            sums = [np.bincount(text, x, len(lengths)) for x in (known, base, logs)]
-            lists = []
-            for left, kind in ((both & ~met, np.int32), (~both, np.int64)):
-                offsets = np.concatenate(([0], np.cumsum(np.bincount(text[left], minlength=len(lengths))))).astype(np.int32)
-                lists += [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x[left].astype(kind))) for x in (u, w)]
-            yield pa.RecordBatch.from_arrays(
-                [*[b.column(x) for x in range(3)], pa.array(lengths, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), *lists], names=names
-            )
-
-    base = keyed(docs, F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    found = spread(base, docs).mapInArrow(
-        run, "_f long, _r long, doc_id long, n_tokens long, n_known long, base double, logs double, fu array<int>, fw array<int>, ru array<long>, rw array<long>"
-    )
-    held = cut(found.withColumn("n", F.monotonically_increasing_id()), "lm-texts")
-    tokens_ = [
-        held.select("n", F.inline(F.arrays_zip(f"{x}u", f"{x}w"))).toDF("n", "u", "w").select("n", F.col("u").cast("long").alias("u"), F.col("w").cast("long").alias("w")) for x in "fr"
-    ]
-    unseen = model.unseen or (1.0,)
-    sweeps, total = len(unseen), model.train_tokens + 0.1 * (model.vocabulary + 1)
-
-    def sums_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Frequent = shared.value
+            for shard, kind, block, *sent in zip(*(b.column(i).to_pylist() for i in range(6))):
+                if kind < ASKED_PAIRS:
+                    for x, y in zip(held[kind], sent):
+                        x.append(y)
+                else:
+                    requests.append((shard, kind, block, sent))
+        sides = []
+        for own, rows in zip(held, (1, 1 + sweeps, 1 + sweeps)):
+            values = np.concatenate([np.zeros((rows, 0)), *[np.frombuffer(x).reshape(rows, -1) for x in own[2]]], axis=1)
+            sides.append(_Side(_whole(*own[0]), _whole(*own[1]), values))
+            own.clear()
+        for shard, kind, block, (first, second, _) in requests:
+            u = _whole(first)
+            if kind == ASKED_PAIRS:
+                out = sides[PAIR].find(u, _whole(second), np.zeros((1, len(u))))
+            else:
+                out = _blank(unseen, len(u))
+                for side, rows in ((WORD, out[: 1 + sweeps]), (CONTEXT, out[1 + sweeps :])):
+                    sides[side].find(u, np.zeros(len(u), np.int64), rows)
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()) for x in (block, kind, shard)] + [pa.array([out.tobytes()])], names=["block", "kind", "shard", "a"])
+
+    folder, names = coded.folder, spark.sparkContext.broadcast(coded.names)
+
+    def result(i: int, answers: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        block, held = read_block(folder, names.value[i]), shared.value
+        codes, lengths = block["codes"].to_numpy(), block["lengths"].to_numpy()
+        order, many, u, w, own = met(block)
+        values = _blank(unseen, len(own))
+        at = np.flatnonzero(own >= 0)
+        values[:, at] = held.values[:, own[at]]
+        rare = np.flatnonzero(own < 0)
+        ranks, _ = _in_order(own[rare], np.zeros(len(rare), np.int64))
+        values[:, rare[ranks]] = np.concatenate([np.zeros((len(values), 0)), *[np.frombuffer(x).reshape(len(values), -1) for kind, _, x in answers if kind == ASKED_WORDS]], axis=1)
+        p = np.zeros(len(u))
+        p[_in_order(own[u], own[w])[0]] = np.concatenate([np.frombuffer(x) for kind, _, x in answers if kind == ASKED_PAIRS])
+        size = values[1 + sweeps]
+        for k in range(sweeps):
+            p += values[2 + sweeps + k][u] * values[1 + k][w] / sweeps
+        p = np.log10(p / (STRENGTH + size[u]))
+        text = np.repeat(np.arange(len(lengths)), lengths)
+        base = np.log10((values[0] + 0.1) / total)
+        known, base, logs = (np.bincount(x, y, len(lengths)) for x, y in ((text, (values[0] > 0)[codes]), (text, base[codes]), (text[order], np.repeat(p, many))))
+        return pa.RecordBatch.from_arrays(
+            [block["f"], block["r"], block["doc_id"], block["lengths"], pa.array(known.astype(np.int64)), pa.array(np.full(len(lengths), train_tokens, np.int64)), pa.array(base), pa.array(logs)],
+            names=["_f", "_r", "doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
+
+    def results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_memos()
+        found: defaultdict[int, list] = defaultdict(list)
         for b in batches:
-            n, u, w = (b.column(i).to_numpy() for i in range(3))
-            own, size, *backs = (b.column(i).fill_null(x).to_numpy() for i, x in enumerate((0.0, 0, *[STRENGTH] * sweeps), 3))
-            shares = [b.column(i).fill_null(x).to_numpy() for i, x in enumerate(unseen, 6 + sweeps)]
-            in_u, in_w = u >= 0, w >= 0
-            i, j = np.where(in_u, u, 0), np.where(in_w, w, 0)
-            p = np.log10(_averaged(own, np.where(in_u, held.size[i], size), np.where(in_u, held.backs[:, i], backs), np.where(in_w, held.shares[:, j], shares)))
-            count = b.column(5 + sweeps)
-            known = ~in_w & count.is_valid().to_numpy(zero_copy_only=False)
-            base = np.where(in_w, 0.0, np.log10((count.fill_null(0).to_numpy() + 0.1) / total))
-            yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(known.astype(np.int64)), pa.array(base), pa.array(p)], names=["n", "known", "b", "p"])
-
-    # What rare contexts and words have. The frequent ones are with the workers already and are not sent as tables again.
-    contexts = model.contexts.where("u < 0").select("u", "size", *[F.get("backs", F.lit(i)).alias(f"back{i}") for i in range(sweeps)])
-    words = model.words.where("w < 0").select("w", "count", *[F.get("ps", F.lit(i)).alias(f"share{i}") for i in range(sweeps)])
-    nothing = [F.lit(None).cast(x).alias(y) for x, y in [("long", "size"), *[("double", f"back{i}") for i in range(sweeps)], ("long", "count"), *[("double", f"share{i}") for i in range(sweeps)]]]
-    names_, kinds = ["n", "u", "w", "own", *contexts.columns[1:], *words.columns[1:]], ("u >= 0 AND w >= 0", "u < 0 AND w >= 0", "u >= 0 AND w < 0", "u < 0 AND w < 0")
-
-    def looked_up(part: int, kind: str) -> DataFrame:
-        """The tokens whose pairs are in a part and of a kind, with what their pairs, rare contexts and rare words have.
-
-        Pairs beyond the frequent ones are not hot, nor are rare words. Both sides of a join are cut down to the same rows.
-        """
-        here = (F.pmod(F.xxhash64("u", "w"), F.lit(SLICES)) == part) & F.expr(kind)
-        out = tokens_[kind != kinds[0]].where(here).join(model.pairs.where(here).select("u", "w", F.col("own").cast("double").alias("own")), ["u", "w"], "left")
-        if "u < 0" in kind:
-            out = out.join(contexts, "u", "left")
-        if "w < 0" in kind:
-            out = out.join(words, "w", "left")
-        return out.select("*", *[x for x, y in zip(nothing, names_[4:]) if y not in out.columns]).select(*names_)
-
-    def summed(part: int) -> DataFrame:
-        """n, known, b, p: sums over the tokens of each text whose pairs are in a part, written."""
-        rows = reduce(DataFrame.unionAll, [looked_up(part, kind) for kind in kinds])
+            for block, *answer in zip(*(b.column(i).to_pylist() for i in range(4))):
+                found[block].append(tuple(answer))
+        while found:
+            i, answers = found.popitem()
+            yield result(i, sorted(answers, key=lambda x: x[:2]))
+
+    # What rare contexts and words have. That of the frequent ones is with the workers already.
+    zero = F.lit(0).cast("long").alias("z")
+    model_rows = (
+        (PAIR, model.pairs.select("u", "w", F.col("own").cast("double"))),
+        (WORD, model.words.where("w < 0").select("w", zero, "count", "ps")),
+        (CONTEXT, model.contexts.where("u < 0").select("u", zero, "size", "backs")),
+    )
+
+    def blocks_scored(part: int) -> DataFrame:
+        """The texts of a part of the blocks, written. Nothing outside holds its plan, so that its shuffles can go."""
         with batches_of(spark, SWEEP_ROWS):
-            return cut(rows.mapInArrow(sums_of, "n long, known long, b double, p double").groupBy("n").agg(*[F.sum(x).alias(x) for x in ("known", "b", "p")]), "lm-sums")
+            rows = reduce(DataFrame.unionAll, [coded.each(spark, asked, DEALT, part, slices), *[_dealt(x, kind, shards) for kind, x in model_rows]])
+            answers = rows.repartitionById(shards, "shard").mapInArrow(answered, "block int, kind int, shard int, a binary")
+            there = len(range(part, len(coded.names), slices))
+            return cut(answers.repartitionById(max(1, there), F.expr(f"block div {slices}").cast("int")).mapInArrow(results, SCORED), "lm-scores")
 
     parts = []
-    for part in range(SLICES):
-        parts.append(summed(part))
+    for part in range(slices):
+        parts.append(blocks_scored(part))
+        gc.collect()
         release(spark)
     shared.destroy()
-    sums = reduce(DataFrame.unionAll, parts).groupBy("n").agg(*[F.sum(x).alias(x) for x in ("known", "b", "p")])
-    zero = F.lit(0.0)
-    return held.drop("fu", "fw", "ru", "rw").join(sums, "n", "left").select(
-        "_f", "_r", "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(model.train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("b", zero)).alias("base_score"), (F.col("logs") + F.coalesce("p", zero)).alias("score"),
-    )
+    return reduce(DataFrame.unionAll, parts)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = train(docs.where(bucket("doc_id", 10) != 0))
+    coded = code(docs, F.col("doc_id"), F.col("text"), bucket("doc_id", 10) != 0)
+    out = scored(spark, coded, learned(spark, coded))
+    forget(spark, coded.folder)
     held_out = F.coalesce(bucket("doc_id", 10) == 0, F.lit(False)).alias("held_out")
-    return score(docs, model).select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")

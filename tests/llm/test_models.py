@@ -375,6 +375,42 @@ def test_lm_sweeps_broadcast_no_tables(spark, monkeypatch):
             assert ((held.customers[r.w], held.roots[r.w]) if r.w >= 0 else (r.n, r.r)) == customers[r.w]
 
 
+def test_lm_shards_do_not_move_the_result(spark, monkeypatch):
+    """Pairs counted and asked for through many shards are those of one shard, and a table that is written keeps no shuffle files."""
+    data, got, counted = corpus(), {}, {}
+    learn = [(i, t) for i, t in data if i is not None and i % 3]
+    model = lm.train(frame(spark, learn), frequent=20)
+    for tokens in (4_000_000, 150):
+        monkeypatch.setattr(lm, "SHARD_TOKENS", tokens)
+        counted[tokens] = sorted(map(tuple, lm.train(frame(spark, learn), frequent=20).pairs.select("u", "w", "c").collect()))
+        got[tokens] = sorted((str(r.doc_id), r.n_tokens, r.n_known, r.base_score, r.score) for r in lm.score(frame(spark, data), model).collect())
+    assert counted[150] == counted[4_000_000]
+    for x, y in zip(got[150], got[4_000_000], strict=True):
+        assert x[:3] == y[:3] and x[3:] == pytest.approx(y[3:], rel=1e-9)
+    made = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    first = made.shuffleStatuses().size()
+    common.cut(spark.range(1000).repartition(3, "id"), "test")
+    assert made.shuffleStatuses().size() <= first
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_lm_pairs_of_one_hash_stay_apart(monkeypatch, collide):
+    rng = np.random.default_rng(2)
+    u, w = rng.integers(-40, 40, 5000), rng.integers(-40, 40, 5000)
+    if collide:
+        monkeypatch.setattr(lm, "digest", lambda u, w: (np.abs(u + w) % 3).astype(np.uint64))
+    want = Counter(zip(u.tolist(), w.tolist()))
+    x, y, c = lm._summed(u, w, np.ones(5000, np.int64))
+    assert dict(zip(zip(x.tolist(), y.tolist()), c.tolist())) == want and len(x) == len(want)
+    seek_u, seek_w = np.repeat(np.arange(-45, 45), 90), np.tile(np.arange(-45, 45), 90)
+    found = lm._Side(x, y, c[None].astype(float)).find(seek_u, seek_w, np.zeros((1, 8100)))
+    assert found[0].tolist() == [want[k] for k in zip(seek_u.tolist(), seek_w.tolist())]
+    order, _ = lm._in_order(x, y)
+    assert sorted(order.tolist()) == list(range(len(x)))
+    some = rng.integers(-(1 << 62), 1 << 62, 100)
+    assert (lm._whole(lm._halves(some[:30]), lm._halves(some[30:])) == some).all()
+
+
 def test_lm_base_columns_equal_sql(spark):
     import duckdb
 
